@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from lumenq.llm import exact_dedup, packing, token_counts
+from lumenq.llm import decontaminate, exact_dedup, near_dedup, packing, token_counts
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
 SQL = {
+    "op3_benchmark_decontamination": decontaminate.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op9_minhash_near_dedup": near_dedup.OP9_SQL,
 }
