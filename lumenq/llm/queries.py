@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from lumenq.llm import decontaminate, exact_dedup, near_dedup, packing, token_counts
+from lumenq.llm import decontaminate, exact_dedup, html_text, near_dedup, packing, pii, quality, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_html_extraction": html_text.op2_html_extraction,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_quality_classifier": quality.op5_quality_classifier,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
+    "op8_toxicity_grammar": toxicity.op8_toxicity_grammar,
     "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
