@@ -14,6 +14,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,26 +122,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_co
     return found
 
 
+def _flagger(search: Items):
+    def has(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts), bool)
+        all_texts, start, total = texts.tolist(), 0, 0
+        for i, t in enumerate(all_texts):
+            total += len(t)
+            if total >= 1_000_000 or i + 1 == len(all_texts):
+                for w, _, _ in search.search(all_texts[start : i + 1]):
+                    out[start + w] = True
+                start, total = i + 1, 0
+        return pd.Series(out)
+
+    return has
+
+
 def is_contaminated(benchmark: DataFrame, text_col: str = "text", percent: int = 80, item_id_col: str = "item_id", item_text_col: str = "text") -> Column:
     """A column that says whether a text contains a test item, for filters that keep all columns and need no join."""
     flag = F.lit(False)
     for items in _passes(benchmark, item_id_col, item_text_col):
         search = Items(items, percent)
 
-        @F.pandas_udf("boolean")
-        def has(texts, search: Items = search):
-            import pandas as pd
-
-            out = np.zeros(len(texts), bool)
-            all_texts, start, total = texts.tolist(), 0, 0
-            for i, t in enumerate(all_texts):
-                total += len(t)
-                if total >= 1_000_000 or i + 1 == len(all_texts):
-                    for w, _, _ in search.search(all_texts[start : i + 1]):
-                        out[start + w] = True
-                    start, total = i + 1, 0
-            return pd.Series(out)
-
+        has = F.pandas_udf(_flagger(search), "boolean")
         flag = flag | has(text_of(text_col))
     return flag
 
