@@ -112,15 +112,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = docs.select(key.alias("digest"), norm.alias("norm")).groupBy("digest").agg(F.collect_set("norm").alias("chain"))
     chains = staged(texts.where(F.size("chain") > 1).select("digest", F.posexplode(F.array_sort("chain")).alias("link", "norm")), "dedup-chains")
     keep = F.min(F.struct((-F.col("n_points")).alias("order"), F.col("doc_id").alias("doc_id")))
-    if chains.isEmpty():
-        groups = index.groupBy("digest").agg(F.count("*").alias("group_size"), keep.alias("keep"))
-        out = index.join(groups, "digest").withColumn("text_sha256", F.col("digest"))
+    if digest_bits == 256 and chains.isEmpty():
+        rows, by = index.withColumn("text_sha256", F.col("digest")), ["digest"]
     else:
         linked = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text_of(text_col)).cast("bigint").alias("n_points"), sha.alias("text_sha256"), key.alias("digest"), norm.alias("norm")).join(chains, ["digest", "norm"], "left")
-        linked = staged(linked.select("doc_id", "n_points", "text_sha256", "digest", F.coalesce("link", F.lit(0)).alias("link")), "dedup-linked")
-        groups = linked.groupBy("digest", "link").agg(F.count("*").alias("group_size"), keep.alias("keep"))
-        out = linked.join(groups, ["digest", "link"])
-    return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("keep.doc_id")).alias("kept"), "text_sha256")
+        rows, by = staged(linked.select("doc_id", "n_points", "text_sha256", "digest", F.coalesce("link", F.lit(0)).alias("link")), "dedup-linked"), ["digest", "link"]
+    # groups are written before they are joined: both sides of the join are then plain shuffles, which can be split at a hot text
+    groups = staged(rows.groupBy(*by).agg(F.count("*").alias("group_size"), keep.alias("keep")).where("group_size > 1"), "dedup-groups")
+    out = rows.join(groups, by, "left")
+    alone = F.col("group_size").isNull()
+    keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id"))
+    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
