@@ -141,7 +141,8 @@ def count_tokens(docs: DataFrame, path: str, cache_path: str | None = None, limi
                 yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array([version] * len(digests)), pa.array(count(part.column("text").to_pylist()), pa.int64())], ["content_digest", "tokenizer_digest", "n_tokens"])
 
     encode.mapInArrow(rows, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = _read_cache(spark, cache_path, version)
+    # the counts of this run's contents, written so that the join's sides are plain shuffles and can be split at a hot content
+    counts = staged(_read_cache(spark, cache_path, version).join(log.select("content_digest").distinct(), "content_digest", "left_semi"), "token-counts")
     return log.join(counts, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
