@@ -207,7 +207,7 @@ def pack(pieces: DataFrame, max_tokens: int = 2048) -> DataFrame:
     An empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    blocks = partitions_for(spark) * 8
+    blocks = partitions_for(spark)
     block = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int")
     log = staged(pieces.withColumn("block", block), "pieces")
     counts = log.groupBy("length", "block").agg(F.count("*").alias("n"))
