@@ -130,8 +130,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     Null, empty and wordless texts have 0 shingles and are their own component; fewer than five words are one shingle.
     component_id is the smallest doc_id reachable over links. doc_id identifies a document: rows that repeat one are
-    taken to repeat its text, and share its verdict. A null doc_id gets the component of its copies, or null, and
-    is never a representative. Other columns are ignored; an empty table gives an empty result.
+    taken to repeat its text, and share its verdict. A null doc_id gets the component of its copies and
+    is not kept; if it has none, its component is null and it is kept. Other columns are ignored; an empty table gives an empty result.
     """
     log = staged(signed(docs, id_col, text_col), "signed")
     classes = log.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
@@ -151,9 +151,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     grouped = grouped.repartition(partitions_for(docs.sparkSession), "component", "a", "b").sortWithinPartitions("component", "a", "b")
     links = grouped.mapInArrow(_grouped_links(percent), "u bigint, v bigint")
     components = staged(connected_components(links), "components")
-    labelled = classes.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    # written, so that the last join's sides are plain shuffles and can be split at a hot set
+    labelled = staged(classes.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "labelled")
     own = F.coalesce(F.col("component"), F.col("doc_id"))
-    return log.join(labelled, "set_key", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+    return log.join(labelled, "set_key", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
