@@ -8,6 +8,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCORED = "premise string, hypothesis string, p_contradiction double, p_neutral double, p_entailment double, cls int"
 ENTAILMENT = 2
@@ -77,7 +78,7 @@ class ModelJudge:
         self.load = load
 
     def predict(self, prompts: DataFrame, prompt: str = "prompt", output: str = "output") -> DataFrame:
-        load, made = self.load, prompts.schema.add(output, "string")
+        load, made = self.load, T.StructType([*prompts.schema.fields, T.StructField(output, T.StringType())])
 
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model = None

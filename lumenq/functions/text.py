@@ -86,8 +86,21 @@ def is_valid_text(x: Column) -> Column:
 
 
 def fixed(x: Column, places: int) -> Column:
-    """x with a fixed number of decimals, rounded by its exact binary value, as printf and Python do."""
-    return F.replace(F.format_number(x.cast("double"), places), F.lit(","), F.lit(""))
+    """x with a fixed number of decimals, rounded by its exact binary value, as printf and Python do.
+
+    The product with the power of ten is split into its rounded value and its exact error, which decides near a half.
+    """
+    scale = 10.0**places
+    v = F.abs(x.cast("double"))
+    c = v * 134217729.0
+    high = c - (c - v)
+    p = v * scale
+    error = (high * scale - p) + (v - high) * scale
+    k = F.floor(p).cast("double")
+    over = (p - (k + 0.5)) + error
+    whole = F.when(over > 0, k + 1).when(over < 0, k).otherwise(k + k % 2)
+    digits = F.format_string(f"%.{places}f", whole / scale)
+    return F.when((x < 0) & (whole > 0), F.concat(F.lit("-"), digits)).otherwise(digits)
 
 
 def format_mean_std(mean: Column, std: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lumenq.backends import EntailmentScorer, JaccardScorer
 from lumenq.functions.arrays import evenly_spaced
+from lumenq.staging import staged
 
 #: Cluster threshold, diffusion time, and shift and power of the second kernel.
 CLUSTER, HEAT, SHIFT, POWER = 0.5, 0.3, 2.0, -1
@@ -155,6 +156,10 @@ def graph_features(edges: DataFrame, key: str = "prompt_id") -> DataFrame:
 
 
 def sampling_features(samples: DataFrame, scorer: EntailmentScorer | None = None, most: int = MAX_ITEMS, key: str = "prompt_id", order: str = "sample_id", text: str = "text") -> DataFrame:
-    """The six graph features of a table of sampled texts."""
-    asked = pairs(subsample(samples, most, key, order), text, key)
-    return graph_features(symmetric(scored_pairs(asked, scorer), key=key), key)
+    """The six graph features of a table of sampled texts.
+
+    Edges are written once, for three of the features start from them; so are the numbered items, as pairs meet their scores.
+    """
+    items = staged(subsample(samples, most, key, order).select(key, "n", "i", text), "items")
+    edges = staged(symmetric(scored_pairs(pairs(items, text, key), scorer), key=key), "edges")
+    return graph_features(edges, key)

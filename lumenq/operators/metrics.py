@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenq.operators.features import all_feature_names, orientation
 from lumenq.operators.prefix import prefix_sums
+from lumenq.staging import staged
 
 METRICS = ("auroc", "auprc", "prr", "ece", "brier", "spearman_rho", "kendall_tau")
 COVERAGES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)
@@ -154,8 +155,12 @@ def calibration(scores: DataFrame, keys: Sequence[str] = ("feature",), bins: int
 
 
 def evaluate_scores(scores: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
-    """All seven metrics of each of the keys, with n and pos."""
+    """All seven metrics of each of the keys, with n and pos.
+
+    The scores are written once, and every metric reads them from there: what made them runs a single time.
+    """
     keys = list(keys)
+    scores = staged(scores, "scores")
     out = rank_metrics(scores, keys)
     for part in (rejection_ratio(scores, keys), calibration(scores, keys)):
         out = out.join(part, keys)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenq.operators.metrics import METRICS, evaluate_scores
 from lumenq.operators.prefix import prefix_sums
+from lumenq.staging import staged
 
 CONFIDENCE = 0.95
 
@@ -34,7 +35,7 @@ def resamples(scores: DataFrame, reps: int, seed: int = 0, keys: Sequence[str] =
     row by (keys, position).
     """
     keys = list(keys)
-    placed = positions(scores, keys)
+    placed = staged(positions(scores, keys), "positions")
     draws = placed.select(*keys, "n", F.col("pos").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     draws = draws.select(*keys, "rep", "draw", (digest_number(F.lit(seed), F.col("rep"), F.col("draw")) % F.col("n")).alias("pos"))
     return draws.join(placed.select(*keys, "pos", "y", "s"), [*keys, "pos"]).select(*keys, "rep", F.col("draw").alias("id"), "y", "s")

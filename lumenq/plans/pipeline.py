@@ -12,6 +12,7 @@ from lumenq.functions.text import is_valid_text
 from lumenq.operators import graph, labeling, metrics, prompts, report, resample, tokens, trajectory
 from lumenq.operators.features import SEMANTIC
 from lumenq.operators.features import group as feature_group
+from lumenq.staging import staged
 
 C = F.col
 
@@ -22,7 +23,7 @@ def build_features(answers: DataFrame, tensor: DataFrame | None, scorer: Entailm
     compat=True repeats a known program's rows: every position counts as visible, and mcnse is null.
     Ambiguous prompts are left out. Without tensors the token features are null.
     """
-    keyed = prompts.partition_greedy(prompts.group_key(answers, per_prompt))
+    keyed = staged(prompts.partition_greedy(prompts.group_key(answers, per_prompt)), "answers")
     greedy = keyed.where("is_greedy").select("prompt_id", "sample_id", C("label").alias("is_correct"))
     sampled = keyed.where("not is_greedy")
     out = greedy
@@ -51,6 +52,7 @@ def baseline_features(rows: DataFrame, trajectories: DataFrame, scorer: Entailme
     """
     kept = trajectory.modal_length(trajectories.withColumn("ord", F.xxhash64("prompt_id", "response_sample_id")) if "ord" not in trajectories.columns else trajectories)
     target = trajectory.target_trajectory(kept.select("prompt_id", "response_sample_id", "num_steps", "step_answers", "final_answer")).join(rows.select("prompt_id"), "prompt_id", "left_semi")
+    target = staged(target, "target-trajectories")
     steps = trajectory.steps_of(target)
     out = rows.join(trajectory.averaged_dissimilarity(trajectory.step_dissimilarities(steps, scorer)).withColumnRenamed("ad", "full-ad"), "prompt_id", "left")
     if full_trajectory:
