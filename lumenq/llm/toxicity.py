@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.llm._shared import read_table, slices, text_of
-from lumenq.llm.quality import logistic_fit, remainder, training_sample
+from lumenq.llm._shared import read_table, staged, text_of
+from lumenq.llm.quality import remainder, training_sample
+from lumenq.llm.shingles import Minima, shingle_hashes
 
 TRAINING_ROWS = 12_000
 THRESHOLD = 0.5
@@ -34,19 +35,23 @@ TARGETS = "you your you're he she they them toi tu vous ton votre du dich dein i
 NEGATIONS = "not no never don't isn't aren't wasn't without ne pas jamais sans nicht kein keine nie ohne nunca sin".split()
 REPORTS = "said says reported reports claimed according quoted dit disait selon sagte sagt laut dijo dice según".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = "oitpnr"
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, DOUBTFUL = "oitpnrw"
+NOTHING = (0.0, 0.0)
 _MARKS = ".,;:!?\"'()[]{}|*%$&#<>«»„“”‘’¡¿-_/"
 _END = re.compile(r"[.!?;:|]+[\"')\]»”]*$")
 
 
 @dataclass
 class Transducer:
-    """A deterministic weighted transducer: arcs[state][symbol] = (output, weight, next state); absent symbols pass."""
+    """A deterministic weighted transducer: arcs[state][symbol] = (output, weight, next state); absent symbols pass.
+
+    A weight is a pair: what surely learned stems add, and what doubtful ones add.
+    """
 
     arcs: dict = field(default_factory=dict)
 
     def step(self, state, symbol: str):
-        return self.arcs.get(state, {}).get(symbol, (symbol, 0.0, self._rest(state)))
+        return self.arcs.get(state, {}).get(symbol, (symbol, NOTHING, self._rest(state)))
 
     @staticmethod
     def _rest(state):
@@ -60,10 +65,10 @@ def compose(*machines: Transducer):
     def step(states: tuple, symbol: str):
         key = (states, symbol)
         if key not in table:
-            out, weight, after = symbol, 0.0, []
+            out, weight, after = symbol, NOTHING, []
             for machine, state in zip(machines, states, strict=True):
                 out, w, state = machine.step(state, out)
-                weight += w
+                weight = (weight[0] + w[0], weight[1] + w[1])
                 after.append(state)
             table[key] = (weight, tuple(after))
         return table[key]
@@ -77,34 +82,32 @@ def grammar():
     A state counts the words that its rule still reaches: 8 after a report, 3 after a negation, 4 after a target.
     A target also strengthens an insult that stands up to 3 words before it.
     """
-    report = Transducer({s: {REPORT: (OTHER, 0.0, 8), **({INSULT: ("q", 0.0, s - 1), THREAT: ("q", 0.0, s - 1)} if s else {})} for s in range(9)})
-    negation = Transducer({s: {NEGATION: (OTHER, 0.0, 3), **({INSULT: (OTHER, 0.0, s - 1), THREAT: (OTHER, 0.0, s - 1), "q": (OTHER, 0.0, s - 1)} if s else {})} for s in range(4)})
-    target = Transducer({s: {TARGET: (TARGET, 0.0, 4), **({INSULT: ("I", 0.0, s - 1), THREAT: ("T", 0.0, s - 1)} if s else {})} for s in range(5)})
-    weigh = Transducer(
-        {
-            s: {INSULT: (OTHER, 1.0, 3), "I": (OTHER, 1.5, 0), THREAT: (OTHER, 0.5, 0), "T": (OTHER, 2.0, 0), "q": (OTHER, 0.4, 0), **({TARGET: (OTHER, 0.5, 0)} if s else {})}
-            for s in range(4)
-        }
-    )
+    keep = lambda out, s: (out, NOTHING, max(0, s - 1))
+    report = Transducer({s: {REPORT: (OTHER, NOTHING, 8), **({INSULT: keep("q", s), THREAT: keep("q", s), DOUBTFUL: keep(OTHER, s)} if s else {})} for s in range(9)})
+    negation = Transducer({s: {NEGATION: (OTHER, NOTHING, 3), **({x: keep(OTHER, s) for x in (INSULT, THREAT, DOUBTFUL, "q")} if s else {})} for s in range(4)})
+    target = Transducer({s: {TARGET: (TARGET, NOTHING, 4), **({INSULT: keep("I", s), THREAT: keep("T", s), DOUBTFUL: keep("D", s)} if s else {})} for s in range(5)})
+    last = lambda sure, doubtful, state=0: (OTHER, (sure, doubtful), state)
+    weights = {INSULT: last(1.0, 0.0, 3), "I": last(1.5, 0.0), THREAT: last(0.5, 0.0), "T": last(2.0, 0.0), "q": last(0.4, 0.0), DOUBTFUL: last(0.0, 1.0), "D": last(0.0, 1.25)}
+    weigh = Transducer({s: weights | ({TARGET: last(0.5, 0.0)} if s else {}) for s in range(4)})
     return compose(report, negation, target, weigh)
 
 
 class Lexicon:
     """Maps raw words to symbols; remembers what it has mapped, up to a bound."""
 
-    def __init__(self, words: set[str], stems: set[str]):
+    def __init__(self, words: set[str], stems: set[str], doubtful: set[str] = frozenset()):
         self.words = {w: INSULT for w in words}
         for symbol, fixed in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
             self.words |= {w: symbol for w in fixed if w not in self.words}
-        self.stems = stems
-        self.lengths = sorted({len(s) for s in stems})
+        self.stems = {s: DOUBTFUL for s in doubtful} | {s: INSULT for s in stems}
+        self.lengths = sorted({len(s) for s in self.stems}, reverse=True)
         self.memo: dict[str, str] = {}
 
     def symbol(self, raw: str) -> str:
         word = raw.lower().strip(_MARKS)
         found = self.words.get(word)
         if found is None:
-            found = INSULT if any(word[:n] in self.stems for n in self.lengths if len(word) >= n) else OTHER
+            found = next((self.stems[word[:n]] for n in self.lengths if word[:n] in self.stems), OTHER)
         return found + "." if _END.search(raw) else found
 
     def symbols(self, text: str) -> str:
@@ -121,33 +124,35 @@ class Lexicon:
 
 @dataclass
 class Model:
+    """Learned words and stems, and the logistic over logarithms of sure weight, doubtful weight and length."""
+
     words: set
     stems: set
-    slope: float = 1.0
-    shift: float = -1.0
+    doubtful: set = field(default_factory=set)
+    weights: tuple = (1.0, 0.0, 0.0, -1.0)
 
     def reader(self):
-        lexicon, (step, start) = Lexicon(self.words, self.stems), grammar()
+        lexicon, (step, start) = Lexicon(self.words, self.stems, self.doubtful), grammar()
 
-        def total(text: str) -> float:
-            """Weight of all matched clauses, each counted by its own sum."""
+        def totals(text: str) -> tuple[float, float, int]:
+            """Sure and doubtful weight of all matched clauses, each counted by its own sum, and the words there are."""
             symbols = lexicon.symbols(text)
-            if INSULT not in symbols and THREAT not in symbols:
-                return 0.0
-            out = 0.0
-            for clause in symbols.split("."):
-                if INSULT in clause or THREAT in clause:
-                    states, weight = start, 0.0
-                    for symbol in clause:
-                        w, states = step(states, symbol)
-                        weight += w
-                    out += min(weight, 6.0)
-            return out
+            sure = doubtful = 0.0
+            if INSULT in symbols or THREAT in symbols or DOUBTFUL in symbols:
+                for clause in symbols.split("."):
+                    if INSULT in clause or THREAT in clause or DOUBTFUL in clause:
+                        states, a, b = start, 0.0, 0.0
+                        for symbol in clause:
+                            w, states = step(states, symbol)
+                            a, b = a + w[0], b + w[1]
+                        sure, doubtful = sure + min(a, 6.0), doubtful + min(b, 6.0)
+            return sure, doubtful, len(symbols) - symbols.count(".")
 
-        return total
+        return totals
 
-    def score(self, total: float) -> float:
-        return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * math.log1p(total) + self.shift))))
+    def score(self, totals: tuple[float, float, int]) -> float:
+        x = sum(w * math.log1p(v) for w, v in zip(self.weights, totals, strict=False)) + self.weights[3]
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, x))))
 
 
 def _terms(text: str) -> set[str]:
@@ -156,20 +161,82 @@ def _terms(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
-def _learned(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple[set[str], set[str]]:
-    """Words and stems that stand out in toxic texts: rare in clean ones, and far beyond what chance would give."""
+def _learned(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple[set[str], set[str], set[str]]:
+    """Words and stems that stand out in toxic texts far beyond chance.
+
+    Those rare in clean texts are sure. Stems that clean texts have too are doubtful: one use says little, several do.
+    Of stems that begin alike, the one that stands out most is taken, the longest of equals.
+    """
     base = toxic / max(1, toxic + clean)
-    strong = []
+    sure, rest = [], []
     for term, in_toxic, in_all in counts:
         precision = (in_toxic + 0.5) / (in_all + 1)
-        gain = in_toxic * math.log(max(precision, 1e-9) / base) if precision > base else 0.0
-        if precision >= 0.8 and gain >= 14:
-            strong.append((gain, term))
+        gain = in_toxic * math.log(precision / base) if precision > base else 0.0
+        if precision >= 0.8 and gain >= 16:
+            sure.append((gain, term))
+        elif precision >= 2 * base and gain >= 25 and term.endswith("*"):
+            rest.append((gain, term))
     words, stems = set(), set()
-    for _, term in sorted(strong, key=lambda x: (-x[0], x[1]))[:MAX_STEMS]:
+    for _, term in sorted(sure, key=lambda x: (-x[0], x[1]))[:MAX_STEMS]:
         (stems if term.endswith("*") else words).add(term.rstrip("*"))
-    shortest = {s for s in stems if not any(s[:n] in stems for n in STEMS if n < len(s))}
-    return {w for w in words if not any(w[:n] in shortest for n in STEMS)}, shortest
+    stems = {s for s in stems if not any(s[:n] in stems for n in STEMS if n < len(s))}
+    doubtful: set[str] = set()
+    for _, term in sorted(rest, key=lambda x: (-x[0], -len(x[1]), x[1]))[:MAX_STEMS]:
+        stem = term.rstrip("*")
+        if not any(stem.startswith(d) or d.startswith(stem) for d in doubtful | stems):
+            doubtful.add(stem)
+    return {w for w in words if not any(w[:n] in stems for n in STEMS)}, stems, doubtful
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 100) -> np.ndarray:
+    """Logistic regression with a small ridge, by damped Newton steps; the last weight is the constant."""
+    x = np.column_stack([x, np.ones(len(x))])
+    b = np.zeros(x.shape[1])
+    penalty = ridge * np.diag([1.0] * (x.shape[1] - 1) + [1e-3])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ b)
+        b += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return b
+
+
+def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Three hash minima of the shingles of each text."""
+    minima = Minima(3, seed=5)
+    for batch in batches:
+        ids, found = [], []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            shingles = shingle_hashes(text)
+            if len(shingles):
+                ids.append(doc_id)
+                found.append(minima.of(shingles, np.array([0]))[0].astype(np.int64))
+        columns = np.array(found, np.int64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(columns[:, k]) for k in range(3))], ["doc_id", "m0", "m1", "m2"])
+
+
+def _without_copies(rows: list[tuple[int, ...]]) -> set[int]:
+    """The smallest id of each group of documents that share a minimum, directly or through others."""
+    root: dict = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for doc_id, *minima in sorted(rows):
+        for k, m in enumerate(minima):
+            a, b = find((0, doc_id)), find((k + 1, m))
+            if a != b:
+                low, high = sorted((a, b))
+                root[high] = low
+    groups: dict = {}
+    for doc_id, *_ in sorted(rows):
+        groups.setdefault(find((0, doc_id)), doc_id)
+    return set(groups.values())
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -177,12 +244,17 @@ def train(docs: DataFrame, labels: DataFrame, held_out, rows: int = TRAINING_ROW
     spark = docs.sparkSession
     chosen = {r.doc_id: r.label for r in training_sample(labels, "toxic", ~held_out, rows).collect()}  # at most rows pairs
     sample = F.broadcast(spark.createDataFrame([(int(k), int(v)) for k, v in chosen.items()], "doc_id bigint, label int"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")).join(sample, "doc_id")
     toxic = sum(chosen.values())
-    clean = len(chosen) - toxic
-    if not toxic or not clean:
+    if not 0 < toxic < len(chosen):
         p = toxic / len(chosen) if chosen else 0.0
-        return Model(set(), set(), 0.0, math.log((p + 1e-3) / (1 - p + 1e-3)))
+        return Model(set(), set(), set(), (0.0, 0.0, 0.0, math.log((p + 1e-3) / (1 - p + 1e-3))))
+
+    texts = staged(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")).join(sample, "doc_id"), "toxicity-sample")
+    # copies of one text say no more than the text: terms are counted in one of each group of copies
+    single = _without_copies([tuple(r) for r in texts.mapInArrow(_minima, "doc_id bigint, m0 bigint, m1 bigint, m2 bigint").collect()])  # at most rows of four numbers
+    toxic = sum(chosen[i] for i in single)
+    clean = len(single) - toxic
+    singles = texts.join(F.broadcast(spark.createDataFrame([(i,) for i in sorted(single)], "doc_id bigint")), "doc_id", "left_semi")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bad = Counter(), Counter()
@@ -195,17 +267,19 @@ def train(docs: DataFrame, labels: DataFrame, held_out, rows: int = TRAINING_ROW
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([bad[k] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], ["term", "bad", "seen"])
 
-    terms = texts.mapInArrow(counted, "term string, bad bigint, seen bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen")).where((F.col("bad") >= 6) & (F.col("bad") >= 0.75 * F.col("seen")))
-    best = terms.orderBy(F.desc("bad"), "term").limit(10 * MAX_STEMS).collect()  # the strongest terms alone
+    terms = singles.mapInArrow(counted, "term string, bad bigint, seen bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen")).where((F.col("bad") >= 6) & (F.col("bad") >= 1.5 * toxic / len(single) * F.col("seen")))
+    gain = F.col("bad") * F.ln(F.col("bad") / F.col("seen") * len(single) / max(1, toxic))
+    best = terms.orderBy(gain.desc(), "term").limit(10 * MAX_STEMS).collect()  # the strongest terms alone
     model = Model(*_learned([(r.term, r.bad, r.seen) for r in best], toxic, clean))
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = model.reader()
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = model.reader()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([total(t) for t in batch.column("text").to_pylist()], pa.float64())], ["label", "total"])
+            found = [totals(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array([f[k] for f in found], pa.float64()) for k in range(3))], ["label", "sure", "doubtful", "words"])
 
-    got = texts.mapInArrow(totals, "label int, total double").collect()  # at most rows pairs
-    model.slope, model.shift = logistic_fit(np.log1p(np.array([r.total for r in got])), np.array([r.label for r in got]))
+    got = texts.mapInArrow(read, "label int, sure double, doubtful double, words double").collect()  # at most rows of four numbers
+    model.weights = tuple(_logistic(np.log1p(np.array([r[1:] for r in got])), np.array([r.label for r in got])))
     return model
 
 

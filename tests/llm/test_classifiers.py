@@ -97,7 +97,7 @@ def test_log_count_ratios_point_to_their_class():
 
 
 def weight(text, words=("idiot",), stems=()):
-    return toxicity.Model(set(words), set(stems)).reader()(text)
+    return toxicity.Model(set(words), set(stems)).reader()(text)[0]
 
 
 def test_grammar_scores_clauses():
@@ -114,22 +114,28 @@ def test_grammar_scores_clauses():
     assert weight("some zorkelei there", stems=("zork",)) == plain
 
 
+def test_doubtful_stems_count_apart():
+    reader = toxicity.Model(set(), {"zork"}, {"zo", "blah"}).reader()
+    assert reader("a zorker and a blahser") == (1.0, 1.0, 5)
+    assert reader("a zoo, no blahser") == (0.0, 1.0, 4)
+
+
 def test_composed_machine_equals_the_cascade():
     random.seed(2)
     step, start = toxicity.grammar()
     machines = [c.cell_contents for c in step.__closure__ if isinstance(c.cell_contents, tuple) and c.cell_contents and isinstance(c.cell_contents[0], toxicity.Transducer)][0]
     for _ in range(300):
-        text = "".join(random.choice("oooitpnr") for _ in range(12))
+        text = "".join(random.choice("oooitpnrw") for _ in range(12))
         states, total = start, 0.0
         for s in text:
             w, states = step(states, s)
-            total += w
+            total += w[0] + 10 * w[1]
         run, expected = list(text), 0.0
         for m in machines:
             state, out = 0, []
             for s in run:
                 o, w, state = m.step(state, s)
                 out.append(o)
-                expected += w
+                expected += w[0] + 10 * w[1]
             run = out
         assert abs(total - expected) < 1e-9
