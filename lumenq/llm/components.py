@@ -11,14 +11,15 @@ from lumenq.llm._shared import staged
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node sends its larger neighbours to the smallest node that it sees."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written, so that the join's sides are plain shuffles, which can be split at a node with very many neighbours
+    least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node sends its smaller neighbours, and itself, to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = staged(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     return down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -35,7 +36,8 @@ def connected_components(edges: DataFrame, label: str = "stars", rounds: int = 6
     edges = staged(edges.select("u", "v").where("u <> v").distinct(), label)
     before = _state(edges)
     for _ in range(rounds if before[0] else 0):
-        edges = staged(_small_star(_large_star(edges).distinct()).distinct(), label)
+        edges = staged(_large_star(edges).distinct(), label)
+        edges = staged(_small_star(edges).distinct(), label)
         after = _state(edges)
         if after == before:
             break
