@@ -1,4 +1,4 @@
-"""Commands over files: gen-configs, build-prompts, label, features, baseline, evaluate, kfold, split and report."""
+"""Commands over files: gen-configs, build-prompts, label, label-all, features, baseline, evaluate, split, kfold, pipeline and report."""
 
 from __future__ import annotations
 
@@ -22,6 +22,8 @@ def parser() -> argparse.ArgumentParser:
     add("gen-configs", arg("output"), arg("--datasets", nargs="*", default=list(config.DATASETS)), arg("--models", nargs="*", default=list(config.MODEL_IDS)))
     add("build-prompts", arg("dataset"), arg("source"), arg("output"), arg("--fewshot", type=int, default=0), arg("--questions", type=int, default=1000))
     add("label", arg("answers"), arg("dataset"), arg("--force", action="store_true"))
+    add("label-all", arg("folder"), arg("--exclude", nargs="*", default=()), arg("--force", action="store_true"))
+    add("pipeline", arg("run"), arg("--stages", nargs="*", default=["label", "features", "evaluate"]), arg("--bootstrap", type=int, default=1000))
     add("features", arg("answers"), arg("output"), arg("--tensors"), arg("--compat", action="store_true"))
     add("baseline", arg("features"), arg("trajectories"), arg("output"), arg("--full", action="store_true"), arg("--seed", type=int, default=42))
     add("evaluate", arg("features"), arg("output"), arg("--bootstrap", type=int, default=1000), arg("--seed", type=int, default=0))
@@ -48,6 +50,23 @@ def main(argv: list[str] | None = None) -> None:
         labelled = labeling.label_records(records, a.dataset, force=a.force)
         sinks.replace_records(labelled, a.answers)
         print(labeling.label_accuracy(files.read_answers(spark, a.answers)).first())
+    elif a.command == "label-all":
+        # runs that are labelled without a judge; judged ones need a backend and are named
+        for run in files.discover_runs(a.folder, exclude=a.exclude):
+            dataset = files.run_config(run)["dataset"]
+            if config.DATASET_SETTINGS[dataset].label_method == "exact_match":
+                main(["label", f"{run}/answers.jsonl", dataset, *["--force"] * a.force])
+            else:
+                print(f"{run}: needs a judge")
+    elif a.command == "pipeline":
+        own = files.run_config(a.run)
+        steps = {
+            "label": ["label", f"{a.run}/answers.jsonl", own.get("dataset", "gsm8k")],
+            "features": ["features", f"{a.run}/answers.jsonl", f"{a.run}/uq_features.jsonl", *(["--tensors", a.run] if files.find_files([a.run], "topk_logprobs.npz") else [])],
+            "evaluate": ["evaluate", f"{a.run}/uq_features.jsonl", a.run, "--bootstrap", str(a.bootstrap)],
+        }
+        for stage in a.stages:
+            main(steps[stage])
     elif a.command == "features":
         tensor = files.read_tensors(spark, a.tensors).drop("run") if a.tensors else None
         sinks.write_jsonl(pipeline.build_features(files.read_answers(spark, a.answers), tensor, compat=a.compat), a.output, "overwrite")

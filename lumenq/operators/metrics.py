@@ -21,11 +21,17 @@ COVERAGES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)
 BINS = 10
 
 
+def numeric_id(rows: DataFrame, id_col: str) -> Column:
+    """An id that orders ties: whole numbers as they are, others by their hash."""
+    kind = rows.schema[id_col].dataType.simpleString()
+    return F.col(id_col).cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(F.col(id_col).cast("string"))
+
+
 def long_scores(rows: DataFrame, features: Sequence[str], id_col: str = "prompt_id", correct: str = "is_correct") -> DataFrame:
     """(feature, id, y, s) from a wide feature table: rows without a label and values that are null are left out."""
     labelled = rows.where(F.col(correct).isNotNull())
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("value")) for f in features]))
-    out = labelled.select(F.col(id_col).alias("id"), (~F.col(correct).cast("boolean")).cast("int").alias("y"), pairs.alias("p")).where("p.value is not null")
+    out = labelled.select(numeric_id(rows, id_col).alias("id"), (~F.col(correct).cast("boolean")).cast("int").alias("y"), pairs.alias("p")).where("p.value is not null")
     return out.select("p.feature", "id", "y", (F.col("p.value") * orientation(F.col("p.feature"))).alias("s"))
 
 
@@ -176,8 +182,10 @@ def evaluated_features(rows: DataFrame) -> list[str]:
 
 
 def run_summary(rows: DataFrame, keys: Sequence[str] = (), correct: str = "is_correct", tokens: str = "n_visible_tokens") -> DataFrame:
-    """n_examples, n_correct, n_wrong, accuracy and mean_visible_tokens of labelled rows."""
+    """n_examples, n_correct, n_wrong, accuracy and mean_visible_tokens (null without that column) of labelled rows."""
     y = F.col(correct).cast("boolean")
+    if tokens not in rows.columns:
+        rows = rows.withColumn(tokens, F.lit(None).cast("double"))
     return (
         rows.where(F.col(correct).isNotNull())
         .groupBy(*keys)

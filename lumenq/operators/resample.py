@@ -119,22 +119,27 @@ def kfold_splits(ids: DataFrame, k: int, n_train: int, seed: int = 42, id_col: s
         raise ValueError(f"{k} folds of {n} prompts")
     if n_train > n - -(-n // k):
         raise ValueError(f"{n_train} training prompts asked for, {n - -(-n // k)} outside a test fold")
+    folds = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold")
     if label is None:
         placed = _ordered(ids, id_col, seed)
-    else:
-        # interleaved: a row's order is its share of its class passed so far, so any run of rows has the classes' shares
-        own = _ordered(ids, id_col, seed, [label])
-        sizes = ids.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__size"))
-        spread = own.join(sizes, own[label].eqNullSafe(sizes["__label"])).withColumn("__share", (F.col("place") + 0.5) / F.col("__size") + F.lit(1e-12) * F.pmod(F.xxhash64(label), F.lit(997)))
-        placed = prefix_sums(spread.groupBy("__share").agg(F.count("*").alias("c")).withColumn("__all", F.lit(0)), ["__all"], "__share", ["c"]).select("__share", F.col("c_before"))
-        tied = Window.partitionBy("__share").orderBy(id_col)
-        placed = spread.join(placed, "__share").withColumn("place", F.col("c_before") + F.row_number().over(tied) - 1)
-    test = F.pmod(F.col("place"), F.lit(k)).cast("int")
-    rows = placed.select(F.col(id_col).alias("id"), "place", test.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
-    # the place among the rows outside a fold's test part, in closed form
-    outside = F.col("place") - F.floor((F.col("place") + F.lit(k - 1) - F.col("fold")) / k)
-    role = F.when(F.col("own") == F.col("fold"), "test").when(outside < n_train, "train").otherwise("val")
-    return rows.select("fold", role.alias("role"), "id")
+        rows = placed.select(F.col(id_col).alias("id"), "place", F.pmod(F.col("place"), F.lit(k)).cast("int").alias("own"), folds)
+        # the place among the rows outside a fold's test part, in closed form
+        outside = F.col("place") - F.floor((F.col("place") + F.lit(k - 1) - F.col("fold")) / k)
+        role = F.when(F.col("own") == F.col("fold"), "test").when(outside < n_train, "train").otherwise("val")
+        return rows.select("fold", role.alias("role"), "id")
+    # Test parts: class after class is dealt out, each going on where the one before ended, so sizes differ by one at most.
+    w = Window.orderBy(F.col("__label").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ids.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__size"))  # a row for each class
+    sizes = sizes.withColumn("__start", F.coalesce(F.sum("__size").over(w), F.lit(0))).withColumn("__class", F.dense_rank().over(Window.orderBy(F.col("__label").asc_nulls_first())))
+    own = _ordered(ids, id_col, seed, [label])
+    dealt = own.join(sizes, own[label].eqNullSafe(sizes["__label"])).select(F.col(id_col).alias("id"), "place", "__size", "__start", "__class", folds)
+    in_fold = lambda before: F.floor((F.col("__start") + before - 1 - F.col("fold")) / k) - F.floor((F.col("__start") - 1 - F.col("fold")) / k)
+    is_test = F.pmod(F.col("__start") + F.col("place"), F.lit(k)) == F.col("fold")
+    # The rest of a fold: classes are interleaved by the share of themselves that has passed, and the first n_train train.
+    share = (F.col("place") - in_fold(F.col("place")) + 0.5) / (F.col("__size") - in_fold(F.col("__size"))) + F.lit(1e-9) * F.col("__class")
+    rest = dealt.where(~is_test).select("fold", "id", share.alias("__share"), F.lit(1).cast("bigint").alias("__one"))
+    trained = prefix_sums(rest, ["fold"], "__share", ["__one"]).select("fold", F.when(F.col("__one_before") < n_train, "train").otherwise("val").alias("role"), "id")
+    return dealt.where(is_test).select("fold", F.lit("test").alias("role"), "id").unionByName(trained)
 
 
 def save_splits(splits: DataFrame, path: str, **about) -> None:

@@ -76,7 +76,8 @@ def evaluate_folds(rows: DataFrame, folds: DataFrame, section: str = "baseline",
     """Every fold's test rows evaluated in one plan, with the fold as a key, and aggregated over folds."""
     features = metrics.evaluated_features(rows)
     scores = metrics.long_scores(rows, features, id_col)
-    test = folds.where("role = 'test'").select("fold", C("id").cast(rows.schema[id_col].dataType).alias("id"))
+    test = folds.where("role = 'test'").select("fold", C("id").cast(rows.schema[id_col].dataType).alias(id_col))
+    test = test.select("fold", metrics.numeric_id(test, id_col).alias("id"))
     each = metrics.evaluate_scores(scores.join(test, "id"), ["fold", "feature"])
     long = each.select("fold", "feature", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), C(m).alias("value")) for m in metrics.METRICS])).alias("m")).select("fold", "feature", "m.*")
     return resample.aggregate_folds(long.withColumn("section", F.lit(section)))

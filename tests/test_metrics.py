@@ -169,6 +169,15 @@ def test_folds(spark, tmp_path, label):
     assert about == {"k": 5, "n_train": 20, "seed": 42}
 
 
+def test_alternating_labels_reach_every_fold(spark):
+    some = spark.createDataFrame([(i, i % 2 == 0) for i in range(12)], "prompt_id bigint, is_correct boolean")
+    rows = resample.kfold_splits(some, 2, 3, label="is_correct").collect()
+    for f in range(2):
+        for role, n in (("test", 6), ("train", 3), ("val", 3)):
+            own = [r.id % 2 for r in rows if r.fold == f and r.role == role]
+            assert len(own) == n and abs(sum(own) - n / 2) < 1
+
+
 def test_stratified_folds_keep_shares(spark):
     some = spark.createDataFrame([(i, i < 92) for i in range(1000)], "prompt_id bigint, is_correct boolean")
     rows = resample.kfold_splits(some, 3, 300, label="is_correct").collect()

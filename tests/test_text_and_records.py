@@ -199,8 +199,10 @@ def test_pipeline(spark, tmp_path):
     row = base.where("prompt_id = 'p0'").first()
     assert row["full-ad"] > 0 and row["full-se-marginal"] is not None and row["random-1-ecc"] is not None
     sinks.write_jsonl(base, f"{tmp_path}/features")
-    numbered = files.read_features(spark, f"{tmp_path}/features").withColumn("id", F.regexp_extract("prompt_id", "[0-9]+", 0).cast("bigint"))
-    metrics_rows = {r.feature for r in pipeline.metrics.evaluate_run(numbered, id_col="id").collect()}
+    back = files.read_features(spark, f"{tmp_path}/features")
+    metrics_rows = {r.feature for r in pipeline.metrics.evaluate_run(back).collect()}
+    folds = pipeline.resample.kfold_splits(back.select("prompt_id", "is_correct"), 2, 3, label="is_correct")
+    assert pipeline.evaluate_folds(back, folds).where("feature = 'msp' and metric = 'auroc'").count() == 1
     assert {"msp", "ecc", "full-ad", "random-ecc"} <= metrics_rows
 
 
@@ -215,3 +217,27 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.n, r.n_correct) for r in spark.table("running").collect()] == [(4, 2)]
+
+
+def test_commands(spark, tmp_path):
+    from lumenq import cli
+
+    cli.main(["gen-configs", f"{tmp_path}/configs", "--datasets", "gsm8k", "--models", "LLaDA"])
+    assert len(list((tmp_path / "configs").iterdir())) == 2
+    (tmp_path / "raw.jsonl").write_text("\n".join(json.dumps({"question": f"q{i}", "answer": f"#### {i}"}) for i in range(6)))
+    cli.main(["build-prompts", "gsm8k", f"{tmp_path}/raw.jsonl", f"{tmp_path}/prompts", "--fewshot", "1", "--questions", "3"])
+    made = spark.read.json(f"{tmp_path}/prompts").orderBy("prompt_id").collect()
+    assert len(made) == 3 and "Answer: #### 0" in made[0].prompt_text
+    run = tmp_path / "runs" / "one"
+    run.mkdir(parents=True)
+    answers = [{"qa_example_id": f"e{p}", "sample_id": p * 3 + k, "generation_mode": "greedy" if k == 0 else "sampled", "question": "q", "reference_answer": "1", "raw_answer": f"x{k} #### {p % 2}"} for p in range(8) for k in range(3)]
+    (run / "answers.jsonl").write_text("\n".join(map(json.dumps, answers)))
+    sinks.write_json(config.generation_config("LLaDA", "gsm8k"), str(run / "config.json"))
+    cli.main(["label-all", str(tmp_path / "runs")])
+    cli.main(["pipeline", str(run), "--stages", "features", "evaluate", "--bootstrap", "0"])
+    document = json.loads((run / "uq_eval_metrics.json").read_text())
+    cli.main(["kfold", str(run / "uq_features.jsonl"), str(run / "kfold/kfold_summary.json"), "--k", "2", "--train", "2"])
+    cli.main(["split", str(run / "uq_features.jsonl"), str(run / "splits.json"), "--counts", "2", "3", "3"])
+    cli.main(["report", str(tmp_path / "runs"), "--output", f"{tmp_path}/report"])
+    assert (run / "kfold/kfold_summary.csv").exists() and json.loads((run / "splits.json").read_text())["counts"]["train"] == 2
+    assert document["n_examples"] == 8 and document["accuracy"] == 0.5 and "ecc" in document["features"]
