@@ -99,8 +99,9 @@ def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, ratios:
     sign = np.where(labels > 0, 1.0, -1.0)
     share = np.array([np.mean(sign < 0), np.mean(sign > 0)])
     upper = cost * 0.5 / np.maximum(share[(sign > 0).astype(int)], 1e-9)
-    values = [ratios[r] / np.sqrt(len(r)) for r in rows]
-    squares = np.array([v @ v + 1 for v in values])
+    ratios = ratios.astype(np.float32)
+    values = [ratios[r] / np.float32(np.sqrt(len(r))) for r in rows]
+    squares = np.array([float(v @ v) + 1 for v in values])
     w, bias, alpha = np.zeros(len(ratios)), 0.0, np.zeros(len(rows))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -182,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = TRAI
 
     got = {r.doc_id: np.frombuffer(r.buckets, np.int32) for r in texts.mapInArrow(rows_of, "doc_id bigint, buckets binary").collect()}
     ids = sorted(got, key=lambda i: (zlib.crc32(str(i).encode() + b"order"), i))
-    return fit([got[i].astype(np.int64) for i in ids], np.array([chosen[i] for i in ids]))
+    return fit([got[i] for i in ids], np.array([chosen[i] for i in ids]))
 
 
 def scorer(model: Model):

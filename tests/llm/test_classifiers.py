@@ -88,7 +88,7 @@ def test_dual_coordinate_descent_is_optimal():
         step = rng.normal(size=31) * 0.01
         moved = w / safe
         moved[:30] += step[:30]
-        assert objective(moved, bias + step[30]) >= best - 1e-6
+        assert objective(moved, bias + step[30]) >= best - 1e-4
 
 
 def test_log_count_ratios_point_to_their_class():
