@@ -52,17 +52,18 @@ def _two_classes(value: Column) -> Column:
     return F.when((F.col("pos") > 0) & (F.col("pos") < F.col("n")), value)
 
 
-def _totals(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return scores.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("y").cast("bigint")).alias("pos"), F.min("s").alias("low"), F.max("s").alias("high"))
+def _totals(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return steps.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum("p").alias("pos"), F.min("s").alias("low"), F.max("s").alias("high"))
 
 
-def rank_metrics(scores: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
+def rank_metrics(scores: DataFrame, keys: Sequence[str] = ("feature",), steps: DataFrame | None = None) -> DataFrame:
     """n, pos, auroc, auprc, spearman_rho and kendall_tau; null with a single class, Spearman also below three rows.
 
     Ties share their average rank. Closed forms for a binary y: no pair of rows is ever formed.
     """
     keys = list(keys)
-    t = _steps(scores, keys).join(_totals(scores, keys), keys)
+    steps = steps or _steps(scores, keys)
+    t = steps.join(_totals(steps, keys), keys)
     c, p, n, pos = F.col("c"), F.col("p"), F.col("n"), F.col("pos")
     rank = F.col("c_before") + (c + 1) / F.lit(2.0)
     low_rank, high_rank = (n - pos + 1) / F.lit(2.0), n - pos + (pos + 1) / F.lit(2.0)
@@ -95,12 +96,12 @@ def _kept(n: Column) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(v).alias("coverage"), F.greatest(F.lit(1), F.bround(F.lit(v) * n, 0).cast("bigint")).alias("k")) for v in COVERAGES]))
 
 
-def risk_curve(scores: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
+def risk_curve(scores: DataFrame, keys: Sequence[str] = ("feature",), steps: DataFrame | None = None) -> DataFrame:
     """(coverage, k, risk): mean error of the k rows with the lowest scores; ties by id, which is numeric."""
     keys = list(keys)
-    totals = _totals(scores, keys)
+    steps = steps or _steps(scores, keys)
+    totals = _totals(steps, keys)
     cuts = totals.select(*keys, "n", "pos", _kept(F.col("n")).alias("cut")).select(*keys, "n", "pos", "cut.coverage", "cut.k")
-    steps = _steps(scores, keys)
     at = cuts.join(steps, keys).where((F.col("c_before") < F.col("k")) & (F.col("k") <= F.col("c_before") + F.col("c")))
     # only where a cut splits a tie are its rows ordered by id
     split = at.where("k < c_before + c and p > 0 and p < c").select(*keys, "s").distinct()
@@ -116,13 +117,13 @@ def _area(risks: list[Column]) -> Column:
     return sum((F.lit(a - b) * (x + y) / 2 for a, b, x, y in zip(COVERAGES, COVERAGES[1:], risks, risks[1:], strict=False)), F.lit(0.0))
 
 
-def rejection_ratio(scores: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
+def rejection_ratio(scores: DataFrame, keys: Sequence[str] = ("feature",), steps: DataFrame | None = None) -> DataFrame:
     """prr: area gained over random rejection, as a share of what an oracle gains.
 
     Null below two rows, for a base risk of 0 or 1, or where the oracle gains less than 1e-12.
     """
     keys = list(keys)
-    curve = risk_curve(scores, keys).groupBy(*keys).agg(F.max("n").alias("n"), F.max("pos").alias("pos"), *[F.max(F.when(F.abs(F.col("coverage") - v) < 1e-9, F.col("risk"))).alias(f"r{i}") for i, v in enumerate(COVERAGES)])
+    curve = risk_curve(scores, keys, steps).groupBy(*keys).agg(F.max("n").alias("n"), F.max("pos").alias("pos"), *[F.max(F.when(F.abs(F.col("coverage") - v) < 1e-9, F.col("risk"))).alias(f"r{i}") for i, v in enumerate(COVERAGES)])
     n, pos = F.col("n"), F.col("pos")
     base = pos / n
     kept = [F.greatest(F.lit(1), F.bround(F.lit(v) * n, 0).cast("bigint")) for v in COVERAGES]
@@ -140,21 +141,24 @@ def scaled(low: Column, high: Column, s: Column) -> Column:
 def minmax(scores: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
     """Scores with u, their place between the lowest and the highest of their keys."""
     keys = list(keys)
-    return scores.join(_totals(scores, keys).select(*keys, "low", "high"), keys).withColumn("u", scaled(F.col("low"), F.col("high"), F.col("s"))).drop("low", "high")
+    ends = scores.groupBy(*keys).agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    return scores.join(ends, keys).withColumn("u", scaled(F.col("low"), F.col("high"), F.col("s"))).drop("low", "high")
 
 
-def calibration(scores: DataFrame, keys: Sequence[str] = ("feature",), bins: int = BINS, guard: bool = True) -> DataFrame:
+def calibration(scores: DataFrame, keys: Sequence[str] = ("feature",), bins: int = BINS, guard: bool = True, steps: DataFrame | None = None) -> DataFrame:
     """ece over equal-width bins, the last closed on the right, and brier, of min-max scaled scores.
 
     Both are null with a single class, as in a full evaluation; guard=False leaves only the rule of two rows for ece.
     """
     keys = list(keys)
-    u = minmax(scores, keys)
+    steps = steps or scores.groupBy(*keys, "s").agg(F.count("*").alias("c"), F.sum(F.col("y").cast("bigint")).alias("p"))
+    u = steps.join(_totals(steps, keys).select(*keys, "low", "high"), keys).withColumn("u", scaled(F.col("low"), F.col("high"), F.col("s")))
+    c, p, v = F.col("c"), F.col("p"), F.col("u")
     edges = [i * (1.0 / bins) for i in range(bins)]
     bin_of = F.lit(0)
     for i, edge in enumerate(edges[1:], 1):
         bin_of = F.when(F.col("u") >= edge, F.lit(i)).otherwise(bin_of)
-    by_bin = u.groupBy(*keys, bin_of.alias("bin")).agg(F.count("*").alias("c"), F.sum(F.col("y").cast("bigint")).alias("p"), F.sum("u").alias("su"), F.sum((F.col("u") - F.col("y")) * (F.col("u") - F.col("y"))).alias("se"))
+    by_bin = u.groupBy(*keys, bin_of.alias("bin")).agg(F.sum(c).alias("c"), F.sum(p).alias("p"), F.sum(c * v).alias("su"), F.sum(p * (v - 1) * (v - 1) + (c - p) * v * v).alias("se"))
     out = by_bin.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum("p").alias("pos"), F.sum(F.abs(F.col("p") - F.col("su"))).alias("gap"), F.sum("se").alias("se"))
     ece, brier = F.when(F.col("n") >= 2, F.col("gap") / F.col("n")), F.col("se") / F.col("n")
     return out.select(*keys, *[(_two_classes(v) if guard else v).alias(name) for v, name in ((ece, "ece"), (brier, "brier"))])
@@ -163,12 +167,13 @@ def calibration(scores: DataFrame, keys: Sequence[str] = ("feature",), bins: int
 def evaluate_scores(scores: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
     """All seven metrics of each of the keys, with n and pos.
 
-    The scores are written once, and every metric reads them from there: what made them runs a single time.
+    The scores are written once, and so are the distinct scores that every metric starts from.
     """
     keys = list(keys)
     scores = staged(scores, "scores")
-    out = rank_metrics(scores, keys)
-    for part in (rejection_ratio(scores, keys), calibration(scores, keys)):
+    steps = staged(_steps(scores, keys), "steps")
+    out = rank_metrics(scores, keys, steps)
+    for part in (rejection_ratio(scores, keys, steps), calibration(scores, keys, steps=steps)):
         out = out.join(part, keys)
     return out.select(*keys, "n", "pos", *METRICS)
 
