@@ -20,5 +20,6 @@ QUERIES = {
 SQL = {
     "op3_benchmark_decontamination": decontaminate.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op6_url_filter": url_filter.OP6_SQL,
     "op9_minhash_near_dedup": near_dedup.OP9_SQL,
 }

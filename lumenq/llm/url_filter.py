@@ -92,9 +92,40 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_c
     share = F.coalesce(F.try_divide(F.col("distrust"), F.col("trust") + F.col("distrust")), F.lit(0.0))
     hosts = staged(ranks.select("host", share.alias("host_distrust")), "host-verdicts")
     own = F.coalesce("by_rule", F.when(F.coalesce("host_distrust", F.lit(0.0)) > threshold, F.lit("block")).otherwise(F.lit("allow")))
-    return judged.join(hosts, "host", "left").select("page_id", "host", "path", "rule", own.alias("verdict"), F.coalesce("host_distrust", F.lit(0.0)).alias("host_distrust"))
+    return judged.join(hosts, "host", "left").select("page_id", "host", "path", "rule", own.alias("verdict"), F.round(F.coalesce("host_distrust", F.lit(0.0)), 6).alias("host_distrust"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on every page's url under the production rules."""
     return judge_urls(read_table(spark, sf_dir, "pages"))
+
+
+def _sql(rules=RULES, rounds: int = ROUNDS) -> str:
+    """The same verdicts in SQL, a common table for each round of the ranks."""
+    ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "block"))
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for _, h, p in ordered)
+    verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ordered)
+    host = lambda u: f"translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')"
+    link = _LINK.replace("'", "''")
+    steps = ", ".join(
+        f"r{k} AS (SELECT host, sum(t) AS t, sum(d) AS d FROM (SELECT * FROM r0 UNION ALL SELECT dst, f * t * {DAMPING}, 0 FROM sh JOIN r{k - 1} ON src = host "
+        f"UNION ALL SELECT src, 0, b * d * {DAMPING} FROM sh JOIN r{k - 1} ON dst = host) GROUP BY host)"
+        for k in range(1, rounds + 1)
+    )
+    return f"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, {host('url')} AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
+j AS (SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} END AS by_rule FROM h),
+r0 AS (SELECT host, {1 - DAMPING} * avg(CAST(by_rule = 'allow' AS INT)) AS t, {1 - DAMPING} * avg(CAST(by_rule = 'block' AS INT)) AS d FROM j WHERE host <> '' AND by_rule IS NOT NULL GROUP BY host),
+l AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '{link}', 1))) AS link FROM h),
+e AS (SELECT src, {host("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst FROM l),
+n AS (SELECT src, dst, count(*) AS n FROM e WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
+sh AS (SELECT src, dst, n / CAST(sum(n) OVER (PARTITION BY src) AS DOUBLE) AS f, n / CAST(sum(n) OVER (PARTITION BY dst) AS DOUBLE) AS b FROM n),
+{steps},
+k AS (SELECT host, round(coalesce(d / nullif(t + d, 0), 0), 6) AS x FROM r{rounds})
+SELECT page_id, j.host, path, rule, coalesce(by_rule, CASE WHEN coalesce(x, 0) > {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, coalesce(x, 0) AS host_distrust
+FROM j LEFT JOIN k ON k.host = j.host"""
+
+
+OP6_SQL = _sql()
