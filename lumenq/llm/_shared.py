@@ -61,6 +61,16 @@ def slices(batch: pa.RecordBatch, column: str, max_chars: int = 4_000_000) -> It
         yield batch.slice(start)
 
 
+def modest_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Arrow batches of whole texts in the session kept to rows rows, where the default of 10,000 still holds.
+
+    A batch is held at once on both sides of the pipe to Python, and rows of this subpackage are documents and pages.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

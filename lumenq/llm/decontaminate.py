@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.llm._shared import read_table, slices, text_of
+from lumenq.llm._shared import modest_batches, read_table, slices, text_of
 from lumenq.llm.shingles import Minima, shingle_hashes
 
 MINIMA = 64
@@ -89,6 +89,7 @@ class Items:
 
 def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's items in parts of about PASS_BYTES, so that what is sent to the executors is bounded."""
+    modest_batches(benchmark.sparkSession)
     items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), text_of(text_col).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // PASS_BYTES))

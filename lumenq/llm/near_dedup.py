@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.llm._shared import partitions_for, read_table, slices, staged, text_of
+from lumenq.llm._shared import modest_batches, partitions_for, read_table, slices, staged, text_of
 from lumenq.llm.components import connected_components
 from lumenq.llm.shingles import Minima, mix, shared_count, shingle_hashes
 
@@ -133,6 +133,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     taken to repeat its text, and share its verdict. A null doc_id gets the component of its copies and
     is not kept; if it has none, its component is null and it is kept. Other columns are ignored; an empty table gives an empty result.
     """
+    modest_batches(docs.sparkSession)
     log = staged(signed(docs, id_col, text_col), "signed")
     classes = log.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     heads = log.where("doc_id is not null and n_shingles > 0").select("set_key", F.col("doc_id").alias("rep"), "n_shingles", "bands").join(classes, ["set_key", "rep"]).dropDuplicates(["rep"])

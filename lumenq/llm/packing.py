@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenq.llm._shared import partitions_for, read_table, slices, staged, text_of
+from lumenq.llm._shared import modest_batches, partitions_for, read_table, slices, staged, text_of
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Characters on which the rank-file encoder and the JSON tokenizer are tested to agree; other texts go to the latter.
@@ -34,10 +35,12 @@ class Encoder:
     """Token ids of a text as the JSON tokenizer gives them, by the faster rank-file encoder where both agree."""
 
     def __init__(self, json_path: str, ranks_path: str | None):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(json_path)
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        self.json_path = json_path
+        with open(json_path, encoding="utf-8") as f:
+            text = f.read()
+        found = re.search(r'"added_tokens"\s*:\s*(?=\[)', text)  # the list alone: the whole file holds the vocabulary
+        added = [t["content"] for t in json.JSONDecoder().raw_decode(text, found.end())[0]] if found else []
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.fast = None
         if ranks_path:
             import public_tokenizers
@@ -47,6 +50,13 @@ class Encoder:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def tokenizer(self):
+        """Loaded when a text first needs it: most workers never hold two vocabularies."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def __call__(self, text: str) -> np.ndarray:
         if self.fast and COMMON.fullmatch(text) and not self.special.search(text) and not (len(text) > 4000 and LONG_RUN.search(text)):
             return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
@@ -74,6 +84,7 @@ def tokenised_pieces(docs: DataFrame, json_path: str, ranks_path: str | None, ma
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    modest_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(rows, PIECES)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.llm._shared import read_table, slices, text_of
+from lumenq.llm._shared import modest_batches, read_table, slices, text_of
 from lumenq.llm.shingles import mix, word_hashes
 
 #: Hash buckets of the indicators, and labelled rows that the model is fitted to at most, taken by a hash of their id.
@@ -30,7 +30,7 @@ SHARES = np.array([0.0, 0.02, 0.1, 0.3, 0.6, 0.9])
 THRESHOLD = 0.7
 
 
-@functools.lru_cache(200_000)
+@functools.lru_cache(50_000)
 def _shape(word: str) -> int:
     letters = sum(c.isalpha() for c in word)
     digits = sum(c.isdigit() for c in word)
@@ -171,6 +171,7 @@ def training_sample(labels: DataFrame, label: str, allowed: Column, rows: int, i
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = TRAINING_ROWS, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model of at most rows labelled documents that are not held out. Texts become indicators on the executors."""
     spark = docs.sparkSession
+    modest_batches(spark)
     chosen = {r.doc_id: r.label for r in training_sample(labels, label, ~held_out, rows).collect()}  # at most rows pairs
     sample = F.broadcast(spark.createDataFrame([(int(k),) for k in chosen], "doc_id bigint"))  # at most rows ids
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")).join(sample, "doc_id")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from lumenq.llm._shared import read_table, slices, staged, staged_path, text_of
+from lumenq.llm._shared import modest_batches, read_table, slices, staged, staged_path, text_of
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens bigint"
 #: Words whose counts a worker remembers; beyond it the memory is emptied.
@@ -119,6 +119,7 @@ def count_tokens(docs: DataFrame, path: str, cache_path: str | None = None, limi
     cache_path: Parquet folder of stored counts, appended to; a fresh one in the shared folder if None.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     cache_path = cache_path or staged_path(spark, "token-cache")
     version = tokenizer_digest(path)
     content = text_of(text_col)

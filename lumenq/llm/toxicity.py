@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.llm._shared import read_table, staged, text_of
+from lumenq.llm._shared import modest_batches, read_table, staged, text_of
 from lumenq.llm.quality import remainder, training_sample
 from lumenq.llm.shingles import Minima, shingle_hashes
 
@@ -242,6 +242,7 @@ def _without_copies(rows: list[tuple[int, ...]]) -> set[int]:
 def train(docs: DataFrame, labels: DataFrame, held_out, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The grammar's stems and the score's logistic, from at most rows labelled documents that are not held out."""
     spark = docs.sparkSession
+    modest_batches(spark)
     chosen = {r.doc_id: r.label for r in training_sample(labels, "toxic", ~held_out, rows).collect()}  # at most rows pairs
     sample = F.broadcast(spark.createDataFrame([(int(k), int(v)) for k, v in chosen.items()], "doc_id bigint, label int"))
     toxic = sum(chosen.values())
