@@ -1,4 +1,4 @@
-"""Commands over files: gen-configs, build-prompts, label, label-all, features, baseline, evaluate, split, kfold, pipeline and report."""
+"""Commands over files: gen-configs, build-prompts, generate, label, label-all, features, baseline, evaluate, split, kfold, pipeline, export and report."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenq import config
 from lumenq.operators import labeling, prompts, report, resample
-from lumenq.plans import pipeline
+from lumenq.plans import generate, pipeline
 from lumenq.session import build_session
 from lumenq.sources import files, schemas, sinks
 
@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     arg = lambda *a, **k: (a, k)
     add("gen-configs", arg("output"), arg("--datasets", nargs="*", default=list(config.DATASETS)), arg("--models", nargs="*", default=list(config.MODEL_IDS)))
     add("build-prompts", arg("dataset"), arg("source"), arg("output"), arg("--fewshot", type=int, default=0), arg("--questions", type=int, default=1000))
+    add("generate", arg("prompts"), arg("output"), arg("--config", required=True), arg("--backend", required=True, help="module:attribute of a model backend"))
     add("label", arg("answers"), arg("dataset"), arg("--force", action="store_true"))
     add("label-all", arg("folder"), arg("--exclude", nargs="*", default=()), arg("--force", action="store_true"))
     add("pipeline", arg("run"), arg("--stages", nargs="*", default=["label", "features", "evaluate"]), arg("--bootstrap", type=int, default=1000))
@@ -29,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     add("evaluate", arg("features"), arg("output"), arg("--bootstrap", type=int, default=1000), arg("--seed", type=int, default=0))
     add("split", arg("features"), arg("output"), arg("--counts", type=int, nargs=3, default=(10, 30, 40)), arg("--seed", type=int, default=42))
     add("kfold", arg("features"), arg("output"), arg("--k", type=int, default=5), arg("--train", type=int, default=10), arg("--seed", type=int, default=42))
+    add("export", arg("roots", nargs="+"), arg("--output", default="outputs/report"), arg("--metric", default="auroc"), arg("--latency"))
     add("report", arg("roots", nargs="+"), arg("--output", default="outputs/report"), arg("--metric", default="prr"), arg("--latency"))
     return top
 
@@ -45,6 +47,10 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "build-prompts":
         raw = files.load_local_dataset(spark, a.source, "jsonl", schemas.RAW[a.dataset]).withColumn("ord", F.monotonically_increasing_id())
         sinks.write_prompts(prompts.build_prompts(raw, a.dataset, a.fewshot, a.questions), a.output, "overwrite", text=True)
+    elif a.command == "generate":
+        own = config.load_config(a.config)
+        answers, tensors = generate.generate_answers(files.read_jsonl(spark, a.prompts, schemas.PROMPTS), generate.load_backend(a.backend), own)
+        sinks.save_results(answers, tensors, own | {"run_id": config.derive_run_id(own)}, {"backend": a.backend}, a.output, "overwrite")
     elif a.command == "label":
         records = files.read_answers(spark, a.answers)
         labelled = labeling.label_records(records, a.dataset, force=a.force)
@@ -68,7 +74,9 @@ def main(argv: list[str] | None = None) -> None:
         for stage in a.stages:
             main(steps[stage])
     elif a.command == "features":
-        tensor = files.read_tensors(spark, a.tensors).drop("run") if a.tensors else None
+        tensor = None
+        if a.tensors:  # a folder of tensor files, or the long table that generate writes
+            tensor = spark.read.parquet(a.tensors) if a.tensors.endswith(".parquet") else files.read_tensors(spark, a.tensors).drop("run")
         sinks.write_jsonl(pipeline.build_features(files.read_answers(spark, a.answers), tensor, compat=a.compat), a.output, "overwrite")
     elif a.command == "baseline":
         rows = pipeline.baseline_features(files.read_features(spark, a.features), files.read_trajectories(spark, a.trajectories), full_trajectory=a.full, seed=a.seed)
@@ -83,7 +91,7 @@ def main(argv: list[str] | None = None) -> None:
         rows = files.read_features(spark, a.features)
         folds = resample.kfold_splits(rows.select("prompt_id", "is_correct"), a.k, a.train, a.seed, label="is_correct")
         sinks.write_kfold_summary(pipeline.evaluate_folds(rows, folds), a.k, a.output)
-    elif a.command == "report":
+    elif a.command in ("report", "export"):
         metric = report.normalize_metrics([a.metric])[0]
         folded = files.find_kfold_summaries(a.roots)
         plain = files.load_run_results(spark, files.find_metrics_files(a.roots))

@@ -101,7 +101,7 @@ def generate(
     logits_eos_inf: bool = False,
     confidence_eos_inf: bool = False,
     keep: int = 64,
-    seed: int = 42,
+    seed: int | Sequence[int] = 42,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, log-probabilities, ids) of a batch: the denoising loop around model(tokens) -> logits.
 
@@ -155,16 +155,21 @@ def generate(
 
 
 def generate_frame(prompts: DataFrame, load_model: Callable[[], Callable], batch: int = 8, **settings) -> DataFrame:
-    """(sample_id, tokens, topk_logprobs, topk_token_ids) of prompts (sample_id, ids): batches of samples in workers."""
+    """(sample_id, tokens, topk_logprobs, topk_token_ids) of prompts (sample_id, ids): batches of samples in workers.
+
+    The noise of a batch is seeded by the seed and its first sample, so that batches do not share theirs.
+    """
     import pandas as pd
 
+    seed = settings.pop("seed", 42)
+
     def rows(frames):
         model = None
         for frame in frames:
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start : start + batch]
                 model = model or load_model()
-                x, lp, ids = generate([list(p) for p in part["ids"]], model, **settings)
+                x, lp, ids = generate([list(p) for p in part["ids"]], model, seed=[seed, int(part["sample_id"].iloc[0])], **settings)
                 yield pd.DataFrame({"sample_id": part["sample_id"].to_numpy(), "tokens": x.astype("int32").tolist(), "topk_logprobs": lp.tolist(), "topk_token_ids": ids.tolist()})
 
     return prompts.select("sample_id", "ids").mapInPandas(rows, "sample_id bigint, tokens array<int>, topk_logprobs array<array<float>>, topk_token_ids array<array<int>>")

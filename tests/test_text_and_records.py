@@ -241,3 +241,42 @@ def test_commands(spark, tmp_path):
     cli.main(["report", str(tmp_path / "runs"), "--output", f"{tmp_path}/report"])
     assert (run / "kfold/kfold_summary.csv").exists() and json.loads((run / "splits.json").read_text())["counts"]["train"] == 2
     assert document["n_examples"] == 8 and document["accuracy"] == 0.5 and "ecc" in document["features"]
+
+
+class TinyBackend:
+    """A model that prefers the token after the last prompt token; tokens are digits."""
+
+    mask_id, pad_id, eos = 10, 0, (9,)
+
+    def encode(self, text):
+        return [int(c) for c in text if c.isdigit()]
+
+    def decode(self, ids):
+        return " ".join(str(i) for i in ids)
+
+    def load(self):
+        def model(x):
+            out = np.zeros((*x.shape, 11))
+            for row, o in zip(x, out, strict=True):
+                known = [t for t in row if t != 10]
+                o[:, (known[-1] + 1) % 9] = 3.0
+            return out
+
+        return model
+
+
+def test_generate(spark):
+    from lumenq.plans import generate
+
+    asked = spark.createDataFrame([(0, "q 1", "e0"), (1, "q 4", "e1")], "prompt_id bigint, prompt_text string, id string")
+    own = {"temperature": 1.0, "num_response_samples": 2, "generate_greedy": True, "max_gen_length": 2, "steps": 1, "block_size": None, "remasking": "lc", "top_k": 3, "seed": 1, "batch_size": 2}
+    answers, tensors = generate.generate_answers(asked, TinyBackend(), own)
+    rows = answers.orderBy("sample_id").collect()
+    assert [r.sample_id for r in rows] == list(range(6)) and [r.generation_mode for r in rows[:3]] == ["greedy", "sampled", "sampled"]
+    assert rows[0].raw_answer == "2 2" and rows[3].raw_answer == "5 5" and rows[3].qa_example_id == "e1" and rows[5].response_sample_id == 2
+    assert tensors.count() == 6 * 2 * 3 and tensors.where("rank = 0").agg(F.min("logprob")).first()[0] < 0
+    greedy, _ = generate.generate_answers(asked, TinyBackend(), own | {"temperature": 0.0})
+    assert greedy.count() == 2
+    built = pipeline.build_features(answers, tensors, per_prompt=3)
+    assert built.count() == 0  # no record is labelled yet, so every prompt is ambiguous
+    assert pipeline.build_features(answers.withColumn("label", F.lit(True)), tensors, per_prompt=3).where("msp is not null").count() == 2
