@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space as every contract of this subpackage means it.
 SPACE = r"[\x20\x09-\x0D]"
+#: Rows of a few numbers that one file of a staged table takes, where their number is known.
+ROWS_A_FILE = 25_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,10 +32,15 @@ def staged_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage ends there, and lost executors lose nothing."""
+def staged(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: its lineage ends there, and lost executors lose nothing.
+
+    rows: at most so many rows are expected; a small table is then written to few files, whatever the shuffle's width.
+    """
     spark = df.sparkSession
     path = staged_path(spark, label)
+    if rows is not None:
+        df = df.coalesce(max(1, min(partitions_for(spark), -(-rows // ROWS_A_FILE))))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
