@@ -3,7 +3,7 @@
 1. A pass over the texts makes each document's set of five-word shingles, its fingerprint and its band keys.
 2. Documents with the same set fold into one class, so that copies cost nothing later.
 3. Classes that share a band key are tied to the smallest of them; the components of these ties are the candidate
-   groups. Two documents over the threshold share a band but for a chance below 1e-6.
+   groups. Two documents over the threshold share a band but for a chance below 1e-6; a lower one takes more bands.
 4. Within a candidate group, prefix filtering finds the pairs that may pass, signatures refuse those far below the
    threshold, and whole sets confirm the rest; pairs already connected are skipped, so a group gives at most one link
    less than it has members. Groups over a bound are cut into blocks, every pair of blocks being a task of its own.
@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,7 +26,8 @@ from lumenq.llm._shared import modest_batches, partitions_for, read_table, slice
 from lumenq.llm.components import connected_components
 from lumenq.llm.shingles import Minima, mix, shared_count, shingle_hashes
 
-BANDS, ROWS = 32, 6
+#: Bands, at least, of so many minima each, and the chance that a pair at the threshold shares none.
+BANDS, ROWS, MISSED = 32, 6, 1e-6
 #: Minima of the signature that pairs are verified by, and how many standard deviations below the threshold it may lie.
 SIGNATURE, SLACK = 64, 5.0
 #: Shingles of a candidate group that one task takes at most, unless a single block pair of documents has more.
@@ -34,12 +36,18 @@ GROUP_SHINGLES = 1_500_000
 SIGNED = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"
 
 
-def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bands_for(percent: int) -> int:
+    """Bands with which a pair at the threshold shares none with a chance of at most MISSED."""
+    met = (percent / 100) ** ROWS
+    return BANDS if met >= 1 else max(BANDS, math.ceil(math.log(MISSED) / math.log1p(-met)))
+
+
+def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_bands: int = BANDS) -> DataFrame:
     """Set size, set fingerprint and band keys of every document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minima = Minima(BANDS * ROWS)
-        salt = np.arange(BANDS, dtype=np.uint64)
+        minima = Minima(n_bands * ROWS)
+        salt = np.arange(n_bands, dtype=np.uint64)
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
                 sets = [np.unique(shingle_hashes(t)) for t in part.column("text").to_pylist()]
@@ -48,7 +56,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 bands: list = [[] for _ in sets]
                 if len(full):
                     starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-                    rows_of = minima.of(np.concatenate([sets[i] for i in full]), starts).reshape(len(full), BANDS, ROWS).astype(np.uint64)
+                    rows_of = minima.of(np.concatenate([sets[i] for i in full]), starts).reshape(len(full), n_bands, ROWS).astype(np.uint64)
                     keys = np.broadcast_to(salt, rows_of.shape[:2])
                     for k in range(ROWS):
                         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + rows_of[:, :, k])
@@ -134,7 +142,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     is not kept; if it has none, its component is null and it is kept. Other columns are ignored; an empty table gives an empty result.
     """
     modest_batches(docs.sparkSession)
-    log = staged(signed(docs, id_col, text_col), "signed")
+    log = staged(signed(docs, id_col, text_col, bands_for(percent)), "signed")
     classes = log.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     heads = log.where("doc_id is not null and n_shingles > 0").select("set_key", F.col("doc_id").alias("rep"), "n_shingles", "bands").join(classes, ["set_key", "rep"]).dropDuplicates(["rep"])
     banded = heads.select("rep", F.explode("bands").alias("band"))

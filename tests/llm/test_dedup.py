@@ -145,3 +145,13 @@ def test_components_against_brute_force(spark):
     got = connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
     assert {(r.node, r.component) for r in got} == {(x, find(x)) for x in list(root)} and len(got) == len(root)
     assert connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_bands_hold_the_chance_of_a_miss_at_lower_thresholds(spark):
+    assert near_dedup.bands_for(85) == near_dedup.BANDS
+    assert all((1 - (p / 100) ** near_dedup.ROWS) ** near_dedup.bands_for(p) <= 1e-6 for p in (70, 80, 85, 95, 100))
+    rows = rows_of(near_corpus())
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {len(r.bands) for r in near_dedup.signed(docs, n_bands=near_dedup.bands_for(80)).where("n_shingles > 0").collect()} == {near_dedup.bands_for(80)}
+    got = near_dedup.near_duplicates(docs, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_near(rows, 80)
