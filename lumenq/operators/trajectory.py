@@ -280,17 +280,53 @@ def search_weights(a: np.ndarray, gain: np.ndarray, score, ridges: Sequence[floa
 
 
 def kernel_matrices_by_group(points: DataFrame, key: str, kernel: str = "linear") -> DataFrame:
-    """(key, is_psd, min_eigenvalue, trace) of C - A_U for each group of (key, trajectory, step, embedding)."""
+    """(key, is_psd, min_eigenvalue, trace) of C - A_U for each group of (key, trajectory, step, embedding).
+
+    The linear kernel needs no pairs of vectors: C sums the products within each trajectory, and A_U follows from the
+    vector sums of the steps, so a task holds a trajectory or the sums of a group. Trajectories may lack steps: C is
+    then over those that have both, and A_U over the pairs of different ones that do. Other kernels take each group
+    whole, with all steps in every trajectory.
+    """
     kind = points.schema[key].dataType.simpleString()
+    result = f"{key} {kind}, is_psd boolean, min_eigenvalue double, trace double"
+
+    def found(group, c: np.ndarray, a_u: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({key: [group], **{k: [v] for k, v in verify_psd(delta_u(c, a_u)).items()}, "trace": [float(np.trace(c - a_u))]})
 
     def rows(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["trajectory", "step"])
         n = pdf.trajectory.nunique()
         _, a_u, c = kernel_matrices(np.stack(pdf.embedding.to_numpy()).reshape(n, len(pdf) // n, -1), kernel)
-        found = verify_psd(delta_u(c, a_u))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], **{k: [v] for k, v in found.items()}, "trace": [float(np.trace(c - a_u))]})
-
-    return points.groupBy(key).applyInPandas(rows, f"{key} {kind}, is_psd boolean, min_eigenvalue double, trace double")
+        return found(pdf[key].iloc[0], c, a_u)
+
+    if kernel != "linear":
+        return points.groupBy(key).applyInPandas(rows, result)
+
+    def from_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, sums = pdf[pdf["other"].notna()], pdf[pdf["other"].isna()]
+        at = {s: i for i, s in enumerate(sorted(sums["step"]))}
+        within, both, counts = np.zeros((len(at), len(at))), np.zeros((len(at), len(at))), np.zeros(len(at))
+        for a, b, dot, n in zip(own["step"], own["other"], own["dot"], own["n"], strict=True):
+            within[at[a], at[b]], both[at[a], at[b]] = dot, n
+        total = np.stack([v for _, v in sorted(zip(sums["step"], sums["total"], strict=True), key=lambda x: x[0])])
+        for s, n in zip(sums["step"], sums["n"], strict=True):
+            counts[at[s]] = n
+        c = within / np.maximum(both, 1)
+        others = np.outer(counts, counts) - both
+        a_u = np.where(others > 0, (total @ total.T - within) / np.maximum(others, 1), c)
+        return found(pdf[key].iloc[0], c, a_u)
+
+    doubles = F.transform("embedding", lambda v: v.cast("double"))
+    placed = points.select(key, "trajectory", F.struct("step", doubles.alias("v")).alias("p"))
+    whole = placed.groupBy(key, "trajectory").agg(F.collect_list("p").alias("ps"))
+    pairs = whole.select(key, "ps", F.explode("ps").alias("p")).select(key, "p", F.explode("ps").alias("q"))
+    dot = F.aggregate(F.zip_with("p.v", "q.v", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    own = pairs.select(key, F.col("p.step").alias("step"), F.col("q.step").alias("other"), dot.alias("dot"))
+    own = own.groupBy(key, "step", "other").agg(F.sum("dot").alias("dot"), F.count("*").alias("n"))
+    long = placed.select(key, F.col("p.step").alias("step"), F.posexplode("p.v").alias("k", "v"))
+    sums = long.groupBy(key, "step", "k").agg(F.sum("v").alias("v"), F.count("*").alias("n")).groupBy(key, "step")
+    sums = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("total"), F.max("n").alias("n"))
+    return own.unionByName(sums, allowMissingColumns=True).groupBy(key).applyInPandas(from_sums, result)
 
 
 def pair_means(vectors: DataFrame, group: str = "label", vector: str = "embedding") -> DataFrame:

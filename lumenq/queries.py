@@ -11,6 +11,7 @@ from lumenq.backends import JaccardScorer, ScriptedJudge
 from lumenq.config import MODEL_IDS, run_id_column
 from lumenq.functions import arrays, text
 from lumenq.operators import denoise, features, graph, labeling, metrics, prompts, report, resample, tokens, trajectory
+from lumenq.operators.prefix import prefix_sums
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -427,9 +428,9 @@ def finite_summary(spark, sf_dir):
 
 @query()
 def kernel_psd(spark, sf_dir):
-    """C - A_U of the vectors of each label, dealt to trajectories of four steps."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    placed = table(spark, sf_dir, "embeddings").withColumn("at", F.row_number().over(w) - 1).where("at < 40")
+    """C - A_U of all vectors of each label, dealt to trajectories of four steps by the order of vec_id; the last may have fewer."""
+    vectors = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", L(1).alias("one"))
+    placed = prefix_sums(vectors, ["label"], "vec_id", ["one"]).withColumnRenamed("one_before", "at")
     points = placed.select("label", F.floor(C("at") / 4).alias("trajectory"), (C("at") % 4).alias("step"), "embedding")
     return trajectory.kernel_matrices_by_group(points, "label").select("label", "is_psd", r6("min_eigenvalue"), r6("trace"))
 

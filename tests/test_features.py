@@ -181,6 +181,33 @@ def test_kernel_matrices_and_weights():
     assert np.allclose(w, 0.25) and abs(trajectory.search_weights(c, np.arange(3.0), lambda w: -w[0])[1].sum() - 1) < 1e-9
 
 
+def test_kernel_matrices_by_group_take_all_vectors(spark, data):
+    rng = np.random.default_rng(5)
+    whole = rng.normal(size=(13, 4, 6))
+    lone, ragged = rng.normal(size=(1, 4, 6)), [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (2, 0)]
+    loose = {p: rng.normal(size=6) for p in ragged}
+    rows = [(g, i, s, m[i, s].tolist()) for g, m in (("a", whole), ("b", lone)) for i in range(len(m)) for s in range(4)] + [("c", i, s, v.tolist()) for (i, s), v in loose.items()]
+    got = {r.g: r for r in trajectory.kernel_matrices_by_group(spark.createDataFrame(rows, "g string, trajectory int, step int, embedding array<float>"), "g").collect()}
+    for g, m in (("a", whole), ("b", lone)):
+        v = trajectory.kernel_matrices(m.astype(np.float32))[0]
+        assert abs(got[g].trace - np.trace(v)) < 1e-5 and abs(got[g].min_eigenvalue - trajectory.verify_psd(v)["min_eigenvalue"]) < 1e-5
+    mean = lambda s, t, own: [float(loose[i, s] @ loose[j, t]) for i, a in ragged for j, b in ragged if a == s and b == t and (i == j) == own]
+    diff = np.array([[np.mean(mean(s, t, True)) - np.mean(mean(s, t, False) or mean(s, t, True)) for t in range(3)] for s in range(3)])
+    assert abs(got["c"].trace - np.trace(diff)) < 1e-5 and abs(got["c"].min_eigenvalue - trajectory.verify_psd(diff)["min_eigenvalue"]) < 1e-5
+
+    from lumenq import queries
+
+    labels = {}
+    for r in spark.read.parquet(f"{data}/embeddings.parquet").orderBy("vec_id").collect():
+        labels.setdefault(r.label, []).append(r.embedding)
+    assert max(map(len, labels.values())) > 40  # a prefix of 40 gives other figures
+    for r in queries.kernel_psd(spark, data).collect():
+        vectors = np.array(labels[r.label], float)
+        full = vectors[: len(vectors) // 4 * 4].reshape(-1, 4, vectors.shape[1])
+        if len(vectors) % 4 == 0:
+            assert abs(r.trace - np.trace(trajectory.kernel_matrices(full)[0])) < 2e-6
+
+
 def test_directions(spark):
     names = features.all_feature_names()
     assert len(names) == len(set(names)) == 31
