@@ -26,12 +26,21 @@ ISO_DATE = r"(?<![0-9\-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9\-])"
 DAY_DATE = r"(?<![0-9./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9/]|\.[0-9])"
 IP = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])"
-PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{1,4}\)[ .\-]?|[0-9]{2,4}[ .\-])[0-9]{2,4}(?:[ .\-][0-9]{2,4}){1,3}(?![0-9A-Za-z])"
+#: A whole run of groups of digits; cards of 13 to 19 digits are looked for from group to group.
+CARD = r"(?<![0-9A-Za-z])(?=[0-9](?:[ \-]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ \-][0-9]++(?![A-Za-z]))*+"
+PHONE = (
+    r"(?<![0-9A-Za-z])(?:\+[0-9]{7,15}(?![0-9A-Za-z])|\+[0-9](?:[ .\-]?[0-9]){6,14}(?![0-9A-Za-z])|\+[0-9]{1,3}[ .\-]?\([0-9]\)(?:[ .\-]?[0-9]){5,11}(?![0-9A-Za-z])"
+    r"|(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{1,4}\)[ .\-]?|[0-9]{2,4}[ .\-])[0-9]{2,4}(?:[ .\-][0-9]{2,4}){1,3}(?![0-9A-Za-z]))"
+)
 PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, ISO_DATE, DAY_DATE, IP, SSN, CARD, PHONE))
+#: What may stand in a run beside cards.
+BESIDE = "|".join(f"(?:{p})" for p in (ISO_DATE, SSN, PHONE))
+_RUN = r"[0-9][0-9 \-]*"
 
 #: Days that dates are permuted over: 300 x 245, from 1900-01-01 to 2101-03-27.
 _FIRST_DAY, _DAYS_A, _DAYS_B = "1900-01-01", 300, 245
+#: Turns at most after which a day-first date has come to a day after the 12th, but for a chance below 1e-15.
+_WALK = 40
 
 
 def _hash(key: str, tweak: Column, round_: Column, value: Column) -> Column:
@@ -151,11 +160,15 @@ def _iban(value: Column, key: str) -> Column:
     )
 
 
-def _date(value: Column, date: Column, form: str, key: str) -> Column:
-    """A date of the range, permuted within it and written in the same form."""
+def _date(value: Column, date: Column, form: str, key: str, late: bool = False) -> Column:
+    """A date of the range, permuted within it and written in the same form; late: among the days after the 12th of a month."""
     day = F.date_diff(date, F.lit(_FIRST_DAY).cast("date"))
-    out = feistel(F.floor(day / _DAYS_B), day % _DAYS_B, F.lit(_DAYS_A), F.lit(_DAYS_B), key, F.lit(f"date {form}"))
-    return F.when(date.isNotNull() & day.between(0, _DAYS_A * _DAYS_B - 1), F.element_at(F.transform(F.array(out), lambda s: F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), (s.a * _DAYS_B + s.b).cast("int")), form)), 1))
+    at = lambda d: F.date_add(F.lit(_FIRST_DAY).cast("date"), d.cast("int"))
+    turned = lambda d: feistel(F.floor(d / _DAYS_B), d % _DAYS_B, F.lit(_DAYS_A), F.lit(_DAYS_B), key, F.lit(f"date {form}"))
+    number = lambda s: s.a * _DAYS_B + s.b
+    # permuted again until it is such a day, which keeps the permutation one to one; two days in five are not
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), turned(day), lambda s, _: F.when(F.dayofmonth(at(number(s))) > 12, s).otherwise(turned(number(s)))) if late else turned(day)
+    return F.when(date.isNotNull() & day.between(0, _DAYS_A * _DAYS_B - 1), F.element_at(F.transform(F.array(out), lambda s: F.date_format(at(number(s)), form)), 1))
 
 
 def pseudonym(value: Column, key: str = KEY) -> Column:
@@ -165,7 +178,9 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     hexes = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"secret {i}"), value), 256) for i in (0, 1)]).substr(F.lit(1), F.length(value))
     separator = value.substr(3, 1)
     dots = F.when((separator == ".") & (value.substr(6, 1) == "."), _date(value, F.try_to_date(value, "dd.MM.yyyy"), "dd.MM.yyyy", key))
-    slashes = F.when((separator == "/") & (value.substr(6, 1) == "/"), _date(value, F.try_to_date(value, "MM/dd/yyyy"), "MM/dd/yyyy", key))
+    # month first where it can be; day first is then a day after the 12th, and stays one, so that the two stay apart
+    slash = lambda form, late: _date(value, F.try_to_date(value, form), form, key, late)
+    slashes = F.when((separator == "/") & (value.substr(6, 1) == "/"), F.coalesce(slash("MM/dd/yyyy", False), F.when(value.substr(1, 2) > "12", slash("dd/MM/yyyy", True))))
     return (
         F.when(F.contains(value, F.lit("@")), email)
         .when(lead(r"[0-9a-fA-F]{32,128}"), hexes)
@@ -174,20 +189,64 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
         .when(lead(r"[0-9]{2}[./][0-9]{2}[./][0-9]{4}"), F.coalesce(dots, slashes))
         .when(lead(rf"{_OCTET}(?:\.{_OCTET}){{3}}"), _ip(value, key))
         .when(lead(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), F.when(_ssn_valid(value), _ssn(value, key)))
-        .when(lead(r"[0-9](?:[ \-]?[0-9]){12,18}"), _card(value, key))
         .when(F.length(_only_digits(value)).between(7, 15), _phone(value, key))
     )
 
 
+def _replaced(text: Column, pattern: str, replace) -> Column:
+    """struct(text, n): text with its matches of pattern replaced by replace, a Column function that gives such structs too."""
+    new = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), replace)
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("rest"), new.alias("hit"))
+    # opened once, by transform, so that the matches are replaced once
+    whole = F.transform(F.array(parts), lambda ps: F.struct(F.array_join(F.transform(ps, lambda p: F.concat(F.coalesce(p["rest"], F.lit("")), F.coalesce(p["hit"]["text"], F.lit("")))), "").alias("text"), F.aggregate(ps, F.lit(0).cast("bigint"), lambda n, p: n + F.coalesce(p["hit"]["n"], F.lit(0))).alias("n")))
+    return F.element_at(whole, 1)
+
+
+def _or_as_it_is(value: Column, new: Column) -> Column:
+    return F.element_at(F.transform(F.array(new), lambda v: F.struct(F.coalesce(v, value).alias("text"), v.isNotNull().cast("bigint").alias("n"))), 1)
+
+
+def _cards_of(value: Column, key: str) -> Column:
+    """struct(text, n): a run of 13 or more digits with its cards replaced.
+
+    From left to right, the longest of whole groups with 13 to 19 digits and a right check digit are a card. Beside
+    cards, and in runs too long for one, other formats are replaced too; a run of 13 to 19 digits that has no card stays.
+    """
+    mark = "\u0001"
+    groups = F.regexp_extract_all(value, F.lit(r"[0-9]+[ \-]?"), F.lit(0))
+
+    def scanned(gs: Column) -> Column:
+        valid = lambda d: F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0)
+        longest = lambda i: F.get(F.filter(F.sequence(F.least(F.lit(19), F.size(gs) - i), F.lit(1)), lambda k: valid(_only_digits(F.array_join(F.slice(gs, i + 1, k), "")))), F.lit(0))
+
+        def step(s: Column, i: Column) -> Column:
+            taken = lambda k: F.when(k.isNull(), F.struct(F.concat(s.out, F.get(gs, i)).alias("out"), (i + 1).alias("next"))).otherwise(F.struct(F.concat(s.out, F.lit(mark), F.array_join(F.slice(gs, i + 1, k), ""), F.lit(mark)).alias("out"), (i + k).alias("next")))
+            return F.when(i < s.next, s).otherwise(F.element_at(F.transform(F.array(longest(i)), taken), 1))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(gs) - 1), F.struct(F.lit("").alias("out"), F.lit(0).alias("next")), step).out
+
+    def part(p: Column, i: Column) -> Column:
+        return F.when(i % 2 == 1, _or_as_it_is(p, _card(p, key))).otherwise(_replaced(p, BESIDE, lambda v: _or_as_it_is(v, pseudonym(v, key))))
+
+    def put_together(parts: Column) -> Column:
+        stays = (F.size(parts) == 1) & (F.length(_only_digits(value)) <= 19)
+        new = F.transform(parts, part)
+        return F.when(stays, F.struct(value.alias("text"), F.lit(0).cast("bigint").alias("n"))).otherwise(F.element_at(F.transform(F.array(new), lambda ps: F.struct(F.array_join(F.transform(ps, lambda p: p["text"]), "").alias("text"), F.aggregate(ps, F.lit(0).cast("bigint"), lambda n, p: n + p["n"]).alias("n"))), 1))
+
+    marked = F.element_at(F.transform(F.array(groups), scanned), 1)
+    return F.element_at(F.transform(F.array(F.split(marked, mark, -1)), put_together), 1)
+
+
 def pseudonymised(text: Column, key: str = KEY) -> Column:
     """struct(text, n_found): text with every valid match replaced, and how many there were."""
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    new = F.transform(found, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new")))
-    rest = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.transform(F.arrays_zip(rest.alias("rest"), new.alias("hit")), lambda p: F.concat(F.coalesce(p["rest"], F.lit("")), F.coalesce(p["hit"]["new"], p["hit"]["old"], F.lit("")))), "")
-    count = F.size(F.filter(new, lambda p: p["new"].isNotNull())).cast("bigint")
+
+    def replace(v: Column) -> Column:
+        run = v.rlike(f"^{_RUN}$") & ~v.rlike(f"^(?:{ISO_DATE}|{SSN}|{SECRET})$") & (F.length(_only_digits(v)) >= 13)
+        return F.when(run, _cards_of(v, key)).otherwise(_or_as_it_is(v, pseudonym(v, key)))
+
+    found = _replaced(text, PATTERN, replace)
     # most texts have no digit and no @: they are not searched
-    return F.when(text.rlike("[0-9@]"), F.struct(joined.alias("text"), count.alias("n_found"))).otherwise(F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("n_found")))
+    return F.when(text.rlike("[0-9@]"), F.element_at(F.transform(F.array(found), lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n_found"))), 1)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("n_found")))
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

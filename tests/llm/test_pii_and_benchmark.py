@@ -92,6 +92,34 @@ def test_formats(spark):
     assert not re.match("000|666|9", got[5]) and iban_ok(got[6]) and iban_ok(got[7])
 
 
+def test_day_first_dates_stay_apart_from_month_first(spark):
+    days = spark.range(0, 300 * 245, 7, 4).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    forms = days.select(F.date_format("d", "MM/dd/yyyy").alias("v")).union(days.where(F.dayofmonth("d") > 12).select(F.date_format("d", "dd/MM/yyyy")))
+    got = forms.select("v", pii.pseudonym(F.col("v"), KEY).alias("p"))
+    assert got.where("p is null").isEmpty() and got.select("p").distinct().count() == forms.count()
+    assert replaced(spark, ["born 31/12/1999."])[0].n_found == 1
+
+
+def test_phones_without_separators_and_with_single_digits(spark):
+    texts = ["+14155550123", "+33 6 12 34 56 78", "+33 (0)6 12 34 56 78", "+33612345678"]
+    for i, r in replaced(spark, [f"call {t}, or" for t in texts]).items():
+        assert r.n_found == 1 and re.sub("[0-9]", "9", r.text) == re.sub("[0-9]", "9", f"call {texts[i]}, or")
+        assert texts[i][-5:] not in r.text and r.text.startswith("call +")
+    assert replaced(spark, ["+14155550123 25 people"])[0].text.endswith(" 25 people")
+
+
+def test_cards_are_found_beside_other_groups(spark):
+    card = "4111 1111 1111 1111"
+    new = replaced(spark, [card])[0].text
+    texts = ["{} 123", "{} 12/27", "7 {}", "99 88 77 {}", "{} 5", "{} {} {}", "{} 12a", "{} 123 4 5 6"]
+    got = replaced(spark, [t.replace("{}", card) for t in texts])
+    for i, t in enumerate(texts):
+        assert (got[i].text, got[i].n_found) == (t.replace("{}", new), t.count("{}")), t
+    both = replaced(spark, [f"415-555-0123 {card}", "7 " * 20_000])
+    assert both[0].n_found == 2 and "555-0123" not in both[0].text and both[0].text.endswith(new)
+    assert (both[1].text, both[1].n_found) == ("7 " * 20_000, 0)
+
+
 def test_what_fails_validation_stays(spark):
     texts = ["2023-02-30 x", "31.02.2020", "13/45/2000", "000-12-3456", "GB83WEST12345698765432", "1.2.3.4.5", "300.1.1.1", "1234567890123456", "year 2024, 12345 pages", "a@b", "", "no digits", "3.14159 x"]
     for i, r in replaced(spark, texts).items():
