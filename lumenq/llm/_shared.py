@@ -82,11 +82,15 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, with all their columns, whose id is kept in verdicts (doc_id, kept); one row of an id that repeats.
+def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose id is kept in verdicts (doc_id, kept).
 
-    Null ids match null ids. The kept ids are the hashed side of the join, so that no text is sorted.
+    Of rows with the same non-null id and the same text one stays; different texts under one id all stay, if the id is
+    kept for any. Null ids match null ids. The kept ids are the hashed side of the join, so that no text is sorted.
     """
     ids = staged(verdicts.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__kept_id"), "n"), "kept")
     out = docs.join(ids.hint("shuffle_hash"), docs[id_col].eqNullSafe(ids["__kept_id"]), "left_semi")
-    return out if ids.where("n > 1 and __kept_id is not null").isEmpty() else out.dropDuplicates([id_col])
+    if ids.where("n > 1 and __kept_id is not null").isEmpty():
+        return out
+    known = out.where(F.col(id_col).isNotNull()).withColumn("__text", F.sha2(text_of(text_col), 256))
+    return known.dropDuplicates([id_col, "__text"]).drop("__text").unionByName(out.where(F.col(id_col).isNull()))

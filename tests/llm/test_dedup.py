@@ -155,3 +155,12 @@ def test_bands_hold_the_chance_of_a_miss_at_lower_thresholds(spark):
     assert {len(r.bands) for r in near_dedup.signed(docs, n_bands=near_dedup.bands_for(80)).where("n_shingles > 0").collect()} == {near_dedup.bands_for(80)}
     got = near_dedup.near_duplicates(docs, 80).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_near(rows, 80)
+
+
+def test_an_unrelated_repeat_folds_no_other_documents(spark):
+    texts = [(1, "a b"), (1, "a b"), (2, "c d"), (2, "e f"), (None, "g h"), (None, "i j"), (3, "k l")]
+    docs = spark.createDataFrame([(d, t, "x", None, "n") for d, t in texts], SCHEMA)
+    for verdicts in (exact_dedup.exact_duplicates(docs), near_dedup.near_duplicates(docs)):
+        kept = keep_rows(docs, verdicts)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(set(texts), key=str)
