@@ -27,8 +27,8 @@ from lumenq.llm.shingles import Minima, shingle_hashes
 
 TRAINING_ROWS = 12_000
 THRESHOLD = 0.5
-#: Lengths of word stems that may be learned, and how many stems at most.
-STEMS, MAX_STEMS = range(4, 8), 3_000
+#: Lengths of word stems that may be learned.
+STEMS = range(4, 8)
 #: Seed words of the grammar in the four languages of the corpus.
 THREATS = "kill murder stab shoot strangle destroy tuer tuerai umbringen töten matar mataré".split()
 TARGETS = "you your you're he she they them toi tu vous ton votre du dich dein ihr euch tú ti usted ustedes te".split()
@@ -145,7 +145,7 @@ class Model:
                         for symbol in clause:
                             w, states = step(states, symbol)
                             a, b = a + w[0], b + w[1]
-                        sure, doubtful = sure + min(a, 6.0), doubtful + min(b, 6.0)
+                        sure, doubtful = sure + a, doubtful + b
             return sure, doubtful, len(symbols) - symbols.count(".")
 
         return totals
@@ -161,6 +161,19 @@ def _terms(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of a task that have each term: toxic ones, and all."""
+    seen, bad = Counter(), Counter()
+    for batch in batches:
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            terms = _terms(text)
+            seen.update(terms)
+            if label:
+                bad.update(terms)
+    keys = list(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([bad[k] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], ["term", "bad", "seen"])
+
+
 def _learned(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple[set[str], set[str], set[str]]:
     """Words and stems that stand out in toxic texts far beyond chance.
 
@@ -177,11 +190,11 @@ def _learned(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> tupl
         elif precision >= 2 * base and gain >= 25 and term.endswith("*"):
             rest.append((gain, term))
     words, stems = set(), set()
-    for _, term in sorted(sure, key=lambda x: (-x[0], x[1]))[:MAX_STEMS]:
+    for _, term in sorted(sure, key=lambda x: (-x[0], x[1])):
         (stems if term.endswith("*") else words).add(term.rstrip("*"))
     stems = {s for s in stems if not any(s[:n] in stems for n in STEMS if n < len(s))}
     doubtful: set[str] = set()
-    for _, term in sorted(rest, key=lambda x: (-x[0], -len(x[1]), x[1]))[:MAX_STEMS]:
+    for _, term in sorted(rest, key=lambda x: (-x[0], -len(x[1]), x[1])):
         stem = term.rstrip("*")
         if not any(stem.startswith(d) or d.startswith(stem) for d in doubtful | stems):
             doubtful.add(stem)
@@ -239,6 +252,12 @@ def _without_copies(rows: list[tuple[int, ...]]) -> set[int]:
     return set(groups.values())
 
 
+def _constant(toxic: int, rows: int) -> Model:
+    """A model without terms: every text gets the share of label 1."""
+    p = toxic / rows if rows else 0.0
+    return Model(set(), set(), set(), (0.0, 0.0, 0.0, math.log((p + 1e-3) / (1 - p + 1e-3))))
+
+
 def train(docs: DataFrame, labels: DataFrame, held_out, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The grammar's stems and the score's logistic, from at most rows labelled documents that are not held out."""
     spark = docs.sparkSession
@@ -247,31 +266,23 @@ def train(docs: DataFrame, labels: DataFrame, held_out, rows: int = TRAINING_ROW
     sample = F.broadcast(spark.createDataFrame([(int(k), int(v)) for k, v in chosen.items()], "doc_id bigint, label int"))
     toxic = sum(chosen.values())
     if not 0 < toxic < len(chosen):
-        p = toxic / len(chosen) if chosen else 0.0
-        return Model(set(), set(), set(), (0.0, 0.0, 0.0, math.log((p + 1e-3) / (1 - p + 1e-3))))
+        return _constant(toxic, len(chosen))
 
-    texts = staged(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")).join(sample, "doc_id"), "toxicity-sample")
+    # one row of each sampled id: repeats of a row would break the sample's bound
+    rows_of = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")).join(sample, "doc_id")
+    texts = staged(rows_of.groupBy("doc_id", "label").agg(F.max("text").alias("text")), "toxicity-sample")
     # copies of one text say no more than the text: terms are counted in one of each group of copies
     single = _without_copies([tuple(r) for r in texts.mapInArrow(_minima, "doc_id bigint, m0 bigint, m1 bigint, m2 bigint").collect()])  # at most rows of four numbers
     toxic = sum(chosen[i] for i in single)
     clean = len(single) - toxic
-    singles = texts.join(F.broadcast(spark.createDataFrame([(i,) for i in sorted(single)], "doc_id bigint")), "doc_id", "left_semi")
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, bad = Counter(), Counter()
-        for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                terms = _terms(text)
-                seen.update(terms)
-                if label:
-                    bad.update(terms)
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([bad[k] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], ["term", "bad", "seen"])
-
-    terms = singles.mapInArrow(counted, "term string, bad bigint, seen bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen")).where((F.col("bad") >= 6) & (F.col("bad") >= 1.5 * toxic / len(single) * F.col("seen")))
-    gain = F.col("bad") * F.ln(F.col("bad") / F.col("seen") * len(single) / max(1, toxic))
-    best = terms.orderBy(gain.desc(), "term").limit(10 * MAX_STEMS).collect()  # the strongest terms alone
-    model = Model(*_learned([(r.term, r.bad, r.seen) for r in best], toxic, clean))
+    model = Model(set(), set())
+    if toxic and clean:  # else no class has words of its own to learn
+        singles = texts.join(F.broadcast(spark.createDataFrame([(i,) for i in sorted(single)], "doc_id bigint")), "doc_id", "left_semi")
+        terms = singles.mapInArrow(_counted, "term string, bad bigint, seen bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen"))
+        # only the terms that may be learned come to the driver: each stands out in six toxic texts of the sample at least
+        precision = (F.col("bad") + 0.5) / (F.col("seen") + 1)
+        strong = terms.where((F.col("bad") >= 6) & (precision >= min(0.8, 2 * toxic / len(single))) & (F.col("bad") * F.ln(precision * (len(single) / toxic)) >= 16)).collect()
+        model = Model(*_learned([(r.term, r.bad, r.seen) for r in strong], toxic, clean))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = model.reader()
@@ -280,6 +291,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out, rows: int = TRAINING_ROW
             yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array([f[k] for f in found], pa.float64()) for k in range(3))], ["label", "sure", "doubtful", "words"])
 
     got = texts.mapInArrow(read, "label int, sure double, doubtful double, words double").collect()  # at most rows of four numbers
+    if len({r.label for r in got}) < 2:
+        return _constant(sum(chosen.values()), len(chosen))
     model.weights = tuple(_logistic(np.log1p(np.array([r[1:] for r in got])), np.array([r.label for r in got])))
     return model
 
@@ -287,9 +300,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out, rows: int = TRAINING_ROW
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs; learned from labelled rows that are not held out.
 
-    Null, empty and unmatched texts have the score of no matched clause. Repeated rows get a row each. A null doc_id
-    is not held out and never trains. Without labels of both kinds every text gets the share of label 1. Other columns
-    are ignored.
+    Null, empty and unmatched texts have the score of no matched clause. Very long texts are read whole, clause by
+    clause. Repeated rows get a row each, but train once, by the greatest of their texts. A null doc_id is not held
+    out and never trains. Without labels of both kinds, or where no labelled document of both kinds is there, every
+    text gets the share of label 1. Other columns are ignored; an empty table gives an empty result.
     """
     model = train(docs, labels, remainder("doc_id", 5) == 0, rows, id_col, text_col)
 

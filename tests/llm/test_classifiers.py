@@ -139,3 +139,21 @@ def test_composed_machine_equals_the_cascade():
                 expected += w[0] + 10 * w[1]
             run = out
         assert abs(total - expected) < 1e-9
+
+
+@pytest.mark.parametrize("score", [quality.score_quality, toxicity.score_toxicity])
+@pytest.mark.parametrize("text", [None, "", " \n\t", "...", "no", "absent"])
+def test_labels_of_both_classes_over_wordless_documents(spark, score, text):
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)], "doc_id bigint, quality int, toxic int")
+    docs = spark.createDataFrame([] if text == "absent" else [(i, text, "x", "y") for i in range(20)], SCHEMA)
+    got = score(docs, labels).collect()
+    assert len(got) == docs.count() and len({r.score for r in got}) <= 1
+    assert all(0.2 <= r.score <= 0.8 for r in got)  # equal texts tell nothing: about the share of label 1
+
+
+def test_repeated_rows_train_once(spark):
+    docs, labels = corpus(120)
+    labels = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    for score in (quality.score_quality, toxicity.score_toxicity):
+        once, many = ({r.doc_id: r.score for r in score(spark.createDataFrame(docs * k, SCHEMA), labels).collect()} for k in (1, 3))
+        assert once == many
