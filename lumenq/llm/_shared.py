@@ -1,7 +1,9 @@
-"""Helpers that the training-data operators share: the shared folder, staged tables and text columns."""
+"""Helpers that the training-data operators share: the shared folder, staged tables, row keys and text columns."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,21 +17,70 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 #: Rows of a few numbers that one file of a staged table takes, where their number is known.
 ROWS_A_FILE = 25_000
+#: Rows of a few numbers, about 40 bytes each, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+_STAGED: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder if all tasks run on this machine, as in tests; on a cluster an error, since
+    executors would write parts that nobody else sees.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lumenq-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def staged_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, removed when the program ends, or sooner by discard or scratch."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more: what was made from them has been written."""
+    for table in tables:
+        for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            for i, (spark, path) in enumerate(_STAGED):
+                if path.rsplit("/", 1)[-1] == name.rsplit("/", 1)[-1]:
+                    remove(spark, path)
+                    del _STAGED[i]
+                    break
+
+
+@contextlib.contextmanager
+def scratch():
+    """Tables staged inside are removed at the end; results must have been written by then."""
+    before = len(_STAGED)
+    try:
+        yield
+    finally:
+        for spark, path in _STAGED[before:]:
+            remove(spark, path)
+        del _STAGED[before:]
+
+
+@atexit.register
+def _remove_all() -> None:
+    for spark, path in _STAGED:
+        with contextlib.suppress(Exception):  # the JVM may have ended before
+            remove(spark, path)
 
 
 def staged(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
@@ -54,6 +105,10 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def text_key(column: str = "text") -> Column:
+    """A fingerprint that tells rows of one id apart by their text; never used across ids."""
+    return F.xxhash64(text_of(column))
+
 
 def slices(batch: pa.RecordBatch, column: str, max_chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about max_chars bytes of text each: Arrow batches count rows, not bytes."""
@@ -72,6 +127,7 @@ def modest_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Arrow batches of whole texts in the session kept to rows rows, where the default of 10,000 still holds.
 
     A batch is held at once on both sides of the pipe to Python, and rows of this subpackage are documents and pages.
+    Results are computed when the caller writes them, so the setting has to stay; one that the caller made is kept.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
@@ -82,15 +138,26 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def narrow(table: DataFrame, rows: int) -> DataFrame:
+    """A table of a few numbers a row, to be joined with texts: broadcast up to a bound, else hashed, so that no text is sorted."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table.hint("shuffle_hash")
+
+
 def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose id is kept in verdicts (doc_id, kept).
+    """The rows of docs, with all their columns, that stay by verdicts (doc_id, text_key, stays), a verdict for each row.
 
-    Of rows with the same non-null id and the same text one stays; different texts under one id all stay, if the id is
-    kept for any. Null ids match null ids. The kept ids are the hashed side of the join, so that no text is sorted.
+    Rows are told by id and text: of rows with equal id and equal text one stays, different texts under one id are
+    judged apart, and a null id is an id like any other. What goes is mostly little: it is broadcast up to a bound;
+    beyond it the kept keys are the hashed side of a shuffled join.
     """
-    ids = staged(verdicts.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__kept_id"), "n"), "kept")
-    out = docs.join(ids.hint("shuffle_hash"), docs[id_col].eqNullSafe(ids["__kept_id"]), "left_semi")
-    if ids.where("n > 1 and __kept_id is not null").isEmpty():
+    keys = staged(verdicts.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("n > 1 or not stays").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "stays", "n"), "verdicts")
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (text_key(text_col) == F.col("__key"))
+    gone = keys.where("not stays").select("__id", "__key")
+    out = docs.join(narrow(gone, gone.count()), same, "left_anti")
+    again = keys.where("stays and n > 1").select("__id", "__key")
+    repeats = again.count()
+    if not repeats:
         return out
-    known = out.where(F.col(id_col).isNotNull()).withColumn("__text", F.sha2(text_of(text_col), 256))
-    return known.dropDuplicates([id_col, "__text"]).drop("__text").unionByName(out.where(F.col(id_col).isNull()))
+    again = narrow(again, repeats)
+    folded = out.join(again, same, "left_semi").withColumns({"__text": F.sha2(text_of(text_col), 256)}).dropDuplicates([id_col, "__text"]).drop("__text")
+    return out.join(again, same, "left_anti").unionByName(folded)

@@ -4,10 +4,14 @@
 2. Documents with the same set fold into one class, so that copies cost nothing later.
 3. Classes that share a band key are tied to the smallest of them; the components of these ties are the candidate
    groups. Two documents over the threshold share a band but for a chance below 1e-6; a lower one takes more bands.
-4. Within a candidate group, prefix filtering finds the pairs that may pass, signatures refuse those far below the
-   threshold, and whole sets confirm the rest; pairs already connected are skipped, so a group gives at most one link
-   less than it has members. Groups over a bound are cut into blocks, every pair of blocks being a task of its own.
-5. Components of the confirmed links, by alternating large-star and small-star.
+   The sets of candidates are written; texts are not needed any more.
+4. Every member is compared with its group's pivot, the class that shares most bands, in tasks that hold two sets at a
+   time. That links all of most groups, however large.
+5. What is left over is compared with everything else of its group: in tasks that take a block of it and a block of the
+   others, whose size is bounded. Members linked to the pivot are connected already and not compared among each other.
+   Within a task, prefix filtering finds the pairs that may pass, signatures refuse those far below the threshold, and
+   whole sets confirm the rest; pairs already connected are skipped.
+6. Components of the confirmed links, by alternating large-star and small-star.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.llm._shared import modest_batches, partitions_for, read_table, slices, staged, text_of
+from lumenq.llm._shared import discard, modest_batches, narrow, partitions_for, read_table, slices, staged, text_key, text_of
 from lumenq.llm.components import connected_components
 from lumenq.llm.shingles import Minima, mix, shared_count, shingle_hashes
 
@@ -30,10 +34,11 @@ from lumenq.llm.shingles import Minima, mix, shared_count, shingle_hashes
 BANDS, ROWS, MISSED = 32, 6, 1e-6
 #: Minima of the signature that pairs are verified by, and how many standard deviations below the threshold it may lie.
 SIGNATURE, SLACK = 64, 5.0
-#: Shingles of a candidate group that one task takes at most, unless a single block pair of documents has more.
-GROUP_SHINGLES = 1_500_000
+#: Shingles of a block; a task takes two blocks at most, unless a single document has more.
+GROUP_SHINGLES = 200_000
 
-SIGNED = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"
+SIGNED = "doc_id bigint, text_key bigint, n_shingles bigint, set_key binary, bands array<bigint>"
+SETS = "cid bigint, component bigint, shingles binary"
 
 
 def bands_for(percent: int) -> int:
@@ -63,17 +68,52 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_ba
                     for i, key in zip(full, keys.view(np.int64).tolist(), strict=True):
                         bands[i] = key
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "set_key", "bands"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(rows, SIGNED)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(text_col).alias("text_key"), text_of(text_col).alias("text")).mapInArrow(rows, SIGNED)
 
 
-def links_of(ids: list[int], sets: list[np.ndarray], percent: int, minima: Minima) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of a group with 100 * |x & y| >= percent * |x | y|.
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as sorted sets of shingles."""
+    for batch in batches:
+        for part in slices(batch, "text", 1_000_000):
+            found = [np.unique(shingle_hashes(t)).tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("component"), pa.array(found, pa.binary())], ["cid", "component", "shingles"])
 
-    Shingles are ordered from rare to common within the group. Two sets over the threshold share one of the first
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * |x & y| >= percent * |x | y|."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    shared = shared_count(x, y)
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _pivot_links(percent: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(pivot, cid) of the members that are linked to their pivot."""
+        for batch in batches:
+            out, pivot = [], None
+            for cid, own, p, theirs in zip(*(batch.column(c) for c in ("cid", "shingles", "pivot", "pivot_shingles")), strict=True):
+                if pivot is None or pivot[0] != p.as_py():
+                    pivot = (p.as_py(), np.frombuffer(theirs.as_py(), np.uint64))
+                if _linked(np.frombuffer(own.as_py(), np.uint64), pivot[1], percent):
+                    out.append((pivot[0], cid.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    return rows
+
+
+def links_of(ids: list[int], sets: list[np.ndarray], percent: int, minima: Minima, joined: list[bool] | None = None, sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of a task with 100 * |x & y| >= percent * |x | y|.
+
+    Shingles are ordered from rare to common within the task. Two sets over the threshold share one of the first
     |x| - ceil(percent * |x| / 100) + 1 shingles of each, so only documents that meet there are compared.
+    joined: members that are connected already, and are not compared with each other. sides: where given, only members
+    of different sides are compared.
     """
+    joined, sides = joined or [False] * len(sets), sides or [0] * len(sets)
+    cross = len(set(sides)) > 1
     _, rank, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     ends = np.cumsum([len(s) for s in sets])
     signatures = minima.of(np.concatenate(sets), np.concatenate([[0], ends[:-1]]))
@@ -86,24 +126,28 @@ def links_of(ids: list[int], sets: list[np.ndarray], percent: int, minima: Minim
             i = root[i]
         return i
 
+    first = next((i for i, j in enumerate(joined) if j), None)
+    for i, j in enumerate(joined):
+        if j:
+            root[i] = first
     posting: dict[int, list[int]] = defaultdict(list)
     out = []
-    for q in sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i])):
+    for q in sorted(range(len(sets)), key=lambda i: (not joined[i], -sides[i], len(sets[i]), ids[i])):
         n = len(sets[q])
         own = rank[ends[q] - n : ends[q]]
         own = own[np.lexsort((own, counts[own]))][: n - -(-percent * n // 100) + 1]
         own = own[counts[own] > 1].tolist()
-        met = np.array(sorted({c for t in own for c in posting[t]}), np.int64)
-        for t in own:
-            posting[t].append(q)
+        # members joined already, and one of two sides, are only looked up by the others
+        asks = not joined[q] and (not cross or sides[q] == 0)
+        met = np.array(sorted({c for t in own for c in posting[t]}), np.int64) if asks else ()
+        if not asks or not cross:
+            for t in own:
+                posting[t].append(q)
         if not len(met):
             continue
         met = met[(signatures[met] == signatures[q]).mean(1) >= least]
         for c in met.tolist():
-            if 100 * len(sets[c]) < percent * n or find(c) == find(q):
-                continue
-            shared = shared_count(sets[c], sets[q])
-            if 100 * shared >= percent * (n + len(sets[c]) - shared):
+            if find(c) != find(q) and _linked(sets[c], sets[q], percent):
                 root[find(q)] = find(c)
                 out.append((ids[c], ids[q]))
     return out
@@ -111,64 +155,118 @@ def links_of(ids: list[int], sets: list[np.ndarray], percent: int, minima: Minim
 
 def _grouped_links(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links of each run of rows with the same (component, a, b); a group is held at a time, and its size is bounded."""
+        """Links of each run of rows with the same (component, a, b); a task's run is held at a time, and its size is bounded."""
         minima = Minima(SIGNATURE, seed=11)
         key, members = None, {}
 
         def flush() -> pa.RecordBatch:
-            found = links_of(list(members), list(members.values()), percent, minima) if len(members) > 1 else []
+            found = []
+            if len(members) > 1:
+                sets, joined, sides = zip(*members.values(), strict=True)
+                found = links_of(list(members), list(sets), percent, minima, list(joined), list(sides))
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"])
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("component", "a", "b", "doc_id", "text"))
-            for component, a, b, doc_id, text in zip(*columns, strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("component", "a", "b", "cid", "joined", "side", "shingles"))
+            for component, a, b, cid, joined, side, shingles in zip(*columns, strict=True):
                 if key != (component, a, b):
                     if key is not None:
                         yield flush()
                     key, members = (component, a, b), {}
-                members.setdefault(doc_id, np.unique(shingle_hashes(text)))
+                members.setdefault(cid, (np.frombuffer(shingles, np.uint64), joined, side))
         if key is not None:
             yield flush()
 
     return rows
 
 
+def _tasks(rest: DataFrame, joined: DataFrame, block_shingles: int) -> DataFrame:
+    """(component, cid, joined, a, b, side): the tasks of every member of groups that have some left over.
+
+    Left-over members are dealt to blocks a; a task (a, b) compares two of these, or one with block b - blocks of joined
+    members. A group that is no larger than a block is the task (0, 0) as a whole.
+    """
+    size = F.sum("n_shingles")
+    groups = rest.groupBy("component").agg(size.alias("left")).join(joined.groupBy("component").agg(size.alias("linked")), "component", "left")
+    whole = F.col("left") + F.coalesce("linked", F.lit(0)) <= block_shingles
+    count = lambda c: F.when(whole, 1).otherwise(F.greatest(F.ceil(F.coalesce(c, F.lit(0)) / block_shingles), F.lit(1))).cast("int")
+    groups = groups.select("component", whole.alias("whole"), count(F.col("left")).alias("blocks"), count(F.col("linked")).alias("others"))
+    block = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    other = F.explode(F.when(F.col("whole"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") + F.col("others") - 1)))
+    mine = rest.join(groups, "component").withColumn("own", block(F.col("blocks"))).withColumn("other", other)
+    inside = F.col("other") < F.col("blocks")
+    mine = mine.select("component", "cid", F.lit(False).alias("joined"), F.when(inside, F.least("own", "other")).otherwise(F.col("own")).alias("a"), F.when(inside, F.greatest("own", "other")).otherwise(F.col("other")).alias("b"), (inside & (F.col("own") > F.col("other"))).cast("int").alias("side"))
+    theirs = joined.join(groups, "component").withColumn("own", block(F.col("others"))).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    theirs = theirs.select("component", "cid", F.lit(True).alias("joined"), "a", F.when(F.col("whole"), 0).otherwise(F.col("blocks") + F.col("own")).alias("b"), F.when(F.col("whole"), 0).otherwise(1).alias("side"))
+    return mine.unionByName(theirs)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs.
+    """doc_id, n_shingles, component_id, kept, text_key, stays of every row of docs.
 
     Null, empty and wordless texts have 0 shingles and are their own component; fewer than five words are one shingle.
-    component_id is the smallest doc_id reachable over links. doc_id identifies a document: rows that repeat one are
-    taken to repeat its text, and share its verdict. A null doc_id gets the component of its copies and
-    is not kept; if it has none, its component is null and it is kept. Other columns are ignored; an empty table gives an empty result.
+    Very long texts are read whole. component_id is the smallest doc_id reachable over links; a null doc_id counts as
+    greater than all, so it is null only in components without any id. kept says that the row's doc_id is component_id,
+    so rows that repeat it, a null id among them, are all marked. stays tells them apart by text_key, a fingerprint of
+    the text: it is true for the one row of a component that stays, and for rows equal to it in id and text. Other
+    columns are ignored; an empty table gives an empty result.
     """
-    modest_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    modest_batches(spark)
     log = staged(signed(docs, id_col, text_col, bands_for(percent)), "signed")
-    classes = log.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    heads = log.where("doc_id is not null and n_shingles > 0").select("set_key", F.col("doc_id").alias("rep"), "n_shingles", "bands").join(classes, ["set_key", "rep"]).dropDuplicates(["rep"])
-    banded = heads.select("rep", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
-    ties = banded.join(hubs, "band").where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v"))
-    candidates = staged(connected_components(ties, "candidate-stars"), "candidates")
-    sized = candidates.join(log.where("doc_id is not null").groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles")), "node")
-    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / group_shingles).cast("int").alias("blocks"))
-    # a group of one block is the task (0, 0); of more, each document goes to every pair of blocks that has its own
-    placed = candidates.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    tasks = placed.select("component", F.col("node").alias("doc_id"), "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = tasks.select("component", "doc_id", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
-    grouped = texts.join(tasks.hint("shuffle_hash"), "doc_id").select("component", "a", "b", "doc_id", "text")
-    grouped = grouped.repartition(partitions_for(docs.sparkSession), "component", "a", "b").sortWithinPartitions("component", "a", "b")
-    links = grouped.mapInArrow(_grouped_links(percent), "u bigint, v bigint")
-    components = staged(connected_components(links), "components")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("head")
+    classes = log.where("n_shingles > 0").groupBy("set_key").agg(head, F.max("n_shingles").alias("n_shingles"))
+    # numbers of the classes; once written, they are fixed
+    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    heads = classes.select("cid", "set_key", F.col("head.doc_id").alias("h_id"), F.col("head.text_key").alias("h_key"))
+    own_row = (log.set_key == heads.set_key) & log.doc_id.eqNullSafe(heads.h_id) & (log.text_key == heads.h_key)
+    banded = log.join(heads, own_row).select("cid", F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    tied = staged(banded.join(hubs, "band").select("hub", "cid", "n"), "band-ties")
+    candidates = staged(connected_components(tied.select(F.col("hub").alias("u"), F.col("cid").alias("v")), "candidate-stars"), "candidates")
+    degree = tied.groupBy(F.col("cid").alias("node")).agg(F.sum("n").alias("degree"))
+    members = candidates.join(degree, "node").join(classes.select(F.col("cid").alias("node"), "n_shingles", F.col("head.doc_id").alias("h_id"), F.col("head.text_key").alias("h_key")), "node").withColumnRenamed("node", "cid")
+    members = staged(members, "members")
+    pivots = staged(members.groupBy("component").agg(F.max(F.struct("degree", (-F.col("cid")).alias("c"))).alias("top")).select("component", (-F.col("top.c")).alias("pivot")), "pivots")
+
+    # the sets of candidates, from one row of each class
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(text_col).alias("text_key"), text_of(text_col).alias("text"))
+    wanted = narrow(members.select("cid", "component", "h_id", "h_key"), members.count())
+    sets = staged(texts.join(wanted, texts.doc_id.eqNullSafe(F.col("h_id")) & (texts.text_key == F.col("h_key"))).select("cid", "component", "text").mapInArrow(_sets, SETS), "candidate-sets")
+
+    # a row for each member, beside its group's pivot; both sides of the join are plain shuffles, which can be split at a hot group
+    theirs = sets.join(narrow(pivots.select("pivot"), pivots.count()), F.col("cid") == F.col("pivot")).dropDuplicates(["pivot"]).select("component", "pivot", F.col("shingles").alias("pivot_shingles"))
+    theirs = staged(theirs, "pivot-sets")
+    pairs = sets.join(theirs, "component").where("cid <> pivot").select("cid", "shingles", "pivot", "pivot_shingles")
+    by_pivot = staged(pairs.mapInArrow(_pivot_links(percent), "u bigint, v bigint"), "pivot-links")
+
+    linked = by_pivot.select(F.col("v").alias("cid")).distinct()
+    known = linked.unionByName(pivots.select(F.col("pivot").alias("cid")))
+    sized = members.select("component", "cid", "n_shingles")
+    rest = staged(sized.join(known, "cid", "left_anti"), "left-over")
+    joined = sized.join(linked, "cid", "left_semi").join(rest.select("component").distinct(), "component", "left_semi")
+    tasks = staged(_tasks(rest, joined, group_shingles), "tasks")
+    grouped = sets.select("cid", "shingles").join(narrow(tasks, tasks.count()), "cid").select("component", "a", "b", "cid", "joined", "side", "shingles")
+    grouped = grouped.repartition(partitions_for(spark), "component", "a", "b").sortWithinPartitions("component", "a", "b")
+    links = staged(grouped.mapInArrow(_grouped_links(percent), "u bigint, v bigint"), "other-links")
+
+    components = staged(connected_components(by_pivot.unionByName(links)), "components")
+    # the row that stays of each component, then of each class
+    in_groups = classes.join(components.select(F.col("node").alias("cid"), "component"), "cid")
+    best = in_groups.groupBy("component").agg(F.min("head").alias("best"))
+    best = components.join(best, "component").select(F.col("node").alias("cid"), "best")
     # written, so that the last join's sides are plain shuffles and can be split at a hot set
-    labelled = staged(classes.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "labelled")
-    own = F.coalesce(F.col("component"), F.col("doc_id"))
-    return log.join(labelled, "set_key", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    labelled = staged(classes.join(best, "cid", "left").select("set_key", F.coalesce("best", "head").alias("best")), "labelled")
+    discard(tied, candidates, members, pivots, sets, theirs, rest, tasks, by_pivot, links, components, classes)
+    worded = F.col("best").isNotNull()
+    own = F.when(worded, F.col("best.doc_id")).otherwise(F.col("doc_id"))
+    stays = ~worded | (F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_key") == F.col("text_key")))
+    return log.join(labelled, "set_key", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "text_key", stays.alias("stays"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of every document at 85 percent."""
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_key", "stays")
 
 
 OP9_SQL = r"""

@@ -164,3 +164,62 @@ def test_an_unrelated_repeat_folds_no_other_documents(spark):
         kept = keep_rows(docs, verdicts)
         assert kept.columns == docs.columns
         assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(set(texts), key=str)
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, long), (7, "another text of more than five words"), (8, long + " more"), (9, "another text of more than five words"), (7, "Another text of more than five words"), (None, long), (None, "no id and no copy of it"), (None, None), (None, ""), (10, None)]
+    docs = spark.createDataFrame([(d, t, "x", None, "n") for d, t in rows], SCHEMA)
+    near = keep_rows(docs, near_dedup.near_duplicates(docs))
+    texts = sorted(((r.doc_id, r.text) for r in near.collect()), key=str)
+    assert [t for t in texts if t[1]] in [sorted([(7, long), (7, a), (None, rows[6][1])], key=str) for a in (rows[1][1], rows[4][1])]
+    assert sum(not t for _, t in texts) == 2  # wordless texts are nobody's copies; the two rows without id are equal
+    exact = sorted(((r.doc_id, r.text) for r in keep_rows(docs, exact_dedup.exact_duplicates(docs)).collect()), key=str)
+    want = [(7, rows[1][1]), (7, rows[4][1]), (8, rows[2][1]), (None, long), (None, rows[6][1])]
+    assert sorted((e for e in exact if e[1]), key=str) == sorted(want, key=str) and sum(not t for _, t in exact) == 1
+
+
+def test_every_row_of_one_id_may_stay(spark):
+    docs = spark.createDataFrame([(1, f"text number {i} of this one id", "x", None, "n") for i in range(40)] * 2, SCHEMA)
+    for verdicts in (exact_dedup.exact_duplicates(docs), near_dedup.near_duplicates(docs)):
+        assert sorted(r.text for r in keep_rows(docs, verdicts).collect()) == sorted(f"text number {i} of this one id" for i in range(40))
+
+
+def test_keep_rows_by_a_shuffle(spark, monkeypatch):
+    from lumenq.llm import _shared
+
+    docs = spark.createDataFrame(rows_of(TEXTS) * 2, SCHEMA)
+    few = sorted(keep_rows(docs, exact_dedup.exact_duplicates(docs)).collect(), key=str)
+    monkeypatch.setattr(_shared, "BROADCAST_ROWS", 0)
+    assert sorted(keep_rows(docs, exact_dedup.exact_duplicates(docs)).collect(), key=str) == few
+
+
+def test_a_large_group_takes_the_pivot_and_the_rest_takes_bounded_tasks(spark):
+    """Copies at all distances, so that many members are not linked to the pivot but to each other."""
+    random.seed(9)
+    word = lambda: "".join(random.choice("abcdefg") for _ in range(5))
+    chain, texts = [word() for _ in range(120)], []
+    for _ in range(150):
+        for _ in range(random.choice([1, 1, 2])):
+            chain[random.randrange(120)] = word()
+        texts.append(" ".join(chain))
+    texts.append(" ".join(word() for _ in range(30_000)))  # a very long text alone
+    rows = rows_of(texts)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for size in (500, 5_000, near_dedup.GROUP_SHINGLES):
+        got = near_dedup.near_duplicates(docs, group_shingles=size).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_near(rows)
+
+
+def test_staged_tables_go(spark):
+    from lumenq.llm import _shared
+
+    before = len(_shared._STAGED)
+    with _shared.scratch():
+        _shared.staged(spark.range(3), "a-table")
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows_of(TEXTS), SCHEMA)).collect()
+        left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for _, p in _shared._STAGED[before:]]
+        assert len(got) == len(TEXTS) and left.count("stars") <= 1 and "pivot-sets" not in left
+        paths = [p for _, p in _shared._STAGED[before:]]
+    where = spark._jvm.org.apache.hadoop.fs.Path(paths[0])
+    assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
