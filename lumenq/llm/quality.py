@@ -16,21 +16,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.llm._shared import modest_batches, read_table, slices, text_of
-from lumenq.llm.shingles import mix, word_hashes
+from lumenq.llm._shared import discard, modest_batches, read_table, slices, staged, text_of
+from lumenq.llm.shingles import mix
 
 #: Hash buckets of the indicators, and labelled rows that the model is fitted to at most, taken by a hash of their id.
 BUCKETS = 1 << 18
 TRAINING_ROWS = 8_000
+#: Indicators of all rows that the model is fitted to at most; the sample ends before, where its texts are very long.
+TRAINING_INDICATORS = 32_000_000
+#: Words that a worker remembers.
+MEMO_WORDS = 400_000
 #: Shares of a text that a shape n-gram's indicators stand for.
 SHARES = np.array([0.0, 0.02, 0.1, 0.3, 0.6, 0.9])
 THRESHOLD = 0.7
 
 
-@functools.lru_cache(50_000)
 def _shape(word: str) -> int:
     letters = sum(c.isalpha() for c in word)
     digits = sum(c.isdigit() for c in word)
@@ -41,30 +45,87 @@ def _shape(word: str) -> int:
     return ((case * 3 + kind) * 4 + min(marks, 3)) * 6 + min(len(tail) // 3, 5)
 
 
-def indicators(text: str) -> np.ndarray:
-    """Sorted buckets of the indicators that a text has; an empty text has one of its own."""
-    words = text.split()
-    if not words:
-        return np.array([0], np.int64)
-    hashes = word_hashes(text)
-    seen = [mix(hashes), mix(hashes[1:] * np.uint64(31) + hashes[:-1])]
-    same = np.append(False, np.array([a == b for a, b in zip(words, words[1:], strict=False)], bool))
-    shapes = (np.fromiter(map(_shape, words), np.uint64, len(words)) * np.uint64(2) + same).astype(np.uint64)
+class Words:
+    """Numbers of the words that a worker has met, with the hash and the shape of each; emptied beyond a bound."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.hashes = np.zeros(0, np.uint64)
+        self.shapes = np.zeros(0, np.uint64)
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        found = list(map(self.number.get, words))
+        if None in found:
+            if len(self.number) > MEMO_WORDS:
+                self.__init__()
+            new = [w for w in dict.fromkeys(words) if w not in self.number]
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.hashes = np.append(self.hashes, np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace").lower()) for w in new), np.uint64, len(new)))
+            self.shapes = np.append(self.shapes, np.fromiter(map(_shape, new), np.uint64, len(new)))
+            found = list(map(self.number.__getitem__, words))
+        return np.array(found, np.int64)
+
+
+def _line_facts(text: str) -> tuple[int, int]:
+    """Lines that are not blank, and how many different ones there are."""
     lines = [line for line in text.split("\n") if line.strip()]
-    again = 1 - len(set(lines)) / len(lines) if lines else 0.0
-    distinct = len(set(words)) / len(words)
-    whole = np.array([1000 + int(10 * again), 2000 + int(10 * distinct), 3000 + min(12, len(words).bit_length()), 4000 + min(12, int(4 * np.log2(1 + len(words) / max(1, len(lines)))) // 4)], np.uint64)
-    seen.append(mix(whole))
+    return len(lines), len(set(lines))
+
+
+def indicators(texts: list[str], known: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, ends): the sorted buckets of the indicators that each text has, one text's after the other's.
+
+    A text without words has one indicator of its own. All texts are done at once: the word of every place is a number,
+    and the place's text goes along as the high bits of what is sorted.
+    """
+    split = [t.split() for t in texts]
+    sizes = np.array([len(w) for w in split], np.int64)
+    ids = known([w for words in split for w in words])
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
+    follows = owner[1:] == owner[:-1]
+    hashes = known.hashes[ids]
+    seen = [(owner, mix(hashes)), (owner[1:][follows], mix(hashes[1:] * np.uint64(31) + hashes[:-1])[follows])]
+
+    filled = np.flatnonzero(sizes)
+    lines, kinds = np.array([_line_facts(texts[i]) for i in filled], np.int64).reshape(-1, 2).T
+    pairs = np.unique(owner << np.uint64(32) | ids.astype(np.uint64))
+    distinct = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(texts))[filled] / sizes[filled]
+    again = 1 - kinds / np.maximum(lines, 1)
+    bits = np.frexp(sizes[filled].astype(float))[1]
+    whole = [1000 + (10 * again).astype(np.int64), 2000 + (10 * distinct).astype(np.int64), 3000 + np.minimum(12, bits), 4000 + np.minimum(12, (4 * np.log2(1 + sizes[filled] / np.maximum(1, lines))).astype(np.int64) // 4)]
+    seen += [(filled.astype(np.uint64), mix(w.astype(np.uint64))) for w in whole]
+
+    same = np.append(False, (ids[1:] == ids[:-1]) & follows)[: len(ids)]
+    shapes = known.shapes[ids] * np.uint64(2) + same.astype(np.uint64)
     for n in (1, 2, 3):
-        if len(shapes) >= n:
-            gram = np.full(len(shapes) - n + 1, n, np.uint64)
-            for k in range(n):
-                gram = gram * np.uint64(1009) + shapes[k : len(shapes) - n + 1 + k]
-            values, counts = np.unique(gram, return_counts=True)
-            shares = counts / len(gram)
-            for level, share in enumerate(SHARES):
-                seen.append(mix(values[shares > share] * np.uint64(64) + np.uint64(level + 7)))
-    return np.unique(np.concatenate(seen) % np.uint64(BUCKETS)).astype(np.int64)
+        if len(ids) < n:
+            continue
+        gram = np.full(len(ids) - n + 1, n, np.uint64)
+        for k in range(n):
+            gram = gram * np.uint64(1009) + shapes[k : len(ids) - n + 1 + k]
+        inside = owner[: len(gram)] == owner[n - 1 :]  # within one text; a gram is below 2**33
+        keys, counts = np.unique((owner[: len(gram)] << np.uint64(33) | gram)[inside], return_counts=True)
+        at, values = keys >> np.uint64(33), keys & np.uint64((1 << 33) - 1)
+        shares = counts / (sizes[at.astype(np.int64)] - n + 1)
+        for level, share in enumerate(SHARES):
+            over = shares > share
+            seen.append((at[over], mix(values[over] * np.uint64(64) + np.uint64(level + 7))))
+    seen.append((np.flatnonzero(sizes == 0).astype(np.uint64), np.zeros((sizes == 0).sum(), np.uint64)))
+    found = np.unique(np.concatenate([o << np.uint64(32) | v % np.uint64(BUCKETS) for o, v in seen]))
+    ends = np.cumsum(np.bincount((found >> np.uint64(32)).astype(np.int64), minlength=len(texts)))
+    return (found & np.uint64(BUCKETS - 1)).astype(np.int64), ends
+
+
+def parts_of(texts: list[str], max_chars: int = 1_000_000) -> Iterator[list[str]]:
+    """Runs of texts of about max_chars characters."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        if total and total + len(t) > max_chars:
+            yield texts[start:i]
+            start, total = i, 0
+        total += len(t)
+    if start < len(texts):
+        yield texts[start:]
 
 
 @dataclass
@@ -79,8 +140,14 @@ class Model:
     def margin(self, buckets: np.ndarray) -> float:
         return float(self.weights[buckets].sum() / np.sqrt(len(buckets)) + self.bias)
 
-    def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(indicators(text)) + self.shift, -30, 30))))
+    def scores(self, texts: list[str], known: Words) -> np.ndarray:
+        out = [np.zeros(0)]
+        for part in parts_of(texts):
+            buckets, ends = indicators(part, known)
+            starts = np.append(0, ends[:-1])
+            margins = np.add.reduceat(self.weights[buckets], starts) / np.sqrt(ends - starts) + self.bias
+            out.append(1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -30, 30))))
+        return np.concatenate(out)
 
 
 def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
@@ -175,18 +242,34 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = TRAI
     chosen = {r.doc_id: r.label for r in training_sample(labels, label, ~held_out, rows).collect()}  # at most rows pairs
     sample = F.broadcast(spark.createDataFrame([(int(k),) for k in chosen], "doc_id bigint"))  # at most rows ids
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")).join(sample, "doc_id")
+    # one row of each sampled id: repeats of a row would break the sample's bound
+    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = [indicators(t).astype(np.int32) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f.tobytes() for f in found], pa.binary())], ["doc_id", "buckets"])
-
-    got = {r.doc_id: np.frombuffer(r.buckets, np.int32) for r in texts.mapInArrow(rows_of, "doc_id bigint, buckets binary").collect()}
-    ids = sorted(got, key=lambda i: (zlib.crc32(str(i).encode() + b"order"), i))
+            for part in slices(batch, "text", 1_000_000):
+                buckets, ends = indicators(part.column("text").to_pylist(), known)
+                found = [b.astype(np.int32).tobytes() for b in np.split(buckets, ends[:-1])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends, prepend=0)), pa.array(found, pa.binary())], ["doc_id", "n", "buckets"])
+
+    made = staged(texts.mapInArrow(rows_of, "doc_id bigint, n bigint, buckets binary"), "quality-sample")
+    # very long texts have very many indicators: the sample ends where there are indicators enough
+    order = sorted(((r.doc_id, r.n) for r in made.select("doc_id", "n").collect()), key=lambda r: (zlib.crc32(str(r[0]).encode() + b"order"), r[0]))  # at most rows pairs
+    ids = [i for (i, _), total in zip(order, np.cumsum([n for _, n in order]), strict=True) if total <= TRAINING_INDICATORS]
+    if len(ids) < len(order):
+        made = made.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id bigint")), "doc_id", "left_semi")
+    got = {r.doc_id: np.frombuffer(r.buckets, np.int32) for r in made.collect()}  # at most TRAINING_INDICATORS numbers
+    discard(made)
     return fit([got[i] for i in ids], np.array([chosen[i] for i in ids]))
 
 
+@functools.lru_cache(1)
+def _words() -> Words:
+    """One for each worker process."""
+    return Words()
+
+
 def scorer(model: Model):
     """A column function from text to score."""
     keep = np.flatnonzero(model.weights).astype(np.int32)
@@ -198,8 +281,7 @@ def scorer(model: Model):
 
         weights = np.zeros(BUCKETS)
         weights[packed[0]] = packed[1]
-        own = Model(weights, *packed[2:])
-        return pd.Series([own.score(t) for t in texts], dtype="float64")
+        return pd.Series(Model(weights, *packed[2:]).scores(texts.tolist(), _words()), dtype="float64")
 
     return lambda column: score(column)
 
@@ -207,8 +289,10 @@ def scorer(model: Model):
 def score_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs; learned from labelled rows that are not held out.
 
-    Null and empty texts are scored as the empty text. Repeated rows get a row each. A null doc_id is not held out and
-    never trains. Labels other than 0 and 1 are ignored; without any, every score is 0.5. Other columns are ignored.
+    Null, empty and blank texts are scored as the empty text; very long texts are scored whole. Repeated rows get a row
+    each, but train once, by the greatest of their texts. A null doc_id is not held out and never trains. Labels other
+    than 0 and 1 are ignored; without any, every score is 0.5. Other columns are ignored; an empty table gives an empty
+    result.
     """
     model = train(docs, labels, remainder("doc_id", 4) == 2, rows, "quality", id_col, text_col)
     scored = docs.select(F.col(id_col).alias("doc_id"), scorer(model)(text_of(text_col)).alias("score"))

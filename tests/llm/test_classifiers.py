@@ -2,9 +2,11 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from lumenq.llm import quality, toxicity
 
@@ -67,6 +69,57 @@ def test_labels_of_held_out_rows_change_nothing(spark):
         assert a == b
 
 
+def plain_indicators(text):
+    """The indicators of one text, step by step."""
+    words = text.split()
+    if not words:
+        return [0]
+    mix = lambda x: int(quality.mix(np.array([x % 2**64], np.uint64))[0])
+    hashes = [xxhash.xxh3_64_intdigest(w.encode().lower()) for w in words]
+    lines = [line for line in text.split("\n") if line.strip()]
+    out = {mix(h) for h in hashes} | {mix(b * 31 + a) for a, b in zip(hashes, hashes[1:], strict=False)}
+    out |= {mix(1000 + int(10 * (1 - len(set(lines)) / len(lines)))), mix(2000 + int(10 * len(set(words)) / len(words)))}
+    out |= {mix(3000 + min(12, len(words).bit_length())), mix(4000 + min(12, int(4 * np.log2(1 + len(words) / len(lines))) // 4))}
+    shapes = [2 * quality._shape(w) + (i > 0 and words[i - 1] == w) for i, w in enumerate(words)]
+    for n in (1, 2, 3):
+        grams = [tuple(shapes[i : i + n]) for i in range(len(shapes) - n + 1)]
+        for gram, count in Counter(grams).items():
+            value = n
+            for s in gram:
+                value = value * 1009 + s
+            out |= {mix(value * 64 + level + 7) for level, share in enumerate(quality.SHARES) if count / len(grams) > share}
+    return sorted({v % quality.BUCKETS for v in out})
+
+
+def test_indicators_and_scores_against_plain_ones():
+    texts = [d[1] for d in corpus(60)[0]] + ["", " \n", "one", "one two", "a\na\nb\n\na", "É é ü 12 3! !!! x", "same same same", "q " * 5_000]
+    known = quality.Words()
+    for part in (texts, texts[::-1], [texts[-1]], [""]):
+        buckets, ends = quality.indicators(part, known)
+        assert [b.tolist() for b in np.split(buckets, ends[:-1])] == [plain_indicators(t) for t in part]
+    model = quality.Model(np.random.default_rng(1).normal(size=quality.BUCKETS), 0.1, 1.5, -0.2)
+    for text, score in zip(texts, model.scores(texts, known), strict=True):
+        own = plain_indicators(text)
+        margin = sum(model.weights[b] for b in own) / len(own) ** 0.5 + 0.1
+        assert abs(score - 1 / (1 + np.exp(-(1.5 * margin - 0.2)))) < 1e-9
+    assert len(model.scores([], known)) == 0
+
+
+def test_words_are_forgotten_beyond_the_bound(monkeypatch):
+    monkeypatch.setattr(quality, "MEMO_WORDS", 5)
+    known = quality.Words()
+    for text in ("a b c d e f g", "h a b", "g h a"):
+        buckets, _ = quality.indicators([text], known)
+        assert buckets.tolist() == plain_indicators(text)
+
+
+def test_the_sample_ends_with_its_indicators(spark, monkeypatch):
+    docs, labels = corpus(60)
+    monkeypatch.setattr(quality, "TRAINING_INDICATORS", 6_000)
+    got = quality.score_quality(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert got.count() == 60
+
+
 def test_dual_coordinate_descent_is_optimal():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 30, 6)) for _ in range(60)]
