@@ -147,7 +147,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digest_bits: leading bits of the digest that key the index; fewer only to provoke collisions in tests.
     """
     norm = normalised(text_col)
-    sha = F.unhex(F.sha2(norm, 256))
+    # never null, so that joins by it need no filter that would digest every text once more
+    sha = F.coalesce(F.unhex(F.sha2(norm, 256)), F.lit(b""))
     # a digest of fewer bits: these bits, then zeros
     key = sha if digest_bits == 256 else F.unhex(F.rpad(F.lpad(F.hex(F.shiftleft(F.shiftright(F.conv(F.hex(F.substring(sha, 1, 4)), 16, 10).cast("bigint"), 32 - digest_bits), 32 - digest_bits)), 8, "0"), 64, "0"))
     record = [F.char_length(text_of(text_col)).cast("bigint").alias("n_points"), F.col(id_col).cast("bigint").alias("doc_id"), text_key(text_col).alias("text_key")]
