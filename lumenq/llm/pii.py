@@ -19,8 +19,8 @@ KEY = "demonstration key"
 ROUNDS = 8
 #: The formats, tried in this order at each place.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}"
-SECRET = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])"
+EMAIL = r"(?:(?<![A-Za-z0-9._%+\-])|\G)[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}"
+SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]{32})[0-9a-fA-F]{32,128}+(?![0-9A-Za-z])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 ISO_DATE = r"(?<![0-9\-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9\-])"
 DAY_DATE = r"(?<![0-9./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9/]|\.[0-9])"
@@ -30,9 +30,11 @@ SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 CARD = r"(?<![0-9A-Za-z])(?=[0-9](?:[ \-]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ \-][0-9]++(?![A-Za-z]))*+"
 PHONE = (
     r"(?<![0-9A-Za-z])(?:\+[0-9]{7,15}(?![0-9A-Za-z])|\+[0-9](?:[ .\-]?[0-9]){6,14}(?![0-9A-Za-z])|\+[0-9]{1,3}[ .\-]?\([0-9]\)(?:[ .\-]?[0-9]){5,11}(?![0-9A-Za-z])"
+    r"|0[0-9]{1,4}[ .\-/][0-9]{5,9}(?![0-9A-Za-z])"
     r"|(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{1,4}\)[ .\-]?|[0-9]{2,4}[ .\-])[0-9]{2,4}(?:[ .\-][0-9]{2,4}){1,3}(?![0-9A-Za-z]))"
 )
-PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, ISO_DATE, DAY_DATE, IP, SSN, CARD, PHONE))
+#: The last six begin with a digit, + or (, so that most places of a text are passed by one look.
+PATTERN = f"(?:{EMAIL})|(?:{SECRET})|(?:{IBAN})|(?=[0-9+(])(?:" + "|".join(f"(?:{p})" for p in (ISO_DATE, DAY_DATE, IP, SSN, CARD, PHONE)) + ")"
 #: What may stand in a run beside cards.
 BESIDE = "|".join(f"(?:{p})" for p in (ISO_DATE, SSN, PHONE))
 _RUN = r"[0-9][0-9 \-]*"
@@ -95,11 +97,12 @@ def _only_digits(value: Column) -> Column:
 
 def luhn_sum(digits: Column) -> Column:
     """Luhn sum of digits whose last one is not doubled."""
-    return F.aggregate(
-        F.split(F.reverse(digits), ""),
-        F.struct(F.lit(0).alias("total"), F.lit(0).alias("i")),
-        lambda s, c: F.struct((s.total + F.when(s.i % 2 == 0, F.coalesce(F.try_to_number(c, F.lit("9")).cast("int"), F.lit(0))).otherwise(F.element_at(F.array(*[F.lit(v) for v in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]), F.coalesce(F.try_to_number(c, F.lit("9")).cast("int"), F.lit(0)) + 1))).alias("total"), (s.i + 1).alias("i")),
-    ).total
+
+    def add(s: Column, c: Column) -> Column:
+        value = F.when(c == "", 0).otherwise((F.ascii(c) - 48) * F.when(s.i % 2 == 0, 1).otherwise(2))
+        return F.struct((s.total + F.when(value > 9, value - 9).otherwise(value)).alias("total"), (s.i + 1).alias("i"))
+
+    return F.aggregate(F.split(F.reverse(digits), ""), F.struct(F.lit(0).alias("total"), F.lit(0).alias("i")), add).total
 
 
 def _card(value: Column, key: str) -> Column:
@@ -174,7 +177,7 @@ def _date(value: Column, date: Column, form: str, key: str, late: bool = False)
 def pseudonym(value: Column, key: str = KEY) -> Column:
     """The pseudonym of a match of PATTERN; null if it fails its validation and is to stay as it is."""
     lead = lambda p: value.rlike(f"^(?:{p})$")
-    email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(value)), 256), 1, 12), F.lit("@"), F.substring_index(value, "@", -1))
+    email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(value)), 256), 1, 32), F.lit("@"), F.substring_index(value, "@", -1))
     hexes = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"secret {i}"), value), 256) for i in (0, 1)]).substr(F.lit(1), F.length(value))
     separator = value.substr(3, 1)
     dots = F.when((separator == ".") & (value.substr(6, 1) == "."), _date(value, F.try_to_date(value, "dd.MM.yyyy"), "dd.MM.yyyy", key))
@@ -185,21 +188,34 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
         F.when(F.contains(value, F.lit("@")), email)
         .when(lead(r"[0-9a-fA-F]{32,128}"), hexes)
         .when(lead(r"[A-Z]{2}[0-9].*"), F.when(_iban_valid(value), _iban(value, key)))
-        .when(lead(r"[0-9]{4}-[0-9]{2}-[0-9]{2}"), _date(value, F.try_to_date(value, "yyyy-MM-dd"), "yyyy-MM-dd", key))
         .when(lead(r"[0-9]{2}[./][0-9]{2}[./][0-9]{4}"), F.coalesce(dots, slashes))
         .when(lead(rf"{_OCTET}(?:\.{_OCTET}){{3}}"), _ip(value, key))
-        .when(lead(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), F.when(_ssn_valid(value), _ssn(value, key)))
+        .otherwise(_beside(value, key))
+    )
+
+
+def _beside(value: Column, key: str) -> Column:
+    """The pseudonym of a match of BESIDE: an ISO date, a social security number or a phone number."""
+    return (
+        F.when(value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), _date(value, F.try_to_date(value, "yyyy-MM-dd"), "yyyy-MM-dd", key))
+        .when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(_ssn_valid(value), _ssn(value, key)))
         .when(F.length(_only_digits(value)).between(7, 15), _phone(value, key))
     )
 
 
 def _replaced(text: Column, pattern: str, replace) -> Column:
     """struct(text, n): text with its matches of pattern replaced by replace, a Column function that gives such structs too."""
-    new = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), replace)
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("rest"), new.alias("hit"))
-    # opened once, by transform, so that the matches are replaced once
-    whole = F.transform(F.array(parts), lambda ps: F.struct(F.array_join(F.transform(ps, lambda p: F.concat(F.coalesce(p["rest"], F.lit("")), F.coalesce(p["hit"]["text"], F.lit("")))), "").alias("text"), F.aggregate(ps, F.lit(0).cast("bigint"), lambda n, p: n + F.coalesce(p["hit"]["n"], F.lit(0))).alias("n")))
-    return F.element_at(whole, 1)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def joined(ps: Column) -> Column:
+        return F.struct(F.array_join(F.transform(ps, lambda p: F.concat(F.coalesce(p["rest"], F.lit("")), F.coalesce(p["hit"]["text"], F.lit("")))), "").alias("text"), F.aggregate(ps, F.lit(0).cast("bigint"), lambda n, p: n + F.coalesce(p["hit"]["n"], F.lit(0))).alias("n"))
+
+    def put_together(found: Column) -> Column:
+        parts = F.arrays_zip(F.split(text, pattern, -1).alias("rest"), F.transform(found, replace).alias("hit"))
+        return F.when(F.size(found) == 0, F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("n"))).otherwise(F.element_at(F.transform(F.array(parts), joined), 1))
+
+    # opened by transform, so that the matches are found once and replaced once, and only texts that have some are cut
+    return F.element_at(F.transform(F.array(hits), put_together), 1)
 
 
 def _or_as_it_is(value: Column, new: Column) -> Column:
@@ -226,7 +242,7 @@ def _cards_of(value: Column, key: str) -> Column:
         return F.aggregate(F.sequence(F.lit(0), F.size(gs) - 1), F.struct(F.lit("").alias("out"), F.lit(0).alias("next")), step).out
 
     def part(p: Column, i: Column) -> Column:
-        return F.when(i % 2 == 1, _or_as_it_is(p, _card(p, key))).otherwise(_replaced(p, BESIDE, lambda v: _or_as_it_is(v, pseudonym(v, key))))
+        return F.when(i % 2 == 1, _or_as_it_is(p, _card(p, key))).otherwise(_replaced(p, BESIDE, lambda v: _or_as_it_is(v, _beside(v, key))))
 
     def put_together(parts: Column) -> Column:
         stays = (F.size(parts) == 1) & (F.length(_only_digits(value)) <= 19)
@@ -252,7 +268,7 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
 def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, n_found of every row of docs.
 
-    Null and empty texts give an empty text and 0. Repeated rows get a row each; a null doc_id keeps its row. What only
+    Null and empty texts give an empty text and 0; very long texts are read whole. Repeated rows get a row each; a null doc_id keeps its row. What only
     looks like a number or date and fails validation stays. Other columns are ignored; an empty table gives an empty
     result.
     """
