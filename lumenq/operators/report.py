@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lumenq.config import DATASETS, MODEL_IDS, STRATEGIES
 from lumenq.operators.metrics import METRICS
+from lumenq.operators.prefix import prefix_max
+from lumenq.staging import staged
 
 C = F.col
 # Titles that differ from the dataset's name.
@@ -95,11 +97,13 @@ def pareto(points: DataFrame, x: str = "x", y: str = "y", key: str = "id", group
     """points with on_front: nothing has as little x and as much y, of equal ones the first by key.
 
     A point is on the front if its y exceeds every y before it in the order of x, falling y and key. Points are first
-    cut to the best of each x, so that the window sees distinct x values only.
+    cut to the best of each x; the greatest y before is then found in blocks of x, so no window holds a whole group.
+    Points without x or y are not on the front.
     """
-    best = points.groupBy(*group, x).agg(F.max_by(F.struct(C(key).alias("__key"), C(y).alias("__y")), F.struct(C(y), -C(key))).alias("__b"))
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("__above", F.max("__b.__y").over(w)).where(C("__above").isNull() | (C("__b.__y") > C("__above"))).select(*group, C("__b.__key").alias(key), F.lit(True).alias("__on"))
+    placed = points.where(C(x).isNotNull() & C(y).isNotNull())
+    best = placed.groupBy(*group, x).agg(F.max_by(F.struct(C(key).alias("__key"), C(y).alias("__y")), F.struct(C(y), -C(key))).alias("__b")).select(*group, C(x).alias("__x"), "__b.*")
+    above = prefix_max(staged(best, "best-points"), list(group), "__x", "__y")
+    front = above.where(C("__y_before").isNull() | (C("__y") > C("__y_before"))).select(*group, C("__key").alias(key), F.lit(True).alias("__on"))
     return points.join(front, [*group, key], "left").withColumn("on_front", F.coalesce("__on", F.lit(False))).drop("__on")
 
 

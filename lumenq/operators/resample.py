@@ -41,21 +41,52 @@ def resamples(scores: DataFrame, reps: int, seed: int = 0, keys: Sequence[str] =
     return draws.join(placed.select(*keys, "pos", "y", "s"), [*keys, "pos"]).select(*keys, "rep", F.col("draw").alias("id"), "y", "s")
 
 
-def generator_draws(spark: SparkSession, n: int, reps: int, seed: int = 0) -> DataFrame:
+def _raw_words(seed: int, first: int, count: int) -> np.ndarray:
+    """Words first to first + count of the generator's stream of 32-bit words; first and count are even."""
+    bits = np.random.PCG64(np.random.SeedSequence(seed))
+    bits.advance(first // 2)
+    return bits.random_raw(count // 2).astype("<u8").view("<u4")  # the low half of each number comes first
+
+
+def generator_draws(spark: SparkSession, n: int, reps: int, seed: int = 0, slice_words: int = 1 << 20) -> DataFrame:
     """(rep, draw, pos) by numpy's PCG64 generator, one stream for all reps in order: the draws a numpy program makes.
 
-    A task jumps to its reps by drawing the ones before it; n x reps numbers are never in one place.
+    A draw below n takes a 32-bit word by Lemire's method, which refuses some words; whether a word is refused depends
+    on it alone. So tasks jump into the stream: one pass counts the words that slices of it accept, one pass gives them
+    their places. The work is linear in n x reps, and a task holds a slice. n is below 2**32.
     """
+    if not 0 < n < 1 << 32:
+        raise ValueError(f"{n} positions")
+    result = "rep bigint, draw bigint, pos bigint"
+    if n == 1:  # nothing to draw
+        return spark.range(reps).select(F.col("id").alias("rep"), F.lit(0).cast("bigint").alias("draw"), F.lit(0).cast("bigint").alias("pos"))
+    total, refused = n * reps, ((1 << 32) - n) % n
+
+    def accepted(k: int) -> np.ndarray:
+        product = _raw_words(seed, k * slice_words, slice_words).astype(np.uint64) * np.uint64(n)
+        return (product >> np.uint64(32))[(product & np.uint64(0xFFFFFFFF)) >= np.uint64(refused)]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(accepted(k)) for k in ids], pa.int64())], ["id", "n"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rep in batch.column("id").to_pylist():
-                rng = np.random.default_rng(seed)
-                for _ in range(rep + 1):
-                    drawn = rng.integers(0, n, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep, np.int64)), pa.array(np.arange(n)), pa.array(drawn)], ["rep", "draw", "pos"])
-
-    return spark.range(reps).mapInArrow(rows, "rep bigint, draw bigint, pos bigint")
+            for k, before in zip(batch.column("id").to_pylist(), batch.column("before").to_pylist(), strict=True):
+                drawn = accepted(k)[: max(0, total - before)].astype(np.int64)
+                at = np.arange(before, before + len(drawn))
+                yield pa.RecordBatch.from_arrays([pa.array(at // n), pa.array(at % n), pa.array(drawn)], ["rep", "draw", "pos"])
+
+    # a word is accepted with a chance of at least one half: slices enough, and one more for the last
+    share = 1 - refused / (1 << 32)
+    slices = int(total / share / slice_words * 1.02) + 2
+    counts = sorted((r.id, r.n) for r in spark.range(slices).mapInArrow(counted, "id bigint, n bigint").collect())  # two numbers a slice
+    ends = np.cumsum([c for _, c in counts])
+    if not len(ends) or ends[-1] < total:
+        raise RuntimeError("the generator's slices hold too few words")
+    begun = [(int(k), int(end - c)) for (k, c), end in zip(counts, ends, strict=True) if end - c < total]
+    return spark.createDataFrame(begun, "id bigint, before bigint").repartition(min(len(begun), 4096), "id").mapInArrow(rows, result)
 
 
 def percentile_interval(value: Column, confidence: float = CONFIDENCE) -> tuple[Column, Column]:
@@ -136,7 +167,9 @@ def kfold_splits(ids: DataFrame, k: int, n_train: int, seed: int = 42, id_col: s
     in_fold = lambda before: F.floor((F.col("__start") + before - 1 - F.col("fold")) / k) - F.floor((F.col("__start") - 1 - F.col("fold")) / k)
     is_test = F.pmod(F.col("__start") + F.col("place"), F.lit(k)) == F.col("fold")
     # The rest of a fold: classes are interleaved by the share of themselves that has passed, and the first n_train train.
-    share = (F.col("place") - in_fold(F.col("place")) + 0.5) / (F.col("__size") - in_fold(F.col("__size"))) + F.lit(1e-9) * F.col("__class")
+    share = (F.col("place") - in_fold(F.col("place")) + 0.5) / (F.col("__size") - in_fold(F.col("__size")))
+    # 52 bits of the share, then the class: distinct for classes of up to 2**51 rows
+    share = (share * F.lit(float(1 << 52))).cast("decimal(20,0)") * F.lit(1 << 16).cast("decimal(10,0)") + F.col("__class")
     rest = dealt.where(~is_test).select("fold", "id", share.alias("__share"), F.lit(1).cast("bigint").alias("__one"))
     trained = prefix_sums(rest, ["fold"], "__share", ["__one"]).select("fold", F.when(F.col("__one_before") < n_train, "train").otherwise("val").alias("role"), "id")
     return dealt.where(is_test).select("fold", F.lit("test").alias("role"), "id").unionByName(trained)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lumenq.backends import EntailmentScorer
 from lumenq.functions.text import is_valid_text
 from lumenq.operators.graph import MAX_ITEMS, sampling_features, scored_pairs
+from lumenq.staging import staged
 
 #: Steps of a random scope, and how many are drawn.
 RANDOM_STEPS, RANDOM_SCOPES = 20, 5
@@ -182,18 +183,50 @@ def mmd2(points: DataFrame, unbiased: bool = False, gamma: float | None = None,
     """mmd2 between the points of side x and side y: mean k(x, x) + mean k(y, y) - 2 mean k(x, y); NaN without pairs.
 
     unbiased leaves out pairs of one trajectory (owner) within a side. The linear kernel (gamma None) needs no pairs:
-    its means follow from vector sums by owner, so the work is linear in the points. With gamma, k = exp(-gamma d^2).
+    its means follow from vector sums by owner, so the work is linear in the points. With gamma, k = exp(-gamma d^2),
+    which is defined over all pairs: they are summed up block against block, a task holding two blocks of points.
     """
-    if gamma is None:
-        return _linear_mmd2(points, unbiased, vector, group, owner)
-    a = points.select(F.col(group).alias("ga"), F.col(owner).alias("oa"), F.col(vector).alias("va"), F.lit(0).alias("__k"))
-    b = points.select(F.col(group).alias("gb"), F.col(owner).alias("ob"), F.col(vector).alias("vb"), F.lit(0).alias("__k"))
-    squared = F.aggregate(F.zip_with("va", "vb", lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    keep = (F.col("ga") != F.col("gb")) | (F.col("oa") != F.col("ob")) if unbiased else F.lit(True)
-    kernel = F.exp(-F.lit(gamma) * squared)
-    block = lambda g, h: F.avg(F.when((F.col("ga") == g) & (F.col("gb") == h), kernel))
-    means = a.join(b, "__k").where(keep).agg(block("x", "x").alias("xx"), block("y", "y").alias("yy"), block("x", "y").alias("xy"))
-    return means.select(F.coalesce(F.col("xx") + F.col("yy") - 2 * F.col("xy"), F.lit(float("nan"))).alias("mmd2"))
+    return _linear_mmd2(points, unbiased, vector, group, owner) if gamma is None else _blocked_mmd2(points, unbiased, gamma, vector, group, owner)
+
+
+#: Points of a block, and so the kernel values that a task holds at a time: their square.
+BLOCK_POINTS = 2_000
+
+
+def _blocked_mmd2(points: DataFrame, unbiased: bool, gamma: float, vector: str, group: str, owner: str) -> DataFrame:
+    """Points are packed to a row for each block of a side, blocks meet in a table of tasks, and tasks give partial sums."""
+    known = points.where(F.col(group).isin("x", "y")).select(F.col(group).alias("g"), F.xxhash64(owner).alias("o"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
+    known = staged(known, "mmd-points")
+    sizes = known.groupBy("g").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_POINTS).cast("int"))  # two rows at most
+    # dealt by a hash that tells repeats of a point apart, so that a block is bounded but for chance
+    dealt = known.withColumn("h", F.xxhash64("o", "v", F.monotonically_increasing_id())).join(F.broadcast(sizes), "g")
+    packed = dealt.groupBy("g", F.pmod("h", "blocks").cast("int").alias("block")).agg(F.collect_list(F.struct("o", "v")).alias("points"))
+    packed = staged(packed, "mmd-blocks")
+    ids = packed.select("g", "block")
+    # a block meets itself, the later ones of its side, and for x all of y
+    ends = packed.select(F.col("g").alias("g2"), F.col("block").alias("b2"), F.col("points").alias("points2"))
+    many = sizes.select("g", "blocks")
+    per = F.broadcast(many.groupBy().agg(F.max(F.when(F.col("g") == "x", F.col("blocks"))).alias("nx"), F.max(F.when(F.col("g") == "y", F.col("blocks"))).alias("ny")))  # one row
+    to = lambda side, start, n: F.when(F.coalesce(n, F.lit(0)) > start, F.transform(F.sequence(start, n - 1), lambda k: F.struct(F.lit(side).alias("g2"), k.alias("b2")))).otherwise(F.array().cast("array<struct<g2:string,b2:int>>"))
+    tasks = ids.join(per).select("g", "block", F.explode(F.when(F.col("g") == "x", F.concat(to("x", F.col("block"), F.col("nx")), to("y", F.lit(0), F.col("ny")))).otherwise(to("y", F.col("block"), F.col("ny")))).alias("t")).select("g", "block", "t.*")
+    met = tasks.join(packed, ["g", "block"]).join(ends, ["g2", "b2"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                a, b = (one.column(c).flatten() for c in ("points", "points2"))
+                matrix = lambda side: np.array(side.field("v").to_pylist(), np.float64)
+                va, vb, oa, ob = matrix(a), matrix(b), a.field("o").to_numpy(), b.field("o").to_numpy()
+                kernel = np.exp(-gamma * np.maximum((va**2).sum(1)[:, None] + (vb**2).sum(1)[None] - 2 * va @ vb.T, 0))
+                g, g2 = one.column("g")[0].as_py(), one.column("g2")[0].as_py()
+                keep = np.ones(kernel.shape, bool) if g != g2 or not unbiased else oa[:, None] != ob[None]
+                twice = 2 if g == g2 and one.column("block")[0].as_py() != one.column("b2")[0].as_py() else 1
+                yield pa.RecordBatch.from_arrays([pa.array([g + g2]), pa.array([twice * float(kernel[keep].sum())]), pa.array([twice * int(keep.sum())], pa.int64())], ["sides", "k", "n"])
+
+    partial = met.mapInArrow(sums, "sides string, k double, n bigint")
+    mean = lambda sides: F.try_divide(F.sum(F.when(F.col("sides") == sides, F.col("k"))), F.sum(F.when(F.col("sides") == sides, F.col("n"))))
+    return partial.agg(F.coalesce(mean("xx") + mean("yy") - 2 * mean("xy"), F.lit(float("nan"))).alias("mmd2"))
 
 
 def _linear_mmd2(points: DataFrame, unbiased: bool, vector: str, group: str, owner: str) -> DataFrame:
@@ -231,17 +264,20 @@ def kernel_matrices(embeddings: np.ndarray, kernel: str = "linear", gamma: float
     A_V = C - A_U, which is 0 for one trajectory. All are symmetric.
     """
     n, t, _ = embeddings.shape
-    flat = embeddings.reshape(n * t, -1).astype(float)
-    if kernel == "linear":
-        k = flat @ flat.T
-    elif kernel == "rbf":
-        sq = (flat**2).sum(1)
-        k = np.exp(-gamma * np.maximum(sq[:, None] + sq[None] - 2 * flat @ flat.T, 0))
-    else:
+    if kernel not in ("linear", "rbf"):
         raise ValueError(f"unknown kernel {kernel}")
-    blocks = k.reshape(n, t, n, t)
-    own = np.einsum("iaib->ab", blocks) / n
-    other = (blocks.sum((0, 2)) - n * own) / (n * (n - 1)) if n > 1 else own
+    flat = embeddings.reshape(n * t, -1).astype(float)
+    sq = (flat**2).sum(1)
+    own, other = np.zeros((t, t)), np.zeros((t, t))
+    for i in range(n):  # a trajectory against all: t x (n t) values at a time
+        k = flat[i * t : (i + 1) * t] @ flat.T
+        if kernel == "rbf":
+            k = np.exp(-gamma * np.maximum(sq[i * t : (i + 1) * t, None] + sq[None] - 2 * k, 0))
+        k = k.reshape(t, n, t)
+        own += k[:, i]
+        other += k.sum(1) - k[:, i]
+    own /= n
+    other = other / (n * (n - 1)) if n > 1 else own
     sym = lambda m: (m + m.T) / 2
     return sym(own - other), sym(other), sym(own)
 

@@ -170,6 +170,31 @@ def test_mmd(spark):
     assert trajectory.finite_mean_std([1, 3, math.nan]) == (2.0, 1.0, 2) and math.isnan(trajectory.finite_mean_std([])[0])
 
 
+def test_mmd_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(trajectory, "BLOCK_POINTS", 7)
+    rng = np.random.default_rng(8)
+    points = [("x" if i % 3 else "y", i // 4, rng.normal(size=4).tolist()) for i in range(60)] + [("x", 1, [0.0] * 4)] * 3
+    df = spark.createDataFrame(points, "side string, owner int, embedding array<double>")
+    kernel = lambda a, b: np.exp(-0.3 * sum((p - q) ** 2 for p, q in zip(a, b, strict=True)))
+    for unbiased in (False, True):
+        mean = lambda g, h, u=unbiased: np.mean([kernel(a, b) for s, o, a in points if s == g for t, p, b in points if t == h and not (u and g == h and o == p)])
+        want = mean("x", "x") + mean("y", "y") - 2 * mean("x", "y")
+        assert abs(trajectory.mmd2(df, unbiased, 0.3).first()[0] - want) < 1e-9
+    assert math.isnan(trajectory.mmd2(df.where("side = 'x'"), False, 0.3).first()[0])
+    assert math.isnan(trajectory.mmd2(df.where("side = 'y'"), False, 0.3).first()[0])
+
+
+def test_kernel_matrices_against_whole_kernels():
+    e = np.random.default_rng(2).normal(size=(5, 3, 4))
+    flat = e.reshape(15, 4)
+    for kernel, k in (("linear", flat @ flat.T), ("rbf", np.exp(-((flat[:, None] - flat[None]) ** 2).sum(2)))):
+        blocks = k.reshape(5, 3, 5, 3)
+        own = sum(blocks[i, :, i] for i in range(5)) / 5
+        other = sum(blocks[i, :, j] for i in range(5) for j in range(5) if i != j) / 20
+        v, u, c = trajectory.kernel_matrices(e, kernel)
+        assert np.allclose(u, (other + other.T) / 2) and np.allclose(c, own) and np.allclose(v, c - u)
+
+
 def test_kernel_matrices_and_weights():
     rng = np.random.default_rng(2)
     v, u, c = trajectory.kernel_matrices(rng.normal(size=(4, 3, 5)), "rbf")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenq.operators import metrics, resample
+from lumenq.operators import prefix, report
 from lumenq.operators.prefix import prefix_sums
 
 
@@ -76,8 +77,9 @@ def test_symmetry_and_bounds(spark):
     assert all(0 <= r.ece <= 1 and 0 <= r.brier <= 1 for r in got.values())
 
 
-@pytest.mark.parametrize("blocks", [1, 2, 32])
-def test_prefix_sums(spark, blocks):
+@pytest.mark.parametrize("blocks", [1, 2, 32, None])
+def test_prefix_sums(spark, blocks, monkeypatch):
+    monkeypatch.setattr(prefix, "ROWS_A_BLOCK", 70)
     rng = np.random.default_rng(3)
     rows = [(k, int(o), int(v)) for k in ("x", None) for o, v in zip(rng.permutation(300), rng.integers(0, 9, 300), strict=True)]
     got = prefix_sums(spark.createDataFrame(rows, "k string, o bigint, v bigint"), ["k"], "o", ["v"], blocks).collect()
@@ -86,6 +88,28 @@ def test_prefix_sums(spark, blocks):
         assert [r.v_before for r in own] == [0, *itertools.accumulate(r.v for r in own)][:-1]
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_prefix_max_and_fronts(spark, keys, monkeypatch):
+    monkeypatch.setattr(prefix, "ROWS_A_BLOCK", 40)
+    rng = np.random.default_rng(5)
+    rows = [(k, int(i) + 500 * (k == "y"), float(x), int(y)) for k in ("x", "y") for i, x, y in zip(range(300), rng.integers(0, 90, 300), rng.integers(0, 50, 300), strict=True)]
+    df = spark.createDataFrame(rows, "k string, id bigint, x double, y int")
+    front = {r.id for r in report.pareto(df, group=keys).where("on_front").collect()}
+    want = set()
+    for part in ([[r for r in rows if r[0] == k] for k in ("x", "y")] if keys else [rows]):
+        best = None
+        for _, i, _, y in sorted(part, key=lambda r: (r[2], -r[3], r[1])):
+            if best is None or y > best:
+                want.add(i)
+                best = y
+    assert front == want
+    distinct = df.dropDuplicates(["x", *keys])
+    got = prefix.prefix_max(distinct, keys, "x", "y").collect()
+    for r in got:
+        before = [o.y for o in got if o.x < r.x and (not keys or o.k == r.k)]
+        assert r.y_before == (max(before) if before else None)
+
+
 def wide(spark):
     rows = [(str(i), None if i == 0 else i % 3 > 0, 5 + i, float(i) if i != 4 else None, float(-i), float(i % 2), float(i % 3)) for i in range(30)]
     return spark.createDataFrame(rows, "prompt_id string, is_correct boolean, n_visible_tokens int, msp double, `se-marginal` double, `random-0-ecc` double, `random-1-ecc` double")
@@ -124,6 +148,23 @@ def test_generator_draws_are_numpys(spark):
     assert [r.pos for r in got] == np.concatenate([rng.integers(0, 7, 7) for _ in range(3)]).tolist()
 
 
+@pytest.mark.parametrize("n,reps,slice_words", [(1, 4, 16), (2, 9, 4), (1000, 40, 128), (50_001, 3, 4096), (1 << 16, 2, 1 << 14)])
+def test_generator_draws_by_slices(spark, n, reps, slice_words):
+    got = resample.generator_draws(spark, n, reps, 11, slice_words).orderBy("rep", "draw").toPandas()
+    rng = np.random.default_rng(11)
+    assert got.pos.tolist() == np.concatenate([rng.integers(0, n, n) for _ in range(reps)]).tolist()
+    assert got.rep.tolist() == np.repeat(np.arange(reps), n).tolist()
+
+
+def test_refused_words_are_those_of_numpy():
+    n = 3_000_000_011  # three words in ten are refused
+    words, kept = resample._raw_words(3, 0, 4000), []
+    for w in words.tolist():
+        if w * n % 2**32 >= (2**32 - n) % n:
+            kept.append(w * n >> 32)
+    assert kept[:2000] == np.random.default_rng(3).integers(0, n, 2000).tolist()
+
+
 def test_aggregate_folds(spark):
     rows = [("baseline", "f", "auroc", 0, 0.5), ("baseline", "f", "auroc", 2, 0.7), ("baseline", "f", "auroc", 1, float("nan")), ("baseline", "g", "auroc", 0, None)]
     got = resample.aggregate_folds(spark.createDataFrame(rows, "section string, feature string, metric string, fold int, value double")).collect()

@@ -26,7 +26,7 @@ def test_largest_working():
 
 def test_timed_and_overhead(spark):
     seconds, rows = timing.timed(spark.range, 3)
-    assert seconds >= 0 and len(rows) == 3
+    assert seconds >= 0 and rows == 3
     profile = spark.createDataFrame([("msp", 1.0, 1.5, 0.1)], "feature string, time_gen_mean double, time_total_mean double, time_total_std double")
     got = timing.with_overhead(profile).withColumn("x", F.lit(1)).first()
     assert got.overhead_mean == 0.5 and got.family == "token"
