@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenq.llm._shared import modest_batches, read_table, slices, text_of
-from lumenq.llm.shingles import Minima, shingle_hashes
+from lumenq.llm.shingles import Minima, distinct, shingle_hashes
 
 MINIMA = 64
 #: Bytes of benchmark text that are searched for in one pass; a larger benchmark takes further passes.
@@ -37,7 +37,7 @@ class Items:
         self.ids, self.sets = [], []
         by_size: dict[int, list[int]] = defaultdict(list)
         for item_id, text in items:
-            own = np.unique(shingle_hashes(text))
+            own = distinct(shingle_hashes(text))
             if len(own):
                 by_size[max(8, 1 << (len(own) - 1).bit_length())].append(len(self.ids))
                 self.ids.append(item_id)
@@ -79,7 +79,7 @@ class Items:
         whole: dict[int, np.ndarray] = {}
         for w, i in sorted(pairs):
             if w not in whole:
-                whole = {w: np.unique(runs[w])}
+                whole = {w: distinct(runs[w])}
             own = self.sets[i]
             at = np.minimum(np.searchsorted(whole[w], own), len(whole[w]) - 1)
             shared = int((whole[w][at] == own).sum())

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lumenq.llm._shared import discard, modest_batches, narrow, partitions_for, read_table, slices, staged, text_key, text_of
 from lumenq.llm.components import connected_components
-from lumenq.llm.shingles import Minima, mix, shared_count, shingle_hashes
+from lumenq.llm.shingles import Minima, distinct, mix, shared_count, shingle_hashes
 
 #: Bands, at least, of so many minima each, and the chance that a pair at the threshold shares none.
 BANDS, ROWS, MISSED = 32, 6, 1e-6
@@ -55,7 +55,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_ba
         salt = np.arange(n_bands, dtype=np.uint64)
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
-                sets = [np.unique(shingle_hashes(t)) for t in part.column("text").to_pylist()]
+                sets = [distinct(shingle_hashes(t)) for t in part.column("text").to_pylist()]
                 sizes = np.array([len(s) for s in sets])
                 full = np.flatnonzero(sizes)
                 bands: list = [[] for _ in sets]
@@ -77,7 +77,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as sorted sets of shingles."""
     for batch in batches:
         for part in slices(batch, "text", 1_000_000):
-            found = [np.unique(shingle_hashes(t)).tobytes() for t in part.column("text").to_pylist()]
+            found = [distinct(shingle_hashes(t)).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("component"), pa.array(found, pa.binary())], ["cid", "component", "shingles"])
 
 

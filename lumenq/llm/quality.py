@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenq.llm._shared import discard, modest_batches, read_table, slices, staged, text_of
-from lumenq.llm.shingles import mix
+from lumenq.llm.shingles import distinct, mix
 
 #: Hash buckets of the indicators, and labelled rows that the model is fitted to at most, taken by a hash of their id.
 BUCKETS = 1 << 18
@@ -88,11 +88,11 @@ def indicators(texts: list[str], known: Words) -> tuple[np.ndarray, np.ndarray]:
 
     filled = np.flatnonzero(sizes)
     lines, kinds = np.array([_line_facts(texts[i]) for i in filled], np.int64).reshape(-1, 2).T
-    pairs = np.unique(owner << np.uint64(32) | ids.astype(np.uint64))
-    distinct = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(texts))[filled] / sizes[filled]
+    pairs = distinct(owner << np.uint64(32) | ids.astype(np.uint64))
+    variety = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(texts))[filled] / sizes[filled]
     again = 1 - kinds / np.maximum(lines, 1)
     bits = np.frexp(sizes[filled].astype(float))[1]
-    whole = [1000 + (10 * again).astype(np.int64), 2000 + (10 * distinct).astype(np.int64), 3000 + np.minimum(12, bits), 4000 + np.minimum(12, (4 * np.log2(1 + sizes[filled] / np.maximum(1, lines))).astype(np.int64) // 4)]
+    whole = [1000 + (10 * again).astype(np.int64), 2000 + (10 * variety).astype(np.int64), 3000 + np.minimum(12, bits), 4000 + np.minimum(12, (4 * np.log2(1 + sizes[filled] / np.maximum(1, lines))).astype(np.int64) // 4)]
     seen += [(filled.astype(np.uint64), mix(w.astype(np.uint64))) for w in whole]
 
     same = np.append(False, (ids[1:] == ids[:-1]) & follows)[: len(ids)]
@@ -104,14 +104,16 @@ def indicators(texts: list[str], known: Words) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n):
             gram = gram * np.uint64(1009) + shapes[k : len(ids) - n + 1 + k]
         inside = owner[: len(gram)] == owner[n - 1 :]  # within one text; a gram is below 2**33
-        keys, counts = np.unique((owner[: len(gram)] << np.uint64(33) | gram)[inside], return_counts=True)
+        keys = np.sort((owner[: len(gram)] << np.uint64(33) | gram)[inside])
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        counts, keys = np.diff(first, append=len(keys)), keys[first]
         at, values = keys >> np.uint64(33), keys & np.uint64((1 << 33) - 1)
         shares = counts / (sizes[at.astype(np.int64)] - n + 1)
         for level, share in enumerate(SHARES):
             over = shares > share
             seen.append((at[over], mix(values[over] * np.uint64(64) + np.uint64(level + 7))))
     seen.append((np.flatnonzero(sizes == 0).astype(np.uint64), np.zeros((sizes == 0).sum(), np.uint64)))
-    found = np.unique(np.concatenate([o << np.uint64(32) | v % np.uint64(BUCKETS) for o, v in seen]))
+    found = distinct(np.concatenate([o << np.uint64(32) | v % np.uint64(BUCKETS) for o, v in seen]))
     ends = np.cumsum(np.bincount((found >> np.uint64(32)).astype(np.int64), minlength=len(texts)))
     return (found & np.uint64(BUCKETS - 1)).astype(np.int64), ends
 
