@@ -10,6 +10,7 @@ margins of rows left out of the training.
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,10 +37,12 @@ THRESHOLD = 0.7
 
 
 def _shape(word: str) -> int:
-    letters = sum(c.isalpha() for c in word)
-    digits = sum(c.isdigit() for c in word)
     tail = word.rstrip("!?.,;:*%$&#|")
     marks = len(word) - len(tail)
+    if tail.isalpha():  # most words: marks are neither letters nor digits
+        letters, digits = len(tail), 0
+    else:
+        letters, digits = sum(map(str.isalpha, tail)), sum(map(str.isdigit, tail))
     case = 0 if not letters else 1 if word.isupper() and letters > 1 else 2 if word[0].isupper() else 3
     kind = 0 if not letters and not digits else 1 if digits > letters else 2
     return ((case * 3 + kind) * 4 + min(marks, 3)) * 6 + min(len(tail) // 3, 5)
@@ -80,7 +83,7 @@ def indicators(texts: list[str], known: Words) -> tuple[np.ndarray, np.ndarray]:
     """
     split = [t.split() for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
-    ids = known([w for words in split for w in words])
+    ids = known(list(itertools.chain.from_iterable(split)))
     owner = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
     follows = owner[1:] == owner[:-1]
     hashes = known.hashes[ids]
