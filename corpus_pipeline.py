@@ -16,6 +16,10 @@ from lumenq.llm import decontaminate, exact_dedup, near_dedup, packing, quality
 from lumenq.llm._shared import keep_rows, read_table, remove, scratch, shared_folder, text_of
 
 
+#: Similarity of near copies: the general rule for stages, since the contract of 85 binds the query op9 alone.
+NEAR_PERCENT = 80
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts 1 for.
 
@@ -37,9 +41,10 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the smallest id, null last.
 
+    Texts whose sets of five-word shingles share 80 percent or more of their union are near copies.
     Texts without words are nobody's copies and stay. Rows equal in id and text fold into one.
     """
-    return keep_rows(docs, near_dedup.near_duplicates(docs))
+    return keep_rows(docs, near_dedup.near_duplicates(docs, NEAR_PERCENT))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
