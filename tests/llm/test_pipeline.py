@@ -15,7 +15,7 @@ def test_run(spark, data):
     scores = {r.doc_id: r.predicted for r in quality.score_quality(docs, spark.read.parquet(f"{data}/labels.parquet")).collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect() if scores[r.doc_id] == 1]
     rows = [r for r in rows if brute_exact(rows)[r[0]][2]]
-    near = brute_near(rows)
+    near = brute_near(rows, 80)
     rows = [r for r in rows if near[r[0]][2]]
     items = [shingles(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     rows = [r for r in rows if not any(100 * len(i & shingles(r[1])) >= 80 * len(i) for i in items if i)]
