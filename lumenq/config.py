@@ -7,12 +7,13 @@ import os
 import random
 from dataclasses import asdict, dataclass
 from itertools import product
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenq.sources import places
+
 # Names, ids and settings that make a run comparable with others of its kind.
 MODEL_IDS = {"LLaDA": "GSAI-ML/LLaDA-8B-Instruct", "LLaDA1.5": "GSAI-ML/LLaDA-1.5"}
 DATASETS = ("triviaqa", "gsm8k", "wmt14_fr_en", "xsum", "samsum", "hotpotqa", "musique")
@@ -148,12 +149,11 @@ def config_grid(spark: SparkSession, models=tuple(MODEL_IDS), datasets=DATASETS,
 
 
 def load_config(path: str) -> dict:
-    return json.loads(Path(path).read_text())
+    return json.loads(places.read_text(path))
 
 
 def save_config(config: dict, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(config, indent=2) + "\n")
+    places.write_text(path, json.dumps(config, indent=2) + "\n")
 
 
 def special_ids(config: dict) -> tuple[list[int], list[int]]:

@@ -127,3 +127,12 @@ def short_answer(x: Column) -> Column:
     line = F.try_element_at(F.filter(F.transform(F.split(strip(x), "\n"), strip), lambda s: s != ""), F.lit(1))
     cut = F.regexp_replace(line, r"(?i)^(?:the\s+)?(?:final\s+)?answer\s*(?:is|:)\s*:?\s*", "")
     return F.regexp_replace(F.regexp_replace(strip(cut), r"\.+$", ""), r"^(-?[0-9]+)\.0+$", "$1")
+
+
+def parse_response(x: Column) -> Column:
+    """The number after the last mark, else the last number of the text, else an empty text; without a trailing ".0"."""
+    number = r"-?[0-9][0-9,]*(?:\.[0-9]+)?"
+    marked = F.try_element_at(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(rf"####\s*({number})"), F.lit(1)), F.lit(-1))
+    last = F.try_element_at(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(rf"({number})"), F.lit(1)), F.lit(-1))
+    found = F.replace(F.coalesce(marked, last, F.lit("")), F.lit(","), F.lit(""))
+    return F.regexp_replace(found, r"^(-?[0-9]+)\.0+$", "$1")

@@ -34,6 +34,13 @@ def block_schedule(length: int, block: int | None, steps: int) -> tuple[int, int
     return blocks, steps // blocks
 
 
+def block_counts(length: Column, block: Column, steps: Column) -> Column:
+    """struct(blocks, steps a block) over a table of configurations, as block_schedule; null where the block does not divide the length."""
+    size = F.coalesce(block, length)
+    blocks = F.when(length % size == 0, F.floor(length / size))
+    return F.when(blocks.isNotNull(), F.struct(blocks.cast("int").alias("blocks"), F.floor(steps / blocks).cast("int").alias("steps")))
+
+
 def masked_sequences(prompts: DataFrame, length: int, mask_id: int, pad_id: int) -> DataFrame:
     """(sample_id, pos, token_id, is_prompt): prompts (sample_id, ids) padded on the left, then length masks."""
     longest = F.broadcast(prompts.agg(F.max(F.size("ids")).alias("__width")))  # one row

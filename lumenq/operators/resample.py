@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenq.operators.metrics import METRICS, evaluate_scores
 from lumenq.operators.prefix import prefix_sums
+from lumenq.sources import places
 from lumenq.staging import staged
 
 CONFIDENCE = 0.95
@@ -178,7 +179,6 @@ def kfold_splits(ids: DataFrame, k: int, n_train: int, seed: int = 42, id_col: s
 def save_splits(splits: DataFrame, path: str, **about) -> None:
     """Folds or splits as one JSON document; ids are collected, as the file holds them all."""
     import json
-    from pathlib import Path
 
     groups: dict = {}
     for r in splits.collect():
@@ -190,16 +190,14 @@ def save_splits(splits: DataFrame, path: str, **about) -> None:
         document |= {"counts": {k: len(v) for k, v in sorted(groups[None].items())}, **roles(groups[None])}
     else:
         document |= {"k": len(groups), "folds": [roles(groups[f]) for f in sorted(groups)]}
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(document, indent=2) + "\n")
+    places.write_text(path, json.dumps(document, indent=2) + "\n")
 
 
 def load_splits(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """(splits, what else the document says) as saved."""
     import json
-    from pathlib import Path
 
-    document = json.loads(Path(path).read_text())
+    document = json.loads(places.read_text(path))
     names = ("train", "val", "test")
     if "folds" in document:
         rows = [(i, role, str(x)) for i, fold in enumerate(document["folds"]) for role in names for x in fold.get(role, [])]

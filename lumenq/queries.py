@@ -911,3 +911,6 @@ def weighted_dissimilarity(spark, sf_dir):
 def feature_families(spark, sf_dir):
     names = spark.createDataFrame([("msp",), ("full-ecc",), ("random-3-se-conditional",), ("weighted-ad",), ("kle-heat",), ("odd",)], "feature string")
     return names.select("feature", features.family(C("feature")).alias("family"), features.group(C("feature")).alias("grp"), features.orientation(C("feature")).alias("direction"))
+
+
+from lumenq import file_queries  # noqa: E402,F401  registers the queries over files and plans

@@ -5,16 +5,15 @@ from __future__ import annotations
 import io
 import json
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenq.operators.metrics import METRICS
 from lumenq.operators.report import latest, model_name, numeric
-from lumenq.sources import schemas
+from lumenq.sources import places, schemas
 
 SKIPPED = ("__pycache__", ".git", ".pytest_cache")
 
@@ -31,11 +30,23 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, number, value) of the lines of text files, numbered from 1 in each file.
+
+    A task reads parts of files, and knows a line's place in its part; the lines of the parts before it come from a
+    count of each part, so long files are numbered without being read by one task.
+    """
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"))
+    parts = text.groupBy("path", "part").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each part of a file
+    return text.join(parts.withColumn("before", before), ["path", "part"]).select("path", (F.col("before") + F.col("at") - F.col("first") + 1).alias("number"), "value")
+
+
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line) of lines that are no JSON object, to find what FAILFAST stopped at."""
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    """(path, number, line) of lines that are no JSON object, to find what FAILFAST stopped at."""
     parsed = F.try_parse_json("value")
-    return text.where((F.trim("value") != "") & (parsed.isNull() | (F.schema_of_variant(parsed).startswith("OBJECT") == F.lit(False)))).select("path", F.col("value").alias("line"))
+    bad = (F.trim("value") != "") & (parsed.isNull() | (F.schema_of_variant(parsed).startswith("OBJECT") == F.lit(False)))
+    return numbered_lines(spark, path).where(bad).select("path", "number", F.col("value").alias("line"))
 
 
 def load_dataset(spark: SparkSession, source: str, split: str = "test", config: str | None = None, schema: str | None = None) -> DataFrame:
@@ -53,7 +64,7 @@ def load_local_dataset(spark: SparkSession, path: str, file_format: str = "jsonl
     """jsonl, or json that holds an array of rows."""
     if file_format not in ("jsonl", "json"):
         raise ValueError(f"unknown file format {file_format}")
-    if "://" not in path and not Path(path).exists():
+    if not places.exists(path):
         raise FileNotFoundError(path)
     if file_format == "jsonl":
         return read_jsonl(spark, path, schema)
@@ -118,13 +129,9 @@ def discover_latency(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def find_files(roots: Iterable[str], name: str, skip: Iterable[str] = SKIPPED) -> list[str]:
-    """Files of a name below the roots, each once, sorted. A listing, no data."""
-    found = set()
-    for root in map(Path, roots):
-        for p in [root] if root.is_file() else root.rglob(name) if root.exists() else []:
-            if p.is_file() and p.name == name and not set(p.parts) & set(skip):
-                found.add(str(p.resolve()))
-    return sorted(found)
+    """Files of a name at or below the roots, each once, sorted. A listing, no data."""
+    found = (places.resolved(p) for root in map(str, roots) for p in places.walk(root) if p.rsplit("/", 1)[-1] == name and not set(p.split("/")) & set(skip))
+    return sorted(set(found))
 
 
 def find_metrics_files(roots: Iterable[str], name: str = "uq_eval_metrics.json") -> list[str]:
@@ -136,18 +143,19 @@ def find_kfold_summaries(roots: Iterable[str], name: str = "kfold_summary.json")
 
 
 def discover_runs(folder: str, answers: str = "answers.jsonl", config: str = "config.json", exclude: Iterable[str] = ()) -> list[str]:
-    """Folders that hold both files, without the excluded names, sorted."""
-    return sorted(str(p.parent) for p in Path(folder).glob(f"*/{answers}") if (p.parent / config).exists() and p.parent.name not in set(exclude))
+    """Folders right below folder that hold both, without the excluded names, sorted. Answers are a file or Spark's folder of them."""
+    runs = {p.rsplit("/", 1)[0] for p in places.walk(str(folder)) if p.endswith(f"/{config}")}
+    return sorted(r for r in runs if r.rsplit("/", 1)[-1] not in set(exclude) and places.resolved(r.rsplit("/", 1)[0]) == places.resolved(str(folder)) and places.exists(f"{r}/{answers}"))
 
 
 def run_config(folder: str, ancestors: bool = False) -> dict:
     """config.json overlaid by metadata.json's run_config, or by metadata.json where it has none; nearest ones if asked."""
     out: dict = {}
-    places = [Path(folder), *Path(folder).resolve().parents] if ancestors else [Path(folder)]
+    around = places.above(str(folder)) if ancestors else [str(folder)]
     for name in ("config.json", "metadata.json"):
-        path = next((p / name for p in places if (p / name).exists()), None)
+        path = next((f"{p}/{name}" for p in around if places.exists(f"{p}/{name}")), None)
         if path:
-            content = json.loads(path.read_text())
+            content = json.loads(places.read_text(path))
             out |= content["run_config"] if name == "metadata.json" and isinstance(content.get("run_config"), dict) else content
     return out
 
@@ -191,7 +199,7 @@ def load_run_results(spark: SparkSession, paths: list[str]) -> DataFrame:
     of = lambda m, *tails: F.coalesce(*[numeric(F.get_json_object("entry", f"$.{t.format(m=m)}")) for t in tails])
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), of(m, "bootstrap.metrics.{m}.mean", "{m}_bootstrap_mean", "{m}").alias("value"), of(m, "bootstrap.metrics.{m}.std", "{m}_bootstrap_std").alias("std")) for m in METRICS]))
     long = both.select("run_dir", "feature", each.alias("e")).where("e.value is not null").select("run_dir", "feature", "e.*")
-    configs = _configs(spark, sorted({str(Path(p).resolve().parent) for p in paths}), False)
+    configs = _configs(spark, sorted({places.resolved(p).rsplit("/", 1)[0] for p in paths}), False)
     return configs.join(head.drop("features", "scores"), "run_dir").join(long, "run_dir", "left")
 
 
@@ -203,7 +211,7 @@ def load_kfold_results(spark: SparkSession, paths: list[str]) -> DataFrame:
     sections = F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.from_json(F.get_json_object("value", f"$.{s}"), "map<string,map<string,string>>").alias("features")) for s in ("baseline", "selection")]))
     rows = text.select("kfold_dir", sections.alias("s")).select("kfold_dir", "s.section", F.explode("s.features").alias("feature", "metrics")).select("kfold_dir", "section", "feature", F.explode("metrics").alias("metric", "entry")).where(F.col("metric").isin(*METRICS))
     rows = rows.select("kfold_dir", F.concat_ws("/", "kfold_dir", "section").alias("run_dir"), "feature", "metric", F.coalesce(numeric(F.get_json_object("entry", "$.mean")), numeric(F.col("entry"))).alias("value"), numeric(F.get_json_object("entry", "$.std")).alias("std")).where("value is not null")
-    folders = sorted({str(Path(p).resolve().parent) for p in paths})
+    folders = sorted({places.resolved(p).rsplit("/", 1)[0] for p in paths})
     folds = [f for d in folders for f in find_files([d], "uq_eval_metrics.json") if "/baseline/" in f]
     schema = "n_correct double, n_examples double, mean_visible_tokens double"
     if folds:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Mapping, Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenq.operators.metrics import METRICS
+from lumenq.sources import places
 
 
 def to_jsonable(x):
@@ -24,8 +24,7 @@ def to_jsonable(x):
 
 def write_json(document, path: str) -> None:
     """A small document, indented; NaN is allowed."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(to_jsonable(document), indent=2) + "\n")
+    places.write_text(path, json.dumps(to_jsonable(document), indent=2) + "\n")
 
 
 def finite_or_fail(df: DataFrame) -> DataFrame:
@@ -86,10 +85,11 @@ def write_metrics_csv(metrics: DataFrame, path: str) -> None:
 
 def _write_rows(head: Sequence[str], rows, path: str) -> None:
     import csv
+    import io
 
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", newline="") as f:
-        csv.writer(f).writerows([head, *rows])
+    text = io.StringIO(newline="")
+    csv.writer(text).writerows([head, *rows])
+    places.write_text(path, text.getvalue())
 
 
 def write_kfold_summary(folds: DataFrame, n_folds: int, path: str, per_fold: Sequence[Mapping] = ()) -> None:
@@ -102,7 +102,7 @@ def write_kfold_summary(folds: DataFrame, n_folds: int, path: str, per_fold: Seq
     width = max([n_folds, *(len(r.per_fold) for r in rows)])
     text = lambda v: "" if v is None or (isinstance(v, float) and math.isnan(v)) else f"{v:.6f}"
     table = [[r.section, r.feature, r.metric, text(r["mean"]), text(r["std"]), *(text(v) for v in r.per_fold), *[""] * (width - len(r.per_fold))] for r in rows]
-    _write_rows(["section", "feature", "metric", "mean", "std", *(f"fold_{i}" for i in range(width))], table, str(Path(path).with_suffix(".csv")))
+    _write_rows(["section", "feature", "metric", "mean", "std", *(f"fold_{i}" for i in range(width))], table, path.removesuffix(".json") + ".csv")
 
 
 def write_workbook(sheets: Mapping[str, DataFrame], path: str) -> str:
@@ -110,7 +110,7 @@ def write_workbook(sheets: Mapping[str, DataFrame], path: str) -> str:
     try:
         from openpyxl import Workbook
     except ImportError:
-        folder = str(Path(path).with_suffix(""))
+        folder = path.removesuffix(".xlsx")
         for name, df in sheets.items():
             rows = df.collect()  # a report matrix
             _write_rows(df.columns, [["" if v is None else v for v in r] for r in rows], f"{folder}/{name}.csv")
