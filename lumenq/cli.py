@@ -1,4 +1,8 @@
-"""Commands over files: gen-configs, build-prompts, generate, label, label-all, features, baseline, evaluate, split, kfold, pipeline, export and report."""
+"""Commands over files: gen-configs, build-prompts, prepare-prompts, generate, label, label-all, features, baseline, evaluate, split, kfold, pipeline, export and report.
+
+Models are given as module:attribute: a backend that generates, a judge (lumenq.backends.Judge) and an entailment scorer
+(lumenq.backends.EntailmentScorer); without a scorer, words in common stand in for entailment.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,17 @@ from lumenq import config
 from lumenq.operators import labeling, prompts, report, resample
 from lumenq.plans import generate, pipeline
 from lumenq.session import build_session
-from lumenq.sources import files, schemas, sinks
+from lumenq.sources import files, places, schemas, sinks
+
+
+#: Stages of the pipeline command in their order.
+STAGES = ("prompts", "generate", "label", "features", "baseline", "split", "kfold", "evaluate", "report")
+
+
+def beside(path: str, name: str = "") -> str:
+    """A name in the folder that holds path."""
+    folder = path.rstrip("/").rpartition("/")[0] or "."
+    return f"{folder}/{name}" if name else folder
 
 
 def parser() -> argparse.ArgumentParser:
@@ -22,11 +36,13 @@ def parser() -> argparse.ArgumentParser:
     add("gen-configs", arg("output"), arg("--datasets", nargs="*", default=list(config.DATASETS)), arg("--models", nargs="*", default=list(config.MODEL_IDS)))
     add("build-prompts", arg("dataset"), arg("source"), arg("output"), arg("--fewshot", type=int, default=0), arg("--questions", type=int, default=1000))
     add("generate", arg("prompts"), arg("output"), arg("--config", required=True), arg("--backend", required=True, help="module:attribute of a model backend"))
-    add("label", arg("answers"), arg("dataset"), arg("--force", action="store_true"))
-    add("label-all", arg("folder"), arg("--exclude", nargs="*", default=()), arg("--force", action="store_true"))
-    add("pipeline", arg("run"), arg("--stages", nargs="*", default=["label", "features", "evaluate"]), arg("--bootstrap", type=int, default=1000))
-    add("features", arg("answers"), arg("output"), arg("--tensors"), arg("--compat", action="store_true"))
-    add("baseline", arg("features"), arg("trajectories"), arg("output"), arg("--full", action="store_true"), arg("--seed", type=int, default=42))
+    add("prepare-prompts", arg("configs", nargs="+"), arg("--sources", required=True, help="folder that holds the data sets"), arg("--output-dir", default="outputs"))
+    judge, scorer = arg("--judge", help="module:attribute of a judge"), arg("--scorer", help="module:attribute of an entailment scorer")
+    add("label", arg("answers"), arg("dataset"), judge, arg("--force", action="store_true"))
+    add("label-all", arg("folder"), judge, arg("--exclude", nargs="*", default=()), arg("--force", action="store_true"))
+    add("pipeline", arg("run"), arg("--stages", nargs="*", choices=STAGES, default=["label", "features", "evaluate"]), arg("--source", help="raw data of the prompts stage"), arg("--backend"), judge, scorer, arg("--trajectories"), arg("--bootstrap", type=int, default=1000), arg("--counts", type=int, nargs=3, default=(10, 30, 40)), arg("--k", type=int, default=5), arg("--train", type=int, default=10), arg("--seed", type=int, default=42))
+    add("features", arg("answers"), arg("output"), arg("--tensors"), scorer, arg("--config", help="folder of config.json with the token ids; the answers' own if not given"), arg("--compat", action="store_true"))
+    add("baseline", arg("features"), arg("trajectories"), arg("output"), scorer, arg("--answers", help="answers whose ambiguous prompts are left out of the order"), arg("--full", action="store_true"), arg("--seed", type=int, default=42))
     add("evaluate", arg("features"), arg("output"), arg("--bootstrap", type=int, default=1000), arg("--seed", type=int, default=0))
     add("split", arg("features"), arg("output"), arg("--counts", type=int, nargs=3, default=(10, 30, 40)), arg("--seed", type=int, default=42))
     add("kfold", arg("features"), arg("output"), arg("--k", type=int, default=5), arg("--train", type=int, default=10), arg("--seed", type=int, default=42))
@@ -35,6 +51,11 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def loaded(name: str | None):
+    """A model by module:attribute; None without a name."""
+    return generate.load_backend(name) if name else None
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = build_session()
@@ -47,39 +68,69 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "build-prompts":
         raw = files.load_local_dataset(spark, a.source, "jsonl", schemas.RAW[a.dataset]).withColumn("ord", F.monotonically_increasing_id())
         sinks.write_prompts(prompts.build_prompts(raw, a.dataset, a.fewshot, a.questions), a.output, "overwrite", text=True)
+    elif a.command == "prepare-prompts":
+        for path in a.configs:
+            own = config.load_config(path)
+            target = f"{a.output_dir}/{own.get('run_id') or config.derive_run_id(own)}/prompts.jsonl"
+            if places.exists(target):
+                print(f"{target}: is there")
+                continue
+            try:
+                known = config.DATASET_SETTINGS[own["dataset"]]
+                source = f"{a.sources}/{known.source}"
+                raw = files.load_local_dataset(spark, source, "jsonl", schemas.RAW[own["dataset"]]) if known.local else files.load_dataset(spark, source, own.get("split") or known.split, known.variant, schemas.RAW[own["dataset"]])
+                made = prompts.build_prompts(raw.withColumn("ord", F.monotonically_increasing_id()), own["dataset"], int(own.get("fewshot_k") or 0), int(own.get("num_questions") or 1000))
+                sinks.write_prompts(made, target, "overwrite")
+                print(f"{target}: written")
+            except Exception as e:  # one configuration that fails does not keep the others from theirs
+                print(f"{path}: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
     elif a.command == "generate":
         own = config.load_config(a.config)
+        config.seed_everything(int(own.get("seed") or 0))
         answers, tensors = generate.generate_answers(files.read_jsonl(spark, a.prompts, schemas.PROMPTS), generate.load_backend(a.backend), own)
         sinks.save_results(answers, tensors, own | {"run_id": config.derive_run_id(own)}, {"backend": a.backend}, a.output, "overwrite")
     elif a.command == "label":
         records = files.read_answers(spark, a.answers)
-        labelled = labeling.label_records(records, a.dataset, force=a.force)
+        labelled = labeling.label_records(records, a.dataset, loaded(a.judge), force=a.force)
         sinks.replace_records(labelled, a.answers)
         print(labeling.label_accuracy(files.read_answers(spark, a.answers)).first())
     elif a.command == "label-all":
-        # runs that are labelled without a judge; judged ones need a backend and are named
         for run in files.discover_runs(a.folder, exclude=a.exclude):
             dataset = files.run_config(run)["dataset"]
-            if config.DATASET_SETTINGS[dataset].label_method == "exact_match":
-                main(["label", f"{run}/answers.jsonl", dataset, *["--force"] * a.force])
+            if a.judge or config.DATASET_SETTINGS[dataset].label_method == "exact_match":
+                main(["label", f"{run}/answers.jsonl", dataset, *(["--judge", a.judge] if a.judge else []), *["--force"] * a.force])
             else:
                 print(f"{run}: needs a judge")
     elif a.command == "pipeline":
-        own = files.run_config(a.run)
-        steps = {
-            "label": ["label", f"{a.run}/answers.jsonl", own.get("dataset", "gsm8k")],
-            "features": ["features", f"{a.run}/answers.jsonl", f"{a.run}/uq_features.jsonl", *(["--tensors", a.run] if files.find_files([a.run], "topk_logprobs.npz") else [])],
-            "evaluate": ["evaluate", f"{a.run}/uq_features.jsonl", a.run, "--bootstrap", str(a.bootstrap)],
-        }
+        own = files.run_config(a.run) if places.exists(f"{a.run}/config.json") else {}
+        config.seed_everything(a.seed)
+        dataset, features, base = own.get("dataset", "gsm8k"), f"{a.run}/uq_features.jsonl", f"{a.run}/baseline_features.jsonl"
+        model = lambda name, value: [f"--{name}", value] if value else []
         for stage in a.stages:
-            main(steps[stage])
+            tensors = f"{a.run}/topk_logprobs.parquet" if places.exists(f"{a.run}/topk_logprobs.parquet") else a.run if files.find_files([a.run], "topk_logprobs.npz") else None
+            final = base if places.exists(base) else features
+            main({
+                "prompts": ["build-prompts", dataset, str(a.source), f"{a.run}/prompts.jsonl", "--fewshot", str(own.get("fewshot_k") or 0), "--questions", str(own.get("num_questions") or 1000)],
+                "generate": ["generate", f"{a.run}/prompts.jsonl", a.run, "--config", f"{a.run}/config.json", "--backend", str(a.backend)],
+                "label": ["label", f"{a.run}/answers.jsonl", dataset, *model("judge", a.judge)],
+                "features": ["features", f"{a.run}/answers.jsonl", features, *model("tensors", tensors), *model("scorer", a.scorer)],
+                "baseline": ["baseline", features, str(a.trajectories or f"{a.run}/trajectories.jsonl"), base, "--answers", f"{a.run}/answers.jsonl", "--seed", str(a.seed), *model("scorer", a.scorer)],
+                "split": ["split", final, f"{a.run}/splits.json", "--counts", *map(str, a.counts), "--seed", str(a.seed)],
+                "kfold": ["kfold", final, f"{a.run}/kfold/kfold_summary.json", "--k", str(a.k), "--train", str(a.train), "--seed", str(a.seed)],
+                "evaluate": ["evaluate", final, a.run, "--bootstrap", str(a.bootstrap)],
+                "report": ["report", a.run, "--output", f"{a.run}/report"],
+            }[stage])
     elif a.command == "features":
         tensor = None
         if a.tensors:  # a folder of tensor files, or the long table that generate writes
             tensor = spark.read.parquet(a.tensors) if a.tensors.endswith(".parquet") else files.read_tensors(spark, a.tensors).drop("run")
-        sinks.write_jsonl(pipeline.build_features(files.read_answers(spark, a.answers), tensor, compat=a.compat), a.output, "overwrite")
+        eos, special = config.special_ids(files.run_config(a.config or beside(a.answers)))
+        rows = pipeline.build_features(files.read_answers(spark, a.answers), tensor, loaded(a.scorer), special, eos, compat=a.compat)
+        sinks.write_jsonl(rows, a.output, "overwrite")
     elif a.command == "baseline":
-        rows = pipeline.baseline_features(files.read_features(spark, a.features), files.read_trajectories(spark, a.trajectories), full_trajectory=a.full, seed=a.seed)
+        answers = prompts.group_key(files.read_answers(spark, a.answers), 1) if a.answers else None
+        excluded = labeling.ambiguous_prompts(answers) if a.answers else None
+        rows = pipeline.baseline_features(files.read_features(spark, a.features), files.read_trajectories(spark, a.trajectories), loaded(a.scorer), full_trajectory=a.full, seed=a.seed, excluded=excluded)
         sinks.write_jsonl(rows, a.output, "overwrite")
     elif a.command == "evaluate":
         summary, found = pipeline.evaluate(files.read_features(spark, a.features), a.bootstrap, a.seed)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenq.backends import EntailmentScorer
@@ -45,12 +45,18 @@ def build_features(answers: DataFrame, tensor: DataFrame | None, scorer: Entailm
     return labeling.without_ambiguous(rows, prompts.group_key(answers, per_prompt))
 
 
-def baseline_features(rows: DataFrame, trajectories: DataFrame, scorer: EntailmentScorer | None = None, full_trajectory: bool = False, random_scopes: int = trajectory.RANDOM_SCOPES, random_steps: int = trajectory.RANDOM_STEPS, seed: int = 42, most: int = graph.MAX_ITEMS) -> DataFrame:
+def baseline_features(rows: DataFrame, trajectories: DataFrame, scorer: EntailmentScorer | None = None, full_trajectory: bool = False, random_scopes: int = trajectory.RANDOM_SCOPES, random_steps: int = trajectory.RANDOM_STEPS, seed: int = 42, most: int = graph.MAX_ITEMS, excluded: DataFrame | None = None) -> DataFrame:
     """rows with full-ad, random-<rep>-<feature>, and full-<feature> if asked, of each prompt's first trajectory.
 
-    Trajectories of another than the most common number of steps, and of prompts that have no row, are left out.
+    Trajectories of another than the most common number of steps, and of prompts that have no row, are left out. The
+    draws of a prompt are seeded by its place among the kept prompts, in the order of the trajectories: by ord where
+    there is such a column, else as they are read. excluded: prompts that do not take part in that order.
     """
-    kept = trajectory.modal_length(trajectories.withColumn("ord", F.xxhash64("prompt_id", "response_sample_id")) if "ord" not in trajectories.columns else trajectories)
+    if "ord" not in trajectories.columns:
+        trajectories = trajectories.withColumn("ord", F.monotonically_increasing_id())
+    kept = staged(trajectory.modal_length(staged(trajectories, "trajectories")), "kept-trajectories")
+    if excluded is not None:
+        kept = kept.join(excluded.select("prompt_id"), "prompt_id", "left_anti")
     target = trajectory.target_trajectory(kept.select("prompt_id", "response_sample_id", "num_steps", "step_answers", "final_answer")).join(rows.select("prompt_id"), "prompt_id", "left_semi")
     target = staged(target, "target-trajectories")
     steps = trajectory.steps_of(target)
@@ -58,7 +64,8 @@ def baseline_features(rows: DataFrame, trajectories: DataFrame, scorer: Entailme
     if full_trajectory:
         out = out.join(trajectory.trajectory_features(steps, "full", scorer, most), "prompt_id", "left")
     if random_scopes:
-        numbered = prompts.numbered(target.select("prompt_id", "num_steps").withColumn("__h", F.xxhash64("prompt_id")), "__h").withColumnRenamed("at", "idx")
+        first = kept.groupBy("prompt_id").agg(F.min("ord").alias("__first"))
+        numbered = prompts.numbered(first, "__first").select("prompt_id", C("at").alias("idx")).join(target.select("prompt_id", "num_steps"), "prompt_id")
         drawn = trajectory.random_scope_steps(numbered, seed, random_steps, random_scopes)
         scoped = steps.join(drawn, ["prompt_id", "step"]).where(is_valid_text(C("text"))).withColumn("scope", F.concat_ws("|", "prompt_id", "rep"))
         found = graph.sampling_features(scoped, scorer, most, "scope", "step").join(scoped.select("scope", "prompt_id", "rep").distinct(), "scope")
@@ -96,7 +103,9 @@ def performance_report(results: DataFrame, metric: str = "prr") -> dict[str, Dat
 
 def cost_quality(results: DataFrame, latency: DataFrame, metric: str = "prr") -> DataFrame:
     """Performance and overhead of each feature by model, dataset and strategy, with on_front."""
-    own = results.where(C("metric") == metric).withColumns({"model": report.model_name(C("model_id")), "is_selection": C("run_dir").endswith("/selection"), "ord": F.xxhash64("run_dir")})
+    # runs count in the order of their paths: a row for each run
+    order = results.select("run_dir").distinct().withColumn("ord", F.row_number().over(Window.orderBy("run_dir")))
+    own = results.where(C("metric") == metric).join(order, "run_dir").withColumns({"model": report.model_name(C("model_id")), "is_selection": C("run_dir").endswith("/selection")})
     named = own.withColumn("feature", F.when(C("is_selection"), F.when(C("feature") == "ad", "weighted-ad").otherwise(F.concat(F.lit("selected-"), "feature"))).otherwise(C("feature")))
     both = report.performance_latency(named, latency.select("model", "dataset", "remasking", "feature", "overhead_mean", "family"))
     key = both.withColumn("id", F.xxhash64("feature"))

@@ -9,7 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def is_remote(path: str) -> bool:
-    return "://" in str(path)
+    return "://" in str(path) and not str(path).startswith("file:")
+
+
+def _local(path: str) -> Path:
+    return Path(str(path).removeprefix("file://"))
 
 
 def _at(path: str):
@@ -23,14 +27,14 @@ def _at(path: str):
 
 def exists(path: str) -> bool:
     if not is_remote(path):
-        return Path(path).exists()
+        return _local(path).exists()
     where, fs = _at(path)
     return fs.exists(where)
 
 
 def read_text(path: str) -> str:
     if not is_remote(path):
-        return Path(path).read_text()
+        return _local(path).read_text()
     row = SparkSession.getActiveSession().read.text(path, wholetext=True).head()
     return row[0] if row else ""
 
@@ -38,8 +42,8 @@ def read_text(path: str) -> str:
 def write_text(path: str, text: str) -> None:
     """A whole document; folders above it are made."""
     if not is_remote(path):
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        Path(path).write_text(text)
+        _local(path).parent.mkdir(parents=True, exist_ok=True)
+        _local(path).write_text(text)
         return
     where, fs = _at(path)
     out = fs.create(where, True)
@@ -52,7 +56,7 @@ def write_text(path: str, text: str) -> None:
 def walk(root: str) -> Iterator[str]:
     """All files at or below root; none where there is nothing."""
     if not is_remote(root):
-        top = Path(root)
+        top = _local(root)
         yield from (str(p) for p in ([top] if top.is_file() else top.rglob("*") if top.exists() else []) if p.is_file())
         return
     where, fs = _at(root)
@@ -63,13 +67,13 @@ def walk(root: str) -> Iterator[str]:
 
 
 def resolved(path: str) -> str:
-    return path.rstrip("/") if is_remote(path) else str(Path(path).resolve())
+    return path.rstrip("/") if is_remote(path) else str(_local(path).resolve())
 
 
 def above(path: str) -> list[str]:
     """path and the folders above it, nearest first."""
     if not is_remote(path):
-        return [str(path), *map(str, Path(path).resolve().parents)]
+        return [str(path), *map(str, _local(path).resolve().parents)]
     scheme, rest = path.rstrip("/").split("://", 1)
     parts = rest.split("/")
     return [f"{scheme}://{'/'.join(parts[:n])}" for n in range(len(parts), 0, -1)]

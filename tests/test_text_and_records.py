@@ -280,3 +280,95 @@ def test_generate(spark):
     built = pipeline.build_features(answers, tensors, per_prompt=3)
     assert built.count() == 0  # no record is labelled yet, so every prompt is ambiguous
     assert pipeline.build_features(answers.withColumn("label", F.lit(True)), tensors, per_prompt=3).where("msp is not null").count() == 2
+
+
+def yes_judge():
+    from lumenq.backends import ScriptedJudge
+
+    return ScriptedJudge(lambda p: F.when(p.contains("Model response: x0"), "1").otherwise("0"))
+
+
+class EqualScorer:
+    """Entailment only between equal texts."""
+
+    def score(self, pairs):
+        same = F.col("premise") == F.col("hypothesis")
+        p = F.when(same, 1.0).otherwise(0.0)
+        return pairs.select("premise", "hypothesis", (1 - p).alias("p_contradiction"), F.lit(0.0).alias("p_neutral"), p.alias("p_entailment"), F.when(same, 2).otherwise(0).alias("cls"))
+
+
+def test_commands_with_models(spark, tmp_path):
+    """The whole pipeline command: prompts, answers by a backend, a judge, a scorer, token ids, baselines, folds and report."""
+    from lumenq import cli
+
+    here = "tests.test_text_and_records"
+    (tmp_path / "raw.jsonl").write_text("\n".join(json.dumps({"question": f"q{i}", "answer": f"#### {i}"}) for i in range(8)))
+    run = tmp_path / "runs" / "one"
+    own = config.generation_config("LLaDA", "gsm8k", 2, 1, block_size=None, num_response_samples=2, num_questions=8, seed=1, eos_token_ids=[9], mask_id=10)
+    sinks.write_json(own, str(run / "config.json"))
+    cli.main(["pipeline", str(run), "--stages", "prompts", "generate", "label", "features", "--source", f"{tmp_path}/raw.jsonl", "--backend", f"{here}:TinyBackend", "--scorer", f"{here}:EqualScorer"])
+    rows = spark.read.json(str(run / "uq_features.jsonl")).collect()
+    assert len(rows) == 8 and all(r.msp is not None and r.n_visible_tokens <= 2 for r in rows)
+    ids = [r.prompt_id for r in rows]
+    (run / "trajectories.jsonl").write_text("\n".join(json.dumps({"prompt_id": p, "num_steps": 4, "response_sample_id": 0, "step_answers": ["a", f"b {p}", "c", f"d {p}"], "final_answer": f"d {p}"}) for p in ids[::-1]))
+    cli.main(["pipeline", str(run), "--stages", "baseline", "split", "kfold", "evaluate", "report", "--bootstrap", "0", "--counts", "2", "2", "2", "--k", "2", "--train", "2", "--scorer", f"{here}:EqualScorer"])
+    base = spark.read.json(str(run / "baseline_features.jsonl"))
+    assert base.where("`full-ad` = 0.75").count() == 8 and "random-0-ecc" in base.columns  # three of four steps differ from the last
+    assert (run / "kfold/kfold_summary.json").exists() and (run / "splits.json").exists() and (run / "uq_eval_metrics.json").exists()
+    other = tmp_path / "runs" / "two"
+    other.mkdir()
+    sinks.write_json({"dataset": "triviaqa"}, str(other / "config.json"))
+    (other / "answers.jsonl").write_text("\n".join(json.dumps({"qa_example_id": f"e{p}", "sample_id": p, "generation_mode": "greedy", "question": "q", "reference_answer": "1", "raw_answer": f"x{p}"}) for p in range(2)))
+    cli.main(["label-all", str(tmp_path / "runs"), "--judge", f"{here}:yes_judge", "--exclude", "one"])
+    assert {r.sample_id: r.label for r in spark.read.json(str(other / "answers.jsonl")).collect()} == {0: True, 1: False}
+
+
+def test_prompts_are_prepared_one_by_one(spark, tmp_path, capsys):
+    from lumenq import cli
+
+    (tmp_path / "data/openai/gsm8k/main").mkdir(parents=True)
+    (tmp_path / "data/openai/gsm8k/main/test.jsonl").write_text("\n".join(json.dumps({"question": f"q{i}", "answer": f"#### {i}"}) for i in range(4)))
+    for name in ("xsum", "gsm8k"):
+        sinks.write_json(config.generation_config("LLaDA", name), f"{tmp_path}/{name}.json")
+    for _ in range(2):
+        cli.main(["prepare-prompts", f"{tmp_path}/xsum.json", f"{tmp_path}/gsm8k.json", "--sources", f"{tmp_path}/data", "--output-dir", f"{tmp_path}/out"])
+    said = capsys.readouterr().out
+    assert said.count("xsum.json: ") == 2 and said.count("prompts.jsonl: written") == 1 and said.count("prompts.jsonl: is there") == 1
+    assert spark.read.json(f"{tmp_path}/out/{config.derive_run_id(config.generation_config('LLaDA', 'gsm8k'))}/prompts.jsonl").count() == 4
+
+
+def test_documents_on_another_file_system(spark, tmp_path):
+    from lumenq.sources import places
+
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.elsewhere.link./in", f"file://{tmp_path}")
+    root = "viewfs://elsewhere/in"
+    sinks.write_json({"n_examples": 2, "n_correct": 1, "features": {"msp": {"auroc": 0.5}}}, f"{root}/runs/a/uq_eval_metrics.json")
+    sinks.write_json({"dataset": "xsum"}, f"{root}/runs/a/config.json")
+    places.write_text(f"{root}/runs/a/answers.jsonl", "")
+    assert places.exists(f"{root}/runs/a/config.json") and not places.exists(f"{root}/none") and files.run_config(f"{root}/runs/a") == {"dataset": "xsum"}
+    found = files.find_metrics_files([f"{root}/runs", f"{root}/none"])
+    assert len(found) == 1 and files.load_run_results(spark, found).first().dataset == "xsum"
+    assert len(files.discover_runs(f"{root}/runs")) == 1 and files.discover_runs(f"{root}/runs", exclude=["a"]) == []
+    assert places.above("s3a://b/x/y")[1] == "s3a://b/x"
+
+
+def test_random_scopes_are_seeded_by_the_order_of_trajectories(spark):
+    rows = spark.createDataFrame([("b",), ("a",)], "prompt_id string")
+    steps = [f"{i} w" for i in range(9)]
+    talks = spark.createDataFrame([("x", 0, 9, steps, "8 w"), ("b", 0, 9, steps, "8 w"), ("short", 0, 2, ["a", "b"], "b"), ("a", 0, 9, steps, "8 w")], "prompt_id string, response_sample_id int, num_steps int, step_answers array<string>, final_answer string").coalesce(1)
+    seen = []
+    from lumenq.operators import trajectory
+
+    found = trajectory.random_scope_steps
+
+    def spy(numbered, *rest):
+        seen.append({r.prompt_id: r.idx for r in numbered.collect()})
+        return found(numbered, *rest)
+
+    trajectory.random_scope_steps = spy
+    try:
+        pipeline.baseline_features(rows, talks, random_scopes=1, random_steps=3).collect()
+        pipeline.baseline_features(rows, talks, random_scopes=1, random_steps=3, excluded=spark.createDataFrame([("x",)], "prompt_id string")).collect()
+    finally:
+        trajectory.random_scope_steps = found
+    assert seen == [{"b": 1, "a": 2}, {"b": 0, "a": 1}]
