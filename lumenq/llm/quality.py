@@ -30,7 +30,7 @@ TRAINING_ROWS = 8_000
 #: Indicators of all rows that the model is fitted to at most; the sample ends before, where its texts are very long.
 TRAINING_INDICATORS = 32_000_000
 #: Words that a worker remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 50_000
 #: Shares of a text that a shape n-gram's indicators stand for.
 SHARES = np.array([0.0, 0.02, 0.1, 0.3, 0.6, 0.9])
 THRESHOLD = 0.7
@@ -121,7 +121,7 @@ def indicators(texts: list[str], known: Words) -> tuple[np.ndarray, np.ndarray]:
     return (found & np.uint64(BUCKETS - 1)).astype(np.int64), ends
 
 
-def parts_of(texts: list[str], max_chars: int = 1_000_000) -> Iterator[list[str]]:
+def parts_of(texts: list[str], max_chars: int = 100_000) -> Iterator[list[str]]:
     """Runs of texts of about max_chars characters."""
     start = total = 0
     for i, t in enumerate(texts):

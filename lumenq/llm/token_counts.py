@@ -21,7 +21,7 @@ from lumenq.llm._shared import modest_batches, read_table, slices, staged, stage
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens bigint"
 #: Words whose counts a worker remembers; beyond it the memory is emptied.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 _LOADED: dict = {}
 
 

@@ -27,6 +27,8 @@ from lumenq.llm.shingles import Minima, shingle_hashes
 
 TRAINING_ROWS = 12_000
 THRESHOLD = 0.5
+#: Words whose symbols a worker remembers.
+MEMO_WORDS = 100_000
 #: Lengths of word stems that may be learned.
 STEMS = range(4, 8)
 #: Seed words of the grammar in the four languages of the corpus.
@@ -114,7 +116,7 @@ class Lexicon:
         words = text.split()
         got = list(map(self.memo.get, words))
         if None in got:
-            if len(self.memo) > 400_000:
+            if len(self.memo) > MEMO_WORDS:
                 self.memo.clear()
             for i, s in enumerate(got):
                 if s is None:
