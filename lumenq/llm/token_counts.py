@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from lumenq.llm._shared import modest_batches, read_table, slices, staged, staged_path, text_of
+from lumenq.llm._shared import modest_batches, narrow, read_table, slices, staged, staged_path, text_key, text_of
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens bigint"
 #: Words whose counts a worker remembers; beyond it the memory is emptied.
@@ -114,8 +114,8 @@ def _read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame
 def count_tokens(docs: DataFrame, path: str, cache_path: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs.
 
-    Null texts count as empty: 0 bytes, 0 tokens. Repeated rows each get a row. A null doc_id keeps its row.
-    Columns besides id_col and text_col are ignored. An empty table gives an empty result.
+    Null texts count as empty: 0 bytes, 0 tokens. Very long texts are encoded whole. Repeated rows each get a row. A
+    null doc_id keeps its row. Columns besides id_col and text_col are ignored. An empty table gives an empty result.
     cache_path: Parquet folder of stored counts, appended to; a fresh one in the shared folder if None.
     """
     spark = docs.sparkSession
@@ -125,25 +125,34 @@ def count_tokens(docs: DataFrame, path: str, cache_path: str | None = None, limi
     content = text_of(text_col)
     if _drops_space(path):
         content = F.trim(F.regexp_replace(content, r"[\x20\x09-\x0D]+", " "))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_of(text_col)).cast("bigint").alias("n_bytes"), F.sha2(content, 256).alias("content_digest"))
+    digest, row_key = F.sha2(content, 256), F.xxhash64(F.col(id_col), text_key(text_col))
+    # small rows: a digest and a row key for each document
+    log = staged(docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_of(text_col)).cast("bigint").alias("n_bytes"), digest.alias("content_digest"), row_key.alias("row_key")), "token-digests")
     known = _read_cache(spark, cache_path, version)
-    # small rows: a digest for each document, and for each digest that misses the cache
-    log = staged(keyed.withColumn("salt", F.xxhash64("doc_id")), "token-digests")
-    misses = log.groupBy("content_digest").agg(F.min("salt").alias("salt")).join(known.select("content_digest"), "content_digest", "left_anti")
-    # the one row that is encoded of each missing content is found by (digest, salt): a hot content is spread by its salt
-    texts = docs.select(F.sha2(content, 256).alias("content_digest"), F.xxhash64(F.col(id_col)).alias("salt"), text_of(text_col).alias("text"))
-    encode = texts.join(misses.hint("shuffle_hash"), ["content_digest", "salt"]).select("content_digest", "text")
+    contents = log.groupBy("content_digest").agg(F.min("row_key").alias("row_key"))
+    # of each content that the cache lacks one row is encoded: a hot content is found by one row key
+    misses = staged(contents.join(known.select("content_digest"), "content_digest", "left_anti"), "token-misses")
+    n_rows, n_misses = log.count(), misses.count()
+    texts = docs.select(digest.alias("content_digest"), row_key.alias("row_key"), text_of(text_col).alias("text"))
+    if 2 * n_misses <= n_rows:  # few rows are to be encoded: they are picked
+        picked = misses.select(F.col("row_key").alias("__key"), F.col("content_digest").alias("__digest"))
+        encode = texts.join(narrow(picked, n_misses), (F.col("row_key") == F.col("__key")) & (F.col("content_digest") == F.col("__digest")), "left_semi")
+    else:  # few are not: they are left out, and texts need not meet the larger table
+        done = log.join(misses.select("row_key", "content_digest"), ["row_key", "content_digest"], "left_anti").select(F.col("row_key").alias("__key"), F.col("content_digest").alias("__digest"))
+        done = staged(done.distinct(), "token-known")
+        encode = texts.join(narrow(done, done.count()), (F.col("row_key") == F.col("__key")) & (F.col("content_digest") == F.col("__digest")), "left_anti")
+    encode = encode.select("content_digest", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1_000_000):
                 digests = part.column("content_digest").to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array([version] * len(digests)), pa.array(count(part.column("text").to_pylist()), pa.int64())], ["content_digest", "tokenizer_digest", "n_tokens"])
 
     encode.mapInArrow(rows, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     # the counts of this run's contents, written so that the join's sides are plain shuffles and can be split at a hot content
-    counts = staged(_read_cache(spark, cache_path, version).join(log.select("content_digest").distinct(), "content_digest", "left_semi"), "token-counts")
+    counts = staged(_read_cache(spark, cache_path, version).join(contents.select("content_digest"), "content_digest", "left_semi"), "token-counts", n_rows)
     return log.join(counts, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
