@@ -210,3 +210,51 @@ def test_repeated_rows_train_once(spark):
     for score in (quality.score_quality, toxicity.score_toxicity):
         once, many = ({r.doc_id: r.score for r in score(spark.createDataFrame(docs * k, SCHEMA), labels).collect()} for k in (1, 3))
         assert once == many
+
+
+def plain_totals(text, words, stems, doubtful):
+    """Sure and doubtful weight and words, by applying the grammar's rules one after the other to lists of words."""
+    sure = unsure = 0.0
+    clauses, count = [[]], 0
+    for raw in text.split():
+        count += 1
+        word = raw.lower().strip(toxicity._MARKS)
+        kinds = [("i", words), ("t", toxicity.THREATS), ("p", toxicity.TARGETS), ("n", toxicity.NEGATIONS), ("r", toxicity.REPORTS)]
+        kind = next((k for k, fixed in kinds if word in fixed), None)
+        if kind is None:
+            match = max((s for s in stems | doubtful if word.startswith(s)), key=len, default=None)
+            kind = "o" if match is None else "i" if match in stems else "w"
+        clauses[-1].append(kind)
+        if toxicity._END.search(raw):
+            clauses.append([])
+    for clause in clauses:
+        after = lambda i, mark, reach, clause=clause: any(k == mark for k in clause[max(0, i - reach) : i])
+        out = []
+        for i, k in enumerate(clause):
+            if k in "itw" and after(i, "r", 8):
+                k = "q" if k != "w" else "o"
+            if k in "itwq" and after(i, "n", 3):
+                k = "o"
+            if k in "itw" and after(i, "p", 4):
+                k = {"i": "I", "t": "T", "w": "D"}[k]
+            out.append(k)
+        armed = 0
+        for k in out:
+            sure += {"i": 1.0, "I": 1.5, "t": 0.5, "T": 2.0, "q": 0.4}.get(k, 0.0) + (0.5 if k == "p" and armed else 0.0)
+            unsure += {"w": 1.0, "D": 1.25}.get(k, 0.0)
+            armed = 3 if k == "i" else 0 if k in "ItTqwDp" and (k != "p" or armed) else max(0, armed - 1)
+    return sure, unsure, count
+
+
+def test_scores_against_plain_rules(spark):
+    """Whole documents scored by a model, and by the rules applied one after the other."""
+    random.seed(7)
+    model = toxicity.Model({"idiot"}, {"zork"}, {"blah"}, (1.3, 0.4, -0.2, -1.1))
+    pool = ["idiot", "zorker", "blahs", "kill", "you", "not", "said", "stone", "river", "the", "they", "word."]
+    texts = ["", "idiot", "word " * 20_000 + "you idiot"] + [" ".join(random.choice(pool) + random.choice(["", "", "", ".", ",", "!"]) for _ in range(random.randrange(1, 60))) for _ in range(400)]
+    totals = model.reader()
+    for t in texts:
+        got, want = totals(t), plain_totals(t, model.words, model.stems, model.doubtful)
+        assert got[2] == want[2] and abs(got[0] - want[0]) < 1e-9 and abs(got[1] - want[1]) < 1e-9, t
+        x = sum(w * np.log1p(v) for w, v in zip(model.weights, want, strict=False)) + model.weights[3]
+        assert abs(model.score(got) - 1 / (1 + np.exp(-x))) < 1e-12

@@ -30,10 +30,10 @@ def test_run(spark, data):
 def test_stages_keep_columns_and_edges(spark, data):
     schema = spark.read.parquet(f"{data}/documents.parquet").schema
     empty = spark.createDataFrame([], schema)
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (1, None, "en", "s", 0), (2, "a b c d e f g", None, None, None), (3, "A b c d e f g", "en", "s", 1)], schema)
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (1, None, "en", "s", 0), (2, "a b c d e f g", None, None, None), (3, "A b c d e f g", "en", "s", 1), (4, " ".join(f"word{i % 7_000}x{i}" for i in range(60_000)), "en", "s", 2)], schema)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         for docs in (empty, odd):
             out = stage(spark, docs, data)
             assert k + 1 == len(corpus_pipeline.STAGES) or out.columns == docs.columns
             assert docs is not empty or out.count() == 0
-    assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, odd, data).collect() if r.doc_id is not None) == [1, 2]
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, odd, data).collect() if r.doc_id is not None) == [1, 2, 4]

@@ -57,6 +57,21 @@ def token_counts_digest(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_a_warm_cache_and_a_shuffled_join(spark, tmp_path, monkeypatch):
+    """Contents all known, half known, and tables too large to be broadcast; very long texts and many copies."""
+    from lumenq.llm import _shared
+
+    random.seed(2)
+    texts = [" ".join(random.choice(["a", "be", "sea", "Dé"]) for _ in range(random.randrange(1, 9))) for _ in range(200)] + ["hot  copy"] * 300 + ["long text " * 100_000]
+    want = dict(enumerate(brute(WORD, texts)))
+    for rows in (_shared.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(_shared, "BROADCAST_ROWS", rows)
+        cache = f"file://{tmp_path}/cache{rows}"
+        for part in (texts[:80], texts, texts):
+            assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(frame(spark, part), WORD, cache).collect()} == {i: want[i] for i in range(len(part))}
+        assert spark.read.parquet(cache).count() == len({" ".join(t.split()) for t in texts})
+
+
 def test_counts_of_nothing(spark, tmp_path):
     assert token_counts.count_tokens(frame(spark, []), WORD, f"file://{tmp_path}/cache").count() == 0
     repeated = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "a b")], "doc_id bigint, text string")
