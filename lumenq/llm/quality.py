@@ -28,7 +28,7 @@ from lumenq.llm.shingles import distinct, mix
 BUCKETS = 1 << 18
 TRAINING_ROWS = 8_000
 #: Indicators of all rows that the model is fitted to at most; the sample ends before, where its texts are very long.
-TRAINING_INDICATORS = 32_000_000
+TRAINING_INDICATORS = 12_000_000
 #: Words that a worker remembers.
 MEMO_WORDS = 50_000
 #: Shares of a text that a shape n-gram's indicators stand for.
