@@ -12,7 +12,7 @@ import json
 from pyspark.sql import functions as F
 
 from lumenq import config
-from lumenq.operators import labeling, prompts, report, resample
+from lumenq.operators import labeling, prompts, report, resample, sheets
 from lumenq.plans import generate, pipeline
 from lumenq.session import build_session
 from lumenq.sources import files, places, schemas, sinks
@@ -150,7 +150,8 @@ def main(argv: list[str] | None = None) -> None:
             other = files.load_kfold_results(spark, folded)
             nested = spark.createDataFrame([(p.rsplit("/", 2)[0],) for p in folded], "run_dir string")
             plain = report.without_nested(plain, nested).unionByName(other, allowMissingColumns=True)
-        where = sinks.write_workbook(pipeline.performance_report(plain, metric), f"{a.output}/report.xlsx")
+        cells = sheets.model_cells(plain, metric) if a.command == "report" else sheets.dataset_cells(plain, report.normalize_metrics([a.metric]))
+        where = sinks.write_sheets(cells, f"{a.output}/report.xlsx")
         if a.latency:
             points = pipeline.cost_quality(plain, files.discover_latency(spark, a.latency), metric)
             sinks.write_json([json.loads(r) for r in points.toJSON().collect()], f"{a.output}/cost_quality.json")

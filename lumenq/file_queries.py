@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenq import config
 from lumenq.backends import JaccardScorer
 from lumenq.functions import text
-from lumenq.operators import denoise, graph, labeling, metrics, prompts, report, tokens, trajectory
+from lumenq.operators import denoise, graph, labeling, metrics, prompts, report, sheets, tokens, trajectory
 from lumenq.operators.prefix import prefix_sums
 from lumenq.plans import pipeline
 from lumenq.queries import CLUSTERS, DISTANCE, JACCARD, RECORDS, STEPS, TALK, TOKENS, C, L, event_tokens, query, r6, table, talk_pairs, talk_records, talk_steps, talk_trajectories, vector_edges
@@ -128,6 +128,17 @@ def run_results(spark, sf_dir):
     return files.load_run_results(spark, files.find_metrics_files([run_folders(spark, sf_dir)])).select(*_RESULT)
 
 
+@query(
+    f"WITH r AS ({_RUN_RESULTS}), b AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY feature) + 10 AS row, min(value) OVER w AS low, max(value) OVER w AS high FROM r WINDOW w AS (PARTITION BY dataset)), "
+    "v AS (SELECT dataset AS sheet, CAST(row AS INT) AS row, CAST(1 AS INT) AS col, feature AS value, false AS best FROM b UNION ALL SELECT dataset, row, 2, CASE WHEN std IS NULL THEN printf('%.3f', value) ELSE printf('%.3f (%.3f)', value, std) END, value = high FROM b "
+    "UNION ALL SELECT DISTINCT dataset, 3, 2, steps, false FROM r UNION ALL SELECT DISTINCT dataset, 6, 2, 'AUROC', false FROM r UNION ALL SELECT DISTINCT dataset, 8, 2, printf('%.1f%%', 100 * qa_accuracy), false FROM r) SELECT * FROM v"
+)
+def dataset_sheets(spark, sf_dir):
+    """Cells of a workbook with a sheet for each data set: features, values, and some of the rows above; the best value is green."""
+    cells = sheets.dataset_cells(files.load_run_results(spark, files.find_metrics_files([run_folders(spark, sf_dir)])), ["auroc"])
+    return cells.where("row > 10 or (col = 2 and row in (3, 6, 8))").select("sheet", "row", "col", "value", F.coalesce(C("fill") == "D9EAD3", L(False)).alias("best"))
+
+
 def fold_folders(spark, sf_dir) -> str:
     root = place(spark, "folds")
     for r, own in nations(spark, sf_dir).items():

@@ -124,3 +124,37 @@ def write_workbook(sheets: Mapping[str, DataFrame], path: str) -> str:
             sheet.append(list(r))
     book.save(path)
     return path
+
+
+def write_sheets(cells: DataFrame, path: str) -> str:
+    """Sheets of cells (sheet, row, col, value, fill); without a spreadsheet library, a folder with a CSV file for each.
+
+    A sheet without fills is as good as one with: the folder keeps them in a second file beside each.
+    """
+    sheets: dict[str, dict] = {}
+    for r in cells.collect():  # a report's cells
+        sheets.setdefault(r.sheet, {})[r.row, r.col] = (r.value, r.fill)
+    if not sheets:
+        sheets = {"Summary": {(1, 1): ("No evaluated runs found", None)}}
+    try:
+        from openpyxl import Workbook
+        from openpyxl.styles import PatternFill
+    except ImportError:
+        folder = path.removesuffix(".xlsx")
+        for name, own in sorted(sheets.items()):
+            high, wide = (max(k[i] for k in own) for i in (0, 1))
+            lines = lambda i, own=own, high=high, wide=wide: [[own.get((r, c), ("", ""))[i] or "" for c in range(1, wide + 1)] for r in range(1, high + 1)]
+            values, fills = lines(0), lines(1)
+            _write_rows(values[0], values[1:], f"{folder}/{name}.csv")
+            _write_rows(fills[0], fills[1:], f"{folder}/{name}.fills.csv")
+        return folder
+    book = Workbook()
+    book.remove(book.active)
+    for name, own in sorted(sheets.items()):
+        sheet = book.create_sheet(name[:31])
+        for (row, col), (value, fill) in own.items():
+            cell = sheet.cell(row=row, column=col, value=value)
+            if fill:
+                cell.fill = PatternFill("solid", fgColor=fill)
+    book.save(path)
+    return path

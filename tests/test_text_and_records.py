@@ -372,3 +372,27 @@ def test_random_scopes_are_seeded_by_the_order_of_trajectories(spark):
     finally:
         trajectory.random_scope_steps = found
     assert seen == [{"b": 1, "a": 2}, {"b": 0, "a": 1}]
+
+
+def test_sheets(spark, tmp_path):
+    from lumenq.operators import sheets
+
+    rows = [
+        ("r1", "gsm8k", "GSAI-ML/LLaDA-1.5", "256", "8", "rd", 0.5, 10, 7.0, "msp", "prr", 0.2, 0.1), ("r1", "gsm8k", "GSAI-ML/LLaDA-1.5", "256", "8", "rd", 0.5, 10, 7.0, "ecc", "prr", 0.6, None),
+        ("r2", "triviaqa", "GSAI-ML/LLaDA-1.5", "32", "8", "lc", 0.25, 10, 3.0, "msp", "prr", 0.4, None), ("r2", "triviaqa", "GSAI-ML/LLaDA-1.5", "32", "8", "lc", 0.25, 10, 3.0, "odd", "prr", 0.9, None),
+        ("r3", "gsm8k", "other", "256", "8", "lc", 1.0, 1, 1.0, "msp", "prr", 0.1, None),
+    ]
+    schema = "run_dir string, dataset string, model_id string, max_gen_length string, steps string, remasking string, qa_accuracy double, weight bigint, mean_tokens double, feature string, metric string, value double, std double"
+    results = spark.createDataFrame(rows, schema).withColumn("label_method", F.lit("exact_match"))
+    cells = sheets.model_cells(results)
+    got = {(r.row, r.col): (r.value, r.fill) for r in cells.collect()}
+    assert {r.sheet for r in cells.select("sheet").distinct().collect()} == {"LLaDA1.5"}  # other models have no sheet
+    assert [got[i, 2][0] for i in (1, 2, 3, 4)] == ["TriviaQA", "lc", "25.0%", "3.0"] and [got[i, 3][0] for i in (1, 2, 3, 4)] == ["GSM8K", "rd", "50.0%", "7.0"]
+    assert [got[i, 1][0] for i in (6, 7, 9, 10)] == ["Token UQ", "msp", "IID Sample UQ", "ecc"] and (8, 1) not in got
+    assert got[7, 2][0] == "0.400" and got[7, 3] == ("0.200 (0.100)", "F4CCCC") and got[10, 3] == ("0.600", "D9EAD3") and (10, 2) not in got
+    by_set = {(r.sheet, r.row, r.col): r.value for r in sheets.dataset_cells(results, ["prr", "auroc"]).collect()}
+    assert by_set["gsm8k", 1, 2] == "GSAI-ML/LLaDA-1.5" and by_set["gsm8k", 1, 4] == "other" and by_set["gsm8k", 6, 5] == "AUROC" and by_set["gsm8k", 7, 2] == "1"
+    assert by_set["gsm8k", 11, 1] == "msp" and by_set["gsm8k", 12, 1] == "ecc" and by_set["gsm8k", 12, 4] == "N/A" and by_set["triviaqa", 12, 1] == "odd"
+    where = sinks.write_sheets(cells, f"{tmp_path}/report.xlsx")
+    assert where.endswith(".xlsx") or (tmp_path / "report/LLaDA1.5.csv").read_text().splitlines()[1] == ",lc,rd"
+    assert sinks.write_sheets(cells.where("false"), f"{tmp_path}/none.xlsx")
