@@ -87,8 +87,9 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "generate":
         own = config.load_config(a.config)
         config.seed_everything(int(own.get("seed") or 0))
-        answers, tensors = generate.generate_answers(files.read_jsonl(spark, a.prompts, schemas.PROMPTS), generate.load_backend(a.backend), own)
-        sinks.save_results(answers, tensors, own | {"run_id": config.derive_run_id(own)}, {"backend": a.backend}, a.output, "overwrite")
+        backend = generate.load_backend(a.backend)
+        answers, tensors = generate.generate_answers(files.read_jsonl(spark, a.prompts, schemas.PROMPTS), backend, own)
+        sinks.save_results(answers, tensors, own | {"run_id": config.derive_run_id(own)} | generate.resolved_ids(backend, own), {"backend": a.backend}, a.output, "overwrite")
     elif a.command == "label":
         records = files.read_answers(spark, a.answers)
         labelled = labeling.label_records(records, a.dataset, loaded(a.judge), force=a.force)

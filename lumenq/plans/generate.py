@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenq.config import resolve_remasking
+from lumenq.config import DEFAULT_MASK_ID, KNOWN_EOS_IDS, resolve_remasking, special_ids
 from lumenq.operators import denoise, prompts
 from lumenq.staging import staged
 
@@ -38,6 +38,14 @@ def load_backend(name: str) -> Backend:
     return found() if callable(found) else found
 
 
+def resolved_ids(backend: Backend, config: dict) -> dict:
+    """mask_id, pad_token_id and eos_token_ids: a configuration's before the model's, before the known defaults; padding falls back to the first end of text."""
+    mask = next((x for x in (config.get("mask_id"), getattr(backend, "mask_id", None)) if x is not None), DEFAULT_MASK_ID)
+    eos = special_ids(config)[0] or [int(i) for i in getattr(backend, "eos", None) or ()] or list(KNOWN_EOS_IDS)
+    pad = next((x for x in (config.get("pad_token_id"), getattr(backend, "pad_id", None)) if x is not None), eos[0])
+    return {"mask_id": int(mask), "pad_token_id": int(pad), "eos_token_ids": eos}
+
+
 def generate_answers(asked: DataFrame, backend: Backend, config: dict) -> tuple[DataFrame, DataFrame]:
     """(answers, tensors in long form) of prompts (prompt_id from 0, prompt_text).
 
@@ -56,13 +64,14 @@ def generate_answers(asked: DataFrame, backend: Backend, config: dict) -> tuple[
         for b in batches:
             yield pd.DataFrame({"sample_id": b["sample_id"], "raw_answer": [backend.decode(list(t)).strip() for t in b["tokens"]], "topk_logprobs": b["topk_logprobs"], "topk_token_ids": b["topk_token_ids"]})
 
+    special = resolved_ids(backend, config)
     made, first = None, 0
     for mode, temperature, n, seed in modes:
         rows = asked.withColumn("__k", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1)))).withColumn("sample_id", (C("prompt_id") * per_prompt + C("__k")).cast("bigint"))
         ids = rows.select("sample_id", "prompt_text").mapInPandas(encoded, "sample_id bigint, ids array<int>")
         out = denoise.generate_frame(
-            ids, backend.load, int(config.get("batch_size") or 8), mask_id=backend.mask_id, pad_id=backend.pad_id, length=int(config["max_gen_length"]), steps=int(config["steps"]), block=config.get("block_size"), temperature=temperature,
-            scale=float(config.get("cfg_scale") or 0), strategy=resolve_remasking(config.get("remasking", "lc")), eos=list(backend.eos), logits_eos_inf=bool(config.get("logits_eos_inf")),
+            ids, backend.load, int(config.get("batch_size") or 8), mask_id=special["mask_id"], pad_id=special["pad_token_id"], length=int(config["max_gen_length"]), steps=int(config["steps"]), block=config.get("block_size"), temperature=temperature,
+            scale=float(config.get("cfg_scale") or 0), strategy=resolve_remasking(config.get("remasking", "lc")), eos=special["eos_token_ids"], logits_eos_inf=bool(config.get("logits_eos_inf")),
             confidence_eos_inf=bool(config.get("confidence_eos_eot_inf")), keep=int(config.get("top_k") or 64), seed=seed,
         )
         part = out.mapInPandas(decoded, "sample_id bigint, raw_answer string, topk_logprobs array<array<float>>, topk_token_ids array<array<int>>").withColumn("generation_mode", F.lit(mode))

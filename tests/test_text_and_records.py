@@ -297,6 +297,12 @@ class EqualScorer:
         return pairs.select("premise", "hypothesis", (1 - p).alias("p_contradiction"), F.lit(0.0).alias("p_neutral"), p.alias("p_entailment"), F.when(same, 2).otherwise(0).alias("cls"))
 
 
+class PaddedBackend(TinyBackend):
+    """Padding is the end of text, which is no digit."""
+
+    pad_id = 9
+
+
 def test_commands_with_models(spark, tmp_path):
     """The whole pipeline command: prompts, answers by a backend, a judge, a scorer, token ids, baselines, folds and report."""
     from lumenq import cli
@@ -306,7 +312,7 @@ def test_commands_with_models(spark, tmp_path):
     run = tmp_path / "runs" / "one"
     own = config.generation_config("LLaDA", "gsm8k", 2, 1, block_size=None, num_response_samples=2, num_questions=8, seed=1, eos_token_ids=[9], mask_id=10)
     sinks.write_json(own, str(run / "config.json"))
-    cli.main(["pipeline", str(run), "--stages", "prompts", "generate", "label", "features", "--source", f"{tmp_path}/raw.jsonl", "--backend", f"{here}:TinyBackend", "--scorer", f"{here}:EqualScorer"])
+    cli.main(["pipeline", str(run), "--stages", "prompts", "generate", "label", "features", "--source", f"{tmp_path}/raw.jsonl", "--backend", f"{here}:PaddedBackend", "--scorer", f"{here}:EqualScorer"])
     rows = spark.read.json(str(run / "uq_features.jsonl")).collect()
     assert len(rows) == 8 and all(r.msp is not None and r.n_visible_tokens <= 2 for r in rows)
     ids = [r.prompt_id for r in rows]
@@ -323,6 +329,17 @@ def test_commands_with_models(spark, tmp_path):
     assert {r.sample_id: r.label for r in spark.read.json(str(other / "answers.jsonl")).collect()} == {0: True, 1: False}
 
 
+def test_special_ids_are_resolved():
+    from lumenq.plans import generate
+
+    class Bare:
+        pass
+
+    assert generate.resolved_ids(Bare(), {}) == {"mask_id": 126336, "pad_token_id": 126081, "eos_token_ids": [126081, 126348]}
+    assert generate.resolved_ids(TinyBackend(), {}) == {"mask_id": 10, "pad_token_id": 0, "eos_token_ids": [9]}
+    assert generate.resolved_ids(TinyBackend(), {"mask_id": 3, "eot_token_id": 8}) == {"mask_id": 3, "pad_token_id": 0, "eos_token_ids": [8]}
+
+
 def test_prompts_are_prepared_one_by_one(spark, tmp_path, capsys):
     from lumenq import cli
 
