@@ -20,8 +20,8 @@ from pyspark.sql.utils import AnalysisException
 from lumenq.llm._shared import modest_batches, narrow, read_table, slices, staged, staged_path, text_key, text_of
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens bigint"
-#: Words whose counts a worker remembers; beyond it the memory is emptied.
-MEMO_WORDS = 100_000
+#: Words whose counts a worker remembers.
+MEMO_WORDS = 200_000
 _LOADED: dict = {}
 
 
@@ -81,12 +81,11 @@ class Counter:
         words = text.split() if not re.search("[\x1c-\x1f]", text) else [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
         counts = list(map(self.memo.get, words))
         if None in counts:
-            if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
-                counts = [None] * len(words)
             missing = list({w for w, n in zip(words, counts, strict=True) if n is None})
-            self.memo.update(zip(missing, self.encode(missing), strict=True))
-            counts = map(self.memo.__getitem__, words)
+            found = dict(zip(missing, self.encode(missing), strict=True))
+            if len(self.memo) < MEMO_WORDS:  # then it stays as it is: common words are met early
+                self.memo.update(found)
+            counts = [found[w] if n is None else n for w, n in zip(words, counts, strict=True)]
         return sum(counts)
 
 

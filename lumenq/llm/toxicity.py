@@ -116,11 +116,12 @@ class Lexicon:
         words = text.split()
         got = list(map(self.memo.get, words))
         if None in got:
-            if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
+            room = len(self.memo) < MEMO_WORDS  # a full memory stays as it is: common words are met early
             for i, s in enumerate(got):
                 if s is None:
-                    got[i] = self.memo[words[i]] = self.symbol(words[i])
+                    got[i] = self.symbol(words[i])
+                    if room:
+                        self.memo[words[i]] = got[i]
         return "".join(got)
 
 
