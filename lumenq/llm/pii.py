@@ -45,6 +45,11 @@ _FIRST_DAY, _DAYS_A, _DAYS_B = "1900-01-01", 300, 245
 _WALK = 40
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once: by name the expression would be copied to every place that has it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _hash(key: str, tweak: Column, round_: Column, value: Column) -> Column:
     """A keyed number of 60 bits."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), tweak, round_.cast("string"), value.cast("string")), 256), 1, 15), 16, 10).cast("bigint")
@@ -64,20 +69,22 @@ def feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: str, twea
 
 def permuted_digits(digits: Column, key: str, tweak: Column) -> Column:
     """A string of 2 to 36 digits permuted among the strings of its length; one digit is shifted."""
-    n = F.length(digits)
+    power = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("bigint")
 
     def whole(d: Column, mark: Column) -> Column:
-        size = F.length(d)
-        left = F.floor(size / 2).cast("int")
-        power = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("bigint")
-        out = feistel(F.coalesce(F.when(left > 0, d.substr(F.lit(1), left)).cast("bigint"), F.lit(0)), d.substr(left + 1, size - left).cast("bigint"), power(left), power(size - left), key, F.concat(mark, F.lit(":"), size.cast("string")))
-        # a named struct is opened once, by transform, so that the rounds run once
-        return F.element_at(F.transform(F.array(out), lambda s: F.concat(F.when(left > 0, F.lpad(s.a.cast("string"), left, "0")).otherwise(F.lit("")), F.lpad(s.b.cast("string"), size - left, "0"))), 1)
+        left = F.floor(F.length(d) / 2).cast("int")
+        return _let(F.struct(d.alias("d"), left.alias("left"), (F.length(d) - left).alias("right"), F.concat(mark, F.lit(":"), F.length(d).cast("string")).alias("mark")), halves)
+
+    def halves(x: Column) -> Column:
+        first = F.coalesce(F.when(x["left"] > 0, x["d"].substr(F.lit(1), x["left"])).cast("bigint"), F.lit(0))
+        out = feistel(first, x["d"].substr(x["left"] + 1, x["right"]).cast("bigint"), power(x["left"]), power(x["right"]), key, x["mark"])
+        return _let(out, lambda s: F.concat(F.when(x["left"] > 0, F.lpad(s.a.cast("string"), x["left"], "0")).otherwise(F.lit("")), F.lpad(s.b.cast("string"), x["right"], "0")))
+
+    def permuted(d: Column) -> Column:
+        # over 18 digits: the first part is permuted under the second, then the second under the permuted first; else the second is empty
+        return _let(whole(d.substr(1, 18), F.concat(tweak, d.substr(19, 18))), lambda p: F.when(F.length(d) <= 18, p).otherwise(F.concat(p, whole(d.substr(19, 18), F.concat(tweak, p)))))
 
-    # over 18 digits: the first part is permuted under the second, then the second under the permuted first
-    first, second = digits.substr(F.lit(1), F.lit(18)), digits.substr(F.lit(19), n - 18)
-    both = F.element_at(F.transform(F.array(whole(first, F.concat(tweak, second))), lambda p: F.concat(p, whole(second, F.concat(tweak, p)))), 1)
-    return F.when(n <= 18, whole(digits, tweak)).otherwise(both)
+    return _let(digits, permuted)
 
 
 def _in_mask(mask: Column, digits: Column) -> Column:
@@ -107,17 +114,23 @@ def luhn_sum(digits: Column) -> Column:
 
 def _card(value: Column, key: str) -> Column:
     """All digits but the last are permuted, and the check digit made right; null if it was not."""
-    digits = _only_digits(value)
-    n = F.length(digits)
-    body = F.element_at(F.transform(F.array(permuted_digits(digits.substr(F.lit(1), n - 1), key, F.lit("card"))), lambda b: F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))), 1)
-    return F.when(luhn_sum(digits) % 10 == 0, _in_mask(value, body))
+
+    def card(digits: Column) -> Column:
+        body = permuted_digits(digits.substr(F.lit(1), F.length(digits) - 1), key, F.lit("card"))
+        new = _let(body, lambda b: F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
+        return F.when(luhn_sum(digits) % 10 == 0, _in_mask(value, new))
+
+    return _let(_only_digits(value), card)
 
 
 def _phone(value: Column, key: str) -> Column:
     """The last ten digits at most are permuted; what precedes them, a country code, stays."""
-    digits = _only_digits(value)
-    keep = F.greatest(F.length(digits) - 10, F.lit(0))
-    return _in_mask(value, F.concat(digits.substr(F.lit(1), keep), permuted_digits(digits.substr(keep + 1, F.length(digits) - keep), key, F.lit("phone"))))
+
+    def phone(digits: Column) -> Column:
+        keep = F.greatest(F.length(digits) - 10, F.lit(0))
+        return _in_mask(value, F.concat(digits.substr(F.lit(1), keep), permuted_digits(digits.substr(keep + 1, F.lit(10)), key, F.lit("phone"))))
+
+    return F.when(F.length(_only_digits(value)).between(7, 15), _let(_only_digits(value), phone))
 
 
 def _ip(value: Column, key: str) -> Column:
@@ -145,33 +158,42 @@ def _mod97(rearranged: Column) -> Column:
 
 
 def _iban_valid(value: Column) -> Column:
-    plain = F.regexp_replace(value, " ", "")
-    return F.length(plain).between(15, 34) & (_mod97(F.concat(plain.substr(F.lit(5), F.length(plain) - 4), plain.substr(1, 4))) == 1)
+    return _let(F.replace(value, F.lit(" "), F.lit("")), lambda plain: F.length(plain).between(15, 34) & (_mod97(F.concat(plain.substr(F.lit(5), F.length(plain) - 4), plain.substr(1, 4))) == 1))
 
 
 def _iban(value: Column, key: str) -> Column:
     """The digits after the check digits are permuted, and the check digits made right."""
-    plain = F.regexp_replace(value, " ", "")
-    account = plain.substr(F.lit(5), F.length(plain) - 4)
-    digits = _only_digits(account)
-    new = F.when(F.length(digits) >= 2, _in_mask(account, permuted_digits(digits, key, F.concat(F.lit("iban"), plain.substr(1, 2))))).otherwise(account)
-    checked = F.element_at(F.transform(F.array(new), lambda a: F.concat(F.lpad((98 - _mod97(F.concat(a, plain.substr(1, 2), F.lit("00")))).cast("string"), 2, "0"), a)), 1)
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
-    return F.concat(
-        value.substr(1, 2),
-        F.aggregate(F.split(value.substr(F.lit(3), F.length(value) - 2), ""), start, lambda s, c: F.when(c == " ", F.struct(F.concat(s.out, c).alias("out"), s["at"].alias("at"))).otherwise(F.struct(F.concat(s.out, checked.substr(s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at")))).out,
-    )
+
+    def checked(x: Column) -> Column:
+        """country and account -> check digits and account."""
+        return F.concat(F.lpad((98 - _mod97(F.concat(x["account"], x["country"], F.lit("00")))).cast("string"), 2, "0"), x["account"])
+
+    def made(x: Column) -> Column:
+        digits = _only_digits(x["account"])
+        new = F.when(F.length(digits) >= 2, _in_mask(x["account"], permuted_digits(digits, key, F.concat(F.lit("iban"), x["country"])))).otherwise(x["account"])
+        return _let(F.struct(x["country"].alias("country"), new.alias("account")), checked)
+
+    def spaced(plain: Column) -> Column:
+        step = lambda s, c: F.when(c == " ", F.struct(F.concat(s.out, c).alias("out"), s["at"].alias("at"))).otherwise(F.struct(F.concat(s.out, plain.substr(s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at")))
+        return F.concat(value.substr(1, 2), F.aggregate(F.split(value.substr(F.lit(3), F.length(value) - 2), ""), start, step).out)
+
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    return _let(_let(F.struct(plain.substr(1, 2).alias("country"), plain.substr(F.lit(5), F.length(plain) - 4).alias("account")), made), spaced)
 
 
 def _date(value: Column, date: Column, form: str, key: str, late: bool = False) -> Column:
     """A date of the range, permuted within it and written in the same form; late: among the days after the 12th of a month."""
-    day = F.date_diff(date, F.lit(_FIRST_DAY).cast("date"))
     at = lambda d: F.date_add(F.lit(_FIRST_DAY).cast("date"), d.cast("int"))
     turned = lambda d: feistel(F.floor(d / _DAYS_B), d % _DAYS_B, F.lit(_DAYS_A), F.lit(_DAYS_B), key, F.lit(f"date {form}"))
     number = lambda s: s.a * _DAYS_B + s.b
-    # permuted again until it is such a day, which keeps the permutation one to one; two days in five are not
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), turned(day), lambda s, _: F.when(F.dayofmonth(at(number(s))) > 12, s).otherwise(turned(number(s)))) if late else turned(day)
-    return F.when(date.isNotNull() & day.between(0, _DAYS_A * _DAYS_B - 1), F.element_at(F.transform(F.array(out), lambda s: F.date_format(at(number(s)), form)), 1))
+
+    def permuted(day: Column) -> Column:
+        # permuted again until it is such a day, which keeps the permutation one to one; two days in five are not
+        out = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), turned(day), lambda s, _: F.when(F.dayofmonth(at(number(s))) > 12, s).otherwise(turned(number(s)))) if late else turned(day)
+        return F.when(day.between(0, _DAYS_A * _DAYS_B - 1), _let(out, lambda s: F.date_format(at(number(s)), form)))
+
+    return _let(F.date_diff(date, F.lit(_FIRST_DAY).cast("date")), permuted)
 
 
 def pseudonym(value: Column, key: str = KEY) -> Column:
@@ -199,7 +221,7 @@ def _beside(value: Column, key: str) -> Column:
     return (
         F.when(value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), _date(value, F.try_to_date(value, "yyyy-MM-dd"), "yyyy-MM-dd", key))
         .when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(_ssn_valid(value), _ssn(value, key)))
-        .when(F.length(_only_digits(value)).between(7, 15), _phone(value, key))
+        .otherwise(_phone(value, key))
     )
 
 
