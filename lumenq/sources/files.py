@@ -105,6 +105,23 @@ def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, schemas.TRAJECTORIES)
 
 
+def read_run(spark: SparkSession, folder: str, step_view: str = "x0", name: str = "trajectories.jsonl") -> DataFrame:
+    """A generated run's trajectories in one view of their steps, (prompt_id, num_steps, response_sample_id, step_answers, final_answer).
+
+    A view is a column step_answers_<view>; step_answers alone is the view x0. An error for a view that is not there.
+    """
+    rows = read_jsonl(spark, f"{folder}/{name}")
+    column = f"step_answers_{step_view}"
+    if column not in rows.columns:
+        if step_view != "x0" or "step_answers" not in rows.columns:
+            raise ValueError(f"{folder} has no steps in the view {step_view}")
+        column = "step_answers"
+    steps = F.col(column).cast("array<string>")
+    size = F.coalesce(F.col("num_steps").cast("int"), F.size(steps)) if "num_steps" in rows.columns else F.size(steps)
+    sample = F.coalesce(F.col("response_sample_id").cast("int"), F.lit(0)) if "response_sample_id" in rows.columns else F.lit(0)
+    return rows.select(F.col("prompt_id").cast("string").alias("prompt_id"), size.alias("num_steps"), sample.alias("response_sample_id"), steps.alias("step_answers"), F.col("final_answer").cast("string").alias("final_answer"))
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """Feature rows; only columns that some row has, so that an absent feature stays absent."""
     return read_jsonl(spark, path)

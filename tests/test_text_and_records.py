@@ -413,3 +413,12 @@ def test_sheets(spark, tmp_path):
     where = sinks.write_sheets(cells, f"{tmp_path}/report.xlsx")
     assert where.endswith(".xlsx") or (tmp_path / "report/LLaDA1.5.csv").read_text().splitlines()[1] == ",lc,rd"
     assert sinks.write_sheets(cells.where("false"), f"{tmp_path}/none.xlsx")
+
+
+def test_runs_in_a_view_of_their_steps(spark, tmp_path):
+    (tmp_path / "trajectories.jsonl").write_text("\n".join(json.dumps({"prompt_id": p, "step_answers": ["a", "b"], "step_answers_xt": ["c"], "final_answer": "b"}) for p in range(2)))
+    plain = files.read_run(spark, str(tmp_path)).orderBy("prompt_id").first()
+    assert (plain.prompt_id, plain.num_steps, plain.response_sample_id, plain.step_answers, plain.final_answer) == ("0", 2, 0, ["a", "b"], "b")
+    assert files.read_run(spark, str(tmp_path), "xt").first().step_answers == ["c"]
+    with pytest.raises(ValueError):
+        files.read_run(spark, str(tmp_path), "other")
