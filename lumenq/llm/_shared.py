@@ -123,15 +123,18 @@ def slices(batch: pa.RecordBatch, column: str, max_chars: int = 4_000_000) -> It
         yield batch.slice(start)
 
 
-def modest_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Arrow batches of whole texts in the session kept to rows rows, where the default of 10,000 still holds.
+#: Rows of whole texts that are held at a time: in an Arrow batch, on both sides of the pipe to Python, and by the Parquet reader.
+BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.parquet.columnarReaderBatchSize": ("4096", "256")}
 
-    A batch is held at once on both sides of the pipe to Python, and rows of this subpackage are documents and pages.
-    Results are computed when the caller writes them, so the setting has to stay; one that the caller made is kept.
+
+def modest_batches(spark: SparkSession) -> None:
+    """Small batches of whole texts in the session, where Spark's defaults still hold: rows here are documents and pages.
+
+    Results are computed when the caller writes them, so the settings have to stay; those that the caller made are kept.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+    for name, (default, modest) in BATCH_SETTINGS.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, modest)
 
 
 def partitions_for(spark: SparkSession) -> int:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.llm._shared import SPACE, narrow, partitions_for, read_table, staged, text_key, text_of
+from lumenq.llm._shared import SPACE, modest_batches, narrow, partitions_for, read_table, staged, text_key, text_of
 
 #: Records of a bucket before it is split, and leading digest bits that the directory may use: at most 2**MAX_DEPTH entries.
 BUCKET_RECORDS = 50_000
@@ -146,6 +146,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for rows equal to it in id and text.
     digest_bits: leading bits of the digest that key the index; fewer only to provoke collisions in tests.
     """
+    modest_batches(docs.sparkSession)
     norm = normalised(text_col)
     # never null, so that joins by it need no filter that would digest every text once more
     sha = F.coalesce(F.unhex(F.sha2(norm, 256)), F.lit(b""))

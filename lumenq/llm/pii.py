@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.llm._shared import read_table, text_of
+from lumenq.llm._shared import modest_batches, read_table, text_of
 
 #: The key of the registered query; a real run passes its own.
 KEY = "demonstration key"
@@ -294,6 +294,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
     looks like a number or date and fails validation stays. Other columns are ignored; an empty table gives an empty
     result.
     """
+    modest_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), pseudonymised(text_of(text_col), key).alias("p")).select("doc_id", "p.text", "p.n_found")
 
 

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.llm._shared import discard, read_table, staged
+from lumenq.llm._shared import discard, modest_batches, read_table, staged
 
 #: (verdict, host, path) of the production rules.
 RULES = (
@@ -106,6 +106,7 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_c
     the graph. Null html links nowhere. Hosts that neither rank reaches are allowed. Very long urls and html are read
     whole. Repeated rows get a row each and count each as evidence. Other columns are ignored; an empty table gives an empty result.
     """
+    modest_batches(pages.sparkSession)
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     judged = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "by_rule": verdict})
