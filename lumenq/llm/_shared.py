@@ -123,8 +123,13 @@ def slices(batch: pa.RecordBatch, column: str, max_chars: int = 4_000_000) -> It
         yield batch.slice(start)
 
 
-#: Rows of whole texts that are held at a time: in an Arrow batch, on both sides of the pipe to Python, and by the Parquet reader.
-BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.parquet.columnarReaderBatchSize": ("4096", "256")}
+#: Whole texts that are held at a time, by Spark's default and here: rows and bytes of an Arrow batch, which is held on
+#: both sides of the pipe to Python, and rows of the Parquet reader.
+BATCH_SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "256"),
+}
 
 
 def modest_batches(spark: SparkSession) -> None:
