@@ -214,20 +214,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     spark = docs.sparkSession
     modest_batches(spark)
     log = staged(signed(docs, id_col, text_col, bands_for(percent)), "signed")
-    head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("head")
-    classes = log.where("n_shingles > 0").groupBy("set_key").agg(head, F.max("n_shingles").alias("n_shingles"))
+    # of each group the row of smallest id, and any key of its; numbers alone are aggregated by hashing, without a sort
+    first = lambda i, k: (F.min(i).alias("h_id"), F.coalesce(F.min_by(k, i), F.min(k)).alias("h_key"))
+    classes = log.where("n_shingles > 0").groupBy("set_key").agg(*first("doc_id", "text_key"), F.max("n_shingles").alias("n_shingles"))
     # numbers of the classes; once written, they are fixed
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    heads = classes.select("cid", "set_key", F.col("head.doc_id").alias("h_id"), F.col("head.text_key").alias("h_key"))
+    heads = classes.select("cid", "set_key", "h_id", "h_key")
     own_row = (log.set_key == heads.set_key) & log.doc_id.eqNullSafe(heads.h_id) & (log.text_key == heads.h_key)
     banded = log.join(heads, own_row).select("cid", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1")
     tied = staged(banded.join(hubs, "band").select("hub", "cid", "n"), "band-ties")
     candidates = staged(connected_components(tied.select(F.col("hub").alias("u"), F.col("cid").alias("v")), "candidate-stars"), "candidates")
     degree = tied.groupBy(F.col("cid").alias("node")).agg(F.sum("n").alias("degree"))
-    members = candidates.join(degree, "node").join(classes.select(F.col("cid").alias("node"), "n_shingles", F.col("head.doc_id").alias("h_id"), F.col("head.text_key").alias("h_key")), "node").withColumnRenamed("node", "cid")
+    members = candidates.join(degree, "node").join(classes.select(F.col("cid").alias("node"), "n_shingles", "h_id", "h_key"), "node").withColumnRenamed("node", "cid")
     members = staged(members, "members")
-    pivots = staged(members.groupBy("component").agg(F.max(F.struct("degree", (-F.col("cid")).alias("c"))).alias("top")).select("component", (-F.col("top.c")).alias("pivot")), "pivots")
+    pivots = staged(members.groupBy("component").agg(F.max_by("cid", "degree").alias("pivot")), "pivots")
 
     # the sets of candidates, from one row of each class
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(text_col).alias("text_key"), text_of(text_col).alias("text"))
@@ -235,7 +236,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     sets = staged(texts.join(wanted, texts.doc_id.eqNullSafe(F.col("h_id")) & (texts.text_key == F.col("h_key"))).select("cid", "component", "text").mapInArrow(_sets, SETS), "candidate-sets")
 
     # a row for each member, beside its group's pivot; both sides of the join are plain shuffles, which can be split at a hot group
-    theirs = sets.join(narrow(pivots.select("pivot"), pivots.count()), F.col("cid") == F.col("pivot")).dropDuplicates(["pivot"]).select("component", "pivot", F.col("shingles").alias("pivot_shingles"))
+    theirs = sets.join(narrow(pivots.select("pivot"), pivots.count()), F.col("cid") == F.col("pivot")).select("component", "pivot", F.col("shingles").alias("pivot_shingles"))
+    if sets.count() > members.count():  # rows equal in id and text gave a set each
+        theirs = theirs.dropDuplicates(["pivot"])
     theirs = staged(theirs, "pivot-sets")
     pairs = sets.join(theirs, "component").where("cid <> pivot").select("cid", "shingles", "pivot", "pivot_shingles")
     by_pivot = staged(pairs.mapInArrow(_pivot_links(percent), "u bigint, v bigint"), "pivot-links")
@@ -253,14 +256,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     components = staged(connected_components(by_pivot.unionByName(links)), "components")
     # the row that stays of each component, then of each class
     in_groups = classes.join(components.select(F.col("node").alias("cid"), "component"), "cid")
-    best = in_groups.groupBy("component").agg(F.min("head").alias("best"))
-    best = components.join(best, "component").select(F.col("node").alias("cid"), "best")
+    best = in_groups.groupBy("component").agg(*first("h_id", "h_key")).withColumnsRenamed({"h_id": "best_id", "h_key": "best_key"})
+    best = components.join(best, "component").select(F.col("node").alias("cid"), "best_id", "best_key")
     # written, so that the last join's sides are plain shuffles and can be split at a hot set
-    labelled = staged(classes.join(best, "cid", "left").select("set_key", F.coalesce("best", "head").alias("best")), "labelled")
+    alone = F.col("best_key").isNull()
+    labelled = staged(classes.join(best, "cid", "left").select("set_key", F.when(alone, F.col("h_id")).otherwise(F.col("best_id")).alias("best_id"), F.coalesce("best_key", "h_key").alias("best_key")), "labelled")
     discard(tied, candidates, members, pivots, sets, theirs, rest, tasks, by_pivot, links, components, classes)
-    worded = F.col("best").isNotNull()
-    own = F.when(worded, F.col("best.doc_id")).otherwise(F.col("doc_id"))
-    stays = ~worded | (F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_key") == F.col("text_key")))
+    worded = F.col("best_key").isNotNull()
+    own = F.when(worded, F.col("best_id")).otherwise(F.col("doc_id"))
+    stays = ~worded | (F.col("best_id").eqNullSafe(F.col("doc_id")) & (F.col("best_key") == F.col("text_key")))
     return log.join(labelled, "set_key", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "text_key", stays.alias("stays"))
 
 
