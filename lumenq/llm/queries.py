@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenq.llm import decontaminate, exact_dedup, html_text, near_dedup, packing, pii, quality, token_counts, toxicity, url_filter
+from lumenq.llm import context_tree, decontaminate, exact_dedup, html_text, near_dedup, packing, pii, quality, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity_grammar": toxicity.op8_toxicity_grammar,
     "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_context_tree": context_tree.op11_context_tree,
 }
 
 SQL = {

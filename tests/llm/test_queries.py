@@ -12,6 +12,7 @@ COLUMNS = {
     "op7_pii_pseudonyms": {"doc_id", "text", "n_found"},
     "op8_toxicity_grammar": {"doc_id", "held_out", "score", "predicted"},
     "op10_token_counts": {"doc_id", "n_bytes", "n_tokens", "over_limit"},
+    "op11_context_tree": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
 }
 
 
