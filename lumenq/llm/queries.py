@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenq.llm import context_tree, decontaminate, exact_dedup, html_text, near_dedup, packing, pii, quality, token_counts, toxicity, url_filter
+from lumenq.llm import context_tree, decontaminate, exact_dedup, html_text, importance, near_dedup, packing, pii, quality, token_counts, toxicity, url_filter, vector_codes
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_context_tree": context_tree.op11_context_tree,
+    "op12_importance_resampling": importance.op12_importance_resampling,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 SQL = {
@@ -23,4 +25,6 @@ SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op9_minhash_near_dedup": near_dedup.OP9_SQL,
+    "op12_importance_resampling": importance.OP12_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
