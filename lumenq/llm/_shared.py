@@ -155,17 +155,19 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text
     """The rows of docs, with all their columns, that stay by verdicts (doc_id, text_key, stays), a verdict for each row.
 
     Rows are told by id and text: of rows with equal id and equal text one stays, different texts under one id are
-    judged apart, and a null id is an id like any other. What goes is mostly little: it is broadcast up to a bound;
+    judged apart, and a null id is an id like any other. Columns of docs may have any names. What goes is mostly little: it is broadcast up to a bound;
     beyond it the kept keys are the hashed side of a shuffled join.
     """
-    keys = staged(verdicts.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("n > 1 or not stays").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "stays", "n"), "verdicts")
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (text_key(text_col) == F.col("__key"))
-    gone = keys.where("not stays").select("__id", "__key")
+    taken = {c.lower() for c in docs.columns}
+    own_id, own_key, own_text = (next(f"{name}_{k}" for k in range(len(taken) + 1) if f"{name}_{k}" not in taken) for name in ("verdict_id", "verdict_key", "whole_text"))
+    keys = staged(verdicts.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("n > 1 or not stays").select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), "stays", "n"), "verdicts")
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (text_key(text_col) == F.col(own_key))
+    gone = keys.where("not stays").select(own_id, own_key)
     out = docs.join(narrow(gone, gone.count()), same, "left_anti")
-    again = keys.where("stays and n > 1").select("__id", "__key")
+    again = keys.where("stays and n > 1").select(own_id, own_key)
     repeats = again.count()
     if not repeats:
         return out
     again = narrow(again, repeats)
-    folded = out.join(again, same, "left_semi").withColumns({"__text": F.sha2(text_of(text_col), 256)}).dropDuplicates([id_col, "__text"]).drop("__text")
+    folded = out.join(again, same, "left_semi").withColumns({own_text: F.sha2(text_of(text_col), 256)}).dropDuplicates([id_col, own_text]).drop(own_text)
     return out.join(again, same, "left_anti").unionByName(folded)

@@ -283,14 +283,15 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
         return F.when(run, _cards_of(v, key)).otherwise(_or_as_it_is(v, pseudonym(v, key)))
 
     found = _replaced(text, PATTERN, replace)
-    # most texts have no digit and no @: they are not searched
-    return F.when(text.rlike("[0-9@]"), F.element_at(F.transform(F.array(found), lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n_found"))), 1)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("n_found")))
+    # every format has a digit, an @, or 32 hex letters: other texts are not searched
+    return F.when(text.rlike("[0-9@]|[a-fA-F]{32}"), F.element_at(F.transform(F.array(found), lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n_found"))), 1)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("n_found")))
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, n_found of every row of docs.
 
-    Null and empty texts give an empty text and 0; very long texts are read whole. Repeated rows get a row each; a null doc_id keeps its row. What only
+    Dates are replaced from 1900-01-01 to 2101-03-27 and with two digits for day and month; others stay, as do phone
+    numbers without an area code. Null and empty texts give an empty text and 0; very long texts are read whole. Repeated rows get a row each; a null doc_id keeps its row. What only
     looks like a number or date and fails validation stays. Other columns are ignored; an empty table gives an empty
     result.
     """

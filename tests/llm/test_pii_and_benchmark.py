@@ -349,3 +349,11 @@ def test_benchmark_in_passes(spark, monkeypatch):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contaminated(d, empty).count() == 0 and d.where(decontaminate.is_contaminated(empty)).count() == 0
     assert decontaminate.contaminated(spark.createDataFrame([], SCHEMA), b).count() == 0
+
+
+def test_secrets_of_letters_alone_are_linked_everywhere(spark):
+    secret = "deadbeef" * 4
+    got = replaced(spark, [f"key {secret}", f"key {secret} 1", secret, secret.upper(), "abcdef" * 5, "facade decade " * 9])
+    new = got[0].text[4:]
+    assert [got[i].n_found for i in range(6)] == [1, 1, 1, 1, 0, 0]
+    assert got[1].text == f"key {new} 1" and got[2].text == new != secret and len(new) == 32

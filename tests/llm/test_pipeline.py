@@ -37,3 +37,21 @@ def test_stages_keep_columns_and_edges(spark, data):
             assert k + 1 == len(corpus_pipeline.STAGES) or out.columns == docs.columns
             assert docs is not empty or out.count() == 0
     assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, odd, data).collect() if r.doc_id is not None) == [1, 2, 4]
+
+
+def test_stages_keep_columns_of_any_name(spark, data):
+    """Names that the operators use themselves, in any case, on rows with repeats."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "other words of the same id, which are told apart"), (2, "a b c  d e f g"), (3, None), (3, None), (None, "x y z"), (None, "x y z")]
+    names = ["__id", "__key", "__text", "verdict_id_0", "WHOLE_TEXT_0", "stays", "N", "STAYED", "Key", "text_key", "digest", "keep_id", "kept", "at", "kind", "i", "k", "size", "group_size", "bucket", "owner", "rank", "row_key", "value", "label", "SCORE", "component_id", "n_tokens", "length", "start", "piece", "members"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs = docs.select("doc_id", "text", *(F.lit(f"{k} of {n}").alias(n) for k, n in enumerate(names)))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, docs, data)
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert got.columns == docs.columns
+            assert all(r[n] == f"{i} of {n}" for r in got.collect() for i, n in enumerate(names))
+    keys = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    assert keys(corpus_pipeline.without_copies(spark, docs, data)) == sorted([rows[2], (2, "a b c  d e f g"), (3, None), (None, "x y z")], key=repr)
+    assert keys(corpus_pipeline.without_near_copies(spark, docs, data)) == sorted([rows[0], rows[2], (3, None), (None, "x y z")], key=repr)
