@@ -43,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
     add("pipeline", arg("run"), arg("--stages", nargs="*", choices=STAGES, default=["label", "features", "evaluate"]), arg("--source", help="raw data of the prompts stage"), arg("--backend"), judge, scorer, arg("--trajectories"), arg("--bootstrap", type=int, default=1000), arg("--counts", type=int, nargs=3, default=(10, 30, 40)), arg("--k", type=int, default=5), arg("--train", type=int, default=10), arg("--seed", type=int, default=42))
     add("features", arg("answers"), arg("output"), arg("--tensors"), scorer, arg("--config", help="folder of config.json with the token ids; the answers' own if not given"), arg("--compat", action="store_true"))
     add("baseline", arg("features"), arg("trajectories"), arg("output"), scorer, arg("--answers", help="answers whose ambiguous prompts are left out of the order"), arg("--full", action="store_true"), arg("--seed", type=int, default=42))
+    add("weights", arg("features"), arg("trajectories"), arg("output"), scorer, arg("--ridge", type=float, default=0.1), arg("--weights", help="file of the weights and their certificate"))
     add("evaluate", arg("features"), arg("output"), arg("--bootstrap", type=int, default=1000), arg("--seed", type=int, default=0))
     add("split", arg("features"), arg("output"), arg("--counts", type=int, nargs=3, default=(10, 30, 40)), arg("--seed", type=int, default=42))
     add("kfold", arg("features"), arg("output"), arg("--k", type=int, default=5), arg("--train", type=int, default=10), arg("--seed", type=int, default=42))
@@ -133,6 +134,10 @@ def main(argv: list[str] | None = None) -> None:
         excluded = labeling.ambiguous_prompts(answers) if a.answers else None
         rows = pipeline.baseline_features(files.read_features(spark, a.features), files.read_trajectories(spark, a.trajectories), loaded(a.scorer), full_trajectory=a.full, seed=a.seed, excluded=excluded)
         sinks.write_jsonl(rows, a.output, "overwrite")
+    elif a.command == "weights":
+        rows, weights = pipeline.weighted_features(files.read_features(spark, a.features), files.read_trajectories(spark, a.trajectories), loaded(a.scorer), a.ridge)
+        sinks.write_jsonl(rows, a.output, "overwrite")
+        sinks.write_json([r.asDict() for r in weights.orderBy("step").collect()], a.weights or f"{a.output}.weights.json")  # a row for each step
     elif a.command == "evaluate":
         summary, found = pipeline.evaluate(files.read_features(spark, a.features), a.bootstrap, a.seed)
         sinks.write_json(sinks.metrics_document(summary.first().asDict(), found), f"{a.output}/uq_eval_metrics.json")

@@ -9,7 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenq.operators.resample import digest_number
 from lumenq.operators.tokens import top_k
+from lumenq.staging import discard, staged
 
 C = F.col
 
@@ -93,6 +95,72 @@ def log_softmax_top_k(logits: DataFrame, k: int, keys: Sequence[str] = ("sample_
     return top_k(logits, k, keys).join(mass, list(keys)).select(*keys, "rank", "token_id", (C("logit") - C("__norm")).alias("logprob"))
 
 
+def uniform(seed: int, *keys: Column) -> Column:
+    """A number strictly between 0 and 1 from a digest of seed and keys."""
+    return (digest_number(F.lit(seed), *keys) + 1) / F.lit(4294967297.0)
+
+
+def denoised(
+    sequences: DataFrame,
+    model: Callable[[DataFrame, DataFrame], DataFrame],
+    mask_id: int,
+    length: int,
+    steps: int,
+    block: int | None = None,
+    temperature: float = 0.0,
+    scale: float = 0.0,
+    strategy: str = "low_confidence",
+    eos: Sequence[int] = (),
+    logits_eos_inf: bool = False,
+    confidence_eos_inf: bool = False,
+    seed: int = 42,
+) -> DataFrame:
+    """The denoising loop as joins: sequences (sample_id, pos, token_id, is_prompt) with their masks replaced.
+
+    sequences: as masked_sequences gives them, all prompts of one width, then length masks. model(state, asked) gives
+    logits (sample_id, pos, token_id, logit) for the positions asked, from a state like sequences: a model is whatever
+    joins and functions make of them. A row is a position, and a step asks only for the masked positions up to the end of
+    its block. Each step's state is written, and the one before removed, so that a step's plan does not grow and lost
+    executors lose one step; a block ends when a count finds nothing masked in it. Noise and random confidence are digests
+    of seed, block, step and place, so that they do not depend on the partitioning. The result is written.
+    """
+    if strategy not in ("low_confidence", "random"):
+        raise ValueError(f"unknown strategy {strategy}")
+    blocks, per_block = block_schedule(length, block, steps)
+    size, place = length // blocks, ["sample_id", "pos"]
+    state = staged(sequences.select(*place, "token_id", "is_prompt"), "denoising")
+    start = state.where("is_prompt").agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
+    for b in range(blocks):
+        end = start + (b + 1) * size
+        masked = state.where((C("token_id") == mask_id) & C("pos").between(end - size, end - 1)).groupBy("sample_id").agg(F.count("*").alias("masked"))
+        waiting = staged(masked, "denoising-counts")
+        for step in range(per_block):
+            asked = state.where((C("token_id") == mask_id) & ~C("is_prompt") & (C("pos") < end)).select(*place)
+            if asked.isEmpty():
+                break
+            logits = model(state, asked)
+            if scale > 0:
+                bare = model(state.withColumn("token_id", F.when(C("is_prompt"), F.lit(mask_id)).otherwise(C("token_id"))), asked)
+                both = logits.join(bare.withColumnRenamed("logit", "bare"), [*place, "token_id"])
+                logits = both.withColumn("logit", guided(C("logit"), C("bare"), scale)).drop("bare")
+            logits = suppressed(logits, eos if logits_eos_inf else ())
+            scored = logits.withColumn("score", noisy(C("logit"), uniform(seed, F.lit(b), F.lit(step), C("sample_id"), C("pos"), C("token_id")), temperature))
+            chosen = chosen_tokens(suppressed(scored, eos if confidence_eos_inf and strategy == "low_confidence" else ()))
+            sure = C("probability") if strategy == "low_confidence" else uniform(seed, F.lit(b), F.lit(step), C("sample_id"), C("pos"))
+            counts = waiting.select("sample_id", transfer_count(C("masked"), F.lit(per_block), F.lit(step)).alias("transfer"))
+            picked = committed(chosen.select(*place, C("token_id").alias("new"), sure.alias("confidence"), F.lit(True).alias("is_masked")), counts, end)
+            after = staged(state.join(picked.select(*place, "new"), place, "left").select(*place, F.coalesce("new", "token_id").alias("token_id"), "is_prompt"), "denoising")
+            discard(state)
+            state = after
+        discard(waiting)
+    return state
+
+
+def final_log_probabilities(state: DataFrame, model: Callable[[DataFrame, DataFrame], DataFrame], k: int = 64) -> DataFrame:
+    """(sample_id, pos, rank, token_id, logprob) of the answer's positions, from a last look of the model at the whole state."""
+    return log_softmax_top_k(model(state, state.where(~C("is_prompt")).select("sample_id", "pos")), k)
+
+
 def generate(
     prompts: Sequence[Sequence[int]],
     model: Callable[[np.ndarray], np.ndarray],

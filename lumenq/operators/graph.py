@@ -145,6 +145,31 @@ def spectral(edges: DataFrame, key: str = "prompt_id") -> DataFrame:
     return m.mapInPandas(rows, f"{key} {kind}, n int, ecc double, kle_heat double, kle_matern double")
 
 
+def spectral_moments(edges: DataFrame, powers: int = 6, key: str = "prompt_id") -> DataFrame:
+    """power_1 .. power_<powers> and residual of each prompt: a certificate of the eigenvalues that spectral works with.
+
+    power_k is the sum of the eigenvalues' k-th powers, which is the trace of the Laplacian's k-th power; residual is the
+    largest |L v - value v| over all eigenvectors v. Traces follow from joins of laplacian with itself, so that a join
+    confirms the eigenvalues without an eigensolver.
+    """
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for m in batch["m"]:
+                w = np.maximum(np.array([np.asarray(r, float) for r in m]), 0)
+                np.fill_diagonal(w, 0)
+                lap = np.diag(w.sum(1)) - w
+                values, vectors = np.linalg.eigh((lap + lap.T) / 2)
+                out.append([float((values**k).sum()) for k in range(1, powers + 1)] + [float(np.abs((lap + lap.T) / 2 @ vectors - vectors * values).max())])
+            yield pd.concat([batch[[key, "n"]].reset_index(drop=True), pd.DataFrame(out, columns=[*names, "residual"], dtype=float)], axis=1)
+
+    names = [f"power_{k}" for k in range(1, powers + 1)]
+    m = matrices(edges, key)
+    kind = m.schema[key].dataType.simpleString()
+    return m.mapInPandas(rows, f"{key} {kind}, n int, {', '.join(f'{n} double' for n in names)}, residual double")
+
+
 def graph_features(edges: DataFrame, key: str = "prompt_id") -> DataFrame:
     """se_marginal, se_conditional, ecc, eigval, kle_heat, kle_matern of each prompt; all null for fewer than two items."""
     parts = [cluster_entropy(clusters(edges, key=key), key), spectral(edges, key), eigval(edges, key)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -292,7 +293,11 @@ def verify_psd(m: np.ndarray, tolerance: float = 1e-8) -> dict:
 
 
 def quadratic_weights(a: np.ndarray, gain: np.ndarray, ridge: float, steps: int = 2000) -> np.ndarray:
-    """Weights on the simplex that minimise w'Aw - gain'w + ridge |w|^2, by projected gradient. Own objective."""
+    """Weights on the simplex that minimise w'Aw - gain'w + ridge |w|^2, by projected gradient. Own objective.
+
+    An active-set step then makes them exact: the weights of the steps in use solve their linear equations, as long as
+    none is negative and no other step would gain.
+    """
     t = len(gain)
     m = (a + a.T) / 2 + ridge * np.eye(t)
     rate = 1 / (2 * max(1e-9, np.abs(np.linalg.eigvalsh(m)).max()))
@@ -302,9 +307,34 @@ def quadratic_weights(a: np.ndarray, gain: np.ndarray, ridge: float, steps: int
         u = np.sort(v)[::-1]
         cut = (np.cumsum(u) - 1) / np.arange(1, t + 1)
         w = np.maximum(0, v - cut[np.flatnonzero(u > cut)[-1]])
+    used = w > 1e-9
+    for _ in range(4 * t):
+        at = np.flatnonzero(used)
+        whole = np.block([[2 * m[np.ix_(at, at)], -np.ones((len(at), 1))], [np.ones((1, len(at))), np.zeros((1, 1))]])
+        found = np.linalg.lstsq(whole, np.append(gain[at], 1.0), rcond=None)[0]
+        if found[:-1].min() < -1e-12:
+            used[at[found[:-1].argmin()]] = False
+            continue
+        exact = np.zeros(t)
+        exact[at] = np.maximum(found[:-1], 0)
+        slack = 2 * m @ exact - gain - found[-1]
+        if slack.min() >= -1e-12 * max(1, np.abs(m).max()):
+            return exact / exact.sum() if exact @ m @ exact - gain @ exact <= w @ m @ w - gain @ w + 1e-12 else w
+        used[slack.argmin()] = True
     return w
 
 
+def certificate(a: np.ndarray, gain: np.ndarray, ridge: float, w: np.ndarray) -> tuple[float, float, float]:
+    """(objective, gap, residual) of weights w: how far they can be from the best.
+
+    gap is w'g - min g for the gradient g: for a convex objective no weights on the simplex are better by more. residual
+    is the largest difference, among steps with a weight, of their gradient from the least one.
+    """
+    m = (a + a.T) / 2 + ridge * np.eye(len(gain))
+    g = 2 * m @ w - gain
+    return float(w @ m @ w - gain @ w), float(g @ w - g.min()), float(np.max(np.where(w > 1e-9, g - g.min(), 0)))
+
+
 #: The ridges that a search tries.
 RIDGES = (0, 0.01, 0.1, 0.2, 0.5, 1, 5, 10)
 
@@ -315,42 +345,23 @@ def search_weights(a: np.ndarray, gain: np.ndarray, score, ridges: Sequence[floa
     return max(tried, key=lambda x: score(x[1]))
 
 
-def kernel_matrices_by_group(points: DataFrame, key: str, kernel: str = "linear") -> DataFrame:
-    """(key, is_psd, min_eigenvalue, trace) of C - A_U for each group of (key, trajectory, step, embedding).
-
-    The linear kernel needs no pairs of vectors: C sums the products within each trajectory, and A_U follows from the
-    vector sums of the steps, so a task holds a trajectory or the sums of a group. Trajectories may lack steps: C is
-    then over those that have both, and A_U over the pairs of different ones that do. Other kernels take each group
-    whole, with all steps in every trajectory.
-    """
+def _linear_sums(points: DataFrame, key: str) -> DataFrame:
+    """kernel_sums of the linear kernel: no pairs of vectors but within a trajectory."""
     kind = points.schema[key].dataType.simpleString()
-    result = f"{key} {kind}, is_psd boolean, min_eigenvalue double, trace double"
-
-    def found(group, c: np.ndarray, a_u: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({key: [group], **{k: [v] for k, v in verify_psd(delta_u(c, a_u)).items()}, "trace": [float(np.trace(c - a_u))]})
-
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["trajectory", "step"])
-        n = pdf.trajectory.nunique()
-        _, a_u, c = kernel_matrices(np.stack(pdf.embedding.to_numpy()).reshape(n, len(pdf) // n, -1), kernel)
-        return found(pdf[key].iloc[0], c, a_u)
-
-    if kernel != "linear":
-        return points.groupBy(key).applyInPandas(rows, result)
 
     def from_sums(pdf: pd.DataFrame) -> pd.DataFrame:
         own, sums = pdf[pdf["other"].notna()], pdf[pdf["other"].isna()]
-        at = {s: i for i, s in enumerate(sorted(sums["step"]))}
+        steps = sorted(sums["step"])
+        at = {s: i for i, s in enumerate(steps)}
         within, both, counts = np.zeros((len(at), len(at))), np.zeros((len(at), len(at))), np.zeros(len(at))
         for a, b, dot, n in zip(own["step"], own["other"], own["dot"], own["n"], strict=True):
             within[at[a], at[b]], both[at[a], at[b]] = dot, n
         total = np.stack([v for _, v in sorted(zip(sums["step"], sums["total"], strict=True), key=lambda x: x[0])])
         for s, n in zip(sums["step"], sums["n"], strict=True):
             counts[at[s]] = n
-        c = within / np.maximum(both, 1)
-        others = np.outer(counts, counts) - both
-        a_u = np.where(others > 0, (total @ total.T - within) / np.maximum(others, 1), c)
-        return found(pdf[key].iloc[0], c, a_u)
+        rows = itertools.product(range(len(at)), repeat=2)
+        others, crossed = np.outer(counts, counts) - both, total @ total.T - within
+        return pd.DataFrame([(pdf[key].iloc[0], steps[i], steps[j], within[i, j], int(both[i, j]), crossed[i, j], int(others[i, j])) for i, j in rows], columns=[key, "step", "other", "own", "n_own", "crossed", "n_crossed"])
 
     doubles = F.transform("embedding", lambda v: v.cast("double"))
     placed = points.select(key, "trajectory", F.struct("step", doubles.alias("v")).alias("p"))
@@ -359,10 +370,118 @@ def kernel_matrices_by_group(points: DataFrame, key: str, kernel: str = "linear"
     dot = F.aggregate(F.zip_with("p.v", "q.v", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     own = pairs.select(key, F.col("p.step").alias("step"), F.col("q.step").alias("other"), dot.alias("dot"))
     own = own.groupBy(key, "step", "other").agg(F.sum("dot").alias("dot"), F.count("*").alias("n"))
-    long = placed.select(key, F.col("p.step").alias("step"), F.posexplode("p.v").alias("k", "v"))
-    sums = long.groupBy(key, "step", "k").agg(F.sum("v").alias("v"), F.count("*").alias("n")).groupBy(key, "step")
-    sums = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("total"), F.max("n").alias("n"))
-    return own.unionByName(sums, allowMissingColumns=True).groupBy(key).applyInPandas(from_sums, result)
+    long = placed.select(key, F.col("p.step").alias("step"), F.posexplode("p.v").alias("__k", "__v"))
+    sums = long.groupBy(key, "step", "__k").agg(F.sum("__v").alias("__v"), F.count("*").alias("n")).groupBy(key, "step")
+    sums = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__v"))), lambda x: x["__v"]).alias("total"), F.max("n").alias("n"))
+    made = own.unionByName(sums, allowMissingColumns=True).groupBy(key).applyInPandas(from_sums, f"{key} {kind}, step bigint, other bigint, own double, n_own bigint, crossed double, n_crossed bigint")
+    return made
+
+
+def _tiled_sums(points: DataFrame, key: str, gamma: float) -> DataFrame:
+    """kernel_sums of the Gaussian kernel, over all pairs: blocks of a group's points meet two at a time.
+
+    A group of any size is cut to blocks of about BLOCK_POINTS; a task holds two of them and gives a row for each two
+    steps. Sums of all tiles meet by key, so no group comes to one task.
+    """
+    kind = points.schema[key].dataType.simpleString()
+    known = staged(points.select(F.col(key).alias("g"), F.xxhash64("trajectory").alias("o"), F.col("step").cast("bigint").alias("s"), F.transform("embedding", lambda v: v.cast("double")).alias("v")), "kernel-points")
+    sizes = staged(known.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_POINTS).cast("int").alias("blocks")), "kernel-sizes")
+    dealt = known.withColumn("h", F.xxhash64("o", "s", "v", F.monotonically_increasing_id())).join(sizes.select(F.col("g").alias("g1"), "blocks"), F.col("g").eqNullSafe(F.col("g1"))).drop("g1")
+    packed = staged(dealt.groupBy("g", F.pmod("h", "blocks").cast("int").alias("block"), "blocks").agg(F.collect_list(F.struct("o", "s", "v")).alias("points")), "kernel-blocks")
+    tasks = packed.select("g", "block", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("b2"), "points")
+    ends = packed.select(F.col("g").alias("g2"), F.col("block").alias("b3"), F.col("points").alias("points2"))
+    met = tasks.join(ends, F.col("g").eqNullSafe(F.col("g2")) & (F.col("b2") == F.col("b3"))).select("g", "block", "b2", "points", "points2")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                a, b = (one.column(c).flatten() for c in ("points", "points2"))
+                matrix = lambda side: np.array(side.field("v").to_pylist(), np.float64)
+                va, vb, oa, ob = matrix(a), matrix(b), a.field("o").to_numpy(), b.field("o").to_numpy()
+                kernel = np.exp(-gamma * np.maximum((va**2).sum(1)[:, None] + (vb**2).sum(1)[None] - 2 * va @ vb.T, 0))
+                same = oa[:, None] == ob[None]
+                (sa, ia), (sb, ib) = (np.unique(x.field("s").to_numpy(), return_inverse=True) for x in (a, b))
+                tile = ia[:, None] * len(sb) + ib[None]
+                found = [np.bincount(tile[where], w, len(sa) * len(sb)) for where in (same, ~same) for w in (kernel[where], None)]
+                step, other = np.repeat(sa, len(sb)), np.tile(sb, len(sa))
+                columns = [step, other, *(x.astype(kind) for x, kind in zip(found, (float, np.int64) * 2, strict=True))]
+                if one.column("block")[0].as_py() != one.column("b2")[0].as_py():  # the mirrored tile
+                    columns = [np.concatenate([x, y]) for x, y in zip(columns, [other, step, *columns[2:]], strict=True)]
+                groups = pa.array([one.column("g")[0].as_py()] * len(columns[0]), one.column("g").type)
+                yield pa.RecordBatch.from_arrays([groups, *map(pa.array, columns)], [key, "step", "other", "own", "n_own", "crossed", "n_crossed"])
+
+    tiles = met.mapInArrow(sums, f"{key} {kind}, step bigint, other bigint, own double, n_own bigint, crossed double, n_crossed bigint")
+    return tiles.groupBy(key, "step", "other").agg(*[F.sum(c).alias(c) for c in ("own", "n_own", "crossed", "n_crossed")])
+
+
+def kernel_sums(points: DataFrame, key: str, kernel: str = "linear", gamma: float = 1.0) -> DataFrame:
+    """(key, step, other, c, a_u): the matrices C and A_U of each group of (key, trajectory, step, embedding), a row for each two steps.
+
+    C averages the kernel within trajectories, over those that have both steps, 0 without any; A_U between different
+    ones, and is C without any. The linear kernel needs no pairs of vectors; the Gaussian one sums all of them by tiles.
+    """
+    if kernel not in ("linear", "rbf"):
+        raise ValueError(f"unknown kernel {kernel}")
+    sums = _linear_sums(points, key) if kernel == "linear" else _tiled_sums(points, key, gamma)
+    c = F.coalesce(F.try_divide("own", "n_own"), F.lit(0.0))
+    return sums.select(key, F.col("step").cast("int").alias("step"), F.col("other").cast("int").alias("other"), c.alias("c"), F.coalesce(F.try_divide("crossed", "n_crossed"), c).alias("a_u"))
+
+
+def _matrix(pdf: pd.DataFrame) -> tuple[list[int], np.ndarray]:
+    """(steps, C - A_U made symmetric) of one group of kernel_sums."""
+    steps = sorted(set(pdf["step"]))
+    at = {s: i for i, s in enumerate(steps)}
+    m = np.zeros((len(steps), len(steps)))
+    for i, j, c, u in zip(pdf["step"], pdf["other"], pdf["c"], pdf["a_u"], strict=True):
+        m[at[i], at[j]] = c - u
+    return steps, (m + m.T) / 2
+
+
+def kernel_matrices_by_group(points: DataFrame, key: str, kernel: str = "linear", gamma: float = 1.0) -> DataFrame:
+    """(key, is_psd, min_eigenvalue, trace) of C - A_U for each group of (key, trajectory, step, embedding); see kernel_sums."""
+    kind = points.schema[key].dataType.simpleString()
+
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = _matrix(pdf)[1]
+        return pd.DataFrame({key: [pdf[key].iloc[0]], **{k: [v] for k, v in verify_psd(m).items()}, "trace": [float(np.trace(m))]})
+
+    # a group is a row for each two steps, however many vectors it has
+    return kernel_sums(points, key, kernel, gamma).groupBy(key).applyInPandas(rows, f"{key} {kind}, is_psd boolean, min_eigenvalue double, trace double")
+
+
+def step_weights(points: DataFrame, key: str, kernel: str = "linear", gamma: float = 1.0, ridge: float = 0.1, gain: Sequence[float] | None = None) -> DataFrame:
+    """(key, step, weight, objective, gap, residual, shift) of each group: the steps' weights with their certificate.
+
+    Weights on the simplex that minimise w'(C - A_U)w + ridge |w|^2 - gain'w: steps in which trajectories differ least
+    weigh most. Spark makes the sums; a task solves one group's small programme. shift is what was added to the diagonal
+    where C - A_U with the ridge has a negative eigenvalue, so that gap bounds how far the objective is from the best.
+    """
+    kind = points.schema[key].dataType.simpleString()
+
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        steps, m = _matrix(pdf)
+        own = np.zeros(len(steps)) if gain is None else np.asarray(gain, float)
+        shift = max(0.0, -float(np.linalg.eigvalsh(m).min()) - ridge)
+        w = quadratic_weights(m, own, ridge + shift)
+        objective, gap, residual = certificate(m, own, ridge + shift, w)
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(steps), "step": steps, "weight": w, "objective": objective, "gap": gap, "residual": residual, "shift": shift})
+
+    return kernel_sums(points, key, kernel, gamma).groupBy(key).applyInPandas(rows, f"{key} {kind}, step int, weight double, objective double, gap double, residual double, shift double")
+
+
+#: Numbers of a hashed vector of a text.
+HASHED_SIZE = 64
+
+
+def hashed_vectors(texts: DataFrame, keys: Sequence[str], text: str = "text", size: int = HASHED_SIZE) -> DataFrame:
+    """(keys, embedding): words of each text counted by hash, at length 1; texts without words give zeros."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter("__at", lambda p: p == k)).cast("double"))
+    norm = F.sqrt(F.aggregate("__n", F.lit(0.0), lambda s, v: s + v * v))
+    made = texts.select(*keys, places.alias("__at")).select(*keys, counts.alias("__n")).select(*keys, "__n", norm.alias("__norm"))
+    return made.select(*keys, F.transform("__n", lambda v: v / F.greatest("__norm", F.lit(1e-12))).alias("embedding"))
 
 
 def pair_means(vectors: DataFrame, group: str = "label", vector: str = "embedding") -> DataFrame:

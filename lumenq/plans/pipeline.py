@@ -74,6 +74,23 @@ def baseline_features(rows: DataFrame, trajectories: DataFrame, scorer: Entailme
     return out
 
 
+def weighted_features(rows: DataFrame, trajectories: DataFrame, scorer: EntailmentScorer | None = None, ridge: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """(rows with weighted-ad, weights with their certificate): each prompt's steps weighed by how little they differ between trajectories.
+
+    Trajectories of the most common number of steps take part; their steps' texts become vectors of hashed words, on which
+    trajectory.step_weights works, all trajectories as one group. weighted-ad is the weighed dissimilarity of the first
+    trajectory's steps from its final answer; prompts without a trajectory have none.
+    """
+    if "ord" not in trajectories.columns:
+        trajectories = trajectories.withColumn("ord", F.monotonically_increasing_id())
+    kept = staged(trajectory.modal_length(staged(trajectories, "trajectories")), "kept-trajectories")
+    steps = trajectory.steps_of(kept, ("prompt_id", "response_sample_id")).select(F.lit(0).alias("all"), F.struct("prompt_id", "response_sample_id").alias("trajectory"), "step", "text")
+    weights = staged(trajectory.step_weights(trajectory.hashed_vectors(steps, ("all", "trajectory", "step")), "all", ridge=ridge).drop("all"), "step-weights")
+    target = trajectory.target_trajectory(kept.select("prompt_id", "response_sample_id", "num_steps", "step_answers", "final_answer")).join(rows.select("prompt_id"), "prompt_id", "left_semi")
+    found = trajectory.averaged_dissimilarity(trajectory.step_dissimilarities(trajectory.steps_of(target), scorer), weights=weights)
+    return rows.join(found.withColumnRenamed("ad", "weighted-ad"), "prompt_id", "left"), weights
+
+
 def evaluate(rows: DataFrame, bootstrap: int = 0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(run summary, metrics of each feature)."""
     return metrics.run_summary(rows), metrics.evaluate_run(rows, bootstrap, seed)

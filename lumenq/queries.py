@@ -321,6 +321,19 @@ def spectral(spark, sf_dir):
     return graph.spectral(vector_edges(spark, sf_dir)).select("prompt_id", r6("ecc"), r6("kle_heat"), r6("kle_matern"))
 
 
+@query(
+    f"WITH {EDGES}, e AS (SELECT prompt_id, i, j, CASE WHEN i <> j THEN greatest(w, 0) ELSE 0 END AS w FROM ed), d AS (SELECT prompt_id, i, sum(w) AS d FROM e GROUP BY ALL),"
+    " l AS (SELECT prompt_id, i, j, CASE WHEN i = j THEN d ELSE 0 END - w AS v FROM e JOIN d USING (prompt_id, i)),"
+    " l2 AS (SELECT a.prompt_id, a.i, b.j, sum(a.v * b.v) AS v FROM l a JOIN l b ON a.prompt_id = b.prompt_id AND a.j = b.i GROUP BY ALL), l3 AS (SELECT a.prompt_id, a.i, b.j, sum(a.v * b.v) AS v FROM l2 a JOIN l b ON a.prompt_id = b.prompt_id AND a.j = b.i GROUP BY ALL),"
+    " t AS (SELECT prompt_id, i, j, l.v AS a, l2.v AS b, l3.v AS c FROM l JOIN l2 USING (prompt_id, i, j) JOIN l3 USING (prompt_id, i, j))"
+    " SELECT prompt_id, " + ", ".join(f"round(sum({x}), 4) AS power_{k}" for k, x in enumerate(("CASE WHEN i = j THEN a ELSE 0 END", "a * a", "a * b", "b * b", "b * c", "c * c"), 1)) + ", 0::DOUBLE AS residual FROM t GROUP BY prompt_id"
+)
+def spectral_moments(spark, sf_dir):
+    """Power sums of the eigenvalues behind spectral: traces of powers of the Laplacian."""
+    found = graph.spectral_moments(vector_edges(spark, sf_dir))
+    return found.select("prompt_id", *(F.round(f"power_{k}", 4).alias(f"power_{k}") for k in range(1, 7)), r6("residual"))
+
+
 WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda w: w <> ''))"
 TALK = f"tk AS (SELECT conv_id AS prompt_id, CAST(turn AS INT) AS i, text, {WORDS.format('text')} AS ws FROM conversations)"
 JACCARD = "CASE WHEN len(a.ws) = 0 AND len(b.ws) = 0 THEN 1 ELSE len(list_intersect(a.ws, b.ws)) / CAST(len(list_distinct(list_concat(a.ws, b.ws))) AS DOUBLE) END"
@@ -429,10 +442,71 @@ def finite_summary(spark, sf_dir):
 @query()
 def kernel_psd(spark, sf_dir):
     """C - A_U of all vectors of each label, dealt to trajectories of four steps by the order of vec_id; the last may have fewer."""
+    return trajectory.kernel_matrices_by_group(label_trajectories(spark, sf_dir, 4), "label").select("label", "is_psd", r6("min_eigenvalue"), r6("trace"))
+
+
+def label_trajectories(spark, sf_dir, steps: int) -> DataFrame:
+    """All vectors of each label, dealt to trajectories of so many steps by the order of vec_id; the last may have fewer."""
     vectors = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", L(1).alias("one"))
     placed = prefix_sums(vectors, ["label"], "vec_id", ["one"]).withColumnRenamed("one_before", "at")
-    points = placed.select("label", F.floor(C("at") / 4).alias("trajectory"), (C("at") % 4).alias("step"), "embedding")
-    return trajectory.kernel_matrices_by_group(points, "label").select("label", "is_psd", r6("min_eigenvalue"), r6("trace"))
+    return placed.select("label", F.floor(C("at") / steps).alias("trajectory"), (C("at") % steps).cast("int").alias("step"), "embedding")
+
+
+def _points_sql(steps: int) -> str:
+    return f"pt AS (SELECT label, (row_number() OVER w - 1) // {steps} AS tr, (row_number() OVER w - 1) % {steps} AS st, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id))"
+
+
+def _sums_sql(kernel: str, steps: int) -> str:
+    """C and A_U by label and two steps, from all pairs."""
+    both = "FROM pt a JOIN pt b ON a.label IS NOT DISTINCT FROM b.label GROUP BY ALL"
+    raw = f"raw AS (SELECT a.label, a.st AS s, b.st AS t, avg({kernel}) FILTER (a.tr = b.tr) AS own, avg({kernel}) FILTER (a.tr <> b.tr) AS other {both})"
+    return f"{_points_sql(steps)}, {raw}, ku AS (SELECT label, s, t, coalesce(own, 0) AS c, coalesce(other, own, 0) AS u FROM raw)"
+
+
+RBF = "exp(-0.05 * list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+DOT = "list_dot_product(a.e, b.e)"
+
+
+@query(f"WITH {_sums_sql(RBF, 4)} SELECT label, round(sum(c - u), 5) AS trace FROM ku WHERE s = t GROUP BY label")
+def kernel_trace_rbf(spark, sf_dir):
+    """The trace of C - A_U with a Gaussian kernel, over all pairs of vectors of a label, tile by tile."""
+    found = trajectory.kernel_matrices_by_group(label_trajectories(spark, sf_dir, 4), "label", "rbf", 0.05)
+    return found.select("label", F.round("trace", 5).alias("trace"))
+
+
+@query(f"WITH {_sums_sql(RBF, 4)} SELECT label, CAST(s AS INT) AS step, CAST(t AS INT) AS other, round(c, 6) AS c, round(u, 6) AS a_u FROM ku")
+def kernel_sums_rbf(spark, sf_dir):
+    """The matrices themselves, a row for each two steps."""
+    found = trajectory.kernel_sums(label_trajectories(spark, sf_dir, 4), "label", "rbf", 0.05)
+    return found.select("label", "step", "other", r6("c"), r6("a_u"))
+
+
+@query()
+def kernel_psd_rbf(spark, sf_dir):
+    """The least eigenvalue of C - A_U with a Gaussian kernel, over all vectors of each label."""
+    return trajectory.kernel_matrices_by_group(label_trajectories(spark, sf_dir, 4), "label", "rbf", 0.05).select("label", "is_psd", r6("min_eigenvalue"), r6("trace"))
+
+
+#: The quadratic programme of three steps, solved by trying every set of steps: the least objective of those that are feasible.
+SUPPORTS = (
+    "cand AS (SELECT label, a * 1.0 AS f, [1.0, 0, 0]::DOUBLE[] AS w FROM mm UNION ALL SELECT label, d, [0, 1.0, 0]::DOUBLE[] FROM mm UNION ALL SELECT label, h, [0, 0, 1.0]::DOUBLE[] FROM mm"
+    " UNION ALL SELECT label, (a * d - b * b) / (a + d - 2 * b), [(d - b) / (a + d - 2 * b), (a - b) / (a + d - 2 * b), 0] FROM mm UNION ALL SELECT label, (a * h - g * g) / (a + h - 2 * g), [(h - g) / (a + h - 2 * g), 0, (a - g) / (a + h - 2 * g)] FROM mm"
+    " UNION ALL SELECT label, (d * h - q * q) / (d + h - 2 * q), [0, (h - q) / (d + h - 2 * q), (d - q) / (d + h - 2 * q)] FROM mm"
+    " UNION ALL SELECT label, det / (x + y + z), [x / (x + y + z), y / (x + y + z), z / (x + y + z)] FROM (SELECT label, (d * h - q * q) + (g * q - b * h) + (b * q - g * d) AS x, (g * q - b * h) + (a * h - g * g) + (b * g - a * q) AS y, (b * q - g * d) + (b * g - a * q) + (a * d - b * b) AS z, a * (d * h - q * q) - b * (b * h - q * g) + g * (b * q - d * g) AS det FROM mm))"
+)
+
+
+@query(
+    f"WITH {_sums_sql(DOT, 3)}, m AS (SELECT a.label, a.s, a.t, (a.c - a.u + b.c - b.u) / 2 + CASE WHEN a.s = a.t THEN 0.1::DOUBLE ELSE 0 END AS v FROM ku a JOIN ku b ON a.label IS NOT DISTINCT FROM b.label AND a.s = b.t AND a.t = b.s),"
+    " mm AS (SELECT label, " + ", ".join(f"max(v) FILTER (s = {s} AND t = {t}) AS {n}" for n, s, t in (("a", 0, 0), ("b", 0, 1), ("g", 0, 2), ("d", 1, 1), ("q", 1, 2), ("h", 2, 2))) + " FROM m GROUP BY label),"
+    f" {SUPPORTS}, best AS (SELECT label, arg_min(w, f) AS w, min(f) AS f FROM cand WHERE list_min(w) >= 0 GROUP BY label)"
+    " SELECT label, CAST(s AS INT) AS step, round(w[s + 1], 5) AS weight, round(f, 6) AS objective, 0::DOUBLE AS gap, 0::DOUBLE AS residual, 1::DOUBLE AS total FROM best, range(3) r(s)"
+)
+def step_weights(spark, sf_dir):
+    """Weights of three steps that let labels' trajectories differ least, with what certifies them."""
+    found = trajectory.step_weights(label_trajectories(spark, sf_dir, 3), "label", ridge=0.1)
+    total = F.sum("weight").over(Window.partitionBy("label"))
+    return found.select("label", "step", F.round("weight", 5).alias("weight"), r6("objective"), (r6("gap") + 0.0).alias("gap"), (r6("residual") + 0.0).alias("residual"), r6(total, "total"))
 
 
 # --- text and labels -------------------------------------------------------------------------------------------------
@@ -900,6 +974,81 @@ def masked_sequences(spark, sf_dir):
     return denoise.masked_sequences(rows, 3, 9, -1)
 
 
+#: The denoising loop over embeddings: 8 positions of 8 tokens a vector, prompts of up to 3 tokens by label.
+LENGTH, VOCABULARY, MASK, PAD, LAST = 8, 8, 8, 9, 7
+
+
+def denoising_model(spark, sf_dir):
+    """A model that is a table: a vector's numbers are logits by position and token, and neighbours' tokens add to them."""
+    own = table(spark, sf_dir, "embeddings").select(C("vec_id").alias("sample_id"), F.posexplode("embedding").alias("k", "v"))
+    own = own.select("sample_id", (3 + F.floor(C("k") / VOCABULARY)).cast("int").alias("pos"), (C("k") % VOCABULARY).alias("token_id"), (4 * C("v").cast("double")).alias("own"))
+
+    def model(state: DataFrame, asked: DataFrame) -> DataFrame:
+        w = Window.partitionBy("sample_id").orderBy("pos")
+        beside = state.select("sample_id", "pos", F.lag("token_id").over(w).alias("left"), F.lead("token_id").over(w).alias("right"))
+        logit = C("own") + F.when(C("left") == C("token_id"), 1.0).otherwise(0.0) - F.when(C("right") == C("token_id"), 0.5).otherwise(0.0)
+        return asked.join(beside, ["sample_id", "pos"]).join(own, ["sample_id", "pos"]).select("sample_id", "pos", "token_id", logit.alias("logit"))
+
+    return model
+
+
+def denoising_prompts(spark, sf_dir) -> DataFrame:
+    label = F.coalesce("label", L(0))
+    ids = F.slice(F.array(label % 8, (label + 3) % 8, (label + 5) % 8), L(1), 1 + label % 3)
+    return denoise.masked_sequences(table(spark, sf_dir, "embeddings").select(C("vec_id").alias("sample_id"), ids.cast("array<int>").alias("ids")), LENGTH, MASK, PAD)
+
+
+def _denoising_sql(block: int, steps: int, temperature: float, scale: float, chance: bool, seed: int) -> str:
+    """The loop's steps written out, a state for each."""
+    u = lambda *keys: f"(CAST('0x' || substring(md5(concat_ws('-', {seed}, {', '.join(keys)})), 1, 8) AS BIGINT) + 1) / CAST(4294967297 AS DOUBLE)"
+    near = lambda prompt: f"CASE WHEN l.token_id = o.t {prompt} THEN 1.0::DOUBLE ELSE 0 END - CASE WHEN r.token_id = o.t THEN 0.5::DOUBLE ELSE 0 END"
+    beside = "LEFT JOIN {0} l ON l.sample_id = o.sample_id AND l.pos = o.pos - 1 LEFT JOIN {0} r ON r.sample_id = o.sample_id AND r.pos = o.pos + 1"
+    ctes = [
+        f"o AS (SELECT vec_id AS sample_id, 3 + k // {VOCABULARY} AS pos, k % {VOCABULARY} AS t, 4 * embedding[k + 1]::DOUBLE AS own FROM embeddings, range({LENGTH * VOCABULARY}) x(k))",
+        "p AS (SELECT vec_id AS sample_id, coalesce(label, 0) AS label, 1 + coalesce(label, 0) % 3 AS n FROM embeddings)",
+        f"s0 AS (SELECT sample_id, pos, CASE WHEN pos >= 3 THEN {MASK} WHEN pos < 3 - n THEN {PAD} ELSE (label + [0, 3, 5][pos - (3 - n) + 1]) % 8 END AS token_id, pos < 3 AS is_prompt FROM p, range({3 + LENGTH}) x(pos))",
+    ]
+    at, blocks = 0, LENGTH // block
+    for b in range(blocks):
+        end, first = 3 + (b + 1) * block, at
+        for step in range(steps // blocks):
+            sure = u(str(b), str(step), "sample_id", "pos") if chance else "exp(logit) / sum(exp(logit)) OVER (PARTITION BY sample_id, pos)"
+            noise = f"exp(logit) / pow(-ln({u(str(b), str(step), 'sample_id', 'pos', 't')}), {temperature})" if temperature else "logit"
+            ctes += [
+                f"g{at} AS (SELECT o.sample_id, o.pos, o.t, own + {near('')} AS c, own + {near('AND NOT l.is_prompt')} AS bare FROM o JOIN s{at} s USING (sample_id, pos) {beside.format(f's{at}')} WHERE s.token_id = {MASK} AND o.pos < {end} AND o.t <> {LAST})",
+                f"l{at} AS (SELECT sample_id, pos, t, bare + ({scale} + 1) * (c - bare) AS logit FROM g{at})",
+                f"c{at} AS (SELECT sample_id, pos, t, {sure} AS sure, row_number() OVER (PARTITION BY sample_id, pos ORDER BY {noise} DESC, t) AS k FROM l{at})",
+                f"w{at} AS (SELECT sample_id, count(*) AS n FROM s{first} WHERE token_id = {MASK} AND pos >= {end - block} AND pos < {end} GROUP BY 1)",
+                f"k{at} AS (SELECT sample_id, pos, t, row_number() OVER (PARTITION BY sample_id ORDER BY sure DESC, pos) AS place FROM c{at} WHERE k = 1)",
+                f"s{at + 1} AS MATERIALIZED (SELECT s.sample_id, s.pos, coalesce(k.t, s.token_id) AS token_id, s.is_prompt FROM s{at} s LEFT JOIN (SELECT k{at}.* FROM k{at} JOIN w{at} USING (sample_id) WHERE place <= n // {steps // blocks} + CASE WHEN {step} < n % {steps // blocks} THEN 1 ELSE 0 END) k USING (sample_id, pos))",
+            ]
+            at += 1
+    ctes += [
+        f"f AS (SELECT o.sample_id, o.pos, o.t, own + {near('')} AS logit, s.token_id FROM o JOIN s{at} s USING (sample_id, pos) {beside.format(f's{at}')})",
+        "h AS (SELECT *, logit - ln(sum(exp(logit)) OVER (PARTITION BY sample_id, pos)) AS lp, row_number() OVER (PARTITION BY sample_id, pos ORDER BY logit DESC, t) AS k FROM f)",
+    ]
+    return f"WITH {', '.join(ctes)} SELECT sample_id, CAST(pos AS INT) AS pos, CAST(token_id AS INT) AS token_id, CAST(k - 1 AS INT) AS rank, CAST(t AS INT) AS top_id, round(lp, 6) AS logprob FROM h WHERE k <= 2"
+
+
+def _denoising(spark, sf_dir, block: int, steps: int, temperature: float, scale: float, strategy: str, seed: int) -> DataFrame:
+    model = denoising_model(spark, sf_dir)
+    made = denoise.denoised(denoising_prompts(spark, sf_dir), model, MASK, LENGTH, steps, block, temperature, scale, strategy, (LAST,), logits_eos_inf=True, seed=seed)
+    top = denoise.final_log_probabilities(made, model, 2).withColumnRenamed("token_id", "top_id")
+    return made.join(top, ["sample_id", "pos"]).select("sample_id", "pos", "token_id", "rank", "top_id", r6("logprob"))
+
+
+@query(_denoising_sql(4, 6, 0.0, 0.5, False, 1))
+def denoised_answers(spark, sf_dir):
+    """Two blocks of three steps, with guidance, an end token that is never chosen, and the most confident first."""
+    return _denoising(spark, sf_dir, 4, 6, 0.0, 0.5, "low_confidence", 1)
+
+
+@query(_denoising_sql(8, 3, 0.6, 0.0, True, 5))
+def denoised_at_random(spark, sf_dir):
+    """One block of three steps, with noise, in a random order."""
+    return _denoising(spark, sf_dir, 8, 3, 0.6, 0.0, "random", 5)
+
+
 @query(f"WITH {DISTANCE}, ok AS (SELECT prompt_id, max(step) AS last FROM ds GROUP BY 1) SELECT prompt_id, round(sum(d * CASE step WHEN 0 THEN 0.5 WHEN 1 THEN 0.3 ELSE 0.2 END), 5) AS ad FROM ds JOIN ok USING (prompt_id) WHERE last = 2 GROUP BY prompt_id")
 def weighted_dissimilarity(spark, sf_dir):
     weights = spark.createDataFrame([(0, 0.5), (1, 0.3), (2, 0.2)], "step int, weight double")

@@ -33,6 +33,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more: what was made from them has been written."""
+    for table in tables:
+        folders = {f.rsplit("/", 2)[1] for f in table.inputFiles()}
+        for spark, path in [x for x in _STAGED if x[1].rsplit("/", 1)[1] in folders]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _STAGED.remove((spark, path))
+
+
 @atexit.register
 def _remove_all() -> None:
     for spark, path in _STAGED:
