@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import random
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 from itertools import product
 
@@ -168,6 +169,43 @@ def special_ids(config: dict) -> tuple[list[int], list[int]]:
     return sorted(eos), sorted(eos | gather([config.get(k) for k in ("mask_id", "pad_token_id")]))
 
 
+def special_ids_columns(eos: Sequence[Column], other: Sequence[Column] = ()) -> Column:
+    """struct(eos, special) over a table of configurations, as special_ids: array columns of ids, null where one gives none."""
+    none = F.array().cast("array<bigint>")
+    union = lambda ids: F.array_sort(F.array_distinct(F.filter(F.concat(none, *(F.coalesce(i.cast("array<bigint>"), none) for i in ids)), lambda i: i.isNotNull())))
+    return F.struct(union(eos).alias("eos"), union([*eos, *other]).alias("special"))
+
+
+def resolved_columns(given: dict[str, Column], config: dict[str, Column] | None = None) -> dict[str, Column]:
+    """resolve_config over a table: each setting's first value that is not null, of what is given, the configuration's and the default."""
+    config = config or {}
+    return {k: F.coalesce(*(c[k] for c in (given, config) if k in c), F.lit(GENERATION_DEFAULTS.get(k))) for k in {**GENERATION_DEFAULTS, **config, **given}}
+
+
+def remasking_name(name: Column) -> Column:
+    """A strategy's full name; an unknown one as it is."""
+    found = name
+    for short, full in STRATEGIES.items():
+        found = F.when(name == short, F.lit(full)).otherwise(found)
+    return found
+
+
+def configured(asked: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """asked (model, dataset, remasking, and settings of its own that may be null) with all settings and the run id.
+
+    Own settings go before the data set's, as in generation_config; unknown models and data sets have no row. Rows whose run
+    id is among existing's are left out. The settings are a row for each known data set and are broadcast.
+    """
+    fields = ("max_gen_length", "steps", "block_size", "label_method", "batch_size", "fewshot_k")
+    rows = [(d, *(getattr(own, f) for f in fields)) for d, own in DATASET_SETTINGS.items()]
+    known = asked.sparkSession.createDataFrame(rows, "dataset string, __max_gen_length int, __steps int, __block_size int, __label_method string, __batch_size int, __fewshot_k int")
+    model_id = F.create_map(*(F.lit(x) for pair in MODEL_IDS.items() for x in pair))[F.col("model")]
+    out = asked.join(F.broadcast(known), "dataset").withColumns({"model_id": model_id, **{f: F.coalesce(F.col(f), F.col(f"__{f}")) if f in asked.columns else F.col(f"__{f}") for f in fields}})
+    out = out.where("model_id is not null").drop(*(f"__{f}" for f in fields))
+    out = out.withColumn("run_id", run_id_column({"temperature": F.lit(None)}))
+    return out if existing is None else out.join(existing.select("run_id"), "run_id", "left_anti").select(out.columns)
+
+
 def seed_everything(seed: int) -> None:
     random.seed(seed)
     np.random.seed(seed % (1 << 32))

@@ -173,36 +173,42 @@ def plain_and_folded_results(spark, sf_dir):
 # --- configuration and names -----------------------------------------------------------------------------------------
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN list_sort(list_distinct([n_nationkey, n_nationkey + 1, 7])) ELSE [n_nationkey + 1] END::BIGINT[]::VARCHAR AS eos, CASE WHEN n_nationkey % 3 = 0 THEN list_sort(list_distinct([n_nationkey, n_nationkey + 1, 7, 100])) ELSE [n_nationkey + 1, 100] END::BIGINT[]::VARCHAR AS special FROM nation")
+@query("SELECT o_orderkey, array_to_string(list_sort(list_distinct(CASE o_orderkey % 3 WHEN 0 THEN [o_orderkey, o_custkey, o_custkey + 1] WHEN 1 THEN [o_custkey] ELSE [] END::BIGINT[])), ',') AS eos, array_to_string(list_sort(list_distinct(list_concat(CASE o_orderkey % 3 WHEN 0 THEN [o_orderkey, o_custkey, o_custkey + 1] WHEN 1 THEN [o_custkey] ELSE [] END::BIGINT[], CASE WHEN o_orderstatus = 'O' THEN [7] ELSE [7, 100 + o_custkey % 5] END::BIGINT[]))), ',') AS special FROM orders")
 def special_token_ids(spark, sf_dir):
-    """Ends of text and turn gathered from numbers and nested lists, and special ids with mask and padding."""
-    out = []
-    for own in nations(spark, sf_dir).values():
-        for k, _ in own:
-            eos, special = config.special_ids({"eos_token_ids": [k, [k + 1]] if k % 3 == 0 else None, "eot_token_id": 7 if k % 3 == 0 else k + 1, "mask_id": 100, "pad_token_id": None})
-            out.append((k, str(eos), str(special)))
-    return spark.createDataFrame(out, "n_nationkey int, eos string, special string")
+    """Ends of text and turn gathered from several settings of each configuration, and special ids with mask and padding."""
+    k = C("o_orderkey")
+    eos = [F.when(k % 3 == 0, F.array(C("o_custkey"), C("o_custkey") + 1)), F.when(k % 3 == 0, F.array(k, C("o_custkey"))).when(k % 3 == 1, F.array(C("o_custkey"), C("o_custkey")))]
+    other = [F.array(L(7)), F.when(C("o_orderstatus") != "O", F.array(100 + C("o_custkey") % 5, L(None)))]
+    ids = config.special_ids_columns(eos, other)
+    joined = lambda c: F.concat_ws(",", ids[c].cast("array<string>")).alias(c)
+    return table(spark, sf_dir, "orders").select("o_orderkey", joined("eos"), joined("special"))
 
 
 _SETTINGS = "(VALUES ('gsm8k', 256, 256, 32, 'exact_match'), ('triviaqa', 32, 32, 32, 'llm_judge'), ('wmt14_fr_en', 128, 128, 32, 'llm_judge'), ('xsum', 128, 128, 32, 'llm_judge'), ('samsum', 128, 128, 32, 'llm_judge'), ('hotpotqa', 64, 64, 32, 'llm_judge'), ('musique', 64, 64, 32, 'llm_judge')) AS d(dataset, len, steps, block, method)"
 
 
-@query(f"SELECT m AS model, dataset, s AS remasking, CAST(len AS INT) AS max_gen_length, method AS label_method, m || '_' || dataset || '_l' || len || '_s' || steps || '_' || s || '_b' || block AS run_id FROM (VALUES ('LLaDA'), ('LLaDA1.5')) AS m(m), {_SETTINGS}, (VALUES ('lc'), ('rd')) AS s(s) WHERE NOT (m = 'LLaDA' AND dataset = 'xsum')")
+_ASKED = "SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN 'LLaDA' ELSE 'LLaDA1.5' END AS model, list_extract(['gsm8k', 'triviaqa', 'wmt14_fr_en', 'xsum', 'samsum', 'hotpotqa', 'musique', 'none'], CAST(1 + o_custkey % 8 AS INT)) AS dataset, CASE WHEN o_orderstatus = 'O' THEN 'lc' ELSE 'rd' END AS remasking, CASE WHEN o_custkey % 3 > 0 THEN 8 * (o_orderkey % 11) END AS own FROM orders"
+
+
+@query(f"WITH a AS ({_ASKED}), g AS (SELECT model, dataset, remasking, CAST(len AS INT) AS max_gen_length, CAST(coalesce(own, d.steps) AS INT) AS steps, method AS label_method, model || '_' || dataset || '_l' || len || '_s' || coalesce(own, d.steps) || '_' || remasking || '_b' || block AS run_id FROM a JOIN {_SETTINGS} USING (dataset)) SELECT * FROM g WHERE run_id NOT IN (SELECT run_id FROM g WHERE steps % 5 = 0 AND remasking = 'rd')")
 def config_grid(spark, sf_dir):
-    """Every model, data set and strategy with its settings, without run ids that exist already."""
-    existing = config.config_grid(spark, ["LLaDA"], ["xsum"])
-    return config.config_grid(spark, existing=existing).select("model", "dataset", "remasking", "max_gen_length", "label_method", "run_id")
+    """The models, data sets, strategies and step counts that orders ask for, with their settings, without run ids that exist already."""
+    k = C("o_orderkey")
+    names = F.array(*map(L, ["gsm8k", "triviaqa", "wmt14_fr_en", "xsum", "samsum", "hotpotqa", "musique", "none"]))
+    dataset, steps = F.get(names, (C("o_custkey") % 8).cast("int")), F.when(C("o_custkey") % 3 > 0, 8 * (k % 11)).cast("int")
+    asked = table(spark, sf_dir, "orders").select(F.when(k % 2 == 0, "LLaDA").otherwise("LLaDA1.5").alias("model"), dataset.alias("dataset"), F.when(C("o_orderstatus") == "O", "lc").otherwise("rd").alias("remasking"), steps.alias("steps")).distinct()
+    existing = config.configured(asked).where("steps % 5 = 0 AND remasking = 'rd'")
+    return config.configured(asked, existing).select("model", "dataset", "remasking", "max_gen_length", "steps", "label_method", "run_id")
 
 
-@query("SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE 64 END AS INT) AS steps, CASE n_nationkey % 3 WHEN 0 THEN 'low_confidence' WHEN 1 THEN 'random' ELSE 'other' END AS remasking, CAST(8 AS INT) AS batch_size FROM nation")
+@query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey WHEN o_orderkey % 3 = 0 THEN 64 ELSE 128 END AS INT) AS steps, CASE o_orderkey % 4 WHEN 0 THEN 'low_confidence' WHEN 1 THEN 'random' WHEN 2 THEN 'other' ELSE 'low_confidence' END AS remasking, CAST(CASE WHEN o_orderstatus = 'O' THEN 16 ELSE 8 END AS INT) AS batch_size, 64 AS top_k FROM orders")
 def layered_config(spark, sf_dir):
     """What is given over a configuration over the defaults; strategies by their full names, unknown ones as they are."""
-    out = []
-    for own in nations(spark, sf_dir).values():
-        for k, _ in own:
-            made = config.resolve_config({"steps": k if k % 2 == 0 else None, "remasking": ["lc", "rd", "other"][k % 3]}, {"steps": 64, "batch_size": 8})
-            out.append((k, made["steps"], config.resolve_remasking(made["remasking"]), made["batch_size"]))
-    return spark.createDataFrame(out, "n_nationkey int, steps int, remasking string, batch_size int")
+    k = C("o_orderkey")
+    given = {"steps": F.when(k % 2 == 0, C("o_custkey")).cast("int"), "remasking": F.when(k % 4 == 0, "lc").when(k % 4 == 1, "rd").when(k % 4 == 2, "other")}
+    own = {"steps": F.when(k % 3 == 0, 64), "batch_size": F.when(C("o_orderstatus") == "O", 16)}
+    made = config.resolved_columns(given, own)
+    return table(spark, sf_dir, "orders").select("o_orderkey", made["steps"].alias("steps"), config.remasking_name(made["remasking"]).alias("remasking"), made["batch_size"].alias("batch_size"), made["top_k"].alias("top_k"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'LLaDA' WHEN 1 THEN 'LLaDA1.5' WHEN 2 THEN 'LLaDA' ELSE 'm' || o_custkey END AS model FROM orders")
@@ -213,10 +219,15 @@ def model_names(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", report.model_name(given).alias("model"))
 
 
-@query("SELECT * FROM (VALUES (0, 'auroc'), (1, 'prr,ece'), (2, 'auroc'), (3, 'prr,auroc')) AS v(k, names)")
+_NAMES = "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN [' ', NULL] WHEN 2 THEN ['PRR', ' ece ,prr'] WHEN 3 THEN [CASE WHEN o_custkey % 2 = 0 THEN 'Auprc,brier' ELSE 'brier' END, 'AUPRC'] ELSE ['prr', lower(o_orderstatus)] END"
+
+
+@query(f"WITH g AS (SELECT o_orderkey, list_filter(list_transform(string_split(array_to_string(list_filter(coalesce({_NAMES}, []), lambda m: m IS NOT NULL), ','), ','), lambda m: lower(trim(m))), lambda m: m <> '') AS n FROM orders), u AS (SELECT o_orderkey, CASE WHEN len(n) = 0 THEN ['auroc'] ELSE list_filter(n, lambda m, i: list_position(n, m) = i) END AS n FROM g) SELECT o_orderkey, CASE WHEN len(list_filter(n, lambda m: NOT list_contains(['auroc', 'auprc', 'prr', 'ece', 'brier', 'spearman_rho', 'kendall_tau'], m))) = 0 THEN array_to_string(n, ',') END AS names FROM u")
 def report_metric_names(spark, sf_dir):
-    given = [None, ["PRR", " ece ,prr"], [" , "], ["prr,AUROC", "prr"]]
-    return spark.createDataFrame([(k, ",".join(report.normalize_metrics(g))) for k, g in enumerate(given)], "k int, names string")
+    """Names split at commas, in lower case, each once; the default without any; null for an unknown one."""
+    k = C("o_orderkey")
+    given = F.when(k % 5 == 1, F.array(L(" "), L(None))).when(k % 5 == 2, F.array(L("PRR"), L(" ece ,prr"))).when(k % 5 == 3, F.array(F.when(C("o_custkey") % 2 == 0, "Auprc,brier").otherwise("brier"), L("AUPRC"))).when(k % 5 == 4, F.array(L("prr"), F.lower("o_orderstatus")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(report.normalized_metrics(given), ",").alias("names"))
 
 
 @query("SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 6 ELSE 7 END AS INT) AS dataset_place, CAST(CASE WHEN o_orderstatus = 'O' THEN 0 WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS INT) AS strategy_place FROM orders")
@@ -354,11 +365,12 @@ def block_counts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", made["blocks"].alias("blocks"), made["steps"].alias("steps"))
 
 
-@query("SELECT CAST(k AS INT) AS k, CAST(i AS INT) AS step, CASE WHEN i >= 6 - k THEN 1.0 / k ELSE 0 END::DOUBLE AS weight FROM (VALUES (1), (2), (5)) AS v(k), range(0, 6) AS r(i)")
+@query("WITH w AS (SELECT vec_id, 1 + vec_id % 7 AS k, unnest(range(0, 12)) AS step, floor(unnest(embedding[1:12])::DOUBLE * 20) / 20 AS w FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY w DESC, step) AS place FROM w) SELECT vec_id, CAST(step AS INT) AS step, CASE WHEN w > 0 AND place <= k THEN 1.0 / k ELSE 0 END::DOUBLE AS weight FROM r")
 def binarized_weights(spark, sf_dir):
-    """Weights of the k largest steps of six rising ones."""
-    rows = [(k, i, float(w)) for k in (1, 2, 5) for i, w in enumerate(trajectory.binarized_weights(trajectory.top_steps([0.1 * (j + 1) for j in range(6)], k), 6, k))]
-    return spark.createDataFrame(rows, "k int, step int, weight double")
+    """Weights of the k largest of twelve steps, from each vector's numbers, which are rounded so that some are equal."""
+    weights = F.transform(F.slice("embedding", 1, 12), lambda v: F.floor(v.cast("double") * 20) / 20)
+    made = trajectory.top_step_weights(weights, (1 + C("vec_id") % 7).cast("int"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(made).alias("step", "weight"))
 
 
 @query(

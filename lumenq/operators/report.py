@@ -160,6 +160,14 @@ def without_nested(runs: DataFrame, kfold: DataFrame, path: str = "run_dir") ->
     return runs.join(hit, runs[path] == hit["__path"], "left_anti")
 
 
+def normalized_metrics(names: Column, default: Sequence[str] = ("auroc",)) -> Column:
+    """normalize_metrics over a column of name lists (arrays of strings, null for none given): null where a name is unknown."""
+    split = F.flatten(F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda m: F.split(F.coalesce(m, F.lit("")), ",")))
+    found = F.array_distinct(F.filter(F.transform(split, lambda m: F.lower(F.trim(m))), lambda m: m != ""))
+    found = F.when(F.size(found) == 0, F.array(*map(F.lit, default))).otherwise(found)
+    return F.when(F.forall(found, lambda m: m.isin(*METRICS)), found)
+
+
 def normalize_metrics(metrics: Sequence[str] | None, default: Sequence[str] = ("auroc",)) -> list[str]:
     """Metric names split at commas, lower case, each once; an error for unknown ones."""
     names = [p.strip().lower() for m in (metrics or default) for p in str(m).split(",") if p.strip()]

@@ -122,6 +122,16 @@ def binarized_weights(steps: Sequence[int], t: int, k: int) -> list[float]:
     return [1.0 / k if i in set(steps) else 0.0 for i in range(t)]
 
 
+def top_step_weights(weights: Column, k: Column) -> Column:
+    """top_steps and binarized_weights over a column of weight arrays: 1 / k at the k largest weights above 0, else 0.
+
+    Ties go to the earlier step; k beyond the number of weights takes all of them.
+    """
+    places = F.filter(F.transform(weights, lambda w, i: F.struct((-w).alias("w"), i.alias("i"))), lambda x: x["w"] < 0)
+    chosen = F.transform(F.slice(F.array_sort(places), F.lit(1), k), lambda x: x["i"])
+    return F.transform(weights, lambda w, i: F.when(F.array_contains(chosen, i), 1.0 / k).otherwise(0.0))
+
+
 def load_weights(weights: Sequence[float], k: int) -> list[int]:
     """Steps of trained weights: the last step's weight is left out."""
     return top_steps(list(weights)[:-1], min(k, max(1, len(weights) - 1)))

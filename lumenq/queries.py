@@ -1056,10 +1056,23 @@ def weighted_dissimilarity(spark, sf_dir):
     return found.where("ad is not null").select("prompt_id", F.round("ad", 5).alias("ad"))
 
 
-@query("SELECT * FROM (SELECT unnest(['msp', 'full-ecc', 'random-3-se-conditional', 'weighted-ad', 'kle-heat', 'odd']) AS feature, unnest(['token', 'full', 'random', 'selected', 'iid', 'iid']) AS family, unnest(['Token UQ', 'Full Trajectory UQ', 'trajectory', 'Trajectory AD', 'IID Sample UQ', 'other']) AS grp, unnest([-1.0, -1.0, -1.0, 1.0, 1.0, 1.0]::DOUBLE[]) AS direction)")
+_BARE = "list_extract(['msp', 'perplexity', 'mte', 'mcnse', 'se-marginal', 'se-conditional', 'ecc', 'eigval', 'kle-heat', 'kle-matern', 'ad', 'odd'], CAST(1 + p_partkey % 12 AS INT))"
+_SCOPE = "CASE p_size % 6 WHEN 0 THEN 'full-' WHEN 1 THEN 'selected-' WHEN 2 THEN 'random-' WHEN 3 THEN 'random-' || (p_size % 10) || '-' WHEN 4 THEN 'weighted-' ELSE '' END"
+
+
+@query(
+    f"WITH p AS (SELECT p_partkey, {_BARE} AS bare, {_SCOPE} AS scope FROM part), f AS (SELECT *, scope || bare AS feature FROM p), s AS (SELECT *, bare IN ('se-marginal', 'se-conditional', 'ecc', 'eigval', 'kle-heat', 'kle-matern') AS graph FROM f)"
+    " SELECT p_partkey, feature, CASE WHEN scope = 'selected-' OR feature = 'weighted-ad' THEN 'selected' WHEN scope = 'full-' THEN 'full' WHEN scope LIKE 'random-%' THEN 'random' WHEN feature IN ('msp', 'perplexity', 'mte') THEN 'token' ELSE 'iid' END AS family,"
+    " CASE WHEN feature IN ('full-ad', 'weighted-ad') THEN 'Trajectory AD' WHEN scope = '' AND bare IN ('msp', 'perplexity', 'mte') THEN 'Token UQ' WHEN scope = '' AND (graph OR bare = 'mcnse') THEN 'IID Sample UQ' WHEN scope = 'full-' AND graph THEN 'Full Trajectory UQ' WHEN scope = 'selected-' AND graph THEN 'Selected Step UQ' WHEN scope = 'random-' AND graph THEN 'Random Scope UQ' WHEN scope IN ('full-', 'selected-') OR scope LIKE 'random-%' THEN 'trajectory' ELSE 'other' END AS grp,"
+    " CASE WHEN scope <> 'weighted-' AND bare IN ('msp', 'se-conditional', 'ecc') THEN -1 ELSE 1 END::DOUBLE AS direction FROM s"
+)
 def feature_families(spark, sf_dir):
-    names = spark.createDataFrame([("msp",), ("full-ecc",), ("random-3-se-conditional",), ("weighted-ad",), ("kle-heat",), ("odd",)], "feature string")
-    return names.select("feature", features.family(C("feature")).alias("family"), features.group(C("feature")).alias("grp"), features.orientation(C("feature")).alias("direction"))
+    """Families, report groups and directions of names put together from parts: known and unknown features in every scope."""
+    names = F.array(*map(L, [*features.BASE, *features.SAMPLING, "ad", "odd"]))
+    size = C("p_size") % 6
+    scope = F.when(size == 0, "full-").when(size == 1, "selected-").when(size == 2, "random-").when(size == 3, F.concat(L("random-"), (C("p_size") % 10).cast("string"), L("-"))).when(size == 4, "weighted-").otherwise("")
+    named = table(spark, sf_dir, "part").select("p_partkey", F.concat(scope, F.get(names, (C("p_partkey") % 12).cast("int"))).alias("feature"))
+    return named.select("p_partkey", "feature", features.family(C("feature")).alias("family"), features.group(C("feature")).alias("grp"), features.orientation(C("feature")).alias("direction"))
 
 
 from lumenq import file_queries  # noqa: E402,F401  registers the queries over files and plans
