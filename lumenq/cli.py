@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenq import config
 from lumenq.operators import labeling, prompts, report, resample, sheets
+from lumenq.operators.pair_cache import PairCache
 from lumenq.plans import generate, pipeline
 from lumenq.session import build_session
 from lumenq.sources import files, places, schemas, sinks
@@ -42,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
     add("label-all", arg("folder"), judge, arg("--exclude", nargs="*", default=()), arg("--force", action="store_true"))
     add("pipeline", arg("run"), arg("--stages", nargs="*", choices=STAGES, default=["label", "features", "evaluate"]), arg("--source", help="raw data of the prompts stage"), arg("--backend"), judge, scorer, arg("--trajectories"), arg("--bootstrap", type=int, default=1000), arg("--counts", type=int, nargs=3, default=(10, 30, 40)), arg("--k", type=int, default=5), arg("--train", type=int, default=10), arg("--seed", type=int, default=42))
     add("features", arg("answers"), arg("output"), arg("--tensors"), scorer, arg("--config", help="folder of config.json with the token ids; the answers' own if not given"), arg("--compat", action="store_true"))
-    add("baseline", arg("features"), arg("trajectories"), arg("output"), scorer, arg("--answers", help="answers whose ambiguous prompts are left out of the order"), arg("--full", action="store_true"), arg("--seed", type=int, default=42))
+    add("baseline", arg("features"), arg("trajectories"), arg("output"), scorer, arg("--pair-cache", help="folder of pairs scored in earlier runs; the scorer's name is its version"), arg("--answers", help="answers whose ambiguous prompts are left out of the order"), arg("--full", action="store_true"), arg("--seed", type=int, default=42))
     add("weights", arg("features"), arg("trajectories"), arg("output"), scorer, arg("--ridge", type=float, default=0.1), arg("--weights", help="file of the weights and their certificate"))
     add("evaluate", arg("features"), arg("output"), arg("--bootstrap", type=int, default=1000), arg("--seed", type=int, default=0))
     add("split", arg("features"), arg("output"), arg("--counts", type=int, nargs=3, default=(10, 30, 40)), arg("--seed", type=int, default=42))
@@ -132,7 +133,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "baseline":
         answers = prompts.group_key(files.read_answers(spark, a.answers), 1) if a.answers else None
         excluded = labeling.ambiguous_prompts(answers) if a.answers else None
-        rows = pipeline.baseline_features(files.read_features(spark, a.features), files.read_trajectories(spark, a.trajectories), loaded(a.scorer), full_trajectory=a.full, seed=a.seed, excluded=excluded)
+        rows = pipeline.baseline_features(files.read_features(spark, a.features), files.read_trajectories(spark, a.trajectories), loaded(a.scorer), full_trajectory=a.full, cache=PairCache(spark, a.pair_cache, a.scorer or "default") if a.pair_cache else None, seed=a.seed, excluded=excluded)
         sinks.write_jsonl(rows, a.output, "overwrite")
     elif a.command == "weights":
         rows, weights = pipeline.weighted_features(files.read_features(spark, a.features), files.read_trajectories(spark, a.trajectories), loaded(a.scorer), a.ridge)

@@ -12,6 +12,7 @@ from lumenq import config
 from lumenq.backends import JaccardScorer
 from lumenq.functions import text
 from lumenq.operators import denoise, graph, labeling, metrics, prompts, report, sheets, tokens, trajectory
+from lumenq.operators.pair_cache import PairCache
 from lumenq.operators.prefix import prefix_sums
 from lumenq.plans import pipeline
 from lumenq.queries import CLUSTERS, DISTANCE, JACCARD, RECORDS, STEPS, TALK, TOKENS, C, L, event_tokens, query, r6, table, talk_pairs, talk_records, talk_steps, talk_trajectories, vector_edges
@@ -358,6 +359,29 @@ def cached_pairs(spark, sf_dir):
     return graph.scored_pairs(asked, JaccardScorer(), cache).select("prompt_id", "i", "j", F.round("p_entailment", 5).alias("p"))
 
 
+class _Quarter:
+    """A scorer that gives every pair a quarter, to be told from another."""
+
+    def score(self, pairs: DataFrame) -> DataFrame:
+        return pairs.select("premise", "hypothesis", L(0.5).alias("p_contradiction"), L(0.25).alias("p_neutral"), L(0.25).alias("p_entailment"), L(0).alias("cls"))
+
+
+@query(
+    f"WITH {TALK}, a AS (SELECT a.prompt_id, a.i, b.i AS j, a.text AS x, b.text AS y, {JACCARD} AS p FROM tk a JOIN tk b ON a.prompt_id = b.prompt_id), k AS (SELECT DISTINCT x, y FROM a WHERE i < j)"
+    " SELECT prompt_id, i, j, CASE WHEN k.x IS NULL THEN round(CAST(CAST(p AS FLOAT) AS DOUBLE), 5) ELSE 0.25 END::DOUBLE AS p, (SELECT count(*) FROM (SELECT DISTINCT x, y FROM a)) AS stored, (SELECT count(*) FROM (SELECT DISTINCT x, y FROM a)) AS once FROM a LEFT JOIN k ON a.x IS NOT DISTINCT FROM k.x AND a.y IS NOT DISTINCT FROM k.y"
+)
+def pair_cache_runs(spark, sf_dir):
+    """Two runs over one cache: pairs that look forward are scored in the first, and the second scores the others alone."""
+    cache = PairCache(spark, place(spark, "pair-cache"), "talks", 4)
+    asked = talk_pairs(spark, sf_dir)
+    cache.scored(asked.where("i < j"), _Quarter()).count()
+    found = cache.scored(asked, JaccardScorer())
+    stored = cache.rows().count()
+    cache.compact()
+    return found.select("prompt_id", "i", "j", F.round("p_entailment", 5).alias("p"), L(stored).cast("bigint").alias("stored"), L(cache.rows().count()).cast("bigint").alias("once"))
+
+
+
 @query("SELECT p_partkey, CASE WHEN 48 % b = 0 THEN CAST(48 // b AS INT) END AS blocks, CASE WHEN 48 % b = 0 THEN CAST(p_size // (48 // b) AS INT) END AS steps FROM (SELECT *, CASE WHEN p_size % 5 = 0 THEN 48 ELSE 1 + p_size % 7 END AS b FROM part)")
 def block_counts(spark, sf_dir):
     """Blocks of a length and steps a block over a table of configurations; without a block size, one block."""

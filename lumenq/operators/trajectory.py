@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenq.backends import EntailmentScorer
 from lumenq.functions.text import is_valid_text
-from lumenq.operators.graph import MAX_ITEMS, sampling_features, scored_pairs
+from lumenq.operators.graph import MAX_ITEMS, pairs, sampling_features, scored_pairs, subsample
 from lumenq.staging import staged
 
 #: Steps of a random scope, and how many are drawn.
@@ -38,14 +38,29 @@ def steps_of(trajectories: DataFrame, key: Sequence[str] = ("prompt_id",)) -> Da
     return trajectories.select(*key, F.posexplode("step_answers").alias("step", "text"), F.col("final_answer").alias("final"))
 
 
+def _with_final(steps: DataFrame) -> tuple[DataFrame, Column]:
+    """(both directions of each distinct step and final answer that differ, which steps those are)."""
+    valid = is_valid_text(F.col("text")) & is_valid_text(F.col("final")) & (F.col("text") != F.col("final"))
+    ask = steps.where(valid).select("text", "final").distinct()
+    one = lambda a, b: F.struct(F.col(a).alias("premise"), F.col(b).alias("hypothesis"), "text", "final")
+    return ask.select(F.explode(F.array(one("text", "final"), one("final", "text"))).alias("p")).select("p.*"), valid
+
+
+def needed_pairs(steps: DataFrame, scopes: Sequence[tuple[DataFrame, str]] = (), most: int = MAX_ITEMS) -> list[DataFrame]:
+    """What step_dissimilarities of steps, and trajectory_features of each (steps of a scope, key), will ask a scorer for."""
+    found = [_with_final(steps)[0].select("premise", "hypothesis")]
+    for rows, key in scopes:
+        items = subsample(rows.where(is_valid_text(F.col("text"))), most, key, "step").select(key, "n", "i", "text")
+        found.append(pairs(items, "text", key).select("premise", "hypothesis"))
+    return found
+
+
 def step_dissimilarities(steps: DataFrame, scorer: EntailmentScorer | None = None) -> DataFrame:
     """steps with d: 1 minus the mean entailment of step and final answer in both directions.
 
     0 for a step equal to the final answer, and where either is not valid. Distinct pairs are scored once.
     """
-    valid = is_valid_text(F.col("text")) & is_valid_text(F.col("final")) & (F.col("text") != F.col("final"))
-    ask = steps.where(valid).select("text", "final").distinct()
-    both = ask.select(F.explode(F.array(F.struct(F.col("text").alias("premise"), F.col("final").alias("hypothesis"), "text", "final"), F.struct(F.col("final").alias("premise"), F.col("text").alias("hypothesis"), "text", "final"))).alias("p")).select("p.*")
+    both, valid = _with_final(steps)
     scored = scored_pairs(both, scorer).groupBy("text", "final").agg((1 - F.avg("p_entailment")).alias("__d"))
     found = steps.join(scored, ["text", "final"], "left")
     return found.select(*steps.columns, F.when(valid, F.coalesce("__d", F.lit(0.0))).otherwise(0.0).alias("d"))

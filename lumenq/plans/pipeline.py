@@ -12,6 +12,7 @@ from lumenq.functions.text import is_valid_text
 from lumenq.operators import graph, labeling, metrics, prompts, report, resample, tokens, trajectory
 from lumenq.operators.features import SEMANTIC
 from lumenq.operators.features import group as feature_group
+from lumenq.operators.pair_cache import PairCache, prefetched
 from lumenq.staging import staged
 
 C = F.col
@@ -45,12 +46,12 @@ def build_features(answers: DataFrame, tensor: DataFrame | None, scorer: Entailm
     return labeling.without_ambiguous(rows, prompts.group_key(answers, per_prompt))
 
 
-def baseline_features(rows: DataFrame, trajectories: DataFrame, scorer: EntailmentScorer | None = None, full_trajectory: bool = False, random_scopes: int = trajectory.RANDOM_SCOPES, random_steps: int = trajectory.RANDOM_STEPS, seed: int = 42, most: int = graph.MAX_ITEMS, excluded: DataFrame | None = None) -> DataFrame:
+def baseline_features(rows: DataFrame, trajectories: DataFrame, scorer: EntailmentScorer | None = None, full_trajectory: bool = False, random_scopes: int = trajectory.RANDOM_SCOPES, random_steps: int = trajectory.RANDOM_STEPS, seed: int = 42, most: int = graph.MAX_ITEMS, excluded: DataFrame | None = None, cache: PairCache | None = None) -> DataFrame:
     """rows with full-ad, random-<rep>-<feature>, and full-<feature> if asked, of each prompt's first trajectory.
 
     Trajectories of another than the most common number of steps, and of prompts that have no row, are left out. The
     draws of a prompt are seeded by its place among the kept prompts, in the order of the trajectories: by ord where
-    there is such a column, else as they are read. excluded: prompts that do not take part in that order.
+    there is such a column, else as they are read. excluded: prompts that do not take part in that order. cache: scores of earlier runs, which new ones are added to.
     """
     if "ord" not in trajectories.columns:
         trajectories = trajectories.withColumn("ord", F.monotonically_increasing_id())
@@ -60,14 +61,19 @@ def baseline_features(rows: DataFrame, trajectories: DataFrame, scorer: Entailme
     target = trajectory.target_trajectory(kept.select("prompt_id", "response_sample_id", "num_steps", "step_answers", "final_answer")).join(rows.select("prompt_id"), "prompt_id", "left_semi")
     target = staged(target, "target-trajectories")
     steps = trajectory.steps_of(target)
-    out = rows.join(trajectory.averaged_dissimilarity(trajectory.step_dissimilarities(steps, scorer)).withColumnRenamed("ad", "full-ad"), "prompt_id", "left")
-    if full_trajectory:
-        out = out.join(trajectory.trajectory_features(steps, "full", scorer, most), "prompt_id", "left")
+    scoped = None
     if random_scopes:
         first = kept.groupBy("prompt_id").agg(F.min("ord").alias("__first"))
         numbered = prompts.numbered(first, "__first").select("prompt_id", C("at").alias("idx")).join(target.select("prompt_id", "num_steps"), "prompt_id")
         drawn = trajectory.random_scope_steps(numbered, seed, random_steps, random_scopes)
-        scoped = steps.join(drawn, ["prompt_id", "step"]).where(is_valid_text(C("text"))).withColumn("scope", F.concat_ws("|", "prompt_id", "rep"))
+        scoped = staged(steps.join(drawn, ["prompt_id", "step"]).where(is_valid_text(C("text"))).withColumn("scope", F.concat_ws("|", "prompt_id", "rep")), "random-scopes")
+    # all scopes' pairs are asked for together, each once; a scope then selects its own
+    asked = trajectory.needed_pairs(steps, [(steps, "prompt_id")] * full_trajectory + ([(scoped, "scope")] if random_scopes else []), most)
+    scorer = prefetched(asked, scorer, cache)
+    out = rows.join(trajectory.averaged_dissimilarity(trajectory.step_dissimilarities(steps, scorer)).withColumnRenamed("ad", "full-ad"), "prompt_id", "left")
+    if full_trajectory:
+        out = out.join(trajectory.trajectory_features(steps, "full", scorer, most), "prompt_id", "left")
+    if random_scopes:
         found = graph.sampling_features(scoped, scorer, most, "scope", "step").join(scoped.select("scope", "prompt_id", "rep").distinct(), "scope")
         wide = found.groupBy("prompt_id").agg(*[F.max(F.when(C("rep") == r, C(f.replace("-", "_")))).alias(f"random-{r}-{f}") for r in range(random_scopes) for f in SEMANTIC])
         out = out.join(wide, "prompt_id", "left")
