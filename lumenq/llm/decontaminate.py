@@ -103,7 +103,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_co
 
     Null, empty and wordless texts contain nothing and are contained in nothing; an item under five words is one
     shingle, so only a text of just these words has it. Items with a null id are left out. Repeated rows are reported
-    each. Other columns are ignored; empty tables give an empty result.
+    each, and so is every item of equal text. Very long texts are searched and compared whole. A containment of exactly
+    percent counts. Other columns are ignored; empty tables give an empty result.
     """
     found = None
     for items in _passes(benchmark, item_id_col, item_text_col):

@@ -265,8 +265,9 @@ class _Lookup:
 def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = None, max_tokens: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs.
 
-    Null and empty texts are the single end_id. Repeated rows are documents of their own; a null doc_id stays null.
-    Other columns are ignored.
+    Null and empty texts are the single end_id; very long texts are tokenised whole and cut only into pieces of max_tokens.
+    Repeated rows are documents of their own; a null doc_id stays null. Pieces of one length are alike to the plan, so ties
+    between them are free. Other columns are ignored; an empty table gives an empty result.
     """
     return pack(tokenised_pieces(docs, json_path, ranks_path, max_tokens, end_id, id_col, text_col), max_tokens)
 

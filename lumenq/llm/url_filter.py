@@ -112,10 +112,11 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_c
     judged = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "by_rule": verdict})
     seeds = judged.where("host <> '' and by_rule is not null").groupBy("host").agg(F.avg((F.col("by_rule") == "allow").cast("double")).alias("trust"), F.avg((F.col("by_rule") == "block").cast("double")).alias("distrust"))
     ranks = propagate(seeds, host_edges(pages, url_col, html_col))
-    share = F.coalesce(F.try_divide(F.col("distrust"), F.col("trust") + F.col("distrust")), F.lit(0.0))
+    # rounded, so that the order of the sums does not decide ties
+    share = F.round(F.coalesce(F.try_divide(F.col("distrust"), F.col("trust") + F.col("distrust")), F.lit(0.0)), 6)
     hosts = staged(ranks.select("host", share.alias("host_distrust")), "host-verdicts")
     own = F.coalesce("by_rule", F.when(F.coalesce("host_distrust", F.lit(0.0)) > threshold, F.lit("block")).otherwise(F.lit("allow")))
-    return judged.join(hosts, "host", "left").select("page_id", "host", "path", "rule", own.alias("verdict"), F.round(F.coalesce("host_distrust", F.lit(0.0)), 6).alias("host_distrust"))
+    return judged.join(hosts, "host", "left").select("page_id", "host", "path", "rule", own.alias("verdict"), F.coalesce("host_distrust", F.lit(0.0)).alias("host_distrust"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
