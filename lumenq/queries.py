@@ -428,6 +428,14 @@ for _name, _unbiased, _gamma in (("mmd_biased", False, None), ("mmd_unbiased", T
     query(_mmd_sql(DOT if _gamma is None else f"exp(-{_gamma} * {SQUARE})", _unbiased), _name)(lambda spark, sf_dir, u=_unbiased, g=_gamma: trajectory.mmd2(_sides(spark, sf_dir), u, g).select(F.round("mmd2", 5).alias("mmd2")))
 
 
+@query(_mmd_sql(f"exp(-0.05 * {SQUARE})", False).replace("AS mmd2 FROM k", "AS exact, round(4 * sqrt(ln(2 / 0.01::DOUBLE) / (2 * 128 * 8)), 6) AS bound, TRUE AS holds FROM k"))
+def mmd_fourier(spark, sf_dir):
+    """The Gaussian discrepancy by random Fourier features, linear in the points: whether the exact one lies within its bound."""
+    near = trajectory.mmd2_fourier(_sides(spark, sf_dir), 0.05)
+    exact = trajectory.mmd2(_sides(spark, sf_dir), False, 0.05).withColumnRenamed("mmd2", "exact")
+    return near.crossJoin(exact).select(F.round("exact", 5).alias("exact"), r6("bound"), (F.abs(C("mmd2") - C("exact")) <= C("bound")).alias("holds"))  # one row each
+
+
 @query(f"SELECT a.label, round(avg({DOT}), 5) AS mean_dot FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY a.label")
 def pair_means(spark, sf_dir):
     return trajectory.pair_means(table(spark, sf_dir, "embeddings")).select("label", F.round("mean_dot", 5).alias("mean_dot"))
@@ -464,7 +472,7 @@ def _sums_sql(kernel: str, steps: int) -> str:
 
 
 RBF = "exp(-0.05 * list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
-DOT = "list_dot_product(a.e, b.e)"
+STEP_DOT = "list_dot_product(a.e, b.e)"
 
 
 @query(f"WITH {_sums_sql(RBF, 4)} SELECT label, round(sum(c - u), 5) AS trace FROM ku WHERE s = t GROUP BY label")
@@ -497,7 +505,7 @@ SUPPORTS = (
 
 
 @query(
-    f"WITH {_sums_sql(DOT, 3)}, m AS (SELECT a.label, a.s, a.t, (a.c - a.u + b.c - b.u) / 2 + CASE WHEN a.s = a.t THEN 0.1::DOUBLE ELSE 0 END AS v FROM ku a JOIN ku b ON a.label IS NOT DISTINCT FROM b.label AND a.s = b.t AND a.t = b.s),"
+    f"WITH {_sums_sql(STEP_DOT, 3)}, m AS (SELECT a.label, a.s, a.t, (a.c - a.u + b.c - b.u) / 2 + CASE WHEN a.s = a.t THEN 0.1::DOUBLE ELSE 0 END AS v FROM ku a JOIN ku b ON a.label IS NOT DISTINCT FROM b.label AND a.s = b.t AND a.t = b.s),"
     " mm AS (SELECT label, " + ", ".join(f"max(v) FILTER (s = {s} AND t = {t}) AS {n}" for n, s, t in (("a", 0, 0), ("b", 0, 1), ("g", 0, 2), ("d", 1, 1), ("q", 1, 2), ("h", 2, 2))) + " FROM m GROUP BY label),"
     f" {SUPPORTS}, best AS (SELECT label, arg_min(w, f) AS w, min(f) AS f FROM cand WHERE list_min(w) >= 0 GROUP BY label)"
     " SELECT label, CAST(s AS INT) AS step, round(w[s + 1], 5) AS weight, round(f, 6) AS objective, 0::DOUBLE AS gap, 0::DOUBLE AS residual, 1::DOUBLE AS total FROM best, range(3) r(s)"

@@ -124,3 +124,18 @@ def test_power_sums_certify_eigenvalues(spark):
                 lap[i, j] -= max(x, 0)
                 lap[i, i] += max(x, 0)
         assert [r.power_1, r.power_2, r.power_3] == pytest.approx([np.trace(np.linalg.matrix_power(lap, k)) for k in (1, 2, 3)]) and r.residual < 1e-9
+
+
+def test_fourier_features_come_near_the_kernel(spark):
+    rng = np.random.default_rng(9)
+    rows = [("x" if i % 2 else "y", i // 4, rng.normal(i % 2, 1, 3).tolist()) for i in range(120)] + [("z", 0, [0.0] * 3)]
+    points = spark.createDataFrame(rows, "side string, owner int, embedding array<double>")
+    for unbiased in (False, True):
+        exact = trajectory.mmd2(points, unbiased, 0.2).first().mmd2
+        near = trajectory.mmd2_fourier(points, 0.2, unbiased, 128, 4).first()
+        again = trajectory.mmd2_fourier(points.repartition(5), 0.2, unbiased, 128, 4).first()
+        assert abs(near.mmd2 - exact) <= near.bound and abs(near.mmd2 - exact) < 0.1 and abs(again.mmd2 - near.mmd2) < 1e-9
+    v = [np.array(r.embedding) for r in trajectory.fourier_features(points.limit(2), 0.2, 20_000).collect()]
+    raw = [np.array(r.embedding) for r in points.limit(2).collect()]
+    assert abs(v[0] @ v[1] - np.exp(-0.2 * ((raw[0] - raw[1]) ** 2).sum())) < 0.05 and abs(v[0] @ v[0] - 1) < 1e-9
+    assert np.isnan(trajectory.mmd2_fourier(points.where("side = 'z'"), 0.2, repeats=1).first().mmd2)
