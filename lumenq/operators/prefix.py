@@ -11,13 +11,21 @@ from pyspark.sql import functions as F
 MOST_BLOCKS, ROWS_A_BLOCK = 1024, 50_000
 
 
+def _largest(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group, one number for the driver."""
+    return (df.groupBy(*keys).count() if keys else df.agg(F.count("*").alias("count"))).agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+
+
 def _cut(df: DataFrame, keys: Sequence[str], order: str, blocks: int | None) -> DataFrame:
     """df with __block: cut at approximate percentiles of order, so that a row's block follows from its value alone.
 
-    Without a number of blocks, a group gets as many as its rows need: evenly spaced ones of the finest percentiles.
+    Without a number of blocks, a group gets as many as its rows need: evenly spaced ones of the finest percentiles, of
+    which there are as many as the largest group needs. Where no group needs two, nothing is cut.
     """
-    finest = blocks or MOST_BLOCKS
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, [i / finest for i in range(1, finest)], max(1000, 4 * finest)).alias("__cuts"), F.count("*").alias("__n")) if finest > 1 else df.groupBy(*keys).agg(F.array().cast("array<double>").alias("__cuts"), F.count("*").alias("__n"))
+    finest = blocks or min(MOST_BLOCKS, -(-_largest(df, keys) // ROWS_A_BLOCK))
+    if finest <= 1:
+        return df.withColumn("__block", F.lit(0))
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, [i / finest for i in range(1, finest)], max(1000, 4 * finest)).alias("__cuts"), F.count("*").alias("__n"))
     if not blocks:
         own = F.least(F.lit(finest), F.ceil(F.col("__n") / ROWS_A_BLOCK)).cast("int")
         chosen = F.transform(F.sequence(F.lit(1), own - 1), lambda i: F.element_at("__cuts", F.floor(i * finest / own).cast("int")))
