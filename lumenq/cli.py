@@ -17,6 +17,7 @@ from lumenq.operators.pair_cache import PairCache
 from lumenq.plans import generate, pipeline
 from lumenq.session import build_session
 from lumenq.sources import files, places, schemas, sinks
+from lumenq.sources.tensors import read_tensors
 
 
 #: Stages of the pipeline command in their order.
@@ -126,7 +127,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "features":
         tensor = None
         if a.tensors:  # a folder of tensor files, or the long table that generate writes
-            tensor = spark.read.parquet(a.tensors) if a.tensors.endswith(".parquet") else files.read_tensors(spark, a.tensors).drop("run")
+            tensor = spark.read.parquet(a.tensors) if a.tensors.endswith(".parquet") else read_tensors(spark, a.tensors).drop("run")
         eos, special = config.special_ids(files.run_config(a.config or beside(a.answers)))
         rows = pipeline.build_features(files.read_answers(spark, a.answers), tensor, loaded(a.scorer), special, eos, compat=a.compat)
         sinks.write_jsonl(rows, a.output, "overwrite")

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from lumenq import config
 from lumenq.backends import JaccardScorer
 from lumenq.functions import text
-from lumenq.operators import denoise, graph, labeling, metrics, prompts, report, sheets, tokens, trajectory
+from lumenq.operators import denoise, graph, labeling, metrics, prompts, report, sheets, timing, tokens, trajectory
 from lumenq.operators.pair_cache import PairCache
 from lumenq.operators.prefix import prefix_sums
 from lumenq.plans import pipeline
-from lumenq.queries import CLUSTERS, DISTANCE, JACCARD, RECORDS, STEPS, TALK, TOKENS, C, L, event_tokens, query, r6, table, talk_pairs, talk_records, talk_steps, talk_trajectories, vector_edges
+from lumenq.queries import CLUSTERS, DISTANCE, EDGES, JACCARD, RECORDS, STEPS, TALK, TOKENS, C, L, event_tokens, query, r6, seen_tokens, table, talk_pairs, talk_records, talk_steps, talk_trajectories, vector_edges
 from lumenq.sources import files, places, sinks
+from lumenq.sources.tensors import read_tensors, write_tensors
 from lumenq.staging import shared_folder
 
 
@@ -334,6 +335,59 @@ def run_baselines(spark, sf_dir):
     return pipeline.baseline_features(rows, talks, random_scopes=0).select(C("prompt_id").cast("bigint").alias("prompt_id"), F.round("full-ad", 5).alias("ad"))
 
 
+#: Scopes of the turns: in scope 0 and 1 of a trajectory lie about two thirds of its steps.
+_DRAWN = "(i * 7 + rep * 3 + prompt_id) % 5 > 1"
+#: From edges ed: the clusters' entropies g and the eigenvalue score e of each prompt.
+_GRAPH = """g AS (SELECT prompt_id, max(n) AS n, CASE WHEN count(*) = 1 THEN 0 ELSE -sum(c / CAST(n AS DOUBLE) * ln(c / CAST(n AS DOUBLE))) END AS m, sum(CASE WHEN c > 1 THEN c / CAST(n AS DOUBLE) * ln(c) ELSE 0 END) / nullif(ln(max(n)), 0) AS k FROM cs GROUP BY prompt_id),
+e AS (SELECT prompt_id, 1 - sum(CASE WHEN i <> j THEN greatest(w, 0) ELSE 0 END) / max(n) AS e FROM ed GROUP BY prompt_id)"""
+
+
+@query(
+    f"WITH RECURSIVE {STEPS}, mo AS (SELECT t FROM fin GROUP BY t ORDER BY count(*) DESC, min(prompt_id) LIMIT 1), "
+    f"sc AS (SELECT prompt_id || '|' || rep AS prompt_id, CAST(row_number() OVER w - 1 AS INT) AS i, CAST(count(*) OVER (PARTITION BY prompt_id, rep) AS INT) AS n, text, ws FROM tk JOIN fin USING (prompt_id) JOIN mo USING (t), (VALUES (0), (1)) AS r(rep) WHERE {_DRAWN} AND text NOT IN ('', 'None') WINDOW w AS (PARTITION BY prompt_id, rep ORDER BY i)), "
+    f"ed AS (SELECT a.prompt_id, a.n, a.i, b.i AS j, CASE WHEN a.i = b.i THEN 1 ELSE CAST(CAST({JACCARD} AS FLOAT) AS DOUBLE) END AS w FROM sc a JOIN sc b USING (prompt_id)){CLUSTERS[len(EDGES):]}, {_GRAPH}, "
+    "f AS (SELECT prompt_id, round(m, 5) AS m, round(k, 5) AS k, round(e, 5) AS e FROM g JOIN e USING (prompt_id) WHERE n > 1) "
+    "SELECT doc_id AS prompt_id, CAST(rep AS INT) AS rep, f.m AS se_marginal, f.k AS se_conditional, f.e AS eigval FROM labels, (VALUES (0), (1)) AS r(rep) LEFT JOIN f ON f.prompt_id = doc_id || '|' || rep"
+)
+def run_baselines_scoped(spark, sf_dir):
+    """Features of two scopes of each first trajectory, whose steps a rule picks in place of the generator."""
+    rows = table(spark, sf_dir, "labels").select(C("doc_id").cast("string").alias("prompt_id"))
+    talks = talk_trajectories(spark, sf_dir).select(C("prompt_id").cast("string").alias("prompt_id"), L(0).alias("response_sample_id"), "num_steps", "step_answers", "final_answer", C("prompt_id").alias("ord"))
+    rep = F.explode(F.array(L(0), L(1))).alias("rep")
+    draws = talk_steps(spark, sf_dir).select("prompt_id", C("step").alias("i"), rep).where(_DRAWN).select(C("prompt_id").cast("string").alias("prompt_id"), "rep", C("i").alias("step"))
+    found = pipeline.baseline_features(rows, talks, random_scopes=2, draws=draws)
+    names = ("se-marginal", "se-conditional", "eigval")
+    each = F.explode(F.array(*[F.struct(L(r).alias("rep"), *[F.round(f"random-{r}-{f}", 5).alias(f.replace("-", "_")) for f in names]) for r in (0, 1)])).alias("s")
+    return found.select(C("prompt_id").cast("bigint").alias("prompt_id"), each).select("prompt_id", "s.*")
+
+
+@query(
+    f"WITH RECURSIVE {CLUSTERS}, {TOKENS}, {_GRAPH}, q AS (SELECT prompt_id, sample_id, avg(-lp) AS m FROM v GROUP BY ALL), f AS (SELECT 'se-marginal' AS feature, prompt_id AS id, m AS value FROM g UNION ALL SELECT 'se-conditional', prompt_id, k FROM g UNION ALL SELECT 'eigval', prompt_id, e FROM e "
+    "UNION ALL SELECT 'msp', sample_id, exp(sum(lp)) FROM v GROUP BY sample_id UNION ALL SELECT 'perplexity', sample_id, exp(-avg(lp)) FROM v GROUP BY sample_id UNION ALL SELECT 'mcnse', prompt_id, avg(m) FROM q GROUP BY prompt_id) SELECT feature, CAST(id AS BIGINT) AS id, round(value, 6) AS value, true AS took_time FROM f"
+)
+def timed_kernels(spark, sf_dir):
+    """Values of timed features: a timed operator gives what the operator gives, and takes time."""
+    edges, seen = vector_edges(spark, sf_dir), seen_tokens(spark, sf_dir)
+    out = None
+    for feature in ("se-marginal", "se-conditional", "eigval", "msp", "perplexity", "mcnse"):
+        seconds, values = timing.timed_feature(feature, edges if feature in ("se-marginal", "se-conditional", "eigval") else seen)
+        rows = values.select(L(feature).alias("feature"), C(values.columns[0]).cast("bigint").alias("id"), r6("value"), L(seconds > 0).alias("took_time"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT CAST(v.run AS VARCHAR) AS run, CAST(s AS INT) AS sample_id, CAST(i // 4 AS INT) AS pos, CAST(i % 4 AS INT) AS rank, CAST(label * 100 + i AS INT) AS token_id, round(CAST(embedding[i + 1] AS DOUBLE), 5) AS logprob FROM (SELECT vec_id // 100 AS run, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) - 1 AS s, label, embedding FROM embeddings WHERE len(embedding) = 64) v, (SELECT CAST(unnest(range(64)) AS INT) AS i) WHERE s >= 3")
+def tensor_files(spark, sf_dir):
+    """Vectors as tensors of 16 positions and 4 ranks, a hundred samples a run, written as array files and read in ranges."""
+    run, path = (C("vec_id") / 100).cast("bigint"), place(spark, "tensors")
+    vectors = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).withColumn("run", run)
+    numbered = vectors.withColumn("sample_id", (F.row_number().over(Window.partitionBy("run").orderBy("vec_id")) - 1).cast("int"))
+    long = numbered.select("run", "sample_id", "label", F.posexplode("embedding").alias("i", "logprob"))
+    write_tensors(long.select("run", "sample_id", F.floor(C("i") / 4).cast("int").alias("pos"), (C("i") % 4).alias("rank"), (C("label") * 100 + C("i")).cast("int").alias("token_id"), "logprob"), path)
+    read = read_tensors(spark, path, cells=1_000).where("sample_id >= 3")
+    return read.select(F.regexp_extract("run", "([^/]+)$", 1).alias("run"), "sample_id", "pos", "rank", "token_id", F.round(C("logprob").cast("double"), 5).alias("logprob"))
+
+
 @query(
     f"WITH RECURSIVE {CLUSTERS}, g AS (SELECT prompt_id, max(n) AS n, CASE WHEN count(*) = 1 THEN 0 ELSE -sum(c / CAST(n AS DOUBLE) * ln(c / CAST(n AS DOUBLE))) END AS m, sum(CASE WHEN c > 1 THEN c / CAST(n AS DOUBLE) * ln(c) ELSE 0 END) / ln(max(n)) AS k FROM cs GROUP BY prompt_id), "
     "e AS (SELECT prompt_id, 1 - sum(CASE WHEN i <> j THEN greatest(w, 0) ELSE 0 END) / max(n) AS e FROM ed GROUP BY prompt_id) SELECT prompt_id, round(m, 6) AS se_marginal, round(k, 6) AS se_conditional, round(e, 6) AS eigval FROM g JOIN e USING (prompt_id)"

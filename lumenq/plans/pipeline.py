@@ -46,12 +46,13 @@ def build_features(answers: DataFrame, tensor: DataFrame | None, scorer: Entailm
     return labeling.without_ambiguous(rows, prompts.group_key(answers, per_prompt))
 
 
-def baseline_features(rows: DataFrame, trajectories: DataFrame, scorer: EntailmentScorer | None = None, full_trajectory: bool = False, random_scopes: int = trajectory.RANDOM_SCOPES, random_steps: int = trajectory.RANDOM_STEPS, seed: int = 42, most: int = graph.MAX_ITEMS, excluded: DataFrame | None = None, cache: PairCache | None = None) -> DataFrame:
+def baseline_features(rows: DataFrame, trajectories: DataFrame, scorer: EntailmentScorer | None = None, full_trajectory: bool = False, random_scopes: int = trajectory.RANDOM_SCOPES, random_steps: int = trajectory.RANDOM_STEPS, seed: int = 42, most: int = graph.MAX_ITEMS, excluded: DataFrame | None = None, cache: PairCache | None = None, draws: DataFrame | None = None) -> DataFrame:
     """rows with full-ad, random-<rep>-<feature>, and full-<feature> if asked, of each prompt's first trajectory.
 
     Trajectories of another than the most common number of steps, and of prompts that have no row, are left out. The
     draws of a prompt are seeded by its place among the kept prompts, in the order of the trajectories: by ord where
     there is such a column, else as they are read. excluded: prompts that do not take part in that order. cache: scores of earlier runs, which new ones are added to.
+    draws: (prompt_id, rep, step) of the random scopes, each once, in place of drawn ones.
     """
     if "ord" not in trajectories.columns:
         trajectories = trajectories.withColumn("ord", F.monotonically_increasing_id())
@@ -62,11 +63,12 @@ def baseline_features(rows: DataFrame, trajectories: DataFrame, scorer: Entailme
     target = staged(target, "target-trajectories")
     steps = trajectory.steps_of(target)
     scoped = None
-    if random_scopes:
+    if random_scopes and draws is None:
         first = kept.groupBy("prompt_id").agg(F.min("ord").alias("__first"))
         numbered = prompts.numbered(first, "__first").select("prompt_id", C("at").alias("idx")).join(target.select("prompt_id", "num_steps"), "prompt_id")
-        drawn = trajectory.random_scope_steps(numbered, seed, random_steps, random_scopes)
-        scoped = staged(steps.join(drawn, ["prompt_id", "step"]).where(is_valid_text(C("text"))).withColumn("scope", F.concat_ws("|", "prompt_id", "rep")), "random-scopes")
+        draws = trajectory.random_scope_steps(numbered, seed, random_steps, random_scopes)
+    if random_scopes:
+        scoped = staged(steps.join(draws, ["prompt_id", "step"]).where(is_valid_text(C("text"))).withColumn("scope", F.concat_ws("|", "prompt_id", "rep")), "random-scopes")
     # all scopes' pairs are asked for together, each once; a scope then selects its own
     asked = trajectory.needed_pairs(steps, [(steps, "prompt_id")] * full_trajectory + ([(scoped, "scope")] if random_scopes else []), most)
     scorer = prefetched(asked, scorer, cache)

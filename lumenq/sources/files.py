@@ -1,13 +1,10 @@
-"""Readers of datasets, prompts, answers, tensors, metrics and latency profiles."""
+"""Readers of datasets, prompts, answers, metrics and latency profiles."""
 
 from __future__ import annotations
 
-import io
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,29 +71,6 @@ def load_local_dataset(spark: SparkSession, path: str, file_format: str = "jsonl
     return read_json(spark, path, schema)
 
 
-def read_tensors(spark: SparkSession, path: str) -> DataFrame:
-    """Top-k tensors of runs in long form, from .npz files of topk_logprobs and topk_token_ids (sample x position x rank).
-
-    A file is read by one task and leaves it in batches; without files the table is empty.
-    """
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                arrays = np.load(io.BytesIO(content))
-                lp, ids = arrays["topk_logprobs"].astype(np.float32), arrays["topk_token_ids"].astype(np.int32)
-                _, length, k = lp.shape
-                pos, rank = np.repeat(np.arange(length, dtype=np.int32), k), np.tile(np.arange(k, dtype=np.int32), length)
-                for sample in range(len(lp)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name.rsplit("/", 1)[0]] * (length * k)), pa.array(np.full(length * k, sample, np.int32)), pa.array(pos), pa.array(rank), pa.array(ids[sample].ravel()), pa.array(lp[sample].ravel())],
-                        ["run", "sample_id", "pos", "rank", "token_id", "logprob"],
-                    )
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInArrow(rows, schemas.TENSOR)
-
-
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, schemas.ANSWERS)
 

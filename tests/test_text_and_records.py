@@ -12,6 +12,7 @@ from lumenq.functions import text
 from lumenq.operators import labeling, prompts, report
 from lumenq.plans import pipeline
 from lumenq.sources import files, schemas, sinks
+from lumenq.sources.tensors import read_tensors
 from lumenq.streaming import labels as stream
 
 
@@ -133,7 +134,7 @@ def test_files(spark, tmp_path):
         files.read_jsonl(spark, f"{tmp_path}/bad.jsonl", "question string").collect()
     lp = np.random.default_rng(0).normal(size=(2, 3, 4)).astype(np.float32)
     np.savez(tmp_path / "topk_logprobs.npz", topk_logprobs=lp, topk_token_ids=np.arange(24).reshape(2, 3, 4))
-    got = files.read_tensors(spark, str(tmp_path)).where("sample_id = 1 and pos = 2").orderBy("rank").collect()
+    got = read_tensors(spark, str(tmp_path)).where("sample_id = 1 and pos = 2").orderBy("rank").collect()
     assert [r.token_id for r in got] == [20, 21, 22, 23] and np.allclose([r.logprob for r in got], lp[1, 2])
 
 
