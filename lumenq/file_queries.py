@@ -337,32 +337,31 @@ def run_baselines(spark, sf_dir):
 
 #: Scopes of the turns: in scope 0 and 1 of a trajectory lie about two thirds of its steps.
 _DRAWN = "(i * 7 + rep * 3 + prompt_id) % 5 > 1"
-#: From edges ed: the clusters' entropies g and the eigenvalue score e of each prompt.
-_GRAPH = """g AS (SELECT prompt_id, max(n) AS n, CASE WHEN count(*) = 1 THEN 0 ELSE -sum(c / CAST(n AS DOUBLE) * ln(c / CAST(n AS DOUBLE))) END AS m, sum(CASE WHEN c > 1 THEN c / CAST(n AS DOUBLE) * ln(c) ELSE 0 END) / nullif(ln(max(n)), 0) AS k FROM cs GROUP BY prompt_id),
-e AS (SELECT prompt_id, 1 - sum(CASE WHEN i <> j THEN greatest(w, 0) ELSE 0 END) / max(n) AS e FROM ed GROUP BY prompt_id)"""
+#: From edges ed: the clusters' entropies ge and the eigenvalue score ev of each prompt.
+_GRAPH = """ge AS (SELECT prompt_id, max(n) AS n, CASE WHEN count(*) = 1 THEN 0 ELSE -sum(c / CAST(n AS DOUBLE) * ln(c / CAST(n AS DOUBLE))) END AS m, sum(CASE WHEN c > 1 THEN c / CAST(n AS DOUBLE) * ln(c) ELSE 0 END) / nullif(ln(max(n)), 0) AS k FROM cs GROUP BY prompt_id),
+ev AS (SELECT prompt_id, 1 - sum(CASE WHEN i <> j THEN greatest(w, 0) ELSE 0 END) / max(n) AS e FROM ed GROUP BY prompt_id)"""
 
 
 @query(
     f"WITH RECURSIVE {STEPS}, mo AS (SELECT t FROM fin GROUP BY t ORDER BY count(*) DESC, min(prompt_id) LIMIT 1), "
     f"sc AS (SELECT prompt_id || '|' || rep AS prompt_id, CAST(row_number() OVER w - 1 AS INT) AS i, CAST(count(*) OVER (PARTITION BY prompt_id, rep) AS INT) AS n, text, ws FROM tk JOIN fin USING (prompt_id) JOIN mo USING (t), (VALUES (0), (1)) AS r(rep) WHERE {_DRAWN} AND text NOT IN ('', 'None') WINDOW w AS (PARTITION BY prompt_id, rep ORDER BY i)), "
     f"ed AS (SELECT a.prompt_id, a.n, a.i, b.i AS j, CASE WHEN a.i = b.i THEN 1 ELSE CAST(CAST({JACCARD} AS FLOAT) AS DOUBLE) END AS w FROM sc a JOIN sc b USING (prompt_id)){CLUSTERS[len(EDGES):]}, {_GRAPH}, "
-    "f AS (SELECT prompt_id, round(m, 5) AS m, round(k, 5) AS k, round(e, 5) AS e FROM g JOIN e USING (prompt_id) WHERE n > 1) "
-    "SELECT doc_id AS prompt_id, CAST(rep AS INT) AS rep, f.m AS se_marginal, f.k AS se_conditional, f.e AS eigval FROM labels, (VALUES (0), (1)) AS r(rep) LEFT JOIN f ON f.prompt_id = doc_id || '|' || rep"
+    "f AS (SELECT prompt_id, round(m, 5) AS m, round(k, 5) AS k, round(e, 5) AS e FROM ge JOIN ev USING (prompt_id) WHERE n > 1) "
+    "SELECT fin.prompt_id, CAST(rep AS INT) AS rep, f.m AS se_marginal, f.k AS se_conditional, f.e AS eigval FROM fin, (VALUES (0), (1)) AS r(rep) LEFT JOIN f ON f.prompt_id = fin.prompt_id || '|' || rep"
 )
 def run_baselines_scoped(spark, sf_dir):
     """Features of two scopes of each first trajectory, whose steps a rule picks in place of the generator."""
-    rows = table(spark, sf_dir, "labels").select(C("doc_id").cast("string").alias("prompt_id"))
     talks = talk_trajectories(spark, sf_dir).select(C("prompt_id").cast("string").alias("prompt_id"), L(0).alias("response_sample_id"), "num_steps", "step_answers", "final_answer", C("prompt_id").alias("ord"))
     rep = F.explode(F.array(L(0), L(1))).alias("rep")
     draws = talk_steps(spark, sf_dir).select("prompt_id", C("step").alias("i"), rep).where(_DRAWN).select(C("prompt_id").cast("string").alias("prompt_id"), "rep", C("i").alias("step"))
-    found = pipeline.baseline_features(rows, talks, random_scopes=2, draws=draws)
+    found = pipeline.baseline_features(talks.select("prompt_id"), talks, random_scopes=2, draws=draws)
     names = ("se-marginal", "se-conditional", "eigval")
     each = F.explode(F.array(*[F.struct(L(r).alias("rep"), *[F.round(f"random-{r}-{f}", 5).alias(f.replace("-", "_")) for f in names]) for r in (0, 1)])).alias("s")
     return found.select(C("prompt_id").cast("bigint").alias("prompt_id"), each).select("prompt_id", "s.*")
 
 
 @query(
-    f"WITH RECURSIVE {CLUSTERS}, {TOKENS}, {_GRAPH}, q AS (SELECT prompt_id, sample_id, avg(-lp) AS m FROM v GROUP BY ALL), f AS (SELECT 'se-marginal' AS feature, prompt_id AS id, m AS value FROM g UNION ALL SELECT 'se-conditional', prompt_id, k FROM g UNION ALL SELECT 'eigval', prompt_id, e FROM e "
+    f"WITH RECURSIVE {CLUSTERS}, {TOKENS}, {_GRAPH}, q AS (SELECT prompt_id, sample_id, avg(-lp) AS m FROM v GROUP BY ALL), f AS (SELECT 'se-marginal' AS feature, prompt_id AS id, m AS value FROM ge UNION ALL SELECT 'se-conditional', prompt_id, k FROM ge UNION ALL SELECT 'eigval', prompt_id, e FROM ev "
     "UNION ALL SELECT 'msp', sample_id, exp(sum(lp)) FROM v GROUP BY sample_id UNION ALL SELECT 'perplexity', sample_id, exp(-avg(lp)) FROM v GROUP BY sample_id UNION ALL SELECT 'mcnse', prompt_id, avg(m) FROM q GROUP BY prompt_id) SELECT feature, CAST(id AS BIGINT) AS id, round(value, 6) AS value, true AS took_time FROM f"
 )
 def timed_kernels(spark, sf_dir):
