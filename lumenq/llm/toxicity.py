@@ -32,7 +32,14 @@ MEMO_WORDS = 100_000
 #: Lengths of word stems that may be learned.
 STEMS = range(4, 8)
 #: Seed words of the grammar in the four languages of the corpus.
-THREATS = "kill murder stab shoot strangle destroy tuer tuerai umbringen töten matar mataré".split()
+#: Verbs of threats by stem and endings, a dash for none; forms that are common nouns too (shot, mata) are left out.
+THREAT_VERBS = {
+    "kill": "- s ed ing", "murder": "- s ed ing", "stab": "- s bed bing", "shoot": "- s ing", "strangl": "e es ed ing", "destroy": "- s ed ing",
+    "tu": "er e es ez ent é és ée ées ant ait aient erai eras era erons erez eront",
+    "töt": "en e est et ete eten end", "getötet": "-", "umbring": "en e st t end", "umgebracht": "-", "umzubringen": "-",
+    "mat": "ar arte arlo arla arlos arlas aré arás ará aremos arán aría o as an amos é aste ó aron ado ada ados adas ando",
+}
+THREATS = [stem + ending.strip("-") for stem, endings in THREAT_VERBS.items() for ending in endings.split()]
 TARGETS = "you your you're he she they them toi tu vous ton votre du dich dein ihr euch tú ti usted ustedes te".split()
 NEGATIONS = "not no never don't isn't aren't wasn't without ne pas jamais sans nicht kein keine nie ohne nunca sin".split()
 REPORTS = "said says reported reports claimed according quoted dit disait selon sagte sagt laut dijo dice según".split()
@@ -78,11 +85,16 @@ def compose(*machines: Transducer):
     return step, (0,) * len(machines)
 
 
-def grammar():
+#: The transducers before the one that weighs, in their order.
+PARTS = ("report", "negation", "target")
+
+
+def grammar(parts: tuple[str, ...] = PARTS):
     """Reports, negations and targets rewrite the symbols that follow; the last transducer weighs insults and threats.
 
     A state counts the words that its rule still reaches: 8 after a report, 3 after a negation, 4 after a target.
-    A target also strengthens an insult that stands up to 3 words before it.
+    A target also strengthens an insult that stands up to 3 words before it. Without a part its symbols pass as they are;
+    so the worth of each can be measured.
     """
     keep = lambda out, s: (out, NOTHING, max(0, s - 1))
     report = Transducer({s: {REPORT: (OTHER, NOTHING, 8), **({INSULT: keep("q", s), THREAT: keep("q", s), DOUBTFUL: keep(OTHER, s)} if s else {})} for s in range(9)})
@@ -91,7 +103,7 @@ def grammar():
     last = lambda sure, doubtful, state=0: (OTHER, (sure, doubtful), state)
     weights = {INSULT: last(1.0, 0.0, 3), "I": last(1.5, 0.0), THREAT: last(0.5, 0.0), "T": last(2.0, 0.0), "q": last(0.4, 0.0), DOUBTFUL: last(0.0, 1.0), "D": last(0.0, 1.25)}
     weigh = Transducer({s: weights | ({TARGET: last(0.5, 0.0)} if s else {}) for s in range(4)})
-    return compose(report, negation, target, weigh)
+    return compose(*(m for name, m in zip(PARTS, (report, negation, target), strict=True) if name in parts), weigh)
 
 
 class Lexicon:
@@ -133,9 +145,10 @@ class Model:
     stems: set
     doubtful: set = field(default_factory=set)
     weights: tuple = (1.0, 0.0, 0.0, -1.0)
+    parts: tuple = PARTS
 
     def reader(self):
-        lexicon, (step, start) = Lexicon(self.words, self.stems, self.doubtful), grammar()
+        lexicon, (step, start) = Lexicon(self.words, self.stems, self.doubtful), grammar(self.parts)
 
         def totals(text: str) -> tuple[float, float, int]:
             """Sure and doubtful weight of all matched clauses, each counted by its own sum, and the words there are."""
@@ -261,7 +274,7 @@ def _constant(toxic: int, rows: int) -> Model:
     return Model(set(), set(), set(), (0.0, 0.0, 0.0, math.log((p + 1e-3) / (1 - p + 1e-3))))
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, held_out, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", parts: tuple[str, ...] = PARTS) -> Model:
     """The grammar's stems and the score's logistic, from at most rows labelled documents that are not held out."""
     spark = docs.sparkSession
     modest_batches(spark)
@@ -278,14 +291,14 @@ def train(docs: DataFrame, labels: DataFrame, held_out, rows: int = TRAINING_ROW
     single = _without_copies([tuple(r) for r in texts.mapInArrow(_minima, "doc_id bigint, m0 bigint, m1 bigint, m2 bigint").collect()])  # at most rows of four numbers
     toxic = sum(chosen[i] for i in single)
     clean = len(single) - toxic
-    model = Model(set(), set())
+    model = Model(set(), set(), parts=parts)
     if toxic and clean:  # else no class has words of its own to learn
         singles = texts.join(F.broadcast(spark.createDataFrame([(i,) for i in sorted(single)], "doc_id bigint")), "doc_id", "left_semi")
         terms = singles.mapInArrow(_counted, "term string, bad bigint, seen bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen"))
         # only the terms that may be learned come to the driver: each stands out in six toxic texts of the sample at least
         precision = (F.col("bad") + 0.5) / (F.col("seen") + 1)
         strong = terms.where((F.col("bad") >= 6) & (precision >= min(0.8, 2 * toxic / len(single))) & (F.col("bad") * F.ln(precision * (len(single) / toxic)) >= 16)).collect()
-        model = Model(*_learned([(r.term, r.bad, r.seen) for r in strong], toxic, clean))
+        model = Model(*_learned([(r.term, r.bad, r.seen) for r in strong], toxic, clean), parts=parts)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = model.reader()
@@ -300,7 +313,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out, rows: int = TRAINING_ROW
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", parts: tuple[str, ...] = PARTS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs; learned from labelled rows that are not held out.
 
     Null, empty and unmatched texts have the score of no matched clause. Very long texts are read whole, clause by
@@ -308,7 +321,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS
     out and never trains. Without labels of both kinds, or where no labelled document of both kinds is there, every
     text gets the share of label 1. Other columns are ignored; an empty table gives an empty result.
     """
-    model = train(docs, labels, remainder("doc_id", 5) == 0, rows, id_col, text_col)
+    model = train(docs, labels, remainder("doc_id", 5) == 0, rows, id_col, text_col, parts)
 
     @F.pandas_udf("double")
     def score(texts):

@@ -167,6 +167,23 @@ def test_grammar_scores_clauses():
     assert weight("some zorkelei there", stems=("zork",)) == plain
 
 
+def test_threats_are_inflected():
+    for text in ("He murdered them and stabbed her", "they were killed", "she is strangling you", "je te tuerai", "ils t'ont tuée", "ich töte dich", "er wurde umgebracht", "voy a matarte", "lo mataron"):
+        assert weight(text) > 0, text
+    assert weight("you will be killed") > weight("killed") > 0
+    assert weight("he did not kill anyone") == 0.0 and weight("nobody was never killed") == 0.0
+    for text in ("a shot of coffee", "la mata verde", "the skill of it", "tu es ici", "tout est tôt", "matt and material"):
+        assert weight(text) == 0.0, text
+    assert len(set(toxicity.THREATS)) == len(toxicity.THREATS) and not set(toxicity.THREATS) & set(toxicity.TARGETS + toxicity.NEGATIONS + toxicity.REPORTS)
+
+
+def test_parts_of_the_grammar_can_be_left_out():
+    read = lambda text, parts: toxicity.Model({"idiot"}, set(), parts=parts).reader()(text)[0]
+    for part, text in (("report", "the paper said an idiot"), ("negation", "not an idiot"), ("target", "you are an idiot")):
+        rest = tuple(p for p in toxicity.PARTS if p != part)
+        assert read(text, toxicity.PARTS) != read(text, rest) == read("an idiot", rest)
+
+
 def test_doubtful_stems_count_apart():
     reader = toxicity.Model(set(), {"zork"}, {"zo", "blah"}).reader()
     assert reader("a zorker and a blahser") == (1.0, 1.0, 5)
