@@ -101,7 +101,7 @@ def pareto(points: DataFrame, x: str = "x", y: str = "y", key: str = "id", group
     Points without x or y are not on the front.
     """
     placed = points.where(C(x).isNotNull() & C(y).isNotNull())
-    best = placed.groupBy(*group, x).agg(F.max_by(F.struct(C(key).alias("__key"), C(y).alias("__y")), F.struct(C(y), -C(key))).alias("__b")).select(*group, C(x).alias("__x"), "__b.*")
+    best = placed.groupBy(*group, x).agg(F.min_by(F.struct(C(key).alias("__key"), C(y).alias("__y")), F.struct(-C(y), C(key))).alias("__b")).select(*group, C(x).alias("__x"), "__b.*")
     above = prefix_max(staged(best, "best-points"), list(group), "__x", "__y")
     front = above.where(C("__y_before").isNull() | (C("__y") > C("__y_before"))).select(*group, C("__key").alias(key), F.lit(True).alias("__on"))
     return points.join(front, [*group, key], "left").withColumn("on_front", F.coalesce("__on", F.lit(False))).drop("__on")

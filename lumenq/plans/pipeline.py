@@ -133,5 +133,4 @@ def cost_quality(results: DataFrame, latency: DataFrame, metric: str = "prr") ->
     own = results.where(C("metric") == metric).join(order, "run_dir").withColumns({"model": report.model_name(C("model_id")), "is_selection": C("run_dir").endswith("/selection")})
     named = own.withColumn("feature", F.when(C("is_selection"), F.when(C("feature") == "ad", "weighted-ad").otherwise(F.concat(F.lit("selected-"), "feature"))).otherwise(C("feature")))
     both = report.performance_latency(named, latency.select("model", "dataset", "remasking", "feature", "overhead_mean", "family"))
-    key = both.withColumn("id", F.xxhash64("feature"))
-    return report.pareto(key, "overhead_mean", "value", "id", ("model", "dataset", "remasking")).drop("id")
+    return report.pareto(both, "overhead_mean", "value", "feature", ("model", "dataset", "remasking"))

@@ -179,6 +179,8 @@ def test_latency_and_cost(spark, tmp_path):
     results = spark.createDataFrame([("r", "gsm8k", "GSAI-ML/LLaDA-1.5", "lc", "msp", "prr", 0.5), ("r", "gsm8k", "GSAI-ML/LLaDA-1.5", "lc", "ecc", "prr", 0.4)], "run_dir string, dataset string, model_id string, remasking string, feature string, metric string, value double")
     cost = {r.feature: r.on_front for r in pipeline.cost_quality(results, files.discover_latency(spark, f"{tmp_path}/lat")).collect()}
     assert cost == {"msp": True, "ecc": False}
+    ties = spark.createDataFrame([(f, 1.0, 2.0) for f in ("perplexity", "eigval", "msp")], "feature string, x double, y double")
+    assert [r.feature for r in report.pareto(ties, key="feature").where("on_front").collect()] == ["eigval"]
 
 
 def test_pipeline(spark, tmp_path):
