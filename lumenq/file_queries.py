@@ -383,7 +383,7 @@ def tensor_files(spark, sf_dir):
     numbered = vectors.withColumn("sample_id", (F.row_number().over(Window.partitionBy("run").orderBy("vec_id")) - 1).cast("int"))
     long = numbered.select("run", "sample_id", "label", F.posexplode("embedding").alias("i", "logprob"))
     write_tensors(long.select("run", "sample_id", F.floor(C("i") / 4).cast("int").alias("pos"), (C("i") % 4).alias("rank"), (C("label") * 100 + C("i")).cast("int").alias("token_id"), "logprob"), path)
-    read = read_tensors(spark, path, cells=1_000).where("sample_id >= 3")
+    read = read_tensors(spark, path, cells=1_000, low=3)
     return read.select(F.regexp_extract("run", "([^/]+)$", 1).alias("run"), "sample_id", "pos", "rank", "token_id", F.round(C("logprob").cast("double"), 5).alias("logprob"))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lumenq.sources import schemas
 
@@ -32,7 +32,6 @@ COMPRESSED_PARTS = 8
 #: Cells of a batch.
 BATCH = 65_536
 ARRAYS = {"topk_logprobs": np.float32, "topk_token_ids": np.int32}
-PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
 @dataclass
@@ -100,9 +99,9 @@ def _arrays(archive: zipfile.ZipFile, path: str) -> list[_Array]:
 class TensorReader(DataSourceReader):
     """Plans ranges from headers, and reads one."""
 
-    def __init__(self, path: str, cells: int):
+    def __init__(self, path: str, cells: int, low: int = 0, high: int | None = None):
         self.path, self.cells = path, cells
-        self.low, self.high = 0, None  # samples asked for: low to high, not itself
+        self.low, self.high = low, high
 
     def partitions(self) -> list[InputPartition]:
         out = []
@@ -136,39 +135,12 @@ class TensorReader(DataSourceReader):
                 at += len(x)
 
 
-class PruningReader(TensorReader):
-    """Leaves out the ranges of samples that filters exclude; Spark still applies the filters."""
-
-    def pushFilters(self, filters: list) -> Iterator:
-        for f in filters:
-            if getattr(f, "attribute", None) == ("sample_id",):
-                low, high = self._bounds(f)
-                self.low = max(self.low, low)
-                self.high = high if self.high is None else self.high if high is None else min(self.high, high)
-            yield f
-
-    @staticmethod
-    def _bounds(f) -> tuple[int, int | None]:
-        """The samples low to high, not itself, among which all lie that pass the filter."""
-        match f:
-            case EqualTo(value=v) if v is not None:
-                return v, v + 1
-            case In(value=v) if any(x is not None for x in v):
-                some = [x for x in v if x is not None]
-                return min(some), max(some) + 1
-            case GreaterThan(value=v) if v is not None:
-                return v + 1, None
-            case GreaterThanOrEqual(value=v) if v is not None:
-                return v, None
-            case LessThan(value=v) if v is not None:
-                return 0, v
-            case LessThanOrEqual(value=v) if v is not None:
-                return 0, v + 1
-        return 0, None
-
-
 class TensorSource(DataSource):
-    """Format tensors: path, cells (of a range, at most), pushdown (whether filters prune)."""
+    """Format tensors: path, cells (of a range, at most), low and high (the samples from low to high, not itself).
+
+    Samples are chosen by options, since a reader that takes filters is shared by all that derives from one DataFrame:
+    what one query pushes would be left out of the next.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -178,18 +150,18 @@ class TensorSource(DataSource):
         return schemas.TENSOR
 
     def reader(self, schema) -> DataSourceReader:
-        kind = PruningReader if self.options.get("pushdown") == "true" else TensorReader
-        return kind(self.options["path"], int(self.options.get("cells", CELLS)))
+        high = self.options.get("high")
+        return TensorReader(self.options["path"], int(self.options.get("cells", CELLS)), int(self.options.get("low", 0)), None if high is None else int(high))
 
 
-def read_tensors(spark: SparkSession, path: str, cells: int = CELLS) -> DataFrame:
+def read_tensors(spark: SparkSession, path: str, cells: int = CELLS, low: int = 0, high: int | None = None) -> DataFrame:
     """Top-k tensors of runs in long form, run being a file's folder; without files the table is empty.
 
-    cells: of a file of stored arrays, what a task reads. Where the session lets Python sources see filters
-    (spark.sql.python.filterPushdown.enabled, set by build_session), those on sample_id leave ranges out.
+    cells: of a file of stored arrays, what a task reads. Only samples from low to high, not itself, are read; else all.
     """
     spark.dataSource.register(TensorSource)
-    return spark.read.format("tensors").option("cells", cells).option("pushdown", str(spark.conf.get(PUSHDOWN, "false")).lower()).load(path)
+    reader = spark.read.format("tensors").option("cells", cells).option("low", low)
+    return (reader if high is None else reader.option("high", high)).load(path)
 
 
 def write_tensors(tensors: DataFrame, path: str, compressed: bool = True) -> None:

@@ -31,19 +31,26 @@ def test_ranges_make_the_whole(spark, tmp_path, arrays, save, layout):
     assert {r.run for r in got.select("run").distinct().collect()} == {str(tmp_path)}
 
 
-def test_filters_leave_ranges_out(spark, tmp_path, arrays):
+def test_samples_are_chosen_by_range(spark, tmp_path, arrays):
     lp, ids = arrays
     np.savez(tmp_path / "topk_logprobs.npz", topk_logprobs=lp.astype(np.float64), topk_token_ids=ids)
-    before = spark.conf.get(tensors.PUSHDOWN)
-    spark.conf.set(tensors.PUSHDOWN, "true")
+    for low, high, samples in ((4, 5, [4]), (2, 7, range(2, 7)), (9, None, [9, 10]), (0, 1, [0]), (-3, 2, [0, 1]), (40, None, []), (5, 5, []), (7, 3, [])):
+        read = tensors.read_tensors(spark, str(tmp_path), 15, low, high)
+        found = values(read)
+        assert np.array_equal(found[0], ids[list(samples)].ravel()) and np.array_equal(found[1], lp[list(samples)].ravel()), (low, high)
+        assert read.rdd.getNumPartitions() == max(1, len(samples))
+
+
+@pytest.mark.parametrize("pushdown", ["true", "false"])
+def test_one_table_serves_many_filters(spark, tmp_path, arrays, pushdown):
+    np.savez(tmp_path / "topk_logprobs.npz", topk_logprobs=arrays[0], topk_token_ids=arrays[1])
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", pushdown)
     try:
-        read = lambda condition: tensors.read_tensors(spark, str(tmp_path), cells=15).where(condition)
-        for condition, samples in (("sample_id = 4", [4]), ("sample_id in (2, 6)", [2, 6]), ("sample_id >= 9", [9, 10]), ("sample_id > 9 and pos >= 0", [10]), ("sample_id < 1", [0]), ("sample_id <= 1", [0, 1]), ("sample_id > 40", []), ("sample_id = -1", [])):
-            found = values(read(condition))
-            assert np.array_equal(found[0], ids[samples].ravel()) and np.array_equal(found[1], lp[samples].ravel()), condition
-        assert read("sample_id = 4").rdd.getNumPartitions() == 1 and read("sample_id in (2, 6)").rdd.getNumPartitions() == 5
+        read = tensors.read_tensors(spark, str(tmp_path), cells=15)
+        assert [read.where(c).count() for c in ("sample_id = 4", "sample_id in (2, 6)", "sample_id >= 9", "pos = 0")] == [15, 30, 30, 33] and read.count() == 165
     finally:
-        spark.conf.set(tensors.PUSHDOWN, before)
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
 
 
 def test_no_files_and_wrong_files(spark, tmp_path):
