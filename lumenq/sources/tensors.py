@@ -66,7 +66,11 @@ class _Array:
     """An array of an open archive, from its header; read by ranges of rows."""
 
     def __init__(self, archive: zipfile.ZipFile, name: str):
-        self.name, self.stored = name, archive.getinfo(f"{name}.npy").compress_type == zipfile.ZIP_STORED
+        info = archive.getinfo(f"{name}.npy")
+        self.name, self.stored, self.file = name, info.compress_type == zipfile.ZIP_STORED, archive.fp
+        # a member's content follows its local header of 30 bytes, its name and its extra field
+        self.file.seek(info.header_offset + 26)
+        self.content = info.header_offset + 30 + sum(np.frombuffer(self.file.read(4), "<u2").tolist())
         self.stream = archive.open(f"{name}.npy")
         version = np.lib.format.read_magic(self.stream)
         read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
@@ -82,10 +86,14 @@ class _Array:
             whole = np.frombuffer(self.stream.read(), self.dtype).reshape(self.shape, order="F").reshape(-1, k)
             yield from (whole[at : min(at + step, last)].astype(dtype) for at in range(first, last, step))
             return
-        self.stream.seek(self.begins + first * k * self.dtype.itemsize)
+        begins = self.begins + first * k * self.dtype.itemsize
+        if not self.stored:
+            self.stream.seek(begins)
         for at in range(first, last, step):
             n = (min(at + step, last) - at) * k
-            content = self.stream.read(n * self.dtype.itemsize)
+            size = n * self.dtype.itemsize
+            content = self.file.read_at(size, self.content + begins) if self.stored else self.stream.read(size)
+            begins += size
             yield np.frombuffer(content, self.dtype, n).reshape(-1, k).astype(dtype)
 
 
