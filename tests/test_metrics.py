@@ -226,3 +226,9 @@ def test_stratified_folds_keep_shares(spark):
         for role in ("train", "val", "test"):
             own = [r.id < 92 for r in rows if r.fold == f and r.role == role]
             assert abs(sum(own) / len(own) - 0.092) < 0.02
+
+
+def test_draws_meet_their_rows_without_a_broadcast(spark):
+    df = spark.createDataFrame([("f", i, i % 2, float(i)) for i in range(50)], "feature string, id bigint, y int, s double")
+    plan = resample.resamples(df, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # the rows' side grows with the table
