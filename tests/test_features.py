@@ -269,3 +269,28 @@ def test_denoise_frame(spark):
 
     got = denoise.generate_frame(spark.createDataFrame([(0, [1, 2]), (1, [3])], "sample_id bigint, ids array<int>"), load, mask_id=9, length=2, steps=2, keep=2).orderBy("sample_id").collect()
     assert [r.tokens for r in got] == [[5, 5], [5, 5]] and got[0].topk_token_ids == [[5, 4], [5, 4]]
+
+
+def test_kernels_are_summed_strip_by_strip(spark):
+    rng = np.random.default_rng(9)
+    n = 700  # of one block and one group, more than two strips
+    assert 2 * trajectory.STRIP < n < trajectory.BLOCK_POINTS
+    v = rng.normal(size=(n, 4))
+    assert max(k.size for _, k in trajectory._strips(v, v, 0.3)) == trajectory.STRIP * n
+    whole = np.exp(-0.3 * ((v[:, None] - v[None]) ** 2).sum(2))
+    owner, step, x, y = np.arange(n) // 5, np.arange(n) % 5, np.arange(n) % 2 == 0, np.arange(n) % 2 == 1
+    df = spark.createDataFrame([("x" if x[i] else "y", int(owner[i]), v[i].tolist()) for i in range(n)], "side string, owner int, embedding array<double>").repartition(3)
+    apart = owner[:, None] != owner[None]
+    for unbiased in (False, True):
+        mean = lambda a, b, u=unbiased: whole[np.ix_(a, b)][apart[np.ix_(a, b)] if u and a is b else slice(None)].mean()
+        assert abs(trajectory.mmd2(df, unbiased, 0.3).first()[0] - (mean(x, x) + mean(y, y) - 2 * mean(x, y))) < 1e-9
+    points = spark.createDataFrame([("g", int(owner[i]), int(step[i]), v[i].tolist()) for i in range(n)], "g string, trajectory int, step int, embedding array<double>").repartition(3)
+    for r in trajectory.kernel_sums(points, "g", "rbf", 0.3).collect():
+        at = (step[:, None] == r.step) & (step[None] == r.other)
+        assert abs(r.c - whole[at & ~apart].mean()) < 1e-9 and abs(r.a_u - whole[at & apart].mean()) < 1e-9
+
+
+def test_vectors_of_different_lengths_are_an_error(spark):
+    df = spark.createDataFrame([("x", 1, [1.0, 2.0]), ("y", 2, [1.0]), ("x", 3, [1.0]), ("y", 4, [1.0, 2.0])], "side string, owner int, embedding array<double>")
+    with pytest.raises(Exception, match="lengths"):
+        trajectory.mmd2(df, False, 0.3).first()
