@@ -153,11 +153,16 @@ def pooled_folds(folds: DataFrame, keys: Sequence[str] = ("run_dir",)) -> DataFr
 
 
 def without_nested(runs: DataFrame, kfold: DataFrame, path: str = "run_dir") -> DataFrame:
-    """Plain runs that do not lie under a folded run's folder. Ancestors are exploded, so the join is on equality."""
-    parts = F.split(path, "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    hit = runs.select(C(path).alias("__path"), F.explode(above).alias("__above")).join(kfold.select(C(path).alias("__above")), "__above", "left_semi").select("__path").distinct()
-    return runs.join(hit, runs[path] == hit["__path"], "left_anti")
+    """Plain runs that do not lie under a folded run's folder.
+
+    A join on equality for each depth at which there are folded runs, a few numbers that the driver gets: a run's
+    ancestor of that depth is looked up. Runs pass as they are, so where the folded runs are few nothing is shuffled.
+    """
+    folded = kfold.select(C(path).alias("__folder")).where(C("__folder").isNotNull()).distinct()
+    depth = F.size(F.split("__folder", "/"))
+    for d in sorted(folded.agg(F.collect_set(depth)).first()[0]):
+        runs = runs.join(folded.where(depth == d), F.substring_index(path, "/", d) == C("__folder"), "left_anti")
+    return runs
 
 
 def normalized_metrics(names: Column, default: Sequence[str] = ("auroc",)) -> Column:

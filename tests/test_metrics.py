@@ -232,3 +232,16 @@ def test_draws_meet_their_rows_without_a_broadcast(spark):
     df = spark.createDataFrame([("f", i, i % 2, float(i)) for i in range(50)], "feature string, id bigint, y int, s double")
     plan = resample.resamples(df, 3)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan  # the rows' side grows with the table
+
+
+def test_nested_runs_are_found_without_a_shuffle_of_the_runs(spark):
+    paths = ["out/r0", "out/r0/1", "out/r01/1", "out/r1/x/y", "out/r1/x", "out/r1", None, "", "/out/r0/1", "other"]
+    runs = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, run_dir string")
+    kfold = spark.createDataFrame([("out/r0",), ("out/r1/x",), (None,), ("out/r0",), ("none/of/these/there",)], "run_dir string")
+    left = report.without_nested(runs, kfold)
+    assert sorted(r.i for r in left.collect()) == [2, 5, 6, 7, 8, 9] and left.columns == runs.columns
+    assert report.without_nested(runs, kfold.limit(0)).count() == len(paths)
+    assert [r.i for r in report.without_nested(runs, spark.createDataFrame([("",)], "run_dir string")).collect()] == [i for i, p in enumerate(paths) if p is None or p.split("/")[0] != ""]
+    one = report.without_nested(runs, spark.createDataFrame([("out/r0",)], "run_dir string"))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "explode" not in plan.lower()
