@@ -29,6 +29,8 @@ from lumenq.sources import schemas
 CELLS = 4_000_000
 #: Ranges that a file of compressed arrays is cut into at most.
 COMPRESSED_PARTS = 8
+#: Tasks of a reading at most: where there are more ranges, a task reads several, one after another.
+MOST_TASKS = 256
 #: Cells of a batch.
 BATCH = 65_536
 ARRAYS = {"topk_logprobs": np.float32, "topk_token_ids": np.int32}
@@ -43,6 +45,27 @@ class Rows(InputPartition):
     last: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What a task reads, in order: ranges of one file or of several."""
+
+    parts: list[Rows]
+
+
+def _shared_out(ranges: list[Rows], most: int) -> list[InputPartition]:
+    """Ranges dealt to at most so many tasks in order; neighbours of one file become one range, read through once."""
+    out = []
+    for at in range(0, len(ranges), size := max(1, -(-len(ranges) // most))):
+        parts: list[Rows] = []
+        for r in ranges[at : at + size]:
+            if parts and parts[-1].path == r.path and parts[-1].last == r.first:
+                parts[-1] = Rows(r.path, parts[-1].first, r.last)
+            else:
+                parts.append(r)
+        out.append(Ranges(parts))
+    return out
+
+
 def _system(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path and the path in it; one without a scheme is local."""
     if path.startswith("file:"):
@@ -125,11 +148,13 @@ class TensorReader(DataSourceReader):
             if any(a.by_column for a in arrays):
                 rows = max(n * length, 1)
             out += [Rows(path, at, min(at + rows, last)) for at in range(first, last, rows)]
-        return out or [Rows("", 0, 0)]
+        return _shared_out(out, MOST_TASKS) or [Ranges([])]
 
-    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from self._read(part)
+
+    def _read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         system, base = _system(partition.path)
         run = partition.path.rsplit("/", 1)[0]
         with system.open_input_file(base) as f, zipfile.ZipFile(f) as archive:
@@ -165,7 +190,7 @@ class TensorSource(DataSource):
 def read_tensors(spark: SparkSession, path: str, cells: int = CELLS, low: int = 0, high: int | None = None) -> DataFrame:
     """Top-k tensors of runs in long form, run being a file's folder; without files the table is empty.
 
-    cells: of a file of stored arrays, what a task reads. Only samples from low to high, not itself, are read; else all.
+    cells: of a file of stored arrays, what a range holds at most; a task reads one, or several where there are many. Only samples from low to high, not itself, are read; else all.
     """
     spark.dataSource.register(TensorSource)
     reader = spark.read.format("tensors").option("cells", cells).option("low", low)

@@ -80,3 +80,15 @@ def test_written_files_are_plain_arrays(spark, tmp_path, compressed):
     for wrong in (long.where("not (run = 'b' and pos = 2 and rank = 0)"), long.unionByName(long.where("run = 'b' and pos = 3"))):
         with pytest.raises(Exception, match="gaps or repeats"):
             tensors.write_tensors(wrong, f"{tmp_path}/wrong", compressed)
+
+
+def test_many_ranges_share_tasks(spark, tmp_path, arrays, monkeypatch):
+    monkeypatch.setattr(tensors, "MOST_TASKS", 4)
+    lp, ids = arrays
+    for run, save in (("a", np.savez), ("b", np.savez_compressed)):
+        (tmp_path / run).mkdir()
+        save(tmp_path / run / "topk_logprobs.npz", topk_logprobs=lp, topk_token_ids=ids)
+    planned = tensors.TensorReader(str(tmp_path), 12).partitions()  # 14 ranges and 8
+    assert [len(p.parts) for p in planned] == [1, 1, 2, 1] and sum(r.last - r.first for p in planned for r in p.parts) == 110
+    read = [(r["run"][-1], r["sample_id"], r["pos"], r["rank"], r["token_id"]) for p in planned for b in tensors.TensorReader(str(tmp_path), 12).read(p) for r in b.to_pylist()]
+    assert read == [(run, s, p, k, ids[s, p, k]) for run in "ab" for s in range(11) for p in range(5) for k in range(3)]
