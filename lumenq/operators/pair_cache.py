@@ -18,8 +18,8 @@ from lumenq.backends import EntailmentScorer, JaccardScorer
 from lumenq.sources import places
 from lumenq.staging import staged
 
-#: Files that the table is dealt to; fixed when a cache is made.
-BUCKETS = 64
+#: Files that a new table is dealt to, and rows, stored or asked, for which a bucket is meant: with more, buckets double.
+BUCKETS, ROWS_A_BUCKET = 64, 100_000
 SCORES = ("p_contradiction", "p_neutral", "p_entailment", "cls")
 SCHEMA = "pair_digest string, version string, p_contradiction float, p_neutral float, p_entailment float, cls int"
 
@@ -61,19 +61,33 @@ class PairCache:
         known = self.spark.table(self._table(self.folder)).where(F.col("version") == self.version)
         return known.groupBy("pair_digest").agg(F.max(F.struct(*SCORES)).alias("s")).select("pair_digest", "s.*")
 
+    def _grow(self, asked: int) -> None:
+        """As many buckets as the stored and the asked rows need: a join's task holds a bucket of the one and of the other."""
+        needed, buckets = max(asked, self.spark.table(self._table(self.folder)).count()) / ROWS_A_BUCKET, self.buckets
+        while buckets < needed:
+            buckets *= 2
+        if buckets > self.buckets:
+            self.compact(buckets)
+
     def scored(self, asked: DataFrame, scorer: EntailmentScorer | None = None) -> DataFrame:
-        """asked (premise, hypothesis and more) with its scores; pairs that the cache lacks are scored once and appended."""
-        distinct = asked.select("premise", "hypothesis").distinct().withColumn("pair_digest", pair_digest())
+        """asked (premise, hypothesis and more) with its scores; pairs that the cache lacks are scored once and appended.
+
+        Where a bucket's share of the rows would be too much for a task, the table is first dealt to more of them.
+        """
+        counted = staged(asked.groupBy("premise", "hypothesis").agg(F.count("*").alias("n")), "asked-pairs")
+        self._grow(counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        distinct = counted.select("premise", "hypothesis").withColumn("pair_digest", pair_digest())
         fresh = staged(distinct.join(self.rows().select("pair_digest"), "pair_digest", "left_anti").select("premise", "hypothesis"), "fresh-pairs")
         made = (scorer or JaccardScorer()).score(fresh)
         self._append(made.select(pair_digest().alias("pair_digest"), F.lit(self.version).alias("version"), *(F.col(c).cast("float").alias(c) for c in SCORES[:3]), F.col("cls").cast("int").alias("cls")), self.folder)
         double = [F.col(c).cast("double").alias(c) for c in SCORES[:3]]
         return asked.withColumn("pair_digest", pair_digest()).join(self.rows().select("pair_digest", *double, "cls"), "pair_digest").drop("pair_digest")
 
-    def compact(self) -> None:
-        """Each pair of each version once, in new files; the old ones are left to readers that still use them."""
+    def compact(self, buckets: int | None = None) -> None:
+        """Each pair of each version once, in new files, of so many buckets if asked; the old ones are left to readers that still use them."""
         rows = self.spark.table(self._table(self.folder)).groupBy("pair_digest", "version").agg(F.max(F.struct(*SCORES)).alias("s")).select("pair_digest", "version", "s.*")
         folder = f"pairs-{uuid.uuid4().hex}"
+        self.buckets = buckets or self.buckets
         self._append(rows, folder)
         self._point_to(folder, self.buckets)
         self.folder = folder

@@ -76,3 +76,18 @@ def test_prefetched_is_a_scorer(spark):
     asked = frame(spark, [("a", "b"), ("a", "a")])
     found = prefetched([asked, asked.limit(1)], Counting())
     assert isinstance(found, ScoredPairs) and found.score(asked.select("premise", "hypothesis")).count() == 2
+
+
+def test_buckets_grow_with_what_is_asked(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lumenq.operators.pair_cache.ROWS_A_BUCKET", 10)
+    path = f"file://{tmp_path}/cache"
+    cache = PairCache(spark, path, "v1", 2)
+    pairs = [(f"a {i}", f"b {i % 7}") for i in range(30)]
+    first, second = Counting(), Counting()
+    early = cache.scored(frame(spark, pairs[:15]), first)
+    assert cache.buckets == 2 and early.count() == 15
+    got = cache.scored(frame(spark, [*pairs, *pairs]), second)  # repeats count: a task would get their rows
+    assert cache.buckets == 8 and got.count() == 60 and first.pairs == second.pairs == 15
+    assert early.count() == 15 and cache.rows().count() == 30  # tables made before read the old files
+    again = PairCache(spark, path, "v1")
+    assert again.buckets == 8 and again.scored(frame(spark, pairs), second).count() == 30 and second.pairs == 15
