@@ -216,6 +216,54 @@ def test_common_lines_is_a_longest_common_subsequence():
         assert len(shared) == brute_lcs(a, b) and all(x in rest for x in picked)
 
 
+def test_differencing_decides_within_marked_articles_too(spark):
+    """A line of every article of a host is its template; mirrors, licence lines of some and small hosts stay whole."""
+    article = lambda *lines: f"<nav>Menu</nav><article>{''.join(f'<p>{line}</p>' for line in lines)}</article>"
+    own = lambda host, i: (f"Title {i} of {host}", f"own text {i} of the page on {host}")
+    said, licence = "Follow us for more of this site", "Printed under a free licence"
+    pages = {}
+    for i in range(14):
+        pages[f"http://big.com/{i:02d}"] = (*own("big", i), said), own("big", i)
+        some = (*own("some", i), *((licence,) if i != 6 else ()))  # one article, which every window has, lacks it
+        pages[f"http://some.com/{i:02d}"] = some, some
+        mirror = (*own("mirror", i // 9), licence)  # two texts on all pages
+        pages[f"http://mirror.com/{i:02d}"] = mirror, mirror
+    for i in range(8):
+        small = (*own("small", i), said)
+        pages[f"http://small.com/{i}"] = small, small
+    rows = [(url, article(*lines)) for url, (lines, _) in pages.items()]
+    wanted = ["\n\n".join(want) for _, want in pages.values()]
+    for partitions in (1, 3, 17):
+        got = texts(spark, rows, partitions)
+        assert [got[i].text for i in range(len(rows))] == wanted
+
+
+def test_every_page_is_differenced(monkeypatch):
+    """Marked or not, the whole page is aligned, with what the elements leave out."""
+    asked = []
+    monkeypatch.setattr(html_text, "common_lines", lambda a, b: asked.append((a, b)) or set())
+    page = lambda i, html: html_text.Page(i, f"http://a.com/{i}", "a.com", f"/{i}", False, *html_text.judged_blocks(html))
+    for tag in ("article", "main", "div"):
+        first, second = (page(i, f"<nav><li>Menu<li>Home</nav><{tag}><p>Text {i}</p></{tag}><footer>Foot</footer>") for i in range(2))
+        assert html_text.main_lines(first, [], [second]) == ["Text 0"]
+        assert asked.pop() == (["Menu", "Home", "Text 0", "Foot"], ["Menu", "Home", "Text 1", "Foot"]) and not asked
+
+
+def test_alignment_of_lines_that_repeat():
+    """Halved alignments are longest too, and many equal lines take neither quadratic memory nor a time of all pairs."""
+    random.seed(1)
+    for n in (40, 90, 200):
+        for words in ("a", "ab", "abcdef"):
+            a, b = ([random.choice(words) for _ in range(random.randrange(n // 2, n))] for _ in "ab")
+            shared = sorted(html_text.common_lines(a, b))
+            picked, rest = [a[i] for i in shared], iter(b)
+            assert len(shared) == brute_lcs(a, b) and all(x in rest for x in picked)
+    began = time.process_time()
+    a, b = ["x", *(random.choice("01") for _ in range(20_000)), "y"], ["y", *(random.choice("01") for _ in range(20_000)), "x"]
+    assert len(html_text.common_lines(a, b)) > 15_000
+    assert time.process_time() - began < 20
+
+
 def brute_rule(url):
     if not url or "://" not in url:
         return "", "", None, None
